@@ -5,13 +5,23 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from assayer.llm import byte_bpe, fingerprints, packing, token_counts, vector_search
+from pyspark.sql import functions as F
+
+from assayer.llm import byte_bpe, fingerprints, language_id, packing, token_counts, toxicity, vector_search
+from assayer.llm.common import fold
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.learn(docs, labels, fold(F.col("doc_id"), 5) != 0)
+    scored = toxicity.score(docs, model, "doc_id")
+    return scored.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), 1024, 0).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source")
@@ -21,6 +31,12 @@ def op3_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_search.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), lambda vec_id: vec_id % 20 == 0, 20)
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    trees = language_id.learn(docs, fold(F.col("doc_id"), 4) != 2)
+    return language_id.identify(docs, trees, "doc_id").select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), 512)
 
@@ -33,7 +49,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_documents(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op3_vector_search, op8_token_counts, op9_fingerprints, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_packing, op3_vector_search, op4_language_id, op8_token_counts, op9_fingerprints, op10_byte_bpe)}
 
 #: DuckDB SQL, where it can express a query.
 ORACLE_SQL = {
