@@ -182,7 +182,7 @@ def learn(docs: DataFrame, labels: DataFrame, learnable: Column, per_class: int
         x = x.groupby("text", as_index=False)["toxic"].max().sort_values("text")
         return pd.DataFrame({"model": [pickle.dumps(fit(list(x["text"]), x["toxic"].to_numpy(np.float64)))]})
 
-    got = rows.groupBy(F.lit(0)).applyInPandas(fitted, "model binary").collect()
+    got = rows.withColumn("part", F.lit(0)).groupBy("part").applyInPandas(fitted, "model binary").collect()
     return bytes(got[0]["model"]) if got else None
 
 
