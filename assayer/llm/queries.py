@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from assayer.llm import byte_bpe, fingerprints, language_id, packing, token_counts, toxicity, vector_search
+from assayer.llm import byte_bpe, fingerprints, language_id, packing, substring_index, token_counts, toxicity, vector_search
 from assayer.llm.common import fold
 
 
@@ -37,6 +37,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, trees, "doc_id").select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op7_substring_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_index.remove_repeats(_documents(spark, sf_dir))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), 512)
 
@@ -49,10 +53,20 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_documents(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_packing, op3_vector_search, op4_language_id, op8_token_counts, op9_fingerprints, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_packing, op3_vector_search, op4_language_id, op7_substring_index, op8_token_counts, op9_fingerprints, op10_byte_bpe)}
 
 #: DuckDB SQL, where it can express a query.
 ORACLE_SQL = {
+    "op7_substring_index": r"""
+        WITH w AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
+        s AS (SELECT doc_id, i, list_slice(ws, i, i + 12) AS win FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w)),
+        m AS (SELECT win, min(doc_id) AS least FROM s GROUP BY win),
+        gone AS (SELECT DISTINCT doc_id, j FROM (SELECT s.doc_id, unnest(range(i, i + 13)) AS j FROM s JOIN m USING (win) WHERE m.least < s.doc_id)),
+        word AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS j, unnest(ws) AS x FROM w),
+        kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY j) AS body, count(*) AS n FROM word ANTI JOIN gone USING (doc_id, j) GROUP BY doc_id)
+        SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(body, '')) AS kept_sha256
+        FROM w LEFT JOIN kept USING (doc_id)
+    """,
     "op3_vector_search": """
         WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
                    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
