@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from assayer.llm import byte_bpe, fingerprints, language_id, packing, substring_index, token_counts, toxicity, vector_search
+from assayer.llm import byte_bpe, fingerprints, language_id, packing, substring_index, suffix_dedup, token_counts, toxicity, vector_search
 from assayer.llm.common import fold
 
 
@@ -37,6 +37,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, trees, "doc_id").select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_documents(spark, sf_dir))
+
+
 def op7_substring_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_index.remove_repeats(_documents(spark, sf_dir))
 
@@ -53,7 +57,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_documents(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_packing, op3_vector_search, op4_language_id, op7_substring_index, op8_token_counts, op9_fingerprints, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_packing, op3_vector_search, op4_language_id, op5_suffix_array, op7_substring_index, op8_token_counts, op9_fingerprints, op10_byte_bpe)}
 
 #: DuckDB SQL, where it can express a query.
 ORACLE_SQL = {
