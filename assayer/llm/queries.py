@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from assayer.llm import byte_bpe, fingerprints, language_id, packing, substring_index, suffix_dedup, token_counts, toxicity, vector_search
+from assayer.llm import byte_bpe, fingerprints, hyper_minhash, language_id, packing, substring_index, suffix_dedup, token_counts, toxicity, vector_search
 from assayer.llm.common import fold
 
 
@@ -41,6 +41,10 @@ def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(_documents(spark, sf_dir))
 
 
+def op6_hyper_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hyper_minhash.near_duplicates(_documents(spark, sf_dir), 75)
+
+
 def op7_substring_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_index.remove_repeats(_documents(spark, sf_dir))
 
@@ -57,10 +61,20 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_documents(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_packing, op3_vector_search, op4_language_id, op5_suffix_array, op7_substring_index, op8_token_counts, op9_fingerprints, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_packing, op3_vector_search, op4_language_id, op5_suffix_array, op6_hyper_minhash, op7_substring_index, op8_token_counts, op9_fingerprints, op10_byte_bpe)}
 
 #: DuckDB SQL, where it can express a query.
 ORACLE_SQL = {
+    "op6_hyper_minhash": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
+        s AS (SELECT DISTINCT doc_id, list_slice(ws, i, i + 4) AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM w WHERE len(ws) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+        l AS (SELECT p.a, p.b FROM p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+        r(doc_id, node) AS (SELECT doc_id, doc_id FROM w UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.node),
+        k AS (SELECT doc_id, min(node) AS component_id FROM r GROUP BY doc_id)
+        SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM k LEFT JOIN n USING (doc_id)
+    """,
     "op7_substring_index": r"""
         WITH w AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
         s AS (SELECT doc_id, i, list_slice(ws, i, i + 12) AS win FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w)),
