@@ -83,7 +83,8 @@ def nfc(text: Column) -> Column:
     """Unicode normal form C."""
     q = tables()[0]
     runs = F.regexp_extract_all(text, F.lit(f"(?s)[^{q}]?[{q}]+|[^{q}]+?(?=[^{q}]?[{q}])|[^{q}]+"), F.lit(0))
-    return F.when(text.rlike(f"[{q}]"), F.array_join(F.transform(runs, lambda r: F.when(r.rlike(f"[{q}]"), _composed(r)).otherwise(r)), "")).otherwise(text)
+    suspect = F.when(text.rlike(r"[^\x{0}-\x{2ff}]"), text.rlike(f"[{q}]")).otherwise(False)  # the class is long; below U+0300 nothing is in it
+    return F.when(suspect, F.array_join(F.transform(runs, lambda r: F.when(r.rlike(f"[{q}]"), _composed(r)).otherwise(r)), "")).otherwise(text)
 
 
 def canonical(text: Column) -> Column:
