@@ -176,7 +176,8 @@ def learn(docs: DataFrame, labels: DataFrame, learnable: Column, per_class: int
     picked = F.lit(False)
     for toxic, n in there.items():
         picked |= (F.col("toxic") == toxic) & hashed_share(F.col("doc_id"), sample_share(per_class, n), 1)
-    rows = docs.select("doc_id", text_bytes().alias("text")).join(wanted.where(picked), "doc_id").select("text", "toxic")
+    sample = wanted.where(picked).limit(4 * per_class)  # twice what is expected; the hash decides, this bounds the broadcast
+    rows = docs.select("doc_id", text_bytes().alias("text")).join(F.broadcast(sample), "doc_id").select("text", "toxic")
 
     def fitted(x: pd.DataFrame) -> pd.DataFrame:
         x = x.groupby("text", as_index=False)["toxic"].max().sort_values("text")
