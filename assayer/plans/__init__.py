@@ -1,0 +1,6 @@
+"""The named queries. Importing this package registers them."""
+
+from assayer.plans import reports  # noqa: F401
+from assayer.registry import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]
