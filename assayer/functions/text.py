@@ -73,7 +73,7 @@ def canonical_code(text: Column) -> Column:
 
 
 def like_escape(text: Column) -> Column:
-    return F.regexp_replace(text, r"([\\%_])", r"\\\\$1")
+    return F.regexp_replace(text, r"([\\%_])", r"\\$1")
 
 
 def share_of_digits(text: Column) -> Column:
