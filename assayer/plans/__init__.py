@@ -1,6 +1,6 @@
 """The named queries. Importing this package registers them."""
 
-from assayer.plans import measures, reports, windows  # noqa: F401
+from assayer.plans import fitting, measures, readings, reports, windows  # noqa: F401
 from assayer.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
