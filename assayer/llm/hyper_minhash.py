@@ -3,10 +3,10 @@
 A document's set holds its distinct shingles of SHINGLE words (A-Z lower-cased); with fewer words, the whole sequence is its one shingle. For each of REGISTERS hash functions the smallest hash of the set is kept as a 16-bit register: its count of leading zeros and the MANTISSA bits behind the first one.
 
 1. Documents with equal sets (128-bit sums over the set) make a class; only the class's smallest doc_id goes on.
-2. Bands of four registers, one 64-bit word each, are bucket keys. Documents in a bucket are paired with its smallest and largest doc_id, not with each other.
+2. Bands of four registers, one 64-bit word each, are bucket keys. A document is paired with the smallest and the largest doc_id that it shares the most buckets with, not with all others in its buckets.
 3. Pairs whose sizes allow the threshold are estimated: the share of equal registers, less the share that unlike registers agree by collision, must come within MARGIN of it. 192 registers have a standard error of 0.03 at 0.75, so 0.19 are over six of them.
 4. Survivors are verified on their full sets, and verified links make components by alternating small and large stars.
-5. Buckets that still hold several components give the pairs across components, in tiles of bounded size, to 3 and 4 again, so that a link that neither end of a bucket shows is found too.
+5. In buckets that still hold several components, all pairs across components go through 3 and 4 inside tiles of bounded size, which return links only, so that none is lost for which a bucket was found.
 
 At a similarity of 0.75, 48 bands of four miss a pair with a probability of 1e-8.
 
@@ -130,9 +130,7 @@ def likely(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
 
 def linked(pairs: DataFrame, bodies: DataFrame, percent: int) -> DataFrame:
     """Of pairs (a, b), those with 100 * intersection >= percent * union of their full sets. Each pair meets once; rows of a document are neighbours, so its set is made once a task."""
-    involved = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    own = bodies.join(involved, "doc_id")
-    both = pairs.join(own.select(F.col("doc_id").alias("b"), F.col("body").alias("body_b")), "b").join(own.select(F.col("doc_id").alias("a"), F.col("body").alias("body_a")), "a")
+    both = pairs.join(bodies.select(F.col("doc_id").alias("b"), F.col("body").alias("body_b")), "b").join(bodies.select(F.col("doc_id").alias("a"), F.col("body").alias("body_a")), "a")
 
     def verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import zstandard
@@ -170,32 +168,77 @@ def components(links: DataFrame) -> DataFrame:
         seen = now
 
 
-def across(keys: DataFrame, reps: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
-    """Likely pairs (a, b) of different components that share a bucket. A bucket with several components is cut into tiles; a pair comes from the first band it shares."""
-    labelled = keys.join(roots.withColumnsRenamed({"node": "rep"}), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    mixed_up = labelled.groupBy("band", "key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n")).where("x <> y").select("band", "key", F.ceil(F.col("n") / TILE).cast("int").alias("cuts"))
-    rows = labelled.join(mixed_up, ["band", "key"]).withColumn("i", F.pmod(F.xxhash64("rep"), F.col("cuts")).cast("int"))
+def tiles(shared: DataFrame, roots: DataFrame, parts: int) -> DataFrame:
+    """part, t, side, rep, root, band: documents of the buckets that hold several components, in tiles of bounded size. Documents of sides 0 and 1 meet each other, those of side 2 one another."""
+    labelled = shared.join(roots.withColumnsRenamed({"node": "rep"}), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    several = labelled.groupBy("band", "key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n")).where("x <> y").select("band", "key", F.ceil(F.col("n") / TILE).cast("int").alias("cuts"))
+    rows = labelled.join(several, ["band", "key"]).withColumn("i", F.pmod(F.xxhash64("rep"), F.col("cuts")).cast("int"))
     own = F.transform(F.sequence(F.lit(0), F.col("cuts") - 1), lambda j: F.struct(F.least("i", j).alias("i"), F.greatest("i", j).alias("j")))
-    rows = rows.withColumn("tile", F.explode(own)).select("rep", "root", "band", "tile", F.xxhash64("band", "key", "tile").alias("t"), F.when(F.col("tile.i") == F.col("tile.j"), 2).when(F.col("i") == F.col("tile.i"), 0).otherwise(1).alias("side"))
-    rows = rows.join(reps, "rep").select("t", "side", "rep", "root", "band", "n", "words").withColumn("part", F.pmod("t", F.lit(4096)))
-
-    def meet(x: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for (_, band), own in x.groupby(["t", "band"]):
-            w = np.stack(own["words"].to_numpy())
-            r, rep, root, n, side = w.view(np.uint16), own["rep"].to_numpy(), own["root"].to_numpy(), own["n"].to_numpy(), own["side"].to_numpy()
-            for i in range(len(rep)):
-                other = (root != root[i]) & (rep > rep[i]) & ((side == 2) | (side != side[i])) & (np.minimum(n, n[i]) >= threshold * np.maximum(n, n[i]))
-                j = np.flatnonzero(other)
+    rows = rows.withColumn("tile", F.explode(own)).withColumn("t", F.xxhash64("band", "key", "tile"))
+    side = F.when(F.col("tile.i") == F.col("tile.j"), 2).when(F.col("i") == F.col("tile.i"), 0).otherwise(1)
+    return rows.select(F.pmod("t", F.lit(parts)).alias("part"), "t", side.alias("side"), "rep", "root", "band")
+
+
+def candidates(own: pd.DataFrame, threshold: float) -> Iterator[tuple[int, np.ndarray]]:
+    """Of a tile, each document's place with the places of those of other components that it may be linked with; a pair comes up in the first band it shares only."""
+    w, band = np.stack(own["words"].to_numpy()), int(own["band"].iloc[0])
+    r, rep, root, n, side = w.view(np.uint16), own["rep"].to_numpy(), own["root"].to_numpy(), own["n"].to_numpy(), own["side"].to_numpy()
+    for i in range(len(rep)):
+        j = np.flatnonzero((root != root[i]) & (rep > rep[i]) & ((side == 2) | (side != side[i])) & (np.minimum(n, n[i]) >= threshold * np.maximum(n, n[i])))
+        if len(j):
+            j = j[((r[j] == r[i]).mean(axis=1) >= threshold - MARGIN) & ~(w[j, :band] == w[i, :band]).any(axis=1)]  # collisions only raise the share
+        if len(j):
+            j = j[estimate(r[j], r[i], n[j], n[i]) >= threshold - MARGIN]
+        if len(j):
+            yield i, j
+
+
+def across(shared: DataFrame, reps: DataFrame, bodies: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """Verified links (a, b) between different components that share a bucket, a spanning set of each tile's. Registers meet first; full texts go only to tiles in which a pair is likely, and there only of documents that are in one."""
+    threshold, parts = percent / 100, shared.count() // 2000 + 1
+    placed = tiles(shared, roots, parts)
+    columns = "part long, t long, side int, rep long, root long, band int"
+
+    def hopeful(x: pd.DataFrame) -> pd.DataFrame:
+        keep = []
+        for _, own in x.groupby("t"):
+            if own["root"].nunique() > 1:
+                found = {k for i, j in candidates(own, threshold) for k in (i, *j.tolist())}
+                keep.append(own.iloc[sorted(found)])
+        return pd.concat(keep or [x.iloc[:0]])[["part", "t", "side", "rep", "root", "band"]]
+
+    likely_ones = staged(placed.join(reps, "rep").groupBy("part").applyInPandas(hopeful, columns), "tiles")
+
+    def settle(x: pd.DataFrame) -> pd.DataFrame:
+        import zstandard
+
+        of, out = zstandard.ZstdDecompressor(), []
+        for _, own in x.groupby("t"):
+            sets = [shingles([of.decompress(b)])[0] for b in own["body"]]
+            size = np.array([len(s) for s in sets])
+            rep, parent = own["rep"].tolist(), {k: k for k in own["root"].tolist()}
+            root = own["root"].tolist()
+
+            def top(k: int, parent: dict = parent) -> int:
+                while parent[k] != k:
+                    k = parent[k] = parent[parent[k]]
+                return k
+
+            for i, j in candidates(own, threshold):
+                j = np.array([k for k in j.tolist() if top(root[k]) != top(root[i])], np.int64)
                 if not len(j):
                     continue
-                j = j[~(w[j, :band] == w[i, :band]).any(axis=1)]
-                j = j[(r[j] == r[i]).mean(axis=1) >= threshold - MARGIN]  # the correction only lowers it
-                j = j[estimate(r[j], r[i], n[j], n[i]) >= threshold - MARGIN] if len(j) else j
-                out += [(int(rep[i]), int(k)) for k in rep[j]]
+                all_of = np.concatenate([sets[k] for k in j])
+                where = np.minimum(np.searchsorted(sets[i], all_of), size[i] - 1)
+                common = np.bincount(np.repeat(np.arange(len(j)), size[j]), sets[i][where] == all_of, len(j))
+                for k in j[100 * common >= percent * (size[i] + size[j] - common)].tolist():
+                    if top(root[k]) != top(root[i]):
+                        parent[top(root[k])] = top(root[i])
+                        out.append((rep[i], rep[k]))
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
-    return rows.groupBy("part").applyInPandas(meet, "a long, b long")
+    full = likely_ones.join(reps, "rep").join(bodies.withColumnRenamed("doc_id", "rep"), "rep")
+    return full.groupBy("part").applyInPandas(settle, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -205,21 +248,26 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     sketched = staged(sketches(one), "sketches")
     known = sketched.where("doc_id is not null and n > 0")
     reps = staged(known.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.first("words").alias("words")), "classes")
+    small = reps.select("rep", "n", "words")
     keys = reps.select("rep", F.posexplode("words").alias("band", "key"))
     ends = keys.groupBy("band", "key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high")
-    stars = keys.join(ends, ["band", "key"]).select(F.explode(F.array(F.struct(F.col("low").alias("a"), F.col("rep").alias("b")), F.struct(F.col("rep").alias("a"), F.col("high").alias("b")))).alias("p")).select("p.a", "p.b").where("a <> b").distinct()
-    bodies = one.where("doc_id is not null").select("doc_id", text_bytes().alias("text"))
-    bodies = _squeezed(bodies)
-    tried = staged(likely(stars, reps.select("rep", "n", "words"), threshold), "pairs")
+    shared = staged(keys.join(ends, ["band", "key"]), "buckets")
+    bodies = _squeezed(one.where("doc_id is not null").select("doc_id", text_bytes().alias("text")))
+    bodies = staged(bodies.join(shared.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "bodies")
+    # each document with the low and the high end that it shares the most buckets with
+    tried = None
+    for end in ("low", "high"):
+        most = shared.where(F.col("rep") != F.col(end)).groupBy("rep", end).agg(F.count("*").alias("c")).groupBy("rep").agg(F.max_by(end, F.struct("c", end)).alias("e"))
+        pairs = most.select(F.least("rep", "e").alias("a"), F.greatest("rep", "e").alias("b"))
+        tried = pairs if tried is None else tried.union(pairs).distinct()
+    tried = staged(likely(tried, small, threshold), "pairs")
     links = staged(linked(tried, bodies, percent), "links")
     roots = components(links)
-    more = staged(across(keys, reps.select("rep", "n", "words"), roots, threshold).join(tried, ["a", "b"], "left_anti"), "pairs")
+    more = staged(across(shared.select("rep", "band", "key"), small, bodies, roots, percent), "links")
     if not more.isEmpty():
-        found = staged(linked(more, bodies, percent), "links")
-        if not found.isEmpty():
-            roots = components(links.unionByName(found))
+        roots = components(links.union(more))
     classes = reps.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", "n", F.coalesce("root", "rep").alias("component_id"))
-    joined_up = sketched.join(classes, ["h1", "h2", "n"], "left")
+    joined_up = sketched.drop("words").join(classes, ["h1", "h2", "n"], "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return joined_up.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), component).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
