@@ -138,15 +138,18 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
 
     The edited text has its last third replaced by the head of the next document, by descending doc_id (after the last: the first). Fingerprints are exact, so a likeness is 1 or 0. Texts are shuffled once by id; of the next document only the part that is needed moves.
     """
-    rows = fingerprinted(docs)
-    rows = rows.select("doc_id", "text", "fingerprint").withColumn("n_chars", F.char_length("text").cast("long"))
+    rows = fingerprinted(docs).select("doc_id", "text", "fingerprint")
+    placed = rows.where("doc_id is not null")
     ids = docs.select(F.col("doc_id").cast("long").alias("v"), F.floor(F.char_length(F.coalesce(F.col("text").cast("string"), F.lit(""))) / 3).cast("int").alias("need")).where("v is not null")
     ids = ids.groupBy("v").agg(F.max("need").alias("need"))
     first = ids.agg(F.max("v").alias("first"))
     links = next_smaller(ids.select("v")).crossJoin(F.broadcast(first)).select("v", F.coalesce("following", "first").alias("following")).join(ids, "v")  # one row on the right
-    heads = rows.select("doc_id", "text", "fingerprint").join(links, F.col("doc_id") == F.col("following"))
+    heads = placed.join(links, F.col("doc_id") == F.col("following"))
     heads = heads.select("v", F.struct(F.expr("substring(text, 1, need)").alias("head"), F.col("fingerprint").alias("next_fingerprint")).alias("h")).groupBy("v").agg(F.min("h").alias("h"))
-    joined = rows.join(heads.select("v", "h.head", "h.next_fingerprint"), F.col("doc_id") == F.col("v"), "left")
+    # both joins deal the same rows by doc_id, so that texts are shuffled once
+    joined = placed.join(heads.select("v", "h.head", "h.next_fingerprint"), F.col("doc_id") == F.col("v")).drop("v")
+    nowhere = rows.where("doc_id is null").withColumn("head", F.lit("")).withColumn("next_fingerprint", F.lit(None).cast("string"))
+    joined = joined.unionByName(nowhere).withColumn("n_chars", F.char_length("text").cast("long"))
     third = "cast(floor(n_chars / 3) as int)"
     edited = joined.withColumn("edited", F.concat(F.expr(f"substring(text, 1, cast(n_chars as int) - {third})"), F.coalesce(F.expr(f"substring(head, 1, {third})"), F.lit(""))))
     edited = edited.withColumn("edited_body", canonical(F.col("edited")))
