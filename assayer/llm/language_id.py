@@ -16,6 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from assayer.llm.common import hashed_share, sample_share, text_bytes
 from assayer.llm.textbytes import Lookup, blocks, joined
@@ -134,15 +135,14 @@ def predictor(trees: Trees | None) -> Callable[[list[bytes]], tuple[list[str], l
 
 
 def identify(docs: DataFrame, trees: Trees | None, *keep: str) -> DataFrame:
-    """The columns `keep` of docs, and lang_pred and score of its text. No shuffle."""
+    """The columns `keep` of docs, and lang_pred and score of its text. Only texts go to Python; no shuffle."""
     model = docs.sparkSession.sparkContext.broadcast(trees)
-    rows = docs.select(*keep, text_bytes().alias("__text"))
-    fields = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes if n != "__text")
 
-    def predict(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf(T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         of = predictor(model.value)
-        for x in frames:
-            langs, scores = of(list(x["__text"]))
-            yield x[list(keep)].assign(lang_pred=langs, score=scores)
+        for x in batches:
+            langs, scores = of(list(x))
+            yield pd.DataFrame({"lang_pred": langs, "score": scores})
 
-    return rows.mapInPandas(predict, f"{fields}, lang_pred string, score double")
+    return docs.withColumn("__p", predict(text_bytes())).select(*keep, "__p.lang_pred", "__p.score")

@@ -18,6 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from assayer.llm.common import hashed_share, sample_share, text_bytes
 from assayer.llm.textbytes import FOLDED, blocks, joined, mixed, prefix, span, words
@@ -188,10 +189,8 @@ def learn(docs: DataFrame, labels: DataFrame, learnable: Column, per_class: int
 
 
 def score(docs: DataFrame, model: bytes | None, *keep: str, spans: bool = False) -> DataFrame:
-    """The columns `keep` of docs and the score of its text; spans adds spans array<struct<start, end, p>>, in characters. No shuffle."""
+    """The columns `keep` of docs and the score of its text; spans adds spans array<struct<start, end, p>>, in characters. Only texts go to Python; no shuffle."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(*keep, text_bytes().alias("__text"))
-    fields = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes if n != "__text")
 
     def scored(texts: list[bytes], chain: Chain | None) -> Iterator[tuple[np.ndarray, list]]:
         for part in blocks(texts, 1 << 22):
@@ -209,11 +208,14 @@ def score(docs: DataFrame, model: bytes | None, *keep: str, spans: bool = False)
             a, b = chain.scale
             yield 1 / (1 + np.exp(-np.clip(a * logit(likeliest(p, doc, len(own))) + b, -500, 500))), found
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    span = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("p", T.DoubleType())])
+
+    @F.pandas_udf(T.StructType([T.StructField("score", T.DoubleType()), T.StructField("spans", T.ArrayType(span))]))
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         chain = pickle.loads(sent.value) if sent.value else None
-        for x in frames:
-            got = list(scored(list(x["__text"]), chain))
-            out = x[list(keep)].assign(score=np.concatenate([s for s, _ in got]) if got else np.zeros(0))
-            yield out.assign(spans=[f for _, y in got for f in y]) if spans else out
+        for x in batches:
+            got = list(scored(list(x), chain))
+            found = [[{"start": a, "end": b, "p": p} for a, b, p in f] for _, y in got for f in y]
+            yield pd.DataFrame({"score": np.concatenate([s for s, _ in got]) if got else np.zeros(0), "spans": found})
 
-    return rows.mapInPandas(run, f"{fields}, score double" + (", spans array<struct<start: int, end: int, p: double>>" if spans else ""))
+    return docs.withColumn("__p", run(text_bytes())).select(*keep, "__p.score", *["__p.spans"] * spans)
