@@ -160,7 +160,7 @@ class Candidates:
         """part and start of every window with a hot anchor; of the distinct ones, sorted by bucket and hash: two hashes and bucket; and each window's distinct one."""
         part, first, last = self.hot
         size = last - first + 1
-        at = np.repeat(first - np.append(0, np.cumsum(size)[:-1]), size) + np.arange(size.sum())
+        at = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
         part = np.repeat(part, size)
         a, b = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
         for k, (_, c) in enumerate(self.parts):
@@ -291,7 +291,7 @@ def remove_repeats(docs: DataFrame, text: bool = False, hot: int = HOT) -> DataF
         for bucket, i, j in slices(c.bucket):
             flags[begin[i] : begin[j]] = np.unpackbits(np.frombuffer(zlib.decompress(bits["context bits", bucket]), np.uint8), count=int(begin[j] - begin[i])).astype(bool)
         n = size[c.of]
-        step = np.arange(n.sum()) - np.repeat(np.append(0, np.cumsum(n)[:-1]), n)
+        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         hit = flags[np.repeat(begin[:-1][c.of], n) + step]
         part, at = np.repeat(c.part, n)[hit], (np.repeat(c.first, n) + step)[hit]
         # windows of hot anchors
