@@ -1,0 +1,167 @@
+"""Per-entity algorithms whose next step depends on the last: each runs over one page, graph or booklet, which is small by nature.
+
+A page has some dozens of boxes and a booklet some hundreds of blocks; groups above MOST rows are refused by an error, not cut, since no page of that size exists and its task would not be bounded.
+"""
+
+from __future__ import annotations
+
+from functools import reduce
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+MOST = 5000
+
+
+def _small(rows: pd.DataFrame, what: str) -> pd.DataFrame:
+    if len(rows) > MOST:
+        raise ValueError(f"{what} has {len(rows)} rows; at most {MOST} are possible")
+    return rows
+
+
+def assign(cost: np.ndarray) -> list[int]:
+    """The column of each row at the least total cost of a square matrix: shortest augmenting paths with potentials."""
+    n = len(cost)
+    u, v, row_of = np.zeros(n + 1), np.zeros(n + 1), np.full(n + 1, -1)
+    for i in range(n):
+        row_of[n], j = i, n
+        least, came, done = np.full(n + 1, np.inf), np.full(n + 1, n), np.zeros(n + 1, bool)
+        while row_of[j] >= 0:
+            done[j] = True
+            free = np.flatnonzero(~done[:n])
+            slack = cost[row_of[j], free] - u[row_of[j]] - v[free]
+            better = slack < least[free]
+            least[free[better]], came[free[better]] = slack[better], j
+            k = free[np.argmin(least[free])]
+            step = least[k]
+            u[row_of[done]] += step
+            v[done] -= step
+            least[~done] -= step
+            j = k
+        while j != n:
+            row_of[j] = row_of[came[j]]
+            j = came[j]
+    out = [0] * n
+    for j in range(n):
+        out[row_of[j]] = j
+    return out
+
+
+def best_pairs(df: DataFrame, graph: str, side: str, node: str, value: str, most: float) -> DataFrame:
+    """Pairs of truth and drawn nodes of each graph at the least total cost, where leaving a node alone costs 1 and a pair above `most` is none."""
+
+    def pair(x: pd.DataFrame) -> pd.DataFrame:
+        x = _small(x, "a graph").sort_values(node)
+        a, b = x[x[side] == "truth"], x[x[side] == "drawn"]
+        n, m = len(a), len(b)
+        far = 1e6
+        cost = np.zeros((n + m, n + m))
+        cost[:n, :m] = np.abs(a[value].to_numpy()[:, None] - b[value].to_numpy()[None, :])
+        cost[:n, m:] = np.where(np.eye(n, dtype=bool), 1.0, far)
+        cost[n:, :m] = np.where(np.eye(m, dtype=bool), 1.0, far)
+        got = assign(cost)
+        rows = [(x[graph].iloc[0], a[node].iloc[i], b[node].iloc[j], float(cost[i, j])) for i, j in enumerate(got[:n]) if j < m and cost[i, j] <= most]
+        return pd.DataFrame(rows, columns=["graph", "truth", "drawn", "cost"])
+
+    return df.groupBy(graph).applyInPandas(pair, f"graph {dict(df.dtypes)[graph]}, truth string, drawn string, cost double")
+
+
+def detections(lines: DataFrame) -> DataFrame:
+    """page, id, truth, score and box, made from line items."""
+    x, y = F.col("l_linenumber") * 10, F.col("l_quantity").cast("int")
+    name = F.concat_ws("/", *[F.col(c).cast("string") for c in ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")])
+    return lines.select(F.col("l_orderkey").alias("page"), name.alias("id"), (F.col("l_returnflag") == "A").alias("truth"), F.col("l_discount").alias("score"), x.alias("x0"), y.alias("y0"), (x + 5 + y).alias("x1"), (y + 12).alias("y1"))
+
+
+def _iou(a, b) -> float:
+    w, h = min(a.x1, b.x1) - max(a.x0, b.x0), min(a.y1, b.y1) - max(a.y0, b.y0)
+    if w <= 0 or h <= 0:
+        return 0.0
+    return w * h / ((a.x1 - a.x0) * (a.y1 - a.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) - w * h)
+
+
+def greedy(boxes: DataFrame, least: float) -> DataFrame:
+    """page, id, match: each detection, by score, takes the free true box with the best overlap of `least` or more."""
+
+    def match(x: pd.DataFrame) -> pd.DataFrame:
+        x = _small(x, "a page").sort_values(["score", "id"], ascending=[False, True])
+        free = [r for r in x.itertuples() if r.truth]
+        out = []
+        for d in (r for r in x.itertuples() if not r.truth):
+            best = max(((_iou(d, f), i) for i, f in enumerate(free)), key=lambda p: (p[0], -p[1]), default=(0.0, -1))
+            hit = free.pop(best[1]).id if best[0] >= least else None
+            out.append((d.page, d.id, hit))
+        return pd.DataFrame(out, columns=["page", "id", "match"])
+
+    return boxes.groupBy("page").applyInPandas(match, "page long, id string, match string")
+
+
+def suppressed(boxes: DataFrame, most: float) -> DataFrame:
+    """The detections that stay: by score, each that overlaps none before it by more than `most`."""
+
+    def keep(x: pd.DataFrame) -> pd.DataFrame:
+        kept: list = []
+        for r in _small(x, "a page").sort_values(["score", "id"], ascending=[False, True]).itertuples():
+            if all(_iou(r, k) <= most for k in kept):
+                kept.append(r)
+        return pd.DataFrame([(k.page, k.id, k.score) for k in kept], columns=["page", "id", "score"])
+
+    return boxes.groupBy("page").applyInPandas(keep, "page long, id string, score double")
+
+
+def row_bands(boxes: DataFrame, share: float = 0.5) -> DataFrame:
+    """page, id, band: a box joins the band it overlaps by half of its height, and the band grows by it."""
+
+    def bands(x: pd.DataFrame) -> pd.DataFrame:
+        out, made = [], []
+        for r in _small(x, "a page").sort_values(["y0", "x0", "id"]).itertuples():
+            i = next((i for i, (lo, hi) in enumerate(made) if min(hi, r.y1) - max(lo, r.y0) >= share * (r.y1 - r.y0)), None)
+            if i is None:
+                made.append((r.y0, r.y1))
+                i = len(made) - 1
+            made[i] = (min(made[i][0], r.y0), max(made[i][1], r.y1))
+            out.append((r.page, r.id, i))
+        return pd.DataFrame(out, columns=["page", "id", "band"])
+
+    return boxes.groupBy("page").applyInPandas(bands, "page long, id string, band int")
+
+
+def list_runs(df: DataFrame, key: str, order: list[str], number: str, least: int = 3) -> DataFrame:
+    """key, first, length: runs n, n + 1, ... of a key's numbers in order, of `least` at least."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy(key).orderBy(*order)
+    rows = df.withColumn("i", F.row_number().over(w)).withColumn("island", F.col(number) - F.col("i"))
+    turn = (F.col("island") != F.lag("island").over(w)).cast("int")
+    rows = rows.withColumn("run", F.sum(F.coalesce(turn, F.lit(1))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.groupBy(key, "run").agg(F.min(number).alias("first"), F.count("*").alias("length")).where(F.col("length") >= least).select(key, "first", "length")
+
+
+def decode(blocks: DataFrame, beam: int = 64, switch: float = 0.4, repeat: float = 0.6) -> DataFrame:
+    """booklet, block, question: the best assignment of a booklet's blocks in order, where changing the question costs `switch` less the block's start evidence, and coming back to an answered one costs `repeat`; hypotheses with the same question and the same answered ones are merged."""
+
+    def search(x: pd.DataFrame) -> pd.DataFrame:
+        x = _small(x, "a booklet").sort_values("block")
+        paths: dict[tuple[int, frozenset], tuple[float, tuple | None]] = {(-1, frozenset()): (0.0, None)}
+        for similarity, start in zip(x["similarity"], x["start"], strict=True):
+            after: dict = {}
+            for (q, answered), (score, path) in paths.items():
+                for p, s in enumerate(similarity):
+                    change = 0.0 if p == q else -switch * (1 - start) - (repeat if p in answered else 0.0)
+                    key, value = (p, answered | {p}), score + float(s) + change
+                    if key not in after or value > after[key][0]:
+                        after[key] = (value, (p, path))
+            paths = dict(sorted(after.items(), key=lambda kv: (-kv[1][0], kv[0][0], sorted(kv[0][1])))[:beam])
+        path, got = max(paths.values(), key=lambda v: v[0])[1], []
+        while path:
+            got.append(path[0])
+            path = path[1]
+        return pd.DataFrame({"booklet": x["booklet"], "block": x["block"], "question": got[::-1]})
+
+    return blocks.groupBy("booklet").applyInPandas(search, "booklet long, block long, question int")
+
+
+def all_of(frames: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, frames)

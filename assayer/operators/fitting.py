@@ -46,15 +46,15 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def isotonic(df: DataFrame, key: list[str], x: str, y: str) -> DataFrame:
-    """Breakpoints xs, ys of a rising step curve by pooling adjacent violators, for each key."""
+    """Breakpoints xs, ys of a rising step curve by pooling adjacent violators, for each key. Samples are summed by x to six places first, so a key has a million cells at most for x in [0, 1]."""
     kinds = ", ".join(f"{k} {dict(df.dtypes)[k]}" for k in key)
 
     def pool(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([x, y])
+        rows = rows.sort_values("__x")
         blocks: list[list[float]] = []  # sum, count, low, high
-        for value, target in zip(rows[x], rows[y], strict=True):
-            blocks.append([target, 1, value, value])
-            while len(blocks) > 1 and (blocks[-2][3] == blocks[-1][2] or blocks[-2][0] / blocks[-2][1] >= blocks[-1][0] / blocks[-1][1]):
+        for value, total, count in zip(rows["__x"], rows["__s"], rows["__n"], strict=True):
+            blocks.append([total, count, value, value])
+            while len(blocks) > 1 and blocks[-2][0] / blocks[-2][1] >= blocks[-1][0] / blocks[-1][1]:
                 s, n, _, high = blocks.pop()
                 blocks[-1] = [blocks[-1][0] + s, blocks[-1][1] + n, blocks[-1][2], high]
         xs, ys = [], []
@@ -64,7 +64,8 @@ def isotonic(df: DataFrame, key: list[str], x: str, y: str) -> DataFrame:
                 ys.append(round(s / n, 6))
         return pd.DataFrame([[*(rows[k].iloc[0] for k in key), xs, ys]], columns=[*key, "xs", "ys"])
 
-    return df.select(*key, F.col(x).cast("double"), F.col(y).cast("double")).groupBy(*key).applyInPandas(pool, f"{kinds}, xs array<double>, ys array<double>")
+    cells = df.groupBy(*key, F.round(F.col(x).cast("double"), 6).alias("__x")).agg(F.sum(F.col(y).cast("double")).alias("__s"), F.count("*").cast("double").alias("__n"))
+    return cells.groupBy(*key).applyInPandas(pool, f"{kinds}, xs array<double>, ys array<double>")
 
 
 def interpolated(value, xs, ys):
