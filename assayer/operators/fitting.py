@@ -42,7 +42,7 @@ def ranked(df: DataFrame, value: str, name: str) -> DataFrame:
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     rows = ranked(ranked(df.where(F.col(a).isNotNull() & F.col(b).isNotNull()), a, "__ra"), b, "__rb")
-    return rows.agg(F.coalesce(F.when((F.stddev_pop("__ra") > 0) & (F.stddev_pop("__rb") > 0), F.corr("__ra", "__rb")), F.lit(0.0)).alias("spearman"))
+    return rows.agg(F.coalesce(F.covar_pop("__ra", "__rb") / F.nullif(F.stddev_pop("__ra") * F.stddev_pop("__rb"), F.lit(0.0)), F.lit(0.0)).alias("spearman"))
 
 
 def isotonic(df: DataFrame, key: list[str], x: str, y: str) -> DataFrame:

@@ -9,7 +9,6 @@ from assayer.functions import dates, numbers
 from assayer.operators import latest, paging
 from assayer.registry import TODAY, Tables, query
 
-DAY = F.lit(TODAY)
 SQL_DAY = f"DATE '{TODAY}'"
 
 
@@ -26,7 +25,7 @@ def day(c):
 def agg_sme_progress(t: Tables) -> DataFrame:
     """Owners with their units and booklets: two aggregates, left joins, a status."""
     is_open = F.col("o_orderstatus") == "O"
-    units = t.orders.groupBy("o_custkey").agg(F.count("*").alias("owned"), F.count_if(is_open).alias("open"), F.count_if(is_open & (F.col("o_orderdate") < DAY)).alias("overdue"), F.max("o_orderdate").alias("last_at"))
+    units = t.orders.groupBy("o_custkey").agg(F.count("*").alias("owned"), F.count_if(is_open).alias("open"), F.count_if(is_open & (F.col("o_orderdate") < F.lit(TODAY))).alias("overdue"), F.max("o_orderdate").alias("last_at"))
     done = F.col("l_linestatus") == "F"
     work = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_custkey").agg(F.count("*").alias("booklets"), F.count_if(done).alias("approved"), F.count_if(~done & is_open).alias("pending"))
     both = units.join(work, "o_custkey", "left")
@@ -39,7 +38,7 @@ def agg_sme_progress(t: Tables) -> DataFrame:
 @query(f"SELECT count(*) FILTER (o_orderstatus = 'O') AS open, count(*) FILTER (o_orderstatus = 'P') AS submitted, count(*) FILTER (o_orderstatus = 'F') AS frozen, count(*) FILTER (o_orderstatus = 'O' AND o_orderdate < {SQL_DAY}) AS overdue FROM orders")
 def agg_filtered_counts(t: Tables) -> DataFrame:
     s = F.col("o_orderstatus")
-    return t.orders.agg(F.count_if(s == "O").alias("open"), F.count_if(s == "P").alias("submitted"), F.count_if(s == "F").alias("frozen"), F.count_if((s == "O") & (F.col("o_orderdate") < DAY)).alias("overdue"))
+    return t.orders.agg(F.count_if(s == "O").alias("open"), F.count_if(s == "P").alias("submitted"), F.count_if(s == "F").alias("frozen"), F.count_if((s == "O") & (F.col("o_orderdate") < F.lit(TODAY))).alias("overdue"))
 
 
 @query("SELECT l_linestatus, count(*) FILTER (l_returnflag = 'A') AS a, count(*) FILTER (l_returnflag = 'N') AS n, count(*) FILTER (l_returnflag = 'R') AS r FROM lineitem GROUP BY 1")
@@ -274,7 +273,7 @@ def flt_not_action_prefix(t: Tables) -> DataFrame:
 
 @query(f"SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O' AND o_orderdate < {SQL_DAY}")
 def flt_overdue(t: Tables) -> DataFrame:
-    return t.orders.where((F.col("o_orderstatus") == "O") & (F.col("o_orderdate") < DAY)).select("o_orderkey")
+    return t.orders.where((F.col("o_orderstatus") == "O") & (F.col("o_orderdate") < F.lit(TODAY))).select("o_orderkey")
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_custkey = 42 AND o_orderstatus = 'F' ORDER BY o_orderkey")
@@ -345,7 +344,7 @@ def agg_percent(t: Tables) -> DataFrame:
     SELECT strftime(q, '%Y-%m-%d') AS quarter, count(o_orderkey) AS units FROM (SELECT unnest(generate_series(date_trunc('quarter', {SQL_DAY}) - INTERVAL 9 MONTH, date_trunc('quarter', {SQL_DAY}), INTERVAL 3 MONTH)) AS q) LEFT JOIN orders ON date_trunc('quarter', o_orderdate) = q GROUP BY 1""")
 def agg_quarter_counts(t: Tables) -> DataFrame:
     """The last four quarters, those without a unit as 0."""
-    now = F.date_trunc("quarter", DAY)
+    now = F.date_trunc("quarter", F.lit(TODAY))
     calendar = t.spark.range(1).select(F.explode(F.sequence(F.add_months(now, -9), F.to_date(now), F.expr("interval 3 months"))).alias("q"))
     counts = t.orders.groupBy(dates.quarter_start(F.col("o_orderdate")).alias("q")).agg(F.count("*").alias("n"))
     return calendar.join(counts, "q", "left").select(day("q").alias("quarter"), F.coalesce("n", F.lit(0)).alias("units"))
@@ -364,7 +363,7 @@ def dt_quarter(t: Tables) -> DataFrame:
 
 @query(f"SELECT o_orderkey, CAST(date_diff('day', {SQL_DAY}, CAST(o_orderdate AS DATE)) AS INTEGER) AS days FROM orders")
 def dt_days_until(t: Tables) -> DataFrame:
-    return t.orders.select("o_orderkey", dates.days_until(F.col("o_orderdate"), DAY).alias("days"))
+    return t.orders.select("o_orderkey", dates.days_until(F.col("o_orderdate"), F.lit(TODAY)).alias("days"))
 
 
 @query("SELECT event_id, round(CAST(epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01') AS DOUBLE) / 1000000, 6) AS seconds FROM events")
