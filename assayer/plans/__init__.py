@@ -1,6 +1,6 @@
 """The named queries. Importing this package registers them."""
 
-from assayer.plans import arrow, fitting, flow, measures, readings, reports, streams, windows  # noqa: F401
+from assayer.plans import arrow, documents, fitting, flow, measures, readings, reports, streams, windows  # noqa: F401
 from assayer.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
