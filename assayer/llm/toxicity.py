@@ -26,6 +26,8 @@ from assayer.llm.textbytes import FOLDED, blocks, joined, mixed, prefix, span, w
 PER_CLASS = 1500
 BITS = 18
 BEGINNINGS = (3, 4, 5)
+#: Tokens, of whole documents, whose sums are held at once in training.
+TOGETHER = 1 << 17
 #: Twice the log likelihood ratio at which a form is taken as toxic, and the share of its documents that must be.
 SURE, PURE = 30.0, 0.9
 STEPS, RATE, DECAY = 30, 1.0, 1e-3
@@ -136,14 +138,20 @@ def fit(texts: list[bytes], toxic: np.ndarray) -> Chain:
     chain = Chain()
     features, doc, _, _ = tokens(texts)
     y = (suspects(features, doc, toxic) & (toxic[doc] > 0)).astype(np.int64)
-    places, first = chain.places(features), np.append(True, doc[1:] != doc[:-1])
+    places, first = chain.places(features), np.append(True, doc[1:] != doc[:-1])[: len(doc)]
+    del features
+    starts = np.flatnonzero(first)
+    at = np.searchsorted(starts, np.arange(0, len(doc), TOGETHER))
+    cuts = np.unique(starts[at[at < len(starts)]]).tolist()
+    parts = [slice(a, b) for a, b in zip(cuts, [*cuts[1:], len(doc)])] or [slice(0, 0)]
     seen = [np.full(s, 1e-8) for s in ((1 << BITS) + 1, 2, (2, 2))]
     for _ in range(STEPS if len(doc) else 0):
-        for value, g, square in zip((chain.weight, chain.start, chain.step), chain.gradient(places, first, y), seen, strict=True):
+        total = [sum(x) for x in zip(*(chain.gradient(places[k], first[k], y[k]) for k in parts), strict=True)]
+        for value, g, square in zip((chain.weight, chain.start, chain.step), total, seen, strict=True):
             g = g - DECAY * value
             square += g * g
             value += RATE * g / np.sqrt(square)
-    raw = logit(likeliest(chain.marginals(places, first), doc, len(texts)))
+    raw = logit(likeliest(np.concatenate([chain.marginals(places[k], first[k]) for k in parts]), doc, len(texts)))
     a, b = 1.0, 0.0
     for _ in range(50):  # Newton's method, with a little weight on the start
         p = 1 / (1 + np.exp(-np.clip(a * raw + b, -30, 30)))
@@ -193,7 +201,7 @@ def score(docs: DataFrame, model: bytes | None, *keep: str, spans: bool = False)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def scored(texts: list[bytes], chain: Chain | None) -> Iterator[tuple[np.ndarray, list]]:
-        for part in blocks(texts, 1 << 22):
+        for part in blocks(texts):
             own = texts[part]
             if chain is None:
                 yield np.zeros(len(own)), [[] for _ in own]
