@@ -10,7 +10,7 @@ A document's set holds its distinct shingles of SHINGLE words (A-Z lower-cased);
 
 At a similarity of 0.75, 48 bands of four miss a pair with a probability of 1e-8.
 
-Nulls: a null text, or one without words, has an empty set, is linked with nothing and is kept. Rows with a null doc_id are left out of all links and keep a null component_id. Rows that repeat a doc_id are one document whose text is the smallest of theirs, and each gives a row. An empty table gives no row. Other columns are not read.
+Nulls: a null text, or one without words, has an empty set, is linked with nothing and is kept. Rows with a null doc_id are left out of all links and keep a null component_id. Rows that repeat a doc_id are one document: what any of its texts is linked with joins its component, and each row gives a row. An empty table gives no row. Other columns are not read.
 """
 
 from __future__ import annotations

@@ -43,10 +43,11 @@ def origins_of(docs: DataFrame) -> int:
     return parts_for(docs, F.octet_length(F.col("text").cast("string")), ORIGIN_BYTES, 4)
 
 
-def with_origin(docs: DataFrame, origins: int) -> DataFrame:
-    """origin, doc_id long, text binary."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
-    return rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(origins)).cast("int").alias("origin"), "doc_id", "text")
+def with_origin(docs: DataFrame, origins: int, carry: tuple[str, ...] = ()) -> DataFrame:
+    """origin, doc_id long, text binary, extra binary: the columns to carry along, as JSON."""
+    extra = F.to_json(F.struct(*carry)).cast("binary") if carry else F.lit(b"")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"), extra.alias("extra"))
+    return rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(origins)).cast("int").alias("origin"), "doc_id", "text", "extra")
 
 
 def packed(rows: DataFrame) -> DataFrame:
@@ -60,28 +61,30 @@ def packed(rows: DataFrame) -> DataFrame:
             for origin, own in x.groupby("origin"):
                 none = own["doc_id"].isna().to_numpy()
                 ids = np.where(none, 0, own["doc_id"].fillna(0).to_numpy(np.int64))
-                texts = list(own["text"])
-                head = np.int64([len(own)]).tobytes() + ids.tobytes() + none.tobytes() + np.fromiter(map(len, texts), np.int64, len(texts)).tobytes()
-                out.append((origin, to.compress(head + b"".join(texts))))
+                parts = [*own["text"], *own["extra"]]
+                head = np.int64([len(own)]).tobytes() + ids.tobytes() + none.tobytes() + np.fromiter(map(len, parts), np.int64, len(parts)).tobytes()
+                out.append((origin, to.compress(head + b"".join(parts))))
             yield pd.DataFrame(out, columns=["origin", "body"])
 
     return rows.mapInPandas(pack, "origin int, body binary")
 
 
-def opened(rows: pd.DataFrame) -> tuple[list[int | None], list[bytes]]:
-    """Ids and texts of an origin."""
+def opened(rows: pd.DataFrame) -> tuple[list[int | None], list[bytes], list[bytes]]:
+    """Ids, texts and what is carried along, of an origin."""
     import zstandard
 
-    of, ids, texts = zstandard.ZstdDecompressor(), [], []
+    of, ids, texts, extras = zstandard.ZstdDecompressor(), [], [], []
     for body in sorted(rows["body"]):
         x = of.decompress(body)
         n = int(np.frombuffer(x, np.int64, 1)[0])
         own, none = np.frombuffer(x, np.int64, n, 8).tolist(), np.frombuffer(x, bool, n, 8 + 8 * n)
-        end = 8 + 17 * n + np.cumsum(np.frombuffer(x, np.int64, n, 8 + 9 * n))
-        start = np.append(8 + 17 * n, end[:-1])
+        end = 8 + 25 * n + np.cumsum(np.frombuffer(x, np.int64, 2 * n, 8 + 9 * n))
+        start = np.append(8 + 25 * n, end[:-1])
+        parts = [x[s:e] for s, e in zip(start.tolist(), end.tolist(), strict=True)]
         ids += [None if z else i for i, z in zip(own, none, strict=True)]
-        texts += [x[s:e] for s, e in zip(start.tolist(), end.tolist(), strict=True)]
-    return ids, texts
+        texts += parts[:n]
+        extras += parts[n:]
+    return ids, texts, extras
 
 
 def fingerprints(rows: DataFrame, buckets: int, anchors: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
@@ -97,7 +100,7 @@ def fingerprints(rows: DataFrame, buckets: int, anchors: Callable[[list[bytes]],
                 of.append(origin[part.start + g[1]])
             yield from rows_by_bucket(h, np.concatenate(of), buckets)
 
-    return rows.mapInPandas(split, "bucket int, keys binary, origins binary")
+    return rows.select("origin", "text").mapInPandas(split, "bucket int, keys binary, origins binary")
 
 
 def slices(x: np.ndarray) -> list[tuple[int, int, int]]:

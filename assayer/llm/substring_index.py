@@ -138,14 +138,14 @@ def remove_repeats(docs: DataFrame, batches: int = 2, text: bool = False) -> Dat
     def ask(own: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         if own.empty or found.empty:
             return pd.DataFrame({c: [] for c in ("bucket", "origin", "keys", "least")})
-        c = Candidates(*opened(own), found, buckets)
+        c = Candidates(*opened(own)[:2], found, buckets)
         return pd.DataFrame([(bucket, int(own["origin"].iloc[0]), ten(c.a[i], c.b[i]), small(c.least[i])) for bucket, i in c.runs()], columns=["bucket", "origin", "keys", "least"])
 
     def finish(own: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         names = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["text"] * text
         if own.empty:
             return pd.DataFrame({n: [] for n in names})
-        ids, texts = opened(own)
+        ids, texts, _ = opened(own)
         c = Candidates(ids, texts, found, buckets)
         bits = {b: k for b, k in zip(found["bucket"][found["kind"] == "bits"], found["keys"][found["kind"] == "bits"], strict=True)}
         earlier = np.zeros(len(c.a), bool)

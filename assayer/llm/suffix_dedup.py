@@ -269,19 +269,19 @@ def spans_of(gone: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
 
 
-def remove_repeats(docs: DataFrame, text: bool = False, hot: int = HOT) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of docs(doc_id, text); text adds what is left, as text (a character that was cut in two becomes U+FFFD)."""
+def remove_repeats(docs: DataFrame, text: bool = False, hot: int = HOT, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of docs(doc_id, text); text adds what is left, as text (a character that was cut in two becomes U+FFFD). carry names columns that go along, as one JSON column `carried`."""
     origins = origins_of(docs)
     buckets = origins
-    rows = with_origin(docs, origins)
+    rows = with_origin(docs, origins, carry)
     found = staged(merged(fingerprints(rows, buckets, anchors), hot=hot), "anchors").select("origin", "kind", "bucket", "keys")
     texts = packed(rows)
 
     def finish(own: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["text"] * text
+        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["text"] * text + ["carried"] * bool(carry)
         if own.empty:
             return pd.DataFrame({n: [] for n in names})
-        ids, bodies = opened(own)
+        ids, bodies, extras = opened(own)
         c = Candidates(bodies, told, buckets)
         bits = {(k, b): x for k, b, x in zip(told["kind"], told["bucket"], told["keys"], strict=True) if k.endswith(" bits")}
         # windows of shared anchors, by distinct context
@@ -311,9 +311,9 @@ def remove_repeats(docs: DataFrame, text: bool = False, hot: int = HOT) -> DataF
                 if spans:
                     left = np.frombuffer(body, np.uint8)[~own].tobytes()
                 row = (ids[d], len(body), len(body) - len(left), len(spans), hashlib.sha256(left).hexdigest())
-                out.append((*row, left.decode("utf-8", "replace")) if text else row)
+                out.append(row + (left.decode("utf-8", "replace"),) * text + (extras[d].decode(),) * bool(carry))
         return pd.DataFrame(out, columns=names)
 
     asked = texts.groupBy("origin").cogroup(found.groupBy("origin")).applyInPandas(lambda own, told: ask(own, told, buckets), ASKED)
     answers = asked.groupBy("bucket").applyInPandas(resolve, "origin int, kind string, bucket int, keys binary")
-    return texts.groupBy("origin").cogroup(answers.unionByName(found).groupBy("origin")).applyInPandas(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", text string" if text else ""))
+    return texts.groupBy("origin").cogroup(answers.unionByName(found).groupBy("origin")).applyInPandas(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text string" * text + ", carried string" * bool(carry))

@@ -15,3 +15,12 @@ def test_stages(spark):
         assert before * 0.5 < docs.count() <= before
     assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() > 0
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "toxicity", "minhash_near_dedup", "suffix_array_dedup", "packing"]
+
+
+def test_cut_keeps_one_row_a_row(spark):
+    passage = "shared words " * 40
+    rows = [(1, "a " + passage, "en", "s", 1), (1, "a " + passage, "en", "s", 1), (1, "other", "en", "s", 1), (None, passage, None, None, None), (2, None, "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.cut_repeats(spark, docs, "").collect()
+    assert len(got) == 5 and sorted(r.doc_id for r in got if r.doc_id is not None) == [1, 1, 1, 2]
+    assert "other" in {r.text for r in got}
