@@ -35,9 +35,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that occur twice; what is left of a document stays under its id, with the other columns as they were but for n_chars."""
-    cut = suffix_dedup.remove_repeats(docs, text=True).select(F.col("doc_id").alias("cut_id"), F.col("text").alias("cut_text"))
-    rest = docs.select("doc_id", "lang", "source")
-    return rest.join(cut, F.col("doc_id").eqNullSafe(F.col("cut_id"))).select("doc_id", F.col("cut_text").alias("text"), "lang", "source", F.char_length("cut_text").cast("long").alias("n_chars"))
+    cut = suffix_dedup.remove_repeats(docs, text=True, carry=("lang", "source"))
+    carried = F.from_json("carried", "lang string, source string")
+    return cut.select("doc_id", "text", carried["lang"].alias("lang"), carried["source"].alias("source"), F.char_length("text").cast("long").alias("n_chars"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
