@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
