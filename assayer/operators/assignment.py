@@ -5,8 +5,6 @@ A page has some dozens of boxes and a booklet some hundreds of blocks; groups ab
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -161,7 +159,3 @@ def decode(blocks: DataFrame, beam: int = 64, switch: float = 0.4, repeat: float
         return pd.DataFrame({"booklet": x["booklet"], "block": x["block"], "question": got[::-1]})
 
     return blocks.groupBy("booklet").applyInPandas(search, "booklet long, block long, question int")
-
-
-def all_of(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)

@@ -28,11 +28,6 @@ def first_best(df: DataFrame, keys: list[str], error: str, *order: str) -> DataF
     return df.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
 
 
-def mean_ranks(df: DataFrame, key: list[str], value: str, name: str) -> DataFrame:
-    w = Window.partitionBy(*key)
-    return df.withColumn(name, F.rank().over(w.orderBy(value)) + (F.count("*").over(w.partitionBy(*key, value)) - 1) / 2)
-
-
 def ranked(df: DataFrame, value: str, name: str) -> DataFrame:
     """Mean ranks over all rows, from the counts of distinct values: the window sees values, not rows."""
     counts = df.groupBy(value).agg(F.count("*").alias("__n"))

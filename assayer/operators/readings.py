@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,10 +34,6 @@ def tally(df: DataFrame, written: str, truth: str, groups: list[str]) -> DataFra
     return rows.groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(g) for g in groups]).agg(*measures)
 
 
-def union_by(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
-
-
 def merge_pieces(df: DataFrame, line: str, x: str, body: str, confidence: str) -> DataFrame:
     """An engine's pieces of a line from left to right, with a confidence weighted by their lengths."""
     w = F.greatest(F.length(F.trim(body)), F.lit(1))
