@@ -53,10 +53,11 @@ def shares(tokens: DataFrame, targets: dict[str, float] | None) -> DataFrame:
     total = wanted.agg(F.sum("weight").alias("all"))
     wanted = wanted.crossJoin(F.broadcast(total)).select("source", (F.col("weight") / F.greatest(F.col("all"), F.lit(1e-300))).alias("share"))  # one row on the right
     size = held.groupBy("shard").agg(F.sum("held").alias("size"))
-    grid = size.crossJoin(F.broadcast(wanted))  # shards by sources: a row for each queue, which are few
-    grid = grid.join(held.withColumnsRenamed({"shard": "s", "source": "q"}), (F.col("shard") == F.col("s")) & F.col("source").eqNullSafe(F.col("q")), "left")
-    before = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    return grid.select(F.col("shard").alias("shard"), F.col("source").alias("source"), F.col("share").alias("share"), F.coalesce(F.sum(F.col("size") * F.col("share") - F.coalesce("held", F.lit(0))).over(before), F.lit(0.0)).alias("deficit"))
+    upto = size.select("shard", F.coalesce(F.sum("size").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("all_before"))  # a row a shard
+    own = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    rows = held.withColumn("own_before", F.coalesce(F.sum("held").over(own), F.lit(0))).join(upto, "shard")
+    rows = rows.join(wanted.withColumnRenamed("source", "q"), F.col("source").eqNullSafe(F.col("q")))
+    return rows.select(F.col("shard").alias("shard"), F.col("source").alias("source"), F.col("share").alias("share"), (F.col("share") * F.col("all_before") - F.col("own_before")).alias("deficit"))
 
 
 def pack_shard(queues: dict, share: dict, deficit: dict, window: int) -> Iterator[tuple]:
