@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayer.llm import byte_bpe, fingerprints, hyper_minhash, language_id, packing, substring_index, suffix_dedup, token_counts, toxicity, vector_search
-from assayer.llm.common import fold
+from assayer.llm.common import fold, small_batches
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

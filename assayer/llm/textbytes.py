@@ -24,14 +24,17 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i for i < n at least."""
-    if len(_powers[0]) < n:
-        size = 1 << max(21, (n - 1).bit_length())
-        for k, b in enumerate((BASE, pow(BASE, -1, 1 << 64))):
-            x = np.full(size, b, np.uint64)
-            x[0] = 1
-            _powers[k] = np.cumprod(x, dtype=np.uint64)
-    return _powers[0], _powers[1]
+    """BASE**i and BASE**-i for i < n at least. A worker keeps a table for blocks; a longer text's is made for it alone."""
+    if len(_powers[0]) >= n:
+        return _powers[0], _powers[1]
+    made = []
+    for b in (BASE, pow(BASE, -1, 1 << 64)):
+        x = np.full(max(n, 1 << 20), b, np.uint64)
+        x[0] = 1
+        made.append(np.cumprod(x, dtype=np.uint64))
+    if n <= 1 << 20:
+        _powers[:] = made
+    return made[0], made[1]
 
 
 def prefix(values: np.ndarray) -> np.ndarray:

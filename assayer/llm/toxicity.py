@@ -136,7 +136,10 @@ def suspects(features: np.ndarray, doc: np.ndarray, toxic: np.ndarray) -> np.nda
 
 def fit(texts: list[bytes], toxic: np.ndarray) -> Chain:
     chain = Chain()
-    features, doc, _, _ = tokens(texts)
+    made = [(part.start, *tokens(texts[part])[:2]) for part in blocks(texts)]
+    features = np.concatenate([f for _, f, _ in made] or [np.zeros((0, 1 + len(BEGINNINGS)), np.uint64)])
+    doc = np.concatenate([at + d for at, _, d in made] or [np.zeros(0, np.int64)])
+    del made
     y = (suspects(features, doc, toxic) & (toxic[doc] > 0)).astype(np.int64)
     places, first = chain.places(features), np.append(True, doc[1:] != doc[:-1])[: len(doc)]
     del features
