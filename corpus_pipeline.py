@@ -10,31 +10,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayer.llm import hyper_minhash, language_id, packing, suffix_dedup, toxicity
-from assayer.llm.common import staged
+from assayer.llm.common import small_batches, staged
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a language was recognised; those without text or letters go."""
+    small_batches(spark)
     trees = language_id.learn(docs, F.lit(True))
     return language_id.identify(docs, trees, *COLUMNS).where("lang_pred <> 'und'").select(*COLUMNS)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below 0.5, learned from the labels of the documents that are left."""
+    small_batches(spark)
     model = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), F.lit(True))
     return toxicity.score(docs, model, *COLUMNS).where("score < 0.5").select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest doc_id."""
+    small_batches(spark)
     kept = hyper_minhash.near_duplicates(docs, 75).where("kept").select(F.col("doc_id").alias("kept_id"))
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(*COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that occur twice; what is left of a document stays under its id, with the other columns as they were but for n_chars."""
+    small_batches(spark)
     cut = suffix_dedup.remove_repeats(docs, text=True, carry=("lang", "source"))
     carried = F.from_json("carried", "lang string, source string")
     return cut.select("doc_id", "text", carried["lang"].alias("lang"), carried["source"].alias("source"), F.char_length("text").cast("long").alias("n_chars"))
@@ -42,6 +46,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of at most 1024 tokens, mixed by source."""
+    small_batches(spark)
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), 1024, 0)
 
 
