@@ -1,12 +1,12 @@
 """Toxic spans and document scores by a linear-chain conditional random field.
 
-Tokens are runs of letters, digits, apostrophes and non-ASCII bytes, A-Z folded. A chain has two states, clean and toxic; a token's features are its whole form and its first 3, 4 and 5 bytes, hashed. Labels are given for documents only, so the tokens of the training sample are labelled first: a form or a beginning that is found in toxic documents far more often than chance allows (a likelihood ratio above SURE, and nearly only there) marks its tokens toxic in toxic documents. The field is then trained on those labelled chains by gradient steps on the exact likelihood. Forward and backward sums run over a whole batch as one chain that restarts at every document, in blocks of prefix products.
+Tokens are runs of letters, digits, apostrophes and non-ASCII bytes, A-Z folded. A chain has two states, clean and toxic; a token's features are its whole form and its first 3, 4 and 5 bytes, hashed, and whether one of them is listed. Labels are given for documents only, so a list comes first: over all labelled texts, each text once, it is counted in how many toxic and clean ones a form or a beginning is found, and those found in toxic ones far more often than chance allows, and nearly only there, are listed. exp(-r / 2) bounds the chance of a log likelihood ratio of r / 2, and CHANCE is shared by the forms that are frequent enough to reach their part of it (Tarone's correction), so how often a form must occur depends on the number of forms and not on its share of the documents. In toxic documents of the training sample, tokens with a listed form are labelled toxic, and the field is trained on those chains by gradient steps on the exact likelihood. Of every second listed token it sees only that it is listed, so that listed forms count that no text of the sample holds. Forward and backward sums run over a whole batch as one chain that restarts at every document, in blocks of prefix products.
 
 A document's score comes from the marginals: that of its likeliest token, which doesn't grow with the document's length, put on the scale of the labels by a logistic fit. Tokens with p >= 0.5 give the offending spans.
 
-Training takes a hash-picked sample of about PER_CLASS labelled documents of either class, whole texts, each text once; the bound is a parameter. One task fits the model, whose size is fixed.
+Counting takes all learnable labelled texts, as an aggregate by form. Training takes a hash-picked sample of about PER_CLASS labelled documents of either class, whole texts, each text once; the bound is a parameter. One task fits the model, whose size is fixed but for the list of toxic forms, 8 bytes each.
 
-Nulls: a null text counts as empty and scores as a text without toxic tokens; rows with a null label are never learned from. Without labels of both classes every score is 0. Repeated rows each give a row; an empty table gives none. Other columns are not read.
+Nulls: a null text counts as empty and scores as a text without toxic tokens; rows with a null label are never learned from. Without labels of both classes, or where no form qualifies, every score is 0. Repeated rows each give a row; an empty table gives none. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -20,16 +20,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assayer.llm.common import hashed_share, sample_share, text_bytes
-from assayer.llm.textbytes import FOLDED, blocks, joined, mixed, prefix, span, words
+from assayer.llm.common import hashed_share, sample_share, staged, text_bytes
+from assayer.llm.textbytes import FOLDED, Lookup, blocks, joined, mixed, prefix, span, words
 
 PER_CLASS = 1500
 BITS = 18
 BEGINNINGS = (3, 4, 5)
 #: Tokens, of whole documents, whose sums are held at once in training.
 TOGETHER = 1 << 17
-#: Twice the log likelihood ratio at which a form is taken as toxic, and the share of its documents that must be.
-SURE, PURE = 30.0, 0.9
+#: The chance that any form at all is listed without cause, and the share of a listed form's documents that must be toxic.
+CHANCE, PURE = 0.01, 0.9
+#: Forms that are counted together before they leave a task.
+HELD = 1 << 20
+#: Places of the weights besides the hashed ones: of a listed token, and of nothing, which stays 0. The last is the bias.
+LISTED, NOTHING = 1 << BITS, (1 << BITS) + 1
 STEPS, RATE, DECAY = 30, 1.0, 1e-3
 BETWEEN = np.isin(np.arange(256), [b for b in range(128) if not (chr(b).isalnum() or chr(b) == "'")])
 
@@ -47,14 +51,17 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
 class Chain:
     """The field's weights, with sums over whole batches."""
 
-    def __init__(self) -> None:
-        self.weight = np.zeros((1 << BITS) + 1, np.float64)  # the last is the bias
+    def __init__(self, listed: np.ndarray | None = None) -> None:
+        self.weight = np.zeros((1 << BITS) + 3, np.float64)
+        self.listed = Lookup(np.zeros(0, np.uint64) if listed is None else listed)
         self.start = np.zeros(2)
         self.step = np.zeros((2, 2))
         self.scale = (1.0, 0.0)
 
     def places(self, features: np.ndarray) -> np.ndarray:
-        return (features >> np.uint64(64 - BITS)).astype(np.int64)
+        """Of each token, where the weights of its features are."""
+        known = (self.listed(features.ravel()) >= 0).reshape(features.shape).any(axis=1)
+        return np.column_stack([(features >> np.uint64(64 - BITS)).astype(np.int64), np.where(known, LISTED, NOTHING)])
 
     def matrices(self, places: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Of each token (along the last axis), exp(score) from state to state; a document's first token comes from neither, so its rows are alike."""
@@ -110,7 +117,7 @@ class Chain:
         p /= p.sum(axis=0)
         miss = y - p[1]
         weight = np.bincount(places.ravel(), np.repeat(miss, places.shape[1]), len(self.weight))
-        weight[-1] = miss.sum()
+        weight[NOTHING], weight[-1] = 0, miss.sum()
         inner = np.flatnonzero(~first)
         pair = a[:, None, inner - 1] * m[:, :, inner] * b[None, :, inner]
         pair /= pair.sum(axis=(0, 1))
@@ -119,41 +126,94 @@ class Chain:
         return weight, start, step
 
 
-def suspects(features: np.ndarray, doc: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """Of each token, whether one of its forms is one of those found in toxic documents beyond chance."""
-    marked, base = np.zeros(len(doc), bool), toxic.mean()
-    for kind in range(features.shape[1]):
-        key, of = np.unique(features[:, kind], return_inverse=True)
-        seen = np.unique(of * np.int64(len(toxic)) + doc)
-        form, there = seen // len(toxic), toxic[seen % len(toxic)]
-        n = np.bincount(form, minlength=len(key))
-        t = np.bincount(form, there, len(key))
-        share = np.clip(t / n, 1e-9, 1 - 1e-9)
-        ratio = 2 * (t * np.log(share / base) + (n - t) * np.log((1 - share) / (1 - base)))
-        marked |= ((ratio > SURE) & (share > PURE))[of]
-    return marked
-
-
-def fit(texts: list[bytes], toxic: np.ndarray) -> Chain:
-    chain = Chain()
+def merged(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys with the sums of both counts."""
+    key, of = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    return key, *(np.bincount(of, np.concatenate([p[k] for p in parts]), len(key)) for k in (1, 2))
+
+
+def forms_in(texts: list[bytes], toxic: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Forms and beginnings of texts, with the weight of the texts, and of the toxic texts, that hold them."""
+    features, doc = tokens(texts)[:2]
+    own = mixed(doc.astype(np.uint64))
+    once = np.unique(mixed(features[:, 0] ^ own), return_index=True)[1]
+    key, own, doc = features[once].ravel(), np.repeat(own[once], features.shape[1]), np.repeat(doc[once], features.shape[1])
+    once = np.unique(mixed(key ^ own), return_index=True)[1]
+    w = weight[doc[once]]
+    return merged([(key[once], w, w * toxic[doc[once]])])
+
+
+def bound(forms_of: dict[int, int], base: float) -> float:
+    """Twice the log likelihood ratio above which a form is listed. forms_of: how many forms n texts hold, by n; base: the share of toxic texts."""
+    unit, many = -np.log(base), max(1, sum(forms_of.values()))
+    left = many
+    for n in range(1, max(forms_of, default=0) + 1):  # left: the forms of n texts and more, which are those that can reach CHANCE / left
+        if left <= CHANCE * np.exp(min(n * unit, 700)):
+            many = max(1, left, CHANCE * np.exp(min((n - 1) * unit, 700)))
+            break
+        left -= forms_of.get(n, 0)
+    return 2 * np.log(many / CHANCE)
+
+
+def lexicon(docs: DataFrame, wanted: DataFrame) -> np.ndarray:
+    """The listed forms' hashes, from the texts of docs that wanted(doc_id, toxic) labels; a text counts once, as toxic where any of its labels is."""
+    read = docs.select("doc_id", text_bytes().alias("text")).withColumn("digest", F.md5("text"))
+    alike = read.select("doc_id", "digest").join(wanted, "doc_id").groupBy("digest", "doc_id").agg(F.max("toxic").alias("toxic"), F.count("*").alias("copies"))
+    alike = alike.groupBy("digest").agg(F.max("toxic").alias("toxic"), F.min(F.struct("doc_id", "copies")).alias("of"))
+    texts = staged(alike.select("of.doc_id", "digest", "toxic", (1 / F.col("of.copies")).alias("weight")), "toxicity-labelled")
+    there = {r["toxic"]: r["count"] for r in texts.groupBy("toxic").count().collect()}
+    if len(there) < 2:
+        return np.zeros(0, np.uint64)
+    base = there[1] / sum(there.values())
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        frame = lambda x: pd.DataFrame({"form": x[0].view(np.int64), "n": x[1], "t": x[2]})
+        held: list = []
+        for x in frames:
+            own, toxic, weight = list(x["text"]), x["toxic"].to_numpy(np.float64), x["weight"].to_numpy(np.float64)
+            for part in blocks(own):
+                held.append(forms_in(own[part], toxic[part], weight[part]))
+                if sum(len(h[0]) for h in held) > HELD:
+                    held = [merged(held)]
+                    if len(held[0][0]) > HELD // 2:
+                        yield frame(held.pop())
+        if held:
+            yield frame(merged(held))
+
+    rows = read.join(texts.hint("shuffle_hash"), ["doc_id", "digest"]).select("text", "toxic", "weight")
+    forms = rows.mapInPandas(count, "form long, n double, t double").groupBy("form").agg(F.round(F.sum("n")).alias("n"), F.round(F.sum("t")).alias("t"))
+    forms = staged(forms, "toxicity-forms")
+    few = {int(r["n"]): r["count"] for r in forms.groupBy(F.least("n", F.lit(1000)).alias("n")).count().collect()}
+    share = F.col("t") / F.col("n")
+    clean = F.when(F.col("t") < F.col("n"), (F.col("n") - F.col("t")) * F.log((1 - share) / (1 - base))).otherwise(0)
+    sure = forms.where(F.col("t") > F.greatest(F.lit(PURE), F.lit(base)) * F.col("n")).where(2 * (F.col("t") * F.log(share / base) + clean) > bound(few, base))
+    return np.sort(np.array([r["form"] for r in sure.select("form").collect()], np.int64).view(np.uint64))
+
+
+def fit(texts: list[bytes], toxic: np.ndarray, listed: np.ndarray) -> Chain:
+    chain = Chain(listed)
     made = [(part.start, *tokens(texts[part])[:2]) for part in blocks(texts)]
     features = np.concatenate([f for _, f, _ in made] or [np.zeros((0, 1 + len(BEGINNINGS)), np.uint64)])
     doc = np.concatenate([at + d for at, _, d in made] or [np.zeros(0, np.int64)])
     del made
-    y = (suspects(features, doc, toxic) & (toxic[doc] > 0)).astype(np.int64)
     places, first = chain.places(features), np.append(True, doc[1:] != doc[:-1])[: len(doc)]
     del features
+    known = places[:, -1] == LISTED
+    y = (known & (toxic[doc] > 0)).astype(np.int64)
+    whole = places[known]
+    places[np.flatnonzero(known)[::2], :-1] = NOTHING
     starts = np.flatnonzero(first)
     at = np.searchsorted(starts, np.arange(0, len(doc), TOGETHER))
     cuts = np.unique(starts[at[at < len(starts)]]).tolist()
     parts = [slice(a, b) for a, b in zip(cuts, [*cuts[1:], len(doc)])] or [slice(0, 0)]
-    seen = [np.full(s, 1e-8) for s in ((1 << BITS) + 1, 2, (2, 2))]
+    seen = [np.full(s, 1e-8) for s in (len(chain.weight), 2, (2, 2))]
     for _ in range(STEPS if len(doc) else 0):
         total = [sum(x) for x in zip(*(chain.gradient(places[k], first[k], y[k]) for k in parts), strict=True)]
         for value, g, square in zip((chain.weight, chain.start, chain.step), total, seen, strict=True):
             g = g - DECAY * value
             square += g * g
             value += RATE * g / np.sqrt(square)
+    places[known] = whole
     raw = logit(likeliest(np.concatenate([chain.marginals(places[k], first[k]) for k in parts]), doc, len(texts)))
     a, b = 1.0, 0.0
     for _ in range(50):  # Newton's method, with a little weight on the start
@@ -180,11 +240,14 @@ def logit(p: np.ndarray) -> np.ndarray:
 
 
 def learn(docs: DataFrame, labels: DataFrame, learnable: Column, per_class: int = PER_CLASS) -> bytes | None:
-    """A pickled Chain from docs(doc_id, text) and labels(doc_id, toxic), or None without labels of both classes."""
+    """A pickled Chain from docs(doc_id, text) and labels(doc_id, toxic), or None without labels of both classes or without a form that qualifies."""
     wanted = labels.where(F.col("toxic").isin(0, 1) & learnable).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     there = {r["toxic"]: r["count"] for r in wanted.groupBy("toxic").count().collect()}
     if len(there) < 2:
         return None
+    listed = lexicon(docs, wanted)
+    if not len(listed):
+        return None
     picked = F.lit(False)
     for toxic, n in there.items():
         picked |= (F.col("toxic") == toxic) & hashed_share(F.col("doc_id"), sample_share(per_class, n), 1)
@@ -193,7 +256,7 @@ def learn(docs: DataFrame, labels: DataFrame, learnable: Column, per_class: int
 
     def fitted(x: pd.DataFrame) -> pd.DataFrame:
         x = x.groupby("text", as_index=False)["toxic"].max().sort_values("text")
-        return pd.DataFrame({"model": [pickle.dumps(fit(list(x["text"]), x["toxic"].to_numpy(np.float64)))]})
+        return pd.DataFrame({"model": [pickle.dumps(fit(list(x["text"]), x["toxic"].to_numpy(np.float64), listed))]})
 
     got = rows.withColumn("part", F.lit(0)).groupBy("part").applyInPandas(fitted, "model binary").collect()
     return bytes(got[0]["model"]) if got else None

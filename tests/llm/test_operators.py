@@ -380,3 +380,52 @@ def test_next_smaller(spark):
     values = sorted({rng.randrange(-(1 << 62), 1 << 62) for _ in range(300)} | set(range(-5, 5)) | {1 << 16, (1 << 16) + 1})
     got = {r.v: r.following for r in fingerprints.next_smaller(spark.createDataFrame([(v,) for v in values], "v long")).collect()}
     assert got == dict(zip(values, [None, *values]))
+
+
+def toxic_rows(n, every, bad):
+    """n rows of (doc_id, text, toxic), one in `every` toxic; the k-th toxic one holds bad(k)."""
+    rng = random.Random(7)
+    rows = []
+    for i in range(n):
+        w = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 6))) for _ in range(rng.randint(10, 30))]
+        if i % every == 0:
+            w[rng.randrange(len(w))] = bad(i // every)
+        rows.append((i, " ".join(w), int(i % every == 0)))
+    return rows
+
+
+def toxicity_of(spark, rows, learnable, per_class=toxicity.PER_CLASS):
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.learn(df.select("doc_id", "text"), df.select("doc_id", "toxic"), learnable, per_class)
+    return model, {r.doc_id: r.score for r in toxicity.score(df, model, "doc_id").collect()}
+
+
+def test_toxicity_learns_words_that_the_sample_does_not_hold(spark):
+    bad = [f"{a}{b}zz" for a in "klmnopqr" for b in "stuvwxy"]  # each in under 2 % of the toxic texts
+    rows = toxic_rows(6000, 4, lambda k: bad[k % len(bad)])
+    _, got = toxicity_of(spark, rows, F.col("doc_id") < 4800, 20)
+    assert np.mean([(got[i] >= 0.5) == y for i, _, y in rows[4800:]]) > 0.97
+    assert np.mean([got[i] >= 0.5 for i, _, y in rows[4800:] if y]) > 0.97
+
+
+def test_toxicity_learns_from_few_labels(spark):
+    rows = toxic_rows(200, 2, lambda k: "mudhead")
+    _, got = toxicity_of(spark, rows, F.col("doc_id") < 30)
+    assert np.mean([(got[i] >= 0.5) == y for i, _, y in rows[30:]]) > 0.97
+
+
+def test_toxicity_without_toxic_forms_is_clean(spark):
+    rows = [(i, f"w{i} v{i}", i % 2) for i in range(40)]
+    model, got = toxicity_of(spark, rows, F.lit(True))
+    assert model is None and set(got.values()) == {0.0}
+
+
+def test_toxicity_counts_a_text_once(spark):
+    rows = [(1, "same text here", 1)] * 30 + [(i, "same text here", 1) for i in range(2, 60)] + [(i, f"clean words number {i}", 0) for i in range(60, 120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    assert not len(toxicity.lexicon(df.select("doc_id", "text"), df.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))))
+
+
+def test_bound_shares_chance_by_the_forms_that_can_reach_it():
+    assert toxicity.bound({1: 10**6, 20: 5}, 0.5) < toxicity.bound({20: 10**6}, 0.5)
+    assert abs(toxicity.bound({1: 10**6, 1000: 5}, 0.5) - 2 * np.log(5 / 0.01)) < 1e-9
