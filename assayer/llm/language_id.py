@@ -4,6 +4,8 @@ For each language a tree of byte contexts of up to ORDER bytes holds how often e
 
 Statistics come from a hash-picked sample of about PER_LANGUAGE labelled documents a language, whole texts; the bound is a parameter. The trees are counted on the executors and broadcast; the sample bounds their size.
 
+halves() says which texts are in a language at all. The sample is halved by text and each half's trees code the other half's texts, so that none is coded by what was learned from itself or its copies. In its own language, the code length a byte that nine labelled texts in ten keep to, FAR times, is the language's limit, and what a text of n bytes may exceed it by is SPREAD times the spread of a byte's code length over sqrt(n). A language of fewer than LEAST texts has no limit of its own but the highest of the others; where there is none, every text with a letter is in a language.
+
 Nulls: a text that is null, or has no letter, is `und` with score 0, as is every text where no language was learned. Rows with a null language are never learned from. Repeated rows each give a row; an empty table gives none. Other columns are not read.
 """
 
@@ -26,6 +28,8 @@ ORDER = 3
 PER_LANGUAGE = 2000
 #: A bound on the languages learned; further ones, the rarest, would make the broadcast grow with the data.
 LANGUAGES = 500
+#: A text is in a language up to FAR times the code length of its own texts, and SPREAD standard deviations of a byte's; from LEAST texts.
+FAR, SPREAD, LEAST = 2.0, 3.0, 20
 GAP = b"\n" * ORDER
 LETTER = re.compile(r"[^\W\d_]").search
 
@@ -85,8 +89,8 @@ class Trees:
         return out
 
 
-def learn(docs: DataFrame, learnable: Column, per_language: int = PER_LANGUAGE) -> Trees | None:
-    """Context trees of the languages of docs(doc_id, text, lang), from a sample of the learnable rows."""
+def sampled(docs: DataFrame, learnable: Column, per_language: int) -> DataFrame | None:
+    """doc_id, lang and text of the learnable rows that languages learn from, or None where no row has a language."""
     rows = docs.where(learnable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.col("lang").cast("string").alias("lang"), text_bytes().alias("text"))
     there = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
     if not there:
@@ -94,6 +98,48 @@ def learn(docs: DataFrame, learnable: Column, per_language: int = PER_LANGUAGE)
     picked = F.lit(False)
     for r in there:
         picked |= (F.col("lang") == r["lang"]) & hashed_share(F.col("doc_id"), sample_share(per_language, r["count"]))
+    return rows.where(picked)
+
+
+def learn(docs: DataFrame, learnable: Column, per_language: int = PER_LANGUAGE) -> Trees | None:
+    """Context trees of the languages of docs(doc_id, text, lang), from a sample of the learnable rows."""
+    rows = sampled(docs, learnable, per_language)
+    return None if rows is None else grown(rows)
+
+
+def halves(docs: DataFrame, learnable: Column, per_language: int = PER_LANGUAGE) -> tuple[list[tuple[Column, Trees | None]], dict[str, tuple[float, float]]]:
+    """Two conditions that part the docs, each with the trees to code its texts by; and by language, the bits a byte that a text in it may take and the spread of a byte's, the highest under ''."""
+    half = hashed_share(text_bytes(), 0.5, 3)
+    rows = sampled(docs, learnable, per_language)
+    if rows is None:
+        return [(half, None), (~half, None)], {}
+    pair = [(half, grown(rows.where(~half))), (~half, grown(rows.where(half)))]
+
+    def measured(trees: Trees | None, own: DataFrame) -> DataFrame:
+        model = own.sparkSession.sparkContext.broadcast(trees)
+
+        def measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            trees = model.value
+            place = {k: j for j, k in enumerate(trees.languages if trees else [])}
+            for x in frames:
+                x = x[x["lang"].isin(list(place)) & (x["text"].str.len() > 0)]
+                texts, at = list(x["text"]), x["lang"].map(place).to_numpy(np.int64)
+                for part in blocks(texts):
+                    g, start, end = grams(texts[part])
+                    cost = trees.lengths(g)
+                    own = [cost[s:e, j].astype(np.float64) for s, e, j in zip(start, end, at[part], strict=True)]
+                    yield pd.DataFrame({"lang": x["lang"].to_numpy()[part], "rate": [c.mean() for c in own], "spread": [c.std() for c in own]})
+
+        return own.select("lang", "text").distinct().mapInPandas(measure, "lang string, rate double, spread double")
+
+    rest = measured(pair[0][1], rows.where(half)).union(measured(pair[1][1], rows.where(~half)))
+    got = rest.groupBy("lang").agg(F.percentile_approx("rate", 0.9).alias("rate"), F.percentile_approx("spread", 0.5).alias("spread"), F.count("*").alias("n")).where(F.col("n") >= LEAST).collect()
+    of = {r["lang"]: (FAR * r["rate"], r["spread"]) for r in got}
+    return pair, of | {"": max(of.values())} if of else {}
+
+
+def grown(rows: DataFrame) -> Trees | None:
+    """Context trees from all texts of rows(lang, text)."""
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in frames:
@@ -107,19 +153,23 @@ def learn(docs: DataFrame, learnable: Column, per_language: int = PER_LANGUAGE)
                     key, n = np.unique(g[np.cumsum(inside)[:-1] > 0], return_counts=True)
                     yield pd.DataFrame({"lang": lang, "gram": key.astype(np.int64), "n": n.astype(np.int64)})
 
-    counted = rows.where(picked).mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+    counted = rows.mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     of = {lang: (x["gram"].to_numpy(np.int64), x["n"].to_numpy(np.float64)) for lang, x in counted.groupby("lang")}
     return Trees(sorted(of), [of[k] for k in sorted(of)]) if of else None
 
 
-def predictor(trees: Trees | None) -> Callable[[list[bytes]], tuple[list[str], list[float]]]:
-    def predict(texts: list[bytes]) -> tuple[list[str], list[float]]:
-        langs, scores = [], []
+def predictor(trees: Trees | None, limit: dict[str, tuple[float, float]] | None = None) -> Callable[[list[bytes]], tuple[list[str], list[float], list[bool]]]:
+    """Of texts, the language, its score and whether the text is in it by the limits; without any, texts with a letter are."""
+    most = [(limit or {}).get(k, (limit or {}).get("", (np.inf, 0.0))) for k in (trees.languages if trees else [])]
+    rate, spread = np.array(most).reshape(-1, 2).T
+
+    def predict(texts: list[bytes]) -> tuple[list[str], list[float], list[bool]]:
+        langs, scores, known = [], [], []
         for part in blocks(texts):
             own = texts[part]
             lettered = [LETTER(t.decode("utf-8", "replace")) is not None for t in own]
             if trees is None:
-                langs, scores = langs + ["und"] * len(own), scores + [0.0] * len(own)
+                langs, scores, known = langs + ["und"] * len(own), scores + [0.0] * len(own), known + lettered
                 continue
             g, start, end = grams(own)
             cost = np.zeros((len(g) + 1, len(trees.languages)))
@@ -127,22 +177,24 @@ def predictor(trees: Trees | None) -> Callable[[list[bytes]], tuple[list[str], l
             cost = cost[end] - cost[start]
             best = cost.argmin(axis=1)
             share = 1 / np.exp2(np.maximum(-1000, cost.min(axis=1)[:, None] - cost)).sum(axis=1)
+            within = cost.min(axis=1) <= rate[best] * (end - start) + SPREAD * spread[best] * np.sqrt(end - start)
             langs += [trees.languages[b] if ok else "und" for b, ok in zip(best, lettered, strict=True)]
             scores += [float(s) if ok else 0.0 for s, ok in zip(share, lettered, strict=True)]
-        return langs, scores
+            known += [bool(w and ok) for w, ok in zip(within, lettered, strict=True)]
+        return langs, scores, known
 
     return predict
 
 
-def identify(docs: DataFrame, trees: Trees | None, *keep: str) -> DataFrame:
-    """The columns `keep` of docs, and lang_pred and score of its text. Only texts go to Python; no shuffle."""
+def identify(docs: DataFrame, trees: Trees | None, *keep: str, limit: dict[str, tuple[float, float]] | None = None) -> DataFrame:
+    """The columns `keep` of docs, and lang_pred and score of its text; with limits, also `known`, whether it is in a language. Only texts go to Python; no shuffle."""
     model = docs.sparkSession.sparkContext.broadcast(trees)
 
-    @F.pandas_udf(T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    @F.pandas_udf(T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("known", T.BooleanType())]))
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        of = predictor(model.value)
+        of = predictor(model.value, limit)
         for x in batches:
-            langs, scores = of(list(x))
-            yield pd.DataFrame({"lang_pred": langs, "score": scores})
+            langs, scores, known = of(list(x))
+            yield pd.DataFrame({"lang_pred": langs, "score": scores, "known": known})
 
-    return docs.withColumn("__p", predict(text_bytes())).select(*keep, "__p.lang_pred", "__p.score")
+    return docs.withColumn("__p", predict(text_bytes())).select(*keep, "__p.lang_pred", "__p.score", *["__p.known"] * (limit is not None))

@@ -1,6 +1,9 @@
 """Each stage acts on its own input, and clean documents stay."""
 
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -24,3 +27,18 @@ def test_cut_keeps_one_row_a_row(spark):
     got = corpus_pipeline.cut_repeats(spark, docs, "").collect()
     assert len(got) == 5 and sorted(r.doc_id for r in got if r.doc_id is not None) == [1, 1, 1, 2]
     assert "other" in {r.text for r in got}
+
+
+def test_language_by_code_length(spark):
+    rng = random.Random(3)
+    bags = {"aa": "abcde", "bb": "vwxyz"}
+    text = lambda lang, n=20: " ".join("".join(rng.choice(bags[lang]) for _ in range(5)) for _ in range(n))
+    rows = [(i, text(k := list(bags)[i % 2]), None if i % 10 < 2 else k) for i in range(400)]
+    odd = ["".join(rng.choice("0123456789ghijkmnopqrstu") for _ in range(300)), "\u042d\u0442\u043e \u0440\u0443\u0441\u0441\u043a\u0438\u0439 \u0442\u0435\u043a\u0441\u0442 " * 5, "123 456", None]
+    rows += [(1000 + i, t, "aa") for i, t in enumerate(odd)]
+    docs = spark.createDataFrame([(i, t, k, "s", 1) for i, t, k in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.lang for r in corpus_pipeline.identify_language(spark, docs, "").collect()}
+    assert got == {i: list(bags)[i % 2] for i in range(400)}
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    kept = {r.doc_id: r.lang for r in corpus_pipeline.identify_language(spark, unlabelled, "").collect()}
+    assert set(kept) == {*range(400), 1000, 1001} and set(kept.values()) == {None}
