@@ -6,9 +6,9 @@ A document's set holds its distinct shingles of SHINGLE words (A-Z lower-cased);
 2. Bands of four registers, one 64-bit word each, are bucket keys. A document is paired with the smallest and the largest doc_id that it shares the most buckets with, not with all others in its buckets.
 3. Pairs whose sizes allow the threshold are estimated: the share of equal registers, less the share that unlike registers agree by collision, must come within MARGIN of it. 192 registers have a standard error of 0.03 at 0.75, so 0.19 are over six of them.
 4. Survivors are verified on their full sets, and verified links make components by alternating small and large stars.
-5. In buckets that still hold several components, all pairs across components go through 3 and 4 inside tiles of bounded size, which return links only, so that none is lost for which a bucket was found.
+5. In buckets that still hold several components, all pairs across components go through 3 and 4 inside tiles of bounded size, which return links only, so that none is lost for which a bucket was found. A bucket's largest component is cut into blocks that stay where they are; only the documents of its other components are copied, to each block.
 
-At a similarity of 0.75, 48 bands of four miss a pair with a probability of 1e-8.
+At a similarity of 0.75, 48 bands of four miss a pair with a probability of 1e-8 if registers are independent. Full sets are compared by 64-bit hashes of shingles; where a few shingles more or less would decide otherwise, by the words themselves.
 
 Nulls: a null text, or one without words, has an empty set, is linked with nothing and is kept. Rows with a null doc_id are left out of all links and keep a null component_id. Rows that repeat a doc_id are one document: what any of its texts is linked with joins its component, and each row gives a row. An empty table gives no row. Other columns are not read.
 """
@@ -29,8 +29,10 @@ from assayer.llm.textbytes import FOLDED, blocks, joined, mixed, prefix, span, w
 SHINGLE, BANDS, ROWS, MANTISSA = 5, 48, 4, 10
 REGISTERS = BANDS * ROWS
 MARGIN = 0.19
-#: Documents of a bucket that meet at once in step 5.
+#: Documents of a block in step 5; two blocks meet at once.
 TILE = 1024
+#: Rows of small buckets that are worked on together.
+PART = 1000
 FACTORS = mixed(np.arange(1, REGISTERS + 1, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
 
 
@@ -128,6 +130,25 @@ def likely(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     return both.where(F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b")).mapInPandas(pick, "a long, b long")
 
 
+def reaches(a: bytes, b: bytes, percent: int) -> bool:
+    """Whether two texts are linked, by their words."""
+    sides = []
+    for text in (a, b):
+        w = text.lower().split()  # of bytes: A-Z only, and the six bytes between words
+        sides.append({tuple(w[i : i + SHINGLE]) for i in range(max(1, len(w) - SHINGLE + 1))} if w else set())
+    common, union = len(sides[0] & sides[1]), len(sides[0] | sides[1])
+    return common > 0 and 100 * common >= percent * union
+
+
+def lead(common: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """By how much a pair's intersection and union pass the threshold."""
+    return 100 * common - percent * (n + m - common)
+
+
+#: A lead of less than this either way is settled by words: two hashes that collide move it by at most 175.
+BORDER = 400
+
+
 def linked(pairs: DataFrame, bodies: DataFrame, percent: int) -> DataFrame:
     """Of pairs (a, b), those with 100 * intersection >= percent * union of their full sets. Each pair meets once; rows of a document are neighbours, so its set is made once a task."""
     both = pairs.join(bodies.select(F.col("doc_id").alias("b"), F.col("body").alias("body_b")), "b").join(bodies.select(F.col("doc_id").alias("a"), F.col("body").alias("body_a")), "a")
@@ -136,15 +157,16 @@ def linked(pairs: DataFrame, bodies: DataFrame, percent: int) -> DataFrame:
         import zstandard
 
         of = zstandard.ZstdDecompressor()
-        known: tuple[int | None, np.ndarray] = (None, np.zeros(0, np.uint64))
+        known: tuple[int | None, bytes, np.ndarray] = (None, b"", np.zeros(0, np.uint64))
         for x in frames:
             ok = []
             for a, body_a, body_b in zip(x["a"].tolist(), x["body_a"], x["body_b"], strict=True):
                 if known[0] != a:
-                    known = (a, shingles([of.decompress(body_a)])[0])
-                p, q = known[1], shingles([of.decompress(body_b)])[0]
-                common = len(np.intersect1d(p, q, assume_unique=True))
-                ok.append(100 * common >= percent * (len(p) + len(q) - common))
+                    known = (a, text := of.decompress(body_a), shingles([text])[0])
+                other = of.decompress(body_b)
+                p, q = known[2], shingles([other])[0]
+                by = lead(len(np.intersect1d(p, q, assume_unique=True)), len(p), len(q), percent)
+                ok.append(by >= 0 if abs(by) >= BORDER else reaches(known[1], other, percent))
             yield x.loc[ok, ["a", "b"]]
 
     return both.select("a", "b", "body_a", "body_b").mapInPandas(verify, "a long, b long")
@@ -168,15 +190,23 @@ def components(links: DataFrame) -> DataFrame:
         seen = now
 
 
-def tiles(shared: DataFrame, roots: DataFrame, parts: int) -> DataFrame:
-    """part, t, side, rep, root, band: documents of the buckets that hold several components, in tiles of bounded size. Documents of sides 0 and 1 meet each other, those of side 2 one another."""
+def tiles(shared: DataFrame, roots: DataFrame, tile: int) -> DataFrame:
+    """t, whole, side, rep, root, band: documents of the buckets that hold several components, in tiles of bounded size; `whole` where a tile is all of its bucket. Documents of sides 0 and 1 meet each other, those of side 2 one another."""
     labelled = shared.join(roots.withColumnsRenamed({"node": "rep"}), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    several = labelled.groupBy("band", "key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n")).where("x <> y").select("band", "key", F.ceil(F.col("n") / TILE).cast("int").alias("cuts"))
-    rows = labelled.join(several, ["band", "key"]).withColumn("i", F.pmod(F.xxhash64("rep"), F.col("cuts")).cast("int"))
-    own = F.transform(F.sequence(F.lit(0), F.col("cuts") - 1), lambda j: F.struct(F.least("i", j).alias("i"), F.greatest("i", j).alias("j")))
-    rows = rows.withColumn("tile", F.explode(own)).withColumn("t", F.xxhash64("band", "key", "tile"))
-    side = F.when(F.col("tile.i") == F.col("tile.j"), 2).when(F.col("i") == F.col("tile.i"), 0).otherwise(1)
-    return rows.select(F.pmod("t", F.lit(parts)).alias("part"), "t", side.alias("side"), "rep", "root", "band")
+    sizes = labelled.groupBy("band", "key", "root").agg(F.count("*").alias("c")).groupBy("band", "key").agg(F.count("*").alias("roots"), F.sum("c").alias("n"), F.max(F.struct("c", "root")).alias("most")).where("roots > 1")
+    cuts = lambda n: F.ceil(n / F.lit(tile)).cast("int")
+    sizes = sizes.select("band", "key", "roots", (F.col("n") <= tile).alias("whole"), F.col("most.root").alias("main"), cuts(F.col("most.c")).alias("main_cuts"), cuts(F.col("n") - F.col("most.c")).alias("cuts"))
+    rows = labelled.join(sizes, ["band", "key"]).withColumn("in_main", F.col("root") == F.col("main"))
+    rows = rows.withColumn("i", F.pmod(F.xxhash64("rep"), F.when(F.col("in_main"), F.col("main_cuts")).otherwise(F.col("cuts"))).cast("int"))
+    at = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.cast("int").alias("side"))
+    i, none = F.col("i"), F.lit(0)
+    upto = lambda n: F.sequence(none, n - 1)
+    to_main = F.transform(upto(F.col("main_cuts")), lambda j: at(0, i, j, F.lit(1)))
+    to_others = F.transform(upto(F.col("cuts")), lambda j: at(1, F.least(i, j), F.greatest(i, j), F.when(i == j, 2).when(i < j, 0).otherwise(1)))
+    own = F.when(F.col("whole"), F.array(at(2, none, none, F.lit(2)))).when(F.col("in_main"), F.transform(upto(F.col("cuts")), lambda j: at(0, j, i, none)))
+    own = own.when(F.col("roots") == 2, to_main).otherwise(F.concat(to_main, to_others))
+    rows = rows.withColumn("tile", F.explode(own))
+    return rows.select(F.xxhash64("band", "key", "tile.kind", "tile.i", "tile.j").alias("t"), "whole", "tile.side", "rep", "root", "band")
 
 
 def candidates(own: pd.DataFrame, threshold: float) -> Iterator[tuple[int, np.ndarray]]:
@@ -193,10 +223,11 @@ def candidates(own: pd.DataFrame, threshold: float) -> Iterator[tuple[int, np.nd
             yield i, j
 
 
-def across(shared: DataFrame, reps: DataFrame, bodies: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+def across(shared: DataFrame, reps: DataFrame, bodies: DataFrame, roots: DataFrame, percent: int, tile: int = TILE) -> DataFrame:
     """Verified links (a, b) between different components that share a bucket, a spanning set of each tile's. Registers meet first; full texts go only to tiles in which a pair is likely, and there only of documents that are in one."""
-    threshold, parts = percent / 100, shared.count() // 2000 + 1
-    placed = tiles(shared, roots, parts)
+    threshold, placed = percent / 100, staged(tiles(shared, roots, tile), "tiles")
+    # a tile of a large bucket is dealt by itself, small buckets some together
+    placed = placed.select(F.when(F.col("whole"), F.pmod("t", F.lit(placed.count() // PART + 1))).otherwise(F.col("t")).alias("part"), "t", "side", "rep", "root", "band")
     columns = "part long, t long, side int, rep long, root long, band int"
 
     def hopeful(x: pd.DataFrame) -> pd.DataFrame:
@@ -207,7 +238,7 @@ def across(shared: DataFrame, reps: DataFrame, bodies: DataFrame, roots: DataFra
                 keep.append(own.iloc[sorted(found)])
         return pd.concat(keep or [x.iloc[:0]])[["part", "t", "side", "rep", "root", "band"]]
 
-    likely_ones = staged(placed.join(reps, "rep").groupBy("part").applyInPandas(hopeful, columns), "tiles")
+    likely_ones = staged(placed.join(reps, "rep").groupBy("part").applyInPandas(hopeful, columns), "likely")
 
     def settle(x: pd.DataFrame) -> pd.DataFrame:
         import zstandard
@@ -231,8 +262,9 @@ def across(shared: DataFrame, reps: DataFrame, bodies: DataFrame, roots: DataFra
                 all_of = np.concatenate([sets[k] for k in j])
                 where = np.minimum(np.searchsorted(sets[i], all_of), size[i] - 1)
                 common = np.bincount(np.repeat(np.arange(len(j)), size[j]), sets[i][where] == all_of, len(j))
-                for k in j[100 * common >= percent * (size[i] + size[j] - common)].tolist():
-                    if top(root[k]) != top(root[i]):
+                by = lead(common.astype(np.int64), size[i], size[j], percent)
+                for k, by_k in zip(j[by > -BORDER].tolist(), by[by > -BORDER].tolist(), strict=True):
+                    if top(root[k]) != top(root[i]) and (by_k >= BORDER or reaches(*(of.decompress(own["body"].iloc[z]) for z in (i, k)), percent)):
                         parent[top(root[k])] = top(root[i])
                         out.append((rep[i], rep[k]))
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
@@ -241,8 +273,15 @@ def across(shared: DataFrame, reps: DataFrame, bodies: DataFrame, roots: DataFra
     return full.groupBy("part").applyInPandas(settle, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of docs(doc_id, text): documents linked when 100 * intersection >= percent * union of their sets."""
+def repeated_ids(known: DataFrame, reps: DataFrame) -> DataFrame:
+    """Links (a, b) between the classes of rows that repeat a doc_id; as a rule there are none."""
+    twice = known.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id")
+    of = staged(known.join(twice, "doc_id", "left_semi").select("doc_id", "h1", "h2", "n").distinct().join(reps.select("h1", "h2", "n", "rep"), ["h1", "h2", "n"]).select("doc_id", "rep"), "repeated-ids")
+    return of.join(of.groupBy("doc_id").agg(F.min("rep").alias("b")), "doc_id").where("rep <> b").select(F.col("rep").alias("a"), "b")
+
+
+def near_duplicates(docs: DataFrame, percent: int = 75, tile: int = TILE) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of docs(doc_id, text): documents linked when 100 * intersection >= percent * union of their sets. tile: documents of a block that are compared at once."""
     threshold = percent / 100
     one = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketched = staged(sketches(one), "sketches")
@@ -262,8 +301,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         tried = pairs if tried is None else tried.union(pairs).distinct()
     tried = staged(likely(tried, small, threshold), "pairs")
     links = staged(linked(tried, bodies, percent), "links")
+    links = links.unionByName(repeated_ids(known, reps))
     roots = components(links)
-    more = staged(across(shared.select("rep", "band", "key"), small, bodies, roots, percent), "links")
+    more = staged(across(shared.select("rep", "band", "key"), small, bodies, roots, percent, tile), "links")
     if not more.isEmpty():
         roots = components(links.union(more))
     classes = reps.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", "n", F.coalesce("root", "rep").alias("component_id"))
