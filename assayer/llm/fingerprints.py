@@ -1,90 +1,30 @@
 """Canonical exact digests of documents, in DataFrame functions only.
 
-The canonical text is the text in Unicode normal form C, case-folded (upper, then lower, which also folds sharp s), with every run of white space as one space and none at the ends. Its fingerprint is two 64-bit xxhashes. Documents are grouped by it; where a group's canonical texts differ in any byte, those texts get an ordinal behind the hash, so that equal fingerprints mean equal canonical texts.
+The canonical text is the text in Unicode normal form C, case-folded (upper, then lower, which also folds sharp s), with every run of white space as one space and none at the ends. Its fingerprint is two 64-bit xxhashes. Documents are grouped by it, and inside a group the canonical texts are compared byte by byte: where they differ, the SHA-256 of each text follows its hash, so that equal fingerprints mean equal canonical texts.
 
-Spark has no normalize function. A quick check finds texts that hold a character which normalisation may change or move; only there, short runs of such characters are decomposed, put in order and composed by higher-order functions, with tables that the driver reads off Python's unicodedata.
+Spark has no normalize function, but the Unicode library that it ships for its collations has; SQL's java_method calls it for texts with a character above U+02FF, below which nothing composes or moves.
 
 Nulls: a null text counts as empty. A row without doc_id has no next document: its edited text loses its tail, near_next is 0. Repeated ids: the next document of an id is the next smaller id; if that has several rows, the smallest text of them. Every row gives a row; an empty table gives none. Other columns are not read.
 """
 
 from __future__ import annotations
 
-import json
-import unicodedata
-from functools import cache
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Hangul syllables compose by arithmetic: first code points and counts of leading, vowel and trailing letters.
-HANGUL_S, HANGUL_L, HANGUL_V, HANGUL_T, N_L, N_V, N_T = 0xAC00, 0x1100, 0x1161, 0x11A7, 19, 21, 28
+from assayer.llm.common import staged
+
 #: White space as Unicode has it.
 SPACES = r"[\s\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
-
-
-@cache
-def tables() -> tuple[str, str, str, str]:
-    """The class of characters that normalisation may change, as a regular expression; decompositions, combining classes and compositions as JSON maps."""
-    parts, classes, pairs, odd = {}, {}, {}, set()
-    for c in map(chr, range(0x110000)):
-        if 0xD800 <= ord(c) < 0xE000 or HANGUL_S <= ord(c) < HANGUL_S + N_L * N_V * N_T:
-            continue
-        if k := unicodedata.combining(c):
-            classes[c] = k
-            odd.add(ord(c))
-        if unicodedata.normalize("NFC", c) != c:
-            odd.add(ord(c))
-        if (d := unicodedata.normalize("NFD", c)) != c:
-            parts[c] = d
-        pair = unicodedata.decomposition(c)
-        if pair and "<" not in pair and len(pair.split()) == 2 and unicodedata.normalize("NFC", c) == c:
-            a, b = (chr(int(x, 16)) for x in pair.split())
-            pairs[a + b] = c
-            odd.add(ord(b))
-    odd |= {*range(HANGUL_V, HANGUL_V + N_V), *range(HANGUL_T + 1, HANGUL_T + N_T)}
-    runs: list[list[int]] = []
-    for c in sorted(odd):
-        if runs and runs[-1][1] == c - 1:
-            runs[-1][1] = c
-        else:
-            runs.append([c, c])
-    return "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in runs), json.dumps(parts), json.dumps(classes), json.dumps(pairs)
-
-
-def _chr(code: Column) -> Column:
-    return F.decode(F.unhex(F.lpad(F.hex(code), 4, "0")), "UTF-16BE")
-
-
-def _composed(run: Column) -> Column:
-    """Normal form C of a short run: one character that stands, then characters that may change or move."""
-    _, parts, classes, pairs = tables()
-    look = lambda table, kind, key: F.try_element_at(F.from_json(F.lit(table), f"map<string,{kind}>"), key)
-    chars = F.flatten(F.transform(F.regexp_extract_all(run, F.lit("(?s)."), F.lit(0)), lambda c: F.regexp_extract_all(F.coalesce(look(parts, "string", c), c), F.lit("(?s)."), F.lit(0))))
-    ranked = F.transform(chars, lambda c: F.struct(F.coalesce(look(classes, "int", c), F.lit(0)).alias("k"), c.alias("c")))
-    # a mark's place: after the last character of class 0 before it, by class, then as it was
-    placed = F.array_sort(F.transform(ranked, lambda x, i: F.struct(F.size(F.filter(F.slice(ranked, F.lit(1), i + 1), lambda y: y["k"] == 0)).alias("after"), x["k"].alias("k"), i.alias("i"), x["c"].alias("c"))))
-
-    def hangul(a: Column, b: Column) -> Column:
-        x, y = F.ascii(a), F.ascii(b)
-        lv = F.when((x >= HANGUL_L) & (x < HANGUL_L + N_L) & (y >= HANGUL_V) & (y < HANGUL_V + N_V), ((x - HANGUL_L) * N_V + y - HANGUL_V) * N_T + HANGUL_S)
-        return _chr(lv.otherwise(F.when((x >= HANGUL_S) & (x < HANGUL_S + N_L * N_V * N_T) & ((x - HANGUL_S) % N_T == 0) & (y > HANGUL_T) & (y < HANGUL_T + N_T), x + y - HANGUL_T)))
-
-    def step(at: Column, x: Column) -> Column:
-        both = F.coalesce(look(pairs, "string", F.concat(at["base"], x["c"])), hangul(at["base"], x["c"]))
-        joins = (at["base"] != "") & both.isNotNull() & ((at["last"] < 0) | ((at["last"] < x["k"]) & (at["last"] != 0)))
-        made = lambda done, base, tail, last: F.struct(done.alias("done"), base.alias("base"), tail.alias("tail"), last.cast("int").alias("last"))
-        return F.when(joins, made(at["done"], both, at["tail"], at["last"])).when(x["k"] == 0, made(F.concat(at["done"], at["base"], at["tail"]), x["c"], F.lit(""), F.lit(-1))).otherwise(made(at["done"], at["base"], F.concat(at["tail"], x["c"]), x["k"]))
-
-    start = F.struct(F.lit("").alias("done"), F.lit("").alias("base"), F.lit("").alias("tail"), F.lit(-1).alias("last"))
-    return F.aggregate(placed, start, step, lambda at: F.concat(at["done"], at["base"], at["tail"]))
+#: A static method from a text to its normal form C.
+COMPOSE = ("com.ibm.icu.text.Normalizer", "compose")
 
 
 def nfc(text: Column) -> Column:
     """Unicode normal form C."""
-    q = tables()[0]
-    runs = F.regexp_extract_all(text, F.lit(f"(?s)[^{q}]?[{q}]+|[^{q}]+?(?=[^{q}]?[{q}])|[^{q}]+"), F.lit(0))
-    suspect = F.when(text.rlike(r"[^\x{0}-\x{2ff}]"), text.rlike(f"[{q}]")).otherwise(False)  # the class is long; below U+0300 nothing is in it
-    return F.when(suspect, F.array_join(F.transform(runs, lambda r: F.when(r.rlike(f"[{q}]"), _composed(r)).otherwise(r)), "")).otherwise(text)
+    return F.when(text.rlike(r"[^\x{0}-\x{2ff}]"), F.java_method(*map(F.lit, COMPOSE), text, F.lit(False))).otherwise(text)
 
 
 def canonical(text: Column) -> Column:
@@ -96,28 +36,35 @@ def wide_hash(text: Column) -> Column:
     return F.lower(F.concat(F.lpad(F.hex(F.xxhash64(text)), 16, "0"), F.lpad(F.hex(F.xxhash64(F.lit(1), text)), 16, "0")))
 
 
-def collisions(docs: DataFrame) -> DataFrame:
-    """hash, body, ordinal of canonical texts that share a hash but not all bytes; as a rule there are none. Only texts whose hash occurs again are compared, and a task's copies of a text meet before the shuffle."""
-    rows = docs.select(canonical(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("body")).select(wide_hash(F.col("body")).alias("hash"), "body")
-    again = rows.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
-    uneven = rows.join(again, "hash", "left_semi").groupBy("hash").agg(F.min("body").alias("a"), F.max("body").alias("b")).where("a <> b").select("hash")
-    return rows.join(uneven, "hash", "left_semi").distinct().withColumn("ordinal", F.row_number().over(Window.partitionBy("hash").orderBy("body")))
+def texts_of(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+
+
+def uneven(docs: DataFrame, digest: Callable[[Column], Column] = wide_hash) -> DataFrame:
+    """The hashes whose canonical texts differ in any byte; as a rule there are none. A task's copies of a text meet before the shuffle."""
+    rows = texts_of(docs).select(canonical(F.col("text")).alias("body")).select(digest(F.col("body")).alias("hash"), "body")
+    return staged(rows.groupBy("hash").agg(F.count_distinct("body").alias("n")).where("n > 1").select("hash"), "uneven")
+
+
+def told_apart(rows: DataFrame, apart: DataFrame | None, hash_name: str, body: Column, out: str) -> DataFrame:
+    """rows with the column `out`: the hash, in an uneven bucket followed by the SHA-256 of the body."""
+    if apart is None:
+        return rows.withColumn(out, F.col(hash_name))
+    marked = rows.join(apart.select(F.col("hash").alias("__h"), F.lit(True).alias("__apart")), F.col(hash_name) == F.col("__h"), "left")
+    return marked.withColumn(out, F.when(F.col("__apart"), F.concat_ws("-", hash_name, F.sha2(body, 256))).otherwise(F.col(hash_name))).drop("__h", "__apart")
 
 
-def fingerprinted(docs: DataFrame) -> DataFrame:
-    """doc_id, text, body (canonical), fingerprint of each row."""
-    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("body", canonical(F.col("text"))).withColumn("fingerprint", wide_hash(F.col("body")))
-    uneven = collisions(docs)
-    if uneven.isEmpty():
-        return rows
-    uneven = uneven.select(F.col("hash").alias("fingerprint"), "body", "ordinal")
-    return rows.join(uneven, ["fingerprint", "body"], "left").select("doc_id", "text", "body", F.when(F.col("ordinal").isNotNull(), F.concat_ws("-", "fingerprint", F.col("ordinal").cast("string"))).otherwise(F.col("fingerprint")).alias("fingerprint"))
+def fingerprinted(docs: DataFrame, digest: Callable[[Column], Column] = wide_hash) -> tuple[DataFrame, DataFrame | None]:
+    """doc_id, text, hash, fingerprint of each row; and the uneven hashes, if there are any."""
+    apart = uneven(docs, digest)
+    apart = None if apart.isEmpty() else apart
+    rows = texts_of(docs).withColumn("body", canonical(F.col("text"))).withColumn("hash", digest(F.col("body")))
+    return told_apart(rows, apart, "hash", F.col("body"), "fingerprint").select("doc_id", "text", "hash", "fingerprint"), apart
 
 
 def groups(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint, group_id (the smallest doc_id of the documents with this fingerprint)."""
-    rows = fingerprinted(docs).select("doc_id", "fingerprint")
+    rows = fingerprinted(docs)[0].select("doc_id", "fingerprint")
     return rows.join(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("group_id")), "fingerprint").select("doc_id", "fingerprint", "group_id")
 
 
@@ -133,15 +80,15 @@ def next_smaller(values: DataFrame, levels: int = 4) -> DataFrame:
     return own.join(across, "g", "left").select("v", F.coalesce("inside", "outside").alias("following"))
 
 
-def edited_fingerprints(docs: DataFrame) -> DataFrame:
+def edited_fingerprints(docs: DataFrame, digest: Callable[[Column], Column] = wide_hash) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of docs(doc_id, text).
 
     The edited text has its last third replaced by the head of the next document, by descending doc_id (after the last: the first). Fingerprints are exact, so a likeness is 1 or 0. Texts are shuffled once by id; of the next document only the part that is needed moves.
     """
-    rows = fingerprinted(docs).select("doc_id", "text", "fingerprint")
+    rows, apart = fingerprinted(docs, digest)
     placed = rows.where("doc_id is not null")
-    ids = docs.select(F.col("doc_id").cast("long").alias("v"), F.floor(F.char_length(F.coalesce(F.col("text").cast("string"), F.lit(""))) / 3).cast("int").alias("need")).where("v is not null")
-    ids = ids.groupBy("v").agg(F.max("need").alias("need"))
+    need = F.floor(F.char_length("text") / 3).cast("int").alias("need")
+    ids = staged(texts_of(docs).where("doc_id is not null").select(F.col("doc_id").cast("long").alias("v"), need).groupBy("v").agg(F.max("need").alias("need")), "ids")
     first = ids.agg(F.max("v").alias("first"))
     links = next_smaller(ids.select("v")).crossJoin(F.broadcast(first)).select("v", F.coalesce("following", "first").alias("following")).join(ids, "v")  # one row on the right
     heads = placed.join(links, F.col("doc_id") == F.col("following"))
@@ -152,6 +99,10 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     joined = joined.unionByName(nowhere).withColumn("n_chars", F.char_length("text").cast("long"))
     third = "cast(floor(n_chars / 3) as int)"
     edited = joined.withColumn("edited", F.concat(F.expr(f"substring(text, 1, cast(n_chars as int) - {third})"), F.coalesce(F.expr(f"substring(head, 1, {third})"), F.lit(""))))
-    edited = edited.withColumn("edited_body", canonical(F.col("edited")))
-    same = canonical(F.col("text")) == F.col("edited_body")
-    return edited.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", F.when(same, F.col("fingerprint")).otherwise(wide_hash(F.col("edited_body"))).alias("edited_fingerprint"), same.cast("double").alias("near_edited"), F.coalesce((F.col("fingerprint") == F.col("next_fingerprint")).cast("double"), F.lit(0.0)).alias("near_next"))
+    edited = edited.withColumn("edited_body", canonical(F.col("edited"))).withColumn("edited_hash", digest(F.col("edited_body")))
+    meets = F.col("hash") == F.col("edited_hash")
+    edited = edited.withColumn("same", F.when(meets, canonical(F.col("text")) == F.col("edited_body")).otherwise(False))
+    edited = told_apart(edited, apart, "edited_hash", F.col("edited_body"), "edited_fingerprint")
+    fresh = F.when(meets & ~F.col("same") & (F.col("edited_fingerprint") == F.col("edited_hash")), F.concat_ws("-", "edited_hash", F.sha2("edited_body", 256))).otherwise(F.col("edited_fingerprint"))
+    near_next = F.coalesce((F.col("fingerprint") == F.col("next_fingerprint")).cast("double"), F.lit(0.0))
+    return edited.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", fresh.alias("edited_fingerprint"), F.col("same").cast("double").alias("near_edited"), near_next.alias("near_next"))

@@ -2,7 +2,7 @@
 
 For each language a tree of byte contexts of up to ORDER bytes holds how often each byte follows. A byte's code length is that of the longest context: -log2(count / (total + distinct)) where it was seen there, else the escape's, -log2(distinct / (total + distinct)), and the code length in the context that is one byte shorter; below order 0 all 256 bytes are alike. Statistics are frozen: a text is coded exactly by them, all of it, in every language, and the shortest code wins (a tie goes to the language that sorts first). The score is the language's share of probability among the languages, 2**-length each.
 
-Statistics come from a hash-picked sample of about PER_LANGUAGE labelled documents a language, whole texts; the bound is a parameter. The trees are counted on the executors and broadcast; the sample bounds their size.
+Statistics come from a hash-picked sample of whole texts: of each language about PER_LANGUAGE labelled documents, but no more than its part of SAMPLE documents and SAMPLE_BYTES bytes in all; the bounds are parameters. Every language that has a label is learned. The trees are counted on the executors and broadcast; a table holds at most CELLS code lengths, so with very many languages the rarest strings have no context of their own.
 
 halves() says which texts are in a language at all. The sample is halved by text and each half's trees code the other half's texts, so that none is coded by what was learned from itself or its copies. In its own language, the code length a byte that nine labelled texts in ten keep to, FAR times, is the language's limit, and what a text of n bytes may exceed it by is SPREAD times the spread of a byte's code length over sqrt(n). A language of fewer than LEAST texts has no limit of its own but the highest of the others; where there is none, every text with a letter is in a language.
 
@@ -24,10 +24,10 @@ from assayer.llm.common import hashed_share, sample_share, text_bytes
 from assayer.llm.textbytes import Lookup, blocks, joined
 
 ORDER = 3
-#: Documents a language learns from, on average.
-PER_LANGUAGE = 2000
-#: A bound on the languages learned; further ones, the rarest, would make the broadcast grow with the data.
-LANGUAGES = 500
+#: Documents a language learns from, on average; documents and bytes that all languages together learn from, on average.
+PER_LANGUAGE, SAMPLE, SAMPLE_BYTES = 2000, 20000, 256 << 20
+#: Code lengths in a table, and in what is worked on at once.
+CELLS, AT_ONCE = 1 << 24, 1 << 22
 #: A text is in a language up to FAR times the code length of its own texts, and SPREAD standard deviations of a byte's; from LEAST texts.
 FAR, SPREAD, LEAST = 2.0, 3.0, 20
 GAP = b"\n" * ORDER
@@ -56,7 +56,12 @@ class Trees:
             for g, n in counts:
                 key, where = np.unique(g.astype(np.uint64) & mask, return_inverse=True)
                 own.append((key, np.bincount(where, n)))
-            keys = np.unique(np.concatenate([k for k, _ in own]))
+            keys, where = np.unique(np.concatenate([k for k, _ in own]), return_inverse=True)
+            if len(keys) > (most := max(256, CELLS // len(languages))):
+                often = np.bincount(where, np.concatenate([n for _, n in own]))
+                keys = np.sort(keys[np.argsort(-often, kind="stable")[:most]])
+                stays = [np.isin(key, keys, assume_unique=True) for key, _ in own]
+                own = [(key[k], n[k]) for (key, n), k in zip(own, stays, strict=True)]
             contexts = np.unique(keys >> np.uint64(8))
             cost = np.zeros((len(keys), len(languages)), np.float32)
             escape = np.zeros((len(contexts), len(languages)), np.float32)
@@ -89,16 +94,35 @@ class Trees:
         return out
 
 
+    def totals(self, g: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Code length of each text (its span of grams) in each language."""
+        out = np.zeros((len(start), len(self.languages)))
+        step = max(1024, AT_ONCE // max(1, len(self.languages)))
+        for at in range(0, len(g), step):
+            sums = np.zeros((min(step, len(g) - at) + 1, len(self.languages)))
+            np.cumsum(self.lengths(g[at : at + step]), axis=0, dtype=np.float64, out=sums[1:])
+            own = slice(np.searchsorted(end, at, "right"), np.searchsorted(start, at + step))
+            a, b = (np.clip(x[own] - at, 0, len(sums) - 1) for x in (start, end))
+            out[own] += sums[b] - sums[a]
+        return out
+
+    def of_one(self, g: np.ndarray, j: int) -> np.ndarray:
+        """Code length of each gram in one language."""
+        step = max(1024, AT_ONCE // max(1, len(self.languages)))
+        return np.concatenate([self.lengths(g[at : at + step])[:, j] for at in range(0, len(g), step)] or [np.zeros(0)]).astype(np.float64)
+
+
 def sampled(docs: DataFrame, learnable: Column, per_language: int) -> DataFrame | None:
     """doc_id, lang and text of the learnable rows that languages learn from, or None where no row has a language."""
     rows = docs.where(learnable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.col("lang").cast("string").alias("lang"), text_bytes().alias("text"))
-    there = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    there = rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).collect()  # a row a language
     if not there:
         return None
-    picked = F.lit(False)
-    for r in there:
-        picked |= (F.col("lang") == r["lang"]) & hashed_share(F.col("doc_id"), sample_share(per_language, r["count"]))
-    return rows.where(picked)
+    most, most_bytes = min(per_language, -(-SAMPLE // len(there))), SAMPLE_BYTES // len(there)
+    part = {r["lang"]: min(sample_share(most, r["n"]), sample_share(most_bytes, r["bytes"])) for r in there}
+    share = rows.sparkSession.createDataFrame([(k, int(v * (1 << 30))) for k, v in part.items()], "lang string, share long")
+    picked = F.pmod(F.xxhash64("doc_id", F.lit(0)), F.lit(1 << 30)) < F.col("share")
+    return rows.join(F.broadcast(share), "lang").where(picked).select("doc_id", "lang", "text")  # a row a language
 
 
 def learn(docs: DataFrame, learnable: Column, per_language: int = PER_LANGUAGE) -> Trees | None:
@@ -126,8 +150,7 @@ def halves(docs: DataFrame, learnable: Column, per_language: int = PER_LANGUAGE)
                 texts, at = list(x["text"]), x["lang"].map(place).to_numpy(np.int64)
                 for part in blocks(texts):
                     g, start, end = grams(texts[part])
-                    cost = trees.lengths(g)
-                    own = [cost[s:e, j].astype(np.float64) for s, e, j in zip(start, end, at[part], strict=True)]
+                    own = [trees.of_one(g[s:e], j) for s, e, j in zip(start, end, at[part], strict=True)]
                     yield pd.DataFrame({"lang": x["lang"].to_numpy()[part], "rate": [c.mean() for c in own], "spread": [c.std() for c in own]})
 
         return own.select("lang", "text").distinct().mapInPandas(measure, "lang string, rate double, spread double")
@@ -172,9 +195,7 @@ def predictor(trees: Trees | None, limit: dict[str, tuple[float, float]] | None
                 langs, scores, known = langs + ["und"] * len(own), scores + [0.0] * len(own), known + lettered
                 continue
             g, start, end = grams(own)
-            cost = np.zeros((len(g) + 1, len(trees.languages)))
-            np.cumsum(trees.lengths(g), axis=0, dtype=np.float64, out=cost[1:])
-            cost = cost[end] - cost[start]
+            cost = trees.totals(g, start, end)
             best = cost.argmin(axis=1)
             share = 1 / np.exp2(np.maximum(-1000, cost.min(axis=1)[:, None] - cost)).sum(axis=1)
             within = cost.min(axis=1) <= rate[best] * (end - start) + SPREAD * spread[best] * np.sqrt(end - start)

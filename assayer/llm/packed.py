@@ -110,7 +110,7 @@ def slices(x: np.ndarray) -> list[tuple[int, int, int]]:
 
 
 def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
-    return ((h & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)).astype(np.int32)
+    return ((h >> KEY) % np.uint64(buckets)).astype(np.int32)
 
 
 def rows_by_bucket(h: np.ndarray, origin: np.ndarray, buckets: int) -> Iterator[pd.DataFrame]:
@@ -126,8 +126,19 @@ def rows_by_bucket(h: np.ndarray, origin: np.ndarray, buckets: int) -> Iterator[
 FOUND = "kind string, bucket int, origin int, keys binary, origins binary"
 
 
-def merged(runs: DataFrame, history: DataFrame | None = None, keep_run: bool = False, hot: int = 1 << 30) -> DataFrame:
-    """Merges the sorted runs of each bucket with the run of earlier batches. Rows of kind `shared`: an origin's keys that another origin holds too (of kind `hot`, where at least `hot` origins do), and of kind `run`, if kept: the bucket's compacted run."""
+def dealt(runs: DataFrame, buckets: int) -> DataFrame:
+    """bucket, keys, origins: runs of an index that were dealt to other numbers of buckets."""
+
+    def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in frames:
+            for keys, origins in zip(x["keys"], x["origins"], strict=True):
+                yield from rows_by_bucket(from_six(keys) << KEY, large(origins, np.int32), buckets)
+
+    return runs.select("keys", "origins").mapInPandas(deal, "bucket int, keys binary, origins binary")
+
+
+def merged(runs: DataFrame, history: DataFrame | None = None, keep_run: bool = False, hot: int = 1 << 30, first: int = 0) -> DataFrame:
+    """Merges the sorted runs of each bucket with the runs of earlier batches. Rows of kind `shared`: an origin's keys that another origin holds too (of kind `hot`, where at least `hot` origins do), and of kind `run`, if kept: the bucket's compacted run of the origins from `first` on."""
 
     def merge(new: pd.DataFrame, old: pd.DataFrame | None) -> pd.DataFrame:
         frames = [new] if old is None else [old, new]
@@ -141,7 +152,8 @@ def merged(runs: DataFrame, history: DataFrame | None = None, keep_run: bool = F
         starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
         count = np.diff(np.append(starts, len(key)))
         n = np.repeat(count, count)
-        out = [("run", bucket, -1, six(key), small(origin))] if keep_run else []
+        own = origin >= first
+        out = [("run", bucket, -1, six(key[own]), small(origin[own]))] if keep_run and own.any() else []
         for kind, there in (("shared", (n > 1) & (n < hot)), ("hot", (n > 1) & (n >= hot))):
             k, o = key[there], origin[there]
             order = np.argsort(o, kind="stable")
@@ -166,6 +178,16 @@ def among(x: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return keys[np.minimum(np.searchsorted(keys, x), len(keys) - 1)] == x
 
 
+def sixteen(a: np.ndarray, b: np.ndarray) -> bytes:
+    """128 bits of two hashes, by rows."""
+    return np.stack([a.astype("<u8"), b.astype("<u8")], 1).tobytes()
+
+
+def from_sixteen(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    x = np.frombuffer(data, "<u8").reshape(-1, 2)
+    return x[:, 0], x[:, 1]
+
+
 def ten(a: np.ndarray, b: np.ndarray) -> bytes:
     """80 bits of two hashes, by rows."""
     out = np.empty((len(a), 10), np.uint8)

@@ -5,7 +5,9 @@ A string of WIDTH bytes that starts in two places, in one document or two, is cu
 1. suffixes smaller than their successors are sorted directly,
 2. the rest are induced by scanning the buckets of the first byte in order: a suffix just placed puts the one before it at the head of its own bucket,
 
-both to a depth of WIDTH, and takes common prefixes of neighbours; a window is repeated if its neighbour agrees in WIDTH bytes or its whole context occurs again. An anchor that HOT origins share would make a bucket grow with the corpus; its windows are compared by 80-bit hashes instead, each hash in a bucket of its own, once for each origin.
+both to a depth of WIDTH, and takes common prefixes of neighbours; a window is repeated if its neighbour agrees in WIDTH bytes or its whole context occurs again, byte by byte.
+
+Contexts of an anchor that HOT origins share would make a bucket grow with the corpus, as each has other bytes around the passage. They are cut down first: hashes of their windows meet, each in a bucket of its own, once for each origin, and windows whose hash no other has can't be repeated. What is left, the passage itself, is one context an origin, and goes to its bucket as above. In a bucket, an anchor whose contexts are more than SORTED bytes is cut down in the same way. A hash only ever rules windows out.
 
 Nulls: a null text is empty. Null and repeated ids are documents like others. Texts shorter than WIDTH lose nothing. An empty table gives no row. Other columns are not read.
 """
@@ -24,9 +26,9 @@ from assayer.llm.packed import among, bucket_of, fingerprints, from_ten, keys_of
 from assayer.llm.textbytes import VALUES, blocks, joined, mixed, prefix, slide_min, span, window_hash
 
 WIDTH, GRAM = 200, 48
-#: From so many origins on, an anchor's windows are compared by hash.
+#: From so many origins on, an anchor's contexts are cut down to windows with a hash that occurs again.
 HOT = 64
-#: Bytes that are sorted together; contexts of an anchor stay together.
+#: Bytes that are sorted together.
 SORTED = 1 << 18
 
 
@@ -127,43 +129,53 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Candidates:
-    """An origin's contexts with shared anchors: distinct ones by bucket, and where each occurs."""
+    """An origin's contexts with shared anchors: distinct ones by bucket, and where each occurs. Those of hot anchors are cut down once the buckets have answered for the hashes of their windows."""
 
     def __init__(self, texts: list[bytes], found: pd.DataFrame, buckets: int):
         shared, hot = keys_of(found, "shared"), keys_of(found, "hot")
         self.parts = [(part, Contexts(texts[part])) for part in blocks(texts)]
         anchor = np.concatenate([c.anchor for _, c in self.parts] or [np.zeros(0, np.uint64)])
-        key, of, n = np.unique(anchor, return_inverse=True, return_counts=True)
+        of, n = np.unique(anchor, return_inverse=True, return_counts=True)[1:]
         is_hot = among(anchor >> np.uint64(16), hot)
         keep = ((n[of] > 1) | among(anchor >> np.uint64(16), shared)) & ~is_hot
         part = np.repeat(np.arange(len(self.parts)), [len(c.anchor) for _, c in self.parts])
         first, last = (np.concatenate([getattr(c, k) for _, c in self.parts] or [np.zeros(0, np.int64)]) for k in ("first", "last"))
-        whole = np.concatenate([span(prefix(c.values), c.first, c.last + WIDTH) for _, c in self.parts] or [np.zeros(0, np.uint64)])
-        self.hot = part[is_hot], first[is_hot], last[is_hot]
-        self.part, self.first, self.last = part[keep], first[keep], last[keep]
-        anchor, whole = anchor[keep], whole[keep]
+        self.hot = anchor[is_hot], part[is_hot], first[is_hot], last[is_hot]
+        anchor, self.part, self.first, self.last = anchor[keep], part[keep], first[keep], last[keep]
+        answers = {b: x for k, b, x in zip(found["kind"], found["bucket"], found["keys"], strict=True) if k == "hash bits"}
+        if answers:
+            more = self.cut_down(answers, buckets)
+            anchor, self.part, self.first, self.last = (np.append(x, y) for x, y in zip((anchor, self.part, self.first, self.last), more, strict=True))
+        whole = np.zeros(len(anchor), np.uint64)
+        for k, (_, c) in enumerate(self.parts):
+            if (own := self.part == k).any():
+                whole[own] = span(prefix(c.values), self.first[own], self.last[own] + WIDTH)
         bucket = bucket_of(anchor, buckets)
         order = np.lexsort((whole, anchor, bucket))
         a, w, b = anchor[order], whole[order], bucket[order]
         fresh = np.append(True, (a[1:] != a[:-1]) | (w[1:] != w[:-1]) | (b[1:] != b[:-1]))[: len(a)]
+        for k in np.flatnonzero(~fresh).tolist():  # equal hashes, and equal bytes?
+            fresh[k] = self.bytes_of(order[k]) != self.bytes_of(order[k - 1])
         self.of = np.empty(len(a), np.int64)
         self.of[order] = np.cumsum(fresh) - 1
         self.pick = order[fresh]  # an occurrence of each distinct context
         self.anchor, self.bucket, self.again = a[fresh], b[fresh], np.bincount(self.of, minlength=fresh.sum()) > 1
 
-    def context(self, i: int) -> bytes:
-        k = self.pick[i]
+    def bytes_of(self, k: int) -> bytes:
         return self.parts[self.part[k]][1].bytes[self.first[k] : self.last[k] + WIDTH].tobytes()
 
-    def hot_windows(self, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """part and start of every window with a hot anchor; of the distinct ones, sorted by bucket and hash: two hashes and bucket; and each window's distinct one."""
-        part, first, last = self.hot
+    def context(self, i: int) -> bytes:
+        return self.bytes_of(self.pick[i])
+
+    def hot_windows(self, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """context and start of every window with a hot anchor; of the distinct ones, sorted by bucket and hash: two hashes and bucket; and each window's distinct one."""
+        _, part, first, last = self.hot
         size = last - first + 1
         at = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        part = np.repeat(part, size)
+        context = np.repeat(np.arange(len(part)), size)
         a, b = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
         for k, (_, c) in enumerate(self.parts):
-            if (own := part == k).any():
+            if (own := part[context] == k).any():
                 for out, values in ((a, c.values), (b, mixed(c.values + np.uint64(1)))):
                     out[own] = span(prefix(values), at[own], at[own] + WIDTH)
         bucket = bucket_of(a, buckets)
@@ -173,93 +185,168 @@ class Candidates:
         fresh = np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1]) | (z[1:] != z[:-1]))[: len(x)]
         of = np.empty(len(x), np.int64)
         of[order] = np.cumsum(fresh) - 1
-        return part, at, x[fresh], y[fresh], z[fresh], of
+        return context, at, x[fresh], y[fresh], z[fresh], of
 
+    def cut_down(self, answers: dict[int, bytes], buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """anchor, part, first and last of what is left of the hot contexts: runs of windows whose hash occurs again, here or in another origin."""
+        context, at, a, _, z, of = self.hot_windows(buckets)
+        stays = np.bincount(of, minlength=len(a)) > 1
+        for bucket, i, j in slices(z):
+            stays[i:j] |= np.unpackbits(np.frombuffer(answers[bucket], np.uint8), count=j - i).astype(bool)
+        where = np.flatnonzero(stays[of])
+        context, at = context[where], at[where]
+        begins = np.append(True, (context[1:] != context[:-1]) | (at[1:] != at[:-1] + 1))[: len(at)]
+        ends = np.append(begins[1:], True)[: len(at)]
+        own = context[begins]
+        return self.hot[0][own], self.hot[1][own], at[begins], at[ends]
+
+
+HASHES = "bucket int, origin int, body binary"
+ASKED = "bucket int, origin int, anchors binary, sizes binary, again binary, body binary"
+TOLD = "origin int, kind string, bucket int, keys binary"
 
-ASKED = "bucket int, origin int, kind string, anchors binary, sizes binary, again binary, body binary"
+
+def ask_hashes(own: pd.DataFrame, found: pd.DataFrame, buckets: int) -> pd.DataFrame:
+    """Rows of an origin to the buckets: hashes of the windows with hot anchors."""
+    out = []
+    if len(own) and (found["kind"] == "hot").any():
+        c, origin = Candidates(opened(own)[1], found, buckets), int(own["origin"].iloc[0])
+        _, _, a, b, z, _ = c.hot_windows(buckets)
+        out = [(bucket, origin, ten(a[i:j], b[i:j])) for bucket, i, j in slices(z)]
+    return pd.DataFrame(out, columns=["bucket", "origin", "body"])
+
+
+def resolve_hashes(rows: pd.DataFrame) -> pd.DataFrame:
+    """For each origin's hashes in a bucket, a bit: another origin has it."""
+    got = [from_ten(x) for x in rows["body"]]
+    a, b = np.concatenate([x for x, _ in got]), np.concatenate([y for _, y in got])
+    order = np.lexsort((b, a))
+    fresh = np.append(True, (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1]))
+    of = np.empty(len(a), np.int64)
+    of[order] = np.cumsum(fresh) - 1
+    shared, at, out = np.bincount(of)[of] > 1, 0, []
+    for origin, bucket, (x, _) in zip(rows["origin"], rows["bucket"], got, strict=True):
+        out.append((origin, "hash bits", bucket, np.packbits(shared[at : at + len(x)]).tobytes()))
+        at += len(x)
+    return pd.DataFrame(out, columns=["origin", "kind", "bucket", "keys"])
 
 
 def ask(own: pd.DataFrame, found: pd.DataFrame, buckets: int) -> pd.DataFrame:
-    """Rows of an origin to the buckets: distinct contexts, and hashes of windows with hot anchors."""
+    """Rows of an origin to the buckets: distinct contexts."""
     names = [x.split()[0] for x in ASKED.split(", ")]
     if own.empty:
-        return pd.DataFrame({n: [] for n in names})
+        return pd.DataFrame({n: [] for n in names}, dtype=object)
     c, origin, out = Candidates(opened(own)[1], found, buckets), int(own["origin"].iloc[0]), []
     for bucket, i, j in slices(c.bucket):
         bodies = [c.context(k) for k in range(i, j)]
-        out.append((bucket, origin, "contexts", c.anchor[i:j].tobytes(), np.fromiter(map(len, bodies), np.int32, j - i).tobytes(), np.packbits(c.again[i:j]).tobytes(), zlib.compress(b"".join(bodies), 1)))
-    _, _, a, b, z, _ = c.hot_windows(buckets)
-    out += [(bucket, origin, "hashes", b"", b"", b"", ten(a[i:j], b[i:j])) for bucket, i, j in slices(z)]
+        out.append((bucket, origin, c.anchor[i:j].tobytes(), np.fromiter(map(len, bodies), np.int32, j - i).tobytes(), np.packbits(c.again[i:j]).tobytes(), zlib.compress(b"".join(bodies), 1)))
     return pd.DataFrame(out, columns=names)
 
 
+def sorted_windows(bodies: list[bytes]) -> list[np.ndarray]:
+    """Of distinct contexts, which windows occur again, by the suffix array of all of them."""
+    more, at, out = repeated(np.frombuffer(b"".join(body + b"\0" for body in bodies), np.uint8), WIDTH), 0, []
+    for body in bodies:
+        out.append(more[at : at + len(body) - WIDTH + 1])
+        at += len(body) + 1
+    return out
+
+
+def common_windows(bodies: list[bytes], most: int = SORTED) -> list[np.ndarray]:
+    """Of distinct contexts of any number, which windows occur again. More than `most` bytes are cut down to runs of windows whose hash occurs again; equal runs collapse, and what is left is sorted in parts by hash, in which equal windows meet."""
+    if sum(map(len, bodies)) <= most:
+        return sorted_windows(bodies)
+    size = np.array([len(b) - WIDTH + 1 for b in bodies])
+    begin = np.append(0, np.cumsum(size))
+    hashes = np.empty(begin[-1], np.uint64)
+    for part in blocks(bodies):
+        a, start, _ = joined(bodies[part])
+        own = window_hash(VALUES[a], WIDTH)
+        at = np.repeat(start - (begin[part] - begin[part.start]), size[part]) + np.arange(size[part].sum())
+        hashes[begin[part.start] : begin[part.stop]] = own[at]
+    order = np.argsort(hashes, kind="stable")
+    ranked = hashes[order]
+    alike = ranked[1:] == ranked[:-1]
+    again = np.zeros(len(hashes), bool)
+    again[order] = np.append(alike, False) | np.append(False, alike)
+    kinds = np.count_nonzero(np.append(alike[:1], alike[1:] & ~alike[:-1]))  # distinct hashes of those that occur again
+    del order, ranked, alike
+    of = np.repeat(np.arange(len(bodies)), size)
+    out = np.zeros(len(hashes), bool)
+
+    def runs(there: np.ndarray) -> dict[bytes, list[tuple[int, int]]]:
+        """Runs of windows as bytes, with the places of the first and after the last in `hashes`."""
+        where = np.flatnonzero(there)
+        starts = np.append(True, (where[1:] != where[:-1] + 1) | (of[where[1:]] != of[where[:-1]]))[: len(where)]
+        got: dict[bytes, list[tuple[int, int]]] = {}
+        for i, j in zip(where[starts].tolist(), (where[np.append(starts[1:], True)[: len(where)]] + 1).tolist(), strict=True):
+            k = of[i]
+            got.setdefault(bodies[k][i - begin[k] : j - begin[k] + WIDTH - 1], []).append((i, j))
+        return got
+
+    def settle(found: dict[bytes, list[tuple[int, int]]]) -> None:
+        for more, places in zip(sorted_windows(list(found)), found.values(), strict=True):
+            for i, j in places:
+                out[i:j] = more | (len(places) > 1)
+
+    left = runs(again)
+    if sum(map(len, left)) <= most:
+        settle(left)
+    else:  # equal windows have equal hashes, so each part can be settled alone
+        del left
+        cuts = -(-int(kinds) * (WIDTH + 1) // most)
+        for k in range(cuts):
+            settle(runs(again & (hashes % np.uint64(cuts) == k)))
+    return [out[i:j] for i, j in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
+
+
 def resolve(rows: pd.DataFrame) -> pd.DataFrame:
-    """For each origin's contexts in a bucket, a bit for each window start: it is repeated; for each of its hashes, a bit: another origin has it."""
-    out = []
-    hashes = rows[rows["kind"] == "hashes"]
-    if len(hashes):
-        got = [from_ten(x) for x in hashes["body"]]
-        a, b = np.concatenate([x for x, _ in got]), np.concatenate([y for _, y in got])
-        order = np.lexsort((b, a))
-        fresh = np.append(True, (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1]))
-        of = np.empty(len(a), np.int64)
-        of[order] = np.cumsum(fresh) - 1
-        shared, at = np.bincount(of)[of] > 1, 0
-        for origin, bucket, (x, _) in zip(hashes["origin"], hashes["bucket"], got, strict=True):
-            out.append((origin, "hash bits", bucket, np.packbits(shared[at : at + len(x)]).tobytes()))
-            at += len(x)
-    rows = rows[rows["kind"] == "contexts"]
-    if len(rows):
-        anchor = np.concatenate([np.frombuffer(x, np.uint64) for x in rows["anchors"]])
-        sizes = [np.frombuffer(x, np.int32) for x in rows["sizes"]]
-        again = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=len(s)) for x, s in zip(rows["again"], sizes, strict=True)]).astype(bool)
-        bodies = []
-        for x, s in zip(rows["body"], sizes, strict=True):
-            data, end = zlib.decompress(x), np.cumsum(s)
-            bodies += [data[j - i : j] for i, j in zip(s.tolist(), end.tolist(), strict=True)]
-        bits: list[np.ndarray | None] = [None] * len(bodies)
-        together: list[tuple[bytes, list[int]]] = []
-        held = 0
-
-        def settle() -> None:
-            if not together:
-                return
-            text = np.frombuffer(b"".join(body + b"\0" for body, _ in together), np.uint8)
-            more, at = repeated(text, WIDTH), 0
-            for body, places in together:
-                own = more[at : at + len(body) - WIDTH + 1]
+    """For each origin's contexts in a bucket, a bit for each window start: it is repeated."""
+    anchor = np.concatenate([np.frombuffer(x, np.uint64) for x in rows["anchors"]])
+    sizes = [np.frombuffer(x, np.int32) for x in rows["sizes"]]
+    again = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=len(s)) for x, s in zip(rows["again"], sizes, strict=True)]).astype(bool)
+    bodies = []
+    for x, s in zip(rows["body"], sizes, strict=True):
+        data, end = zlib.decompress(x), np.cumsum(s)
+        bodies += [data[j - i : j] for i, j in zip(s.tolist(), end.tolist(), strict=True)]
+    bits: list[np.ndarray | None] = [None] * len(bodies)
+    together: list[tuple[bytes, list[int]]] = []
+    held = 0
+
+    def settle() -> None:
+        if together:
+            for own, (_, places) in zip(common_windows([body for body, _ in together]), together, strict=True):
                 for i in places:
                     bits[i] = own
-                at += len(body) + 1
             together.clear()
 
-        order = np.argsort(anchor, kind="stable")
-        for _, i, j in slices(anchor[order]):
-            distinct: dict[bytes, list[int]] = {}
-            for k in order[i:j].tolist():
-                distinct.setdefault(bodies[k], []).append(k)
-            unsettled = len(distinct) > 1
-            for body, places in distinct.items():
-                if len(places) > 1 or again[places[0]]:
-                    full = np.ones(len(body) - WIDTH + 1, bool)
-                    for k in places:
-                        bits[k] = full
-                    if unsettled:
-                        together.append((body, []))
-                elif unsettled:
-                    together.append((body, places))
-                else:
-                    bits[places[0]] = np.zeros(len(body) - WIDTH + 1, bool)
-                held += len(body) * unsettled
-            if held >= SORTED:
-                settle()
-                held = 0
-        settle()
-        at = 0
-        for origin, bucket, s in zip(rows["origin"], rows["bucket"], sizes, strict=True):
-            own = bits[at : at + len(s)]
-            out.append((origin, "context bits", bucket, zlib.compress(np.packbits(np.concatenate(own)).tobytes(), 1)))
-            at += len(s)
+    order = np.argsort(anchor, kind="stable")
+    for _, i, j in slices(anchor[order]):
+        distinct: dict[bytes, list[int]] = {}
+        for k in order[i:j].tolist():
+            distinct.setdefault(bodies[k], []).append(k)
+        unsettled = len(distinct) > 1
+        if held + unsettled * sum(map(len, distinct)) > SORTED:
+            settle()
+            held = 0
+        for body, places in distinct.items():
+            if len(places) > 1 or again[places].any():
+                full = np.ones(len(body) - WIDTH + 1, bool)
+                for k in places:
+                    bits[k] = full
+                if unsettled:
+                    together.append((body, []))
+            elif unsettled:
+                together.append((body, places))
+            else:
+                bits[places[0]] = np.zeros(len(body) - WIDTH + 1, bool)
+            held += len(body) * unsettled
+    settle()
+    at, out = 0, []
+    for origin, bucket, s in zip(rows["origin"], rows["bucket"], sizes, strict=True):
+        own = bits[at : at + len(s)]
+        out.append((origin, "context bits", bucket, zlib.compress(np.packbits(np.concatenate(own)).tobytes(), 1)))
+        at += len(s)
     return pd.DataFrame(out, columns=["origin", "kind", "bucket", "keys"])
 
 
@@ -268,9 +355,9 @@ def spans_of(gone: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
 
 
-def remove_repeats(docs: DataFrame, text: bool = False, hot: int = HOT, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of docs(doc_id, text); text adds what is left, as text (a character that was cut in two becomes U+FFFD). carry names columns that go along, as one JSON column `carried`."""
-    origins = origins_of(docs)
+def remove_repeats(docs: DataFrame, text: bool = False, hot: int = HOT, carry: tuple[str, ...] = (), origins: int | None = None) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of docs(doc_id, text); text adds what is left, as text (a character that was cut in two becomes U+FFFD). carry names columns that go along, as one JSON column `carried`. origins: parts of the documents, by their size if not given."""
+    origins = origins or origins_of(docs)
     buckets = origins
     rows = with_origin(docs, origins, carry)
     found = staged(merged(fingerprints(rows, buckets, anchors), hot=hot), "anchors").select("origin", "kind", "bucket", "keys")
@@ -279,26 +366,19 @@ def remove_repeats(docs: DataFrame, text: bool = False, hot: int = HOT, carry: t
     def finish(own: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["text"] * text + ["carried"] * bool(carry)
         if own.empty:
-            return pd.DataFrame({n: [] for n in names})
+            return pd.DataFrame({n: [] for n in names}, dtype=object)
         ids, bodies, extras = opened(own)
         c = Candidates(bodies, told, buckets)
-        bits = {(k, b): x for k, b, x in zip(told["kind"], told["bucket"], told["keys"], strict=True) if k.endswith(" bits")}
-        # windows of shared anchors, by distinct context
+        bits = {b: x for k, b, x in zip(told["kind"], told["bucket"], told["keys"], strict=True) if k == "context bits"}
         size = (c.last - c.first + 1)[c.pick]
         flags = np.zeros(int(size.sum()), bool)
         begin = np.append(0, np.cumsum(size))
         for bucket, i, j in slices(c.bucket):
-            flags[begin[i] : begin[j]] = np.unpackbits(np.frombuffer(zlib.decompress(bits["context bits", bucket]), np.uint8), count=int(begin[j] - begin[i])).astype(bool)
+            flags[begin[i] : begin[j]] = np.unpackbits(np.frombuffer(zlib.decompress(bits[bucket]), np.uint8), count=int(begin[j] - begin[i])).astype(bool)
         n = size[c.of]
         step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         hit = flags[np.repeat(begin[:-1][c.of], n) + step]
         part, at = np.repeat(c.part, n)[hit], (np.repeat(c.first, n) + step)[hit]
-        # windows of hot anchors
-        hot_part, hot_at, a, _, z, of = c.hot_windows(buckets)
-        more = np.bincount(of, minlength=len(a)) > 1
-        for bucket, i, j in slices(z):
-            more[i:j] |= np.unpackbits(np.frombuffer(bits["hash bits", bucket], np.uint8), count=j - i).astype(bool)
-        part, at = np.append(part, hot_part[more[of]]), np.append(at, hot_at[more[of]])
         out = []
         for k, (where, contexts) in enumerate(c.parts):
             gone = marked(len(contexts.bytes), at[part == k], WIDTH)
@@ -313,6 +393,10 @@ def remove_repeats(docs: DataFrame, text: bool = False, hot: int = HOT, carry: t
                 out.append(row + (left.decode("utf-8", "replace"),) * text + (extras[d].decode(),) * bool(carry))
         return pd.DataFrame(out, columns=names)
 
-    asked = texts.groupBy("origin").cogroup(found.groupBy("origin")).applyInPandas(lambda own, told: ask(own, told, buckets), ASKED)
-    answers = asked.groupBy("bucket").applyInPandas(resolve, "origin int, kind string, bucket int, keys binary")
-    return texts.groupBy("origin").cogroup(answers.unionByName(found).groupBy("origin")).applyInPandas(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text string" * text + ", carried string" * bool(carry))
+    by_origin = texts.groupBy("origin")
+    if not found.where("kind = 'hot'").isEmpty():
+        hashes = by_origin.cogroup(found.groupBy("origin")).applyInPandas(lambda own, told: ask_hashes(own, told, buckets), HASHES)
+        found = found.unionByName(staged(hashes.groupBy("bucket").applyInPandas(resolve_hashes, TOLD), "hot-windows"))
+    asked = by_origin.cogroup(found.groupBy("origin")).applyInPandas(lambda own, told: ask(own, told, buckets), ASKED)
+    answers = asked.groupBy("bucket").applyInPandas(resolve, TOLD)
+    return by_origin.cogroup(answers.unionByName(found).groupBy("origin")).applyInPandas(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text string" * text + ", carried string" * bool(carry))

@@ -4,7 +4,7 @@ Tokens are runs of letters, digits, apostrophes and non-ASCII bytes, A-Z folded.
 
 A document's score comes from the marginals: that of its likeliest token, which doesn't grow with the document's length, put on the scale of the labels by a logistic fit. Tokens with p >= 0.5 give the offending spans.
 
-Counting takes all learnable labelled texts, as an aggregate by form. Training takes a hash-picked sample of about PER_CLASS labelled documents of either class, whole texts, each text once; the bound is a parameter. One task fits the model, whose size is fixed but for the list of toxic forms, 8 bytes each.
+Counting takes all learnable labelled texts, as an aggregate by form. Training takes a hash-picked sample of about PER_CLASS labelled texts of either class and at most about CLASS_BYTES bytes of them, whole texts, each once; the bounds are parameters. One task fits the model, whose size is fixed but for the list of toxic forms, 8 bytes each.
 
 Nulls: a null text counts as empty and scores as a text without toxic tokens; rows with a null label are never learned from. Without labels of both classes, or where no form qualifies, every score is 0. Repeated rows each give a row; an empty table gives none. Other columns are not read.
 """
@@ -23,7 +23,8 @@ from pyspark.sql import types as T
 from assayer.llm.common import hashed_share, sample_share, staged, text_bytes
 from assayer.llm.textbytes import FOLDED, Lookup, blocks, joined, mixed, prefix, span, words
 
-PER_CLASS = 1500
+#: Labelled texts of a class that the field is trained on, and their bytes, on average.
+PER_CLASS, CLASS_BYTES = 1500, 32 << 20
 BITS = 18
 BEGINNINGS = (3, 4, 5)
 #: Tokens, of whole documents, whose sums are held at once in training.
@@ -155,12 +156,20 @@ def bound(forms_of: dict[int, int], base: float) -> float:
     return 2 * np.log(many / CHANCE)
 
 
-def lexicon(docs: DataFrame, wanted: DataFrame) -> np.ndarray:
-    """The listed forms' hashes, from the texts of docs that wanted(doc_id, toxic) labels; a text counts once, as toxic where any of its labels is."""
-    read = docs.select("doc_id", text_bytes().alias("text")).withColumn("digest", F.md5("text"))
-    alike = read.select("doc_id", "digest").join(wanted, "doc_id").groupBy("digest", "doc_id").agg(F.max("toxic").alias("toxic"), F.count("*").alias("copies"))
-    alike = alike.groupBy("digest").agg(F.max("toxic").alias("toxic"), F.min(F.struct("doc_id", "copies")).alias("of"))
-    texts = staged(alike.select("of.doc_id", "digest", "toxic", (1 / F.col("of.copies")).alias("weight")), "toxicity-labelled")
+def read_texts(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", text_bytes().alias("text")).withColumn("digest", F.md5("text"))
+
+
+def labelled(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc_id, digest, toxic, weight, bytes of the distinct texts of docs that wanted(doc_id, toxic) labels: toxic where any of its labels is; doc_id is a document that has it, weight 1 / rows of the text in that document. Staged; texts stay where they are."""
+    alike = read_texts(docs).select("doc_id", "digest", F.length("text").alias("bytes")).join(wanted, "doc_id").groupBy("digest", "doc_id").agg(F.max("toxic").alias("toxic"), F.count("*").alias("copies"), F.max("bytes").alias("bytes"))
+    alike = alike.groupBy("digest").agg(F.max("toxic").alias("toxic"), F.min(F.struct("doc_id", "copies")).alias("of"), F.max("bytes").alias("bytes"))
+    return staged(alike.select("of.doc_id", "digest", "toxic", (1 / F.col("of.copies")).alias("weight"), "bytes"), "toxicity-labelled")
+
+
+def lexicon(docs: DataFrame, texts: DataFrame) -> np.ndarray:
+    """The listed forms' hashes, from all the labelled texts; a text counts once."""
+    read = read_texts(docs)
     there = {r["toxic"]: r["count"] for r in texts.groupBy("toxic").count().collect()}
     if len(there) < 2:
         return np.zeros(0, np.uint64)
@@ -180,7 +189,7 @@ def lexicon(docs: DataFrame, wanted: DataFrame) -> np.ndarray:
         if held:
             yield frame(merged(held))
 
-    rows = read.join(texts.hint("shuffle_hash"), ["doc_id", "digest"]).select("text", "toxic", "weight")
+    rows = read.join(texts.drop("bytes").hint("shuffle_hash"), ["doc_id", "digest"]).select("text", "toxic", "weight")
     forms = rows.mapInPandas(count, "form long, n double, t double").groupBy("form").agg(F.round(F.sum("n")).alias("n"), F.round(F.sum("t")).alias("t"))
     forms = staged(forms, "toxicity-forms")
     few = {int(r["n"]): r["count"] for r in forms.groupBy(F.least("n", F.lit(1000)).alias("n")).count().collect()}
@@ -239,23 +248,22 @@ def logit(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
-def learn(docs: DataFrame, labels: DataFrame, learnable: Column, per_class: int = PER_CLASS) -> bytes | None:
+def learn(docs: DataFrame, labels: DataFrame, learnable: Column, per_class: int = PER_CLASS, class_bytes: int = CLASS_BYTES) -> bytes | None:
     """A pickled Chain from docs(doc_id, text) and labels(doc_id, toxic), or None without labels of both classes or without a form that qualifies."""
     wanted = labels.where(F.col("toxic").isin(0, 1) & learnable).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    there = {r["toxic"]: r["count"] for r in wanted.groupBy("toxic").count().collect()}
-    if len(there) < 2:
-        return None
-    listed = lexicon(docs, wanted)
+    texts = labelled(docs, wanted)
+    listed = lexicon(docs, texts)
     if not len(listed):
         return None
     picked = F.lit(False)
-    for toxic, n in there.items():
-        picked |= (F.col("toxic") == toxic) & hashed_share(F.col("doc_id"), sample_share(per_class, n), 1)
-    sample = wanted.where(picked).limit(4 * per_class)  # twice what is expected; the hash decides, this bounds the broadcast
-    rows = docs.select("doc_id", text_bytes().alias("text")).join(F.broadcast(sample), "doc_id").select("text", "toxic")
+    for r in texts.groupBy("toxic").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).collect():
+        share = min(sample_share(per_class, r["n"]), sample_share(class_bytes, r["bytes"] or 0))
+        picked |= (F.col("toxic") == r["toxic"]) & hashed_share(F.col("digest"), share, 1)
+    sample = texts.where(picked).select("doc_id", "digest", "toxic")  # about 2 * per_class rows
+    rows = read_texts(docs).join(F.broadcast(sample), ["doc_id", "digest"]).groupBy("digest").agg(F.first("text").alias("text"), F.first("toxic").alias("toxic")).select("text", "toxic")
 
     def fitted(x: pd.DataFrame) -> pd.DataFrame:
-        x = x.groupby("text", as_index=False)["toxic"].max().sort_values("text")
+        x = x.sort_values("text")
         return pd.DataFrame({"model": [pickle.dumps(fit(list(x["text"]), x["toxic"].to_numpy(np.float64), listed))]})
 
     got = rows.withColumn("part", F.lit(0)).groupBy("part").applyInPandas(fitted, "model binary").collect()

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -66,13 +67,31 @@ def test_token_counts(docs, none, tmp_path):
     lib = library()
     want = [(i, len(t.encode()), n := len(lib.encode(t, add_special_tokens=False).ids), n > 512) for i, t in PAIRS]
     cache = f"file://{tmp_path}/cache"
-    for _ in range(2):  # the second time every count comes from the cache
-        same(token_counts.count_tokens(docs, JSON, 512, cache), want, "doc_id", "n_bytes", "n_tokens", "over_limit")
+    for few in (0, 5, 1000):  # after the first time every count comes from the cache
+        same(token_counts.count_tokens(docs, JSON, 512, cache, few), want, "doc_id", "n_bytes", "n_tokens", "over_limit")
     spark = docs.sparkSession
     assert spark.read.parquet(cache).count() == len({t for _, t in PAIRS})
+    again = spark.read.parquet(cache).limit(3).withColumn("n_tokens", F.col("n_tokens").cast("long"))
+    again.select("digest", "n_tokens", "tokenizer").write.mode("append").partitionBy("tokenizer").parquet(cache)  # two runs at once
+    same(token_counts.count_tokens(docs, JSON, 512, cache), want, "doc_id", "n_bytes", "n_tokens", "over_limit")
+    token_counts.compacted(docs, cache, f"{cache}-2")
+    assert spark.read.parquet(f"{cache}-2").count() == len({t for _, t in PAIRS})
+    same(token_counts.count_tokens(docs, JSON, 512, f"{cache}-2"), want, "doc_id", "n_bytes", "n_tokens", "over_limit")
     assert token_counts.count_tokens(none, JSON).count() == 0
 
 
+def test_token_counts_of_a_sentencepiece_model(docs, tmp_path):
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    want = [(i, n := len(model.encode(t, num_threads=1)), n > 512) for i, t in PAIRS]
+    cache = f"file://{tmp_path}/cache"
+    same(token_counts.count_tokens(docs, path, 512, cache), want, "doc_id", "n_tokens", "over_limit")
+    assert token_counts.count_tokens(docs, JSON, 512, cache).count() == len(PAIRS)  # another tokenizer never meets these counts
+    assert docs.sparkSession.read.parquet(cache).count() == 2 * len({t for _, t in PAIRS})
+
+
 def test_byte_bpe(docs, none):
     import tiktoken
 
@@ -132,6 +151,50 @@ def test_packing_follows_targets():
     assert abs(held["a"] / 20480 - 0.5) < 0.05 and abs(held["b"] / 20480 - 0.3) < 0.05 and held["c"] > 0.2 * 20480
 
 
+def test_packing_with_many_sources():
+    import time
+
+    began, n = time.time(), 20000
+    got, windows = Counter(), Counter()
+    for sequence, _, doc, _, length in packing.pack_shard({f"s{k}": [(k, 1500)] for k in range(n)}, {f"s{k}": 1 / n for k in range(n)}, {}, 1024):
+        got[doc] += length
+        windows[sequence] += length
+    assert set(got.values()) == {1500} and len(got) == n
+    assert list(windows.values())[:-1] == [1024] * (len(windows) - 1)
+    assert time.time() - began < 10
+
+
+def test_packing_carries_deficits_over_shards(spark):
+    """Sources that are unlike in the shards; every sequence but a shard's last is full, and the mixture holds while sources last."""
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choice(["one", "two", "three"]) for _ in range(rng.randrange(20, 60))), ["a", "a", "a", "b", None][i % 5]) for i in range(9000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = packing.pack(df, JSON, 128, 0, shard_bytes=300000).collect()
+    of_shard, in_sequence = defaultdict(Counter), Counter()
+    for r in got:
+        of_shard[r.sequence_id >> 32][r.source] += r.length
+        in_sequence[r.sequence_id] += r.length
+    assert len(of_shard) >= 5 and sum(in_sequence.values()) == sum({(r.doc_id): r.doc_tokens for r in got}.values())
+    last = {max(s for s in in_sequence if s >> 32 == k) for k in of_shard}
+    assert all(n == 128 for s, n in in_sequence.items() if s not in last)
+    total = Counter(r.source for r in got for _ in range(r.length))
+    halves = Counter()
+    for r in got:
+        shard_size = sum(of_shard[r.sequence_id >> 32].values())
+        if (r.sequence_id & 0xFFFFFFFF) * 128 < shard_size / 2:
+            halves[r.source] += r.length
+    for s in ("a", "b", None):
+        assert abs(halves[s] / sum(halves.values()) - total[s] / sum(total.values())) < 0.03
+
+
+def test_sums_of_shards_before(spark):
+    rng = random.Random(9)
+    rows = [(k, s, rng.randrange(100)) for k in range(0, 300) for s in ("a", "b", None) if rng.random() < 0.7]
+    df = spark.createDataFrame(rows, "shard int, source string, held long")
+    got = {(r.shard, r.source): r.o for r in packing.upto(df, "held", "o", "source", width=4).collect()}
+    assert got == {(k, s): sum(n for j, t, n in rows if t == s and j < k) for k, s, _ in rows}
+
+
 def test_vector_search(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(300, 16)).astype(np.float32)
@@ -166,6 +229,35 @@ def test_language_id(spark, docs, none):
     assert {r.lang_pred for r in language_id.identify(docs, None, "doc_id").collect()} == {"und"}
 
 
+def test_every_language_is_learned(spark):
+    """600 labels, of which none is frequent."""
+    rng = random.Random(12)
+    letters = [chr(c) for c in range(0x61, 0x7B)] + [chr(c) for c in range(0x3B1, 0x3C9)]
+    bags = {f"l{k}": rng.sample(letters, 6) for k in range(600)}
+    text = lambda k: " ".join("".join(rng.choice(bags[k]) for _ in range(5)) for _ in range(30))
+    rows = [(i, text(k), k) for i, k in enumerate(list(bags) * 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    trees = language_id.learn(df, F.col("doc_id") < 1800)
+    assert len(trees.languages) == 600
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(df.where("doc_id >= 1800"), trees, "doc_id").collect()}
+    assert np.mean([got[i] == k for i, _, k in rows[1800:]]) > 0.97
+
+
+def test_totals_in_pieces(monkeypatch):
+    rng = random.Random(13)
+    texts = ["".join(rng.choice("ab c") for _ in range(rng.choice([0, 1, 5, 3000]))).encode() for _ in range(40)]
+    g, start, end = language_id.grams(texts)
+    key, n = np.unique(g, return_counts=True)
+    trees = language_id.Trees(["x", "y"], [(key, n), (key[::3], n[::3])])
+    want = [trees.lengths(g[s:e]).sum(axis=0, dtype=np.float64) for s, e in zip(start, end)]
+    monkeypatch.setattr(language_id, "AT_ONCE", 2048)
+    assert np.allclose(trees.totals(g, start, end), want, rtol=1e-5)
+    assert np.allclose(trees.of_one(g, 1).sum(), trees.lengths(g)[:, 1].sum(dtype=np.float64), rtol=1e-5)
+    monkeypatch.setattr(language_id, "CELLS", 600)
+    small = language_id.Trees(["x", "y"], [(key, n), (key[::3], n[::3])])
+    assert all(len(cost) <= 300 for _, cost, _, _ in small.levels) and np.isfinite(small.totals(g, start, end)).all()
+
+
 def test_code_lengths_are_exact():
     counts = Counter()
     data = b"\n\n\n" + b"abracadabra"
@@ -251,11 +343,53 @@ def test_suffix_dedup(docs, none):
         left = bytes(x for x, g in zip(b, gone) if not g)
         spans = int(np.sum(np.diff(np.concatenate([[False], gone]).astype(int)) == 1))
         want.append((i, len(b), len(b) - len(left), spans, hashlib.sha256(left).hexdigest()))
-    for hot in (64, 2):
-        same(suffix_dedup.remove_repeats(docs, hot=hot), want, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    for hot, origins in ((64, None), (2, None), (2, 9), (3, 30)):
+        same(suffix_dedup.remove_repeats(docs, hot=hot, origins=origins), want, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
     assert suffix_dedup.remove_repeats(none).count() == 0
 
 
+@pytest.mark.parametrize("most", [1, 2000, 20000, 1 << 20])
+def test_contexts_of_any_number(most):
+    rng = random.Random(8)
+    some = lambda n: bytes(rng.choice(b"abc") for _ in range(n))
+    shared, tail = some(260), some(210)
+    bodies = list({some(rng.randrange(200, 260)) for _ in range(20)} | {some(rng.randrange(1, 80)) + shared for _ in range(30)} | {shared + some(rng.randrange(1, 80)) for _ in range(30)} | {tail[k:] + some(190 + k) for k in range(9)} | {b"a" * 300, b"a" * 240})
+    seen = Counter(b[i : i + 200] for b in bodies for i in range(len(b) - 199))
+    got = suffix_dedup.common_windows(bodies, most)
+    assert [g.tolist() for g in got] == [[seen[b[i : i + 200]] > 1 for i in range(len(b) - 199)] for b in bodies]
+
+
+ONE_ANCHOR = """
+import resource, zlib
+from collections import Counter
+import numpy as np, pandas as pd
+from assayer.llm import suffix_dedup
+
+rng = np.random.default_rng(1)
+footer = rng.integers(97, 123, 240).astype(np.uint8).tobytes()
+bodies = [rng.integers(97, 123, 60).astype(np.uint8).tobytes() + footer for _ in range(50000)]
+rows = []
+for origin in range(100):
+    own = bodies[500 * origin : 500 * origin + 500]
+    rows.append((0, origin, np.full(500, 7, np.uint64).tobytes(), np.full(500, 300, np.int32).tobytes(), np.packbits(np.zeros(500, bool)).tobytes(), zlib.compress(b"".join(own), 1)))
+out = suffix_dedup.resolve(pd.DataFrame(rows, columns=["bucket", "origin", "anchors", "sizes", "again", "body"]))
+bits = np.concatenate([np.unpackbits(np.frombuffer(zlib.decompress(k), np.uint8), count=500 * 101).reshape(500, 101) for k in out["keys"]])
+assert bits[:, 60:].all()
+for i in range(60):
+    seen = Counter(b[i:60] for b in bodies)
+    assert bits[:, i].tolist() == [int(seen[b[i:60]] > 1) for b in bodies]
+assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss < 1 << 20
+"""
+
+
+def test_one_anchor_in_many_contexts():
+    """50,000 contexts of one anchor, of 100 origins, are settled in less than 1 GB."""
+    import subprocess
+    import sys
+
+    subprocess.run([sys.executable, "-c", ONE_ANCHOR], check=True)
+
+
 def test_two_stage_sorting():
     rng = random.Random(3)
     for _ in range(200):
@@ -288,6 +422,20 @@ def test_substring_index(docs, none, batches):
     assert substring_index.remove_repeats(none).count() == 0
 
 
+def test_substring_index_over_calls(spark, docs, tmp_path):
+    """Six calls in order of doc_id, with compactions, give the rows of one; and what a call adds is found by the next."""
+    whole = docs.where("doc_id is null or doc_id not in (10, 12)")
+    want = Counter(tuple(r) for r in substring_index.remove_repeats(whole, 2).collect())
+    index, got = f"file://{tmp_path}/index", Counter()
+    for part in ("doc_id < 11", "doc_id between 11 and 15", "doc_id between 16 and 19", "doc_id between 20 and 22", "doc_id >= 23", "doc_id is null"):
+        got.update(tuple(r) for r in substring_index.remove_repeats(whole.where(part), 1, index=index).collect())
+    passage = [r for r in got if r[0] is None and r[1] > 0]
+    assert all(r[1] == r[2] for r in passage)  # of an earlier call
+    assert got == want
+    runs = substring_index.valid(spark, index)
+    assert max(r["tier"] for r in runs) == 1 and len(runs) == 3 and max(r["upto"] for r in runs) == sum(r["upto"] - r["since"] for r in runs)
+
+
 def sets_of(pairs):
     lower = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
     out = []
@@ -309,10 +457,49 @@ def test_hyper_minhash(spark, docs, none):
                 top = {k: lo if v == hi else v for k, v in top.items()}
     want = [(i, len(s), top[i], i is None or top[i] == i) for i, s in sets]
     same(hyper_minhash.near_duplicates(single), want, "doc_id", "n_shingles", "component_id", "kept")
-    assert hyper_minhash.near_duplicates(docs).count() == len(ROWS)
+    same(hyper_minhash.near_duplicates(docs), components_of(PAIRS), "doc_id", "n_shingles", "component_id", "kept")
     assert hyper_minhash.near_duplicates(none).count() == 0
 
 
+def components_of(pairs):
+    """By all pairs; rows of an id are one document."""
+    sets = sets_of(pairs)
+    top = {i: i for i, _ in sets}
+    for i, a in sets:
+        for j, b in sets:
+            if i is not None and j is not None and i < j and a and b and 100 * len(a & b) >= 75 * len(a | b):
+                lo, hi = sorted((top[i], top[j]))
+                top = {k: lo if v == hi else v for k, v in top.items()}
+    of = [(i, len(s), (top[i] if s else i) if i is not None else None) for i, s in sets]
+    return [(i, n, c, i is None or i == c) for i, n, c in of]
+
+
+@pytest.mark.parametrize("tile", [2, 5, 1024])
+def test_hyper_minhash_in_tiles(spark, tile):
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    common = [word() for _ in range(160)]
+    rows = []
+    for k in range(90):  # near a common text, at all distances
+        t = list(common)
+        for _ in range(rng.randrange(0, 14)):
+            t[rng.randrange(160)] = word()
+        rows.append((k, " ".join(t)))
+    for k in range(90, 130):  # two texts sewn together: buckets hold several components
+        cut = rng.randrange(30, 150)
+        rows.append((k, " ".join(common[:cut] + [word() for _ in range(160 - cut)])))
+    rows += [(3, rows[100][1]), (95, "one more text of a repeated id"), (120, rows[5][1]), (None, rows[0][1]), (200, None)]
+    got = hyper_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), tile=tile)
+    same(got, components_of([(i, t or "") for i, t in rows]), "doc_id", "n_shingles", "component_id", "kept")
+
+
+def test_near_the_threshold_words_decide():
+    texts = [b"a b c d e f g h", b"A b c d e f g x", b"a b c d e f g h i"]
+    assert [hyper_minhash.reaches(texts[0], t, 60) for t in texts] == [True, True, True]
+    assert [hyper_minhash.reaches(texts[0], t, 61) for t in texts] == [True, False, True]
+    assert hyper_minhash.reaches(b"a b", b"A  b", 100) and not hyper_minhash.reaches(b"", b"", 0)
+
+
 def test_hyper_minhash_chains_without_a_common_end(spark):
     rng = random.Random(4)
     rows, text = [], [f"w{rng.randrange(10**6)}" for _ in range(200)]
@@ -365,6 +552,27 @@ def test_fingerprints(docs, none):
     assert fingerprints.edited_fingerprints(none).count() == 0
 
 
+def test_fingerprints_with_equal_hashes(docs):
+    """With a digest of two values, bytes tell texts apart."""
+    import unicodedata
+
+    def body(t):
+        return " ".join(unicodedata.normalize("NFC", t).upper().lower().split())
+
+    weak = lambda t: (F.char_length(t) % 2).cast("string")
+    texts = {i: t for i, t in PAIRS if i not in (None, 10, 12)}
+    rows = fingerprints.edited_fingerprints(docs.where("doc_id NOT IN (10, 12)"), weak).collect()
+    for a in rows:
+        for b in rows:
+            assert (a.fingerprint == b.fingerprint) == (body(texts[a.doc_id]) == body(texts[b.doc_id]))
+    ids = sorted(texts)
+    for r in rows:
+        t, after = texts[r.doc_id], texts[ids[ids.index(r.doc_id) - 1]]
+        edited = t[: len(t) - len(t) // 3] + after[: len(t) // 3]
+        assert r.near_edited == float(body(edited) == body(t)) == float(r.fingerprint == r.edited_fingerprint)
+        assert r.near_next == float(body(t) == body(after))
+
+
 def test_normal_form(spark):
     import unicodedata
 
@@ -423,7 +631,8 @@ def test_toxicity_without_toxic_forms_is_clean(spark):
 def test_toxicity_counts_a_text_once(spark):
     rows = [(1, "same text here", 1)] * 30 + [(i, "same text here", 1) for i in range(2, 60)] + [(i, f"clean words number {i}", 0) for i in range(60, 120)]
     df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
-    assert not len(toxicity.lexicon(df.select("doc_id", "text"), df.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))))
+    texts = toxicity.labelled(df.select("doc_id", "text"), df.groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
+    assert texts.count() == 61 and not len(toxicity.lexicon(df.select("doc_id", "text"), texts))
 
 
 def test_bound_shares_chance_by_the_forms_that_can_reach_it():
