@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import tempfile
 import uuid
 
@@ -13,9 +14,11 @@ _OWN: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where that is unset (as in tests), a folder of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only where that is unset and the executors are threads of the driver, as in tests, it is a folder of our own."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = _OWN.setdefault("at", f"file://{tempfile.mkdtemp(prefix='spark-shared-')}")
     return at.rstrip("/")
 

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assayer.llm.common import hashed_share, sample_share, text_bytes
+from assayer.llm.common import hashed_share, sample_share, staged, text_bytes
 from assayer.llm.textbytes import Lookup, blocks, joined
 
 ORDER = 3
@@ -122,7 +122,7 @@ def sampled(docs: DataFrame, learnable: Column, per_language: int) -> DataFrame
     part = {r["lang"]: min(sample_share(most, r["n"]), sample_share(most_bytes, r["bytes"])) for r in there}
     share = rows.sparkSession.createDataFrame([(k, int(v * (1 << 30))) for k, v in part.items()], "lang string, share long")
     picked = F.pmod(F.xxhash64("doc_id", F.lit(0)), F.lit(1 << 30)) < F.col("share")
-    return rows.join(F.broadcast(share), "lang").where(picked).select("doc_id", "lang", "text")  # a row a language
+    return staged(rows.join(F.broadcast(share), "lang").where(picked).select("doc_id", "lang", "text"), "language-sample")  # a row a language
 
 
 def learn(docs: DataFrame, learnable: Column, per_language: int = PER_LANGUAGE) -> Trees | None:
@@ -131,13 +131,13 @@ def learn(docs: DataFrame, learnable: Column, per_language: int = PER_LANGUAGE)
     return None if rows is None else grown(rows)
 
 
-def halves(docs: DataFrame, learnable: Column, per_language: int = PER_LANGUAGE) -> tuple[list[tuple[Column, Trees | None]], dict[str, tuple[float, float]]]:
-    """Two conditions that part the docs, each with the trees to code its texts by; and by language, the bits a byte that a text in it may take and the spread of a byte's, the highest under ''."""
+def halves(docs: DataFrame, learnable: Column, per_language: int = PER_LANGUAGE) -> tuple[Column, tuple[Trees | None, Trees | None], dict[str, tuple[float, float]]]:
+    """A condition that parts the docs; the trees to code the texts by where it is false and where it is true; and by language, the bits a byte that a text in it may take and the spread of a byte's, the highest under ''."""
     half = hashed_share(text_bytes(), 0.5, 3)
     rows = sampled(docs, learnable, per_language)
     if rows is None:
-        return [(half, None), (~half, None)], {}
-    pair = [(half, grown(rows.where(~half))), (~half, grown(rows.where(half)))]
+        return half, (None, None), {}
+    pair = grown(rows.where(half)), grown(rows.where(~half))
 
     def measured(trees: Trees | None, own: DataFrame) -> DataFrame:
         model = own.sparkSession.sparkContext.broadcast(trees)
@@ -155,10 +155,10 @@ def halves(docs: DataFrame, learnable: Column, per_language: int = PER_LANGUAGE)
 
         return own.select("lang", "text").distinct().mapInPandas(measure, "lang string, rate double, spread double")
 
-    rest = measured(pair[0][1], rows.where(half)).union(measured(pair[1][1], rows.where(~half)))
+    rest = measured(pair[0], rows.where(~half)).union(measured(pair[1], rows.where(half)))
     got = rest.groupBy("lang").agg(F.percentile_approx("rate", 0.9).alias("rate"), F.percentile_approx("spread", 0.5).alias("spread"), F.count("*").alias("n")).where(F.col("n") >= LEAST).collect()
     of = {r["lang"]: (FAR * r["rate"], r["spread"]) for r in got}
-    return pair, of | {"": max(of.values())} if of else {}
+    return half, pair, of | {"": max(of.values())} if of else {}
 
 
 def grown(rows: DataFrame) -> Trees | None:
@@ -207,15 +207,21 @@ def predictor(trees: Trees | None, limit: dict[str, tuple[float, float]] | None
     return predict
 
 
-def identify(docs: DataFrame, trees: Trees | None, *keep: str, limit: dict[str, tuple[float, float]] | None = None) -> DataFrame:
-    """The columns `keep` of docs, and lang_pred and score of its text; with limits, also `known`, whether it is in a language. Only texts go to Python; no shuffle."""
-    model = docs.sparkSession.sparkContext.broadcast(trees)
+def identify(docs: DataFrame, trees: Trees | None, *keep: str, limit: dict[str, tuple[float, float]] | None = None, other: tuple[Column, Trees | None] | None = None) -> DataFrame:
+    """The columns `keep` of docs, and lang_pred and score of its text; with limits, also `known`, whether it is in a language. other: a condition, and the trees for the texts where it is true. Only texts go to Python; no shuffle."""
+    models = docs.sparkSession.sparkContext.broadcast((trees, other[1] if other else None))
 
     @F.pandas_udf(T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("known", T.BooleanType())]))
-    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        of = predictor(model.value, limit)
-        for x in batches:
-            langs, scores, known = of(list(x))
-            yield pd.DataFrame({"lang_pred": langs, "score": scores, "known": known})
-
-    return docs.withColumn("__p", predict(text_bytes())).select(*keep, "__p.lang_pred", "__p.score", *["__p.known"] * (limit is not None))
+    def predict(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        of = [predictor(t, limit) for t in models.value]
+        for x, which in batches:
+            out = pd.DataFrame({"lang_pred": "und", "score": 0.0, "known": False}, index=range(len(x)))
+            which = which.to_numpy(bool)
+            for k in (0, 1):
+                if len(at := np.flatnonzero(which == k)):
+                    langs, scores, known = of[k]([x.iloc[i] for i in at])
+                    out.iloc[at] = pd.DataFrame({"lang_pred": langs, "score": scores, "known": known})
+            yield out
+
+    which = F.coalesce(other[0], F.lit(False)) if other else F.lit(False)
+    return docs.withColumn("__p", predict(text_bytes(), which)).select(*keep, "__p.lang_pred", "__p.score", *["__p.known"] * (limit is not None))

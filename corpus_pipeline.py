@@ -18,11 +18,11 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language by their code length; those without text or letters go, and those far from every language learned. A null lang is filled. Where no language could be learned, or the document's own couldn't, those with a letter stay."""
     small_batches(spark)
-    halves, limit = language_id.halves(docs, F.lit(True))
-    found = [language_id.identify(docs.where(half), trees, *COLUMNS, limit=limit) for half, trees in halves]
+    half, trees, limit = language_id.halves(docs, F.lit(True))
+    found = language_id.identify(docs, trees[0], *COLUMNS, limit=limit, other=(half, trees[1]))
     unlearned = F.coalesce(~F.col("lang").isin(*limit), F.lit(False)) & (F.col("lang_pred") != "und")
     lang = F.coalesce("lang", F.expr("nullif(lang_pred, 'und')")).alias("lang")
-    return found[0].union(found[1]).where(F.col("known") | unlearned).select(*[lang if c == "lang" else c for c in COLUMNS])
+    return found.where(F.col("known") | unlearned).select(*[lang if c == "lang" else c for c in COLUMNS])
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
