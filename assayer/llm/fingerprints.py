@@ -40,10 +40,11 @@ def texts_of(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
-def uneven(docs: DataFrame, digest: Callable[[Column], Column] = wide_hash) -> DataFrame:
-    """The hashes whose canonical texts differ in any byte; as a rule there are none. A task's copies of a text meet before the shuffle."""
+def uneven(docs: DataFrame, digest: Callable[[Column], Column] = wide_hash) -> DataFrame | None:
+    """The hashes whose canonical texts differ in any byte; as a rule there are none, which is None. A task's copies of a text meet before the shuffle."""
     rows = texts_of(docs).select(canonical(F.col("text")).alias("body")).select(digest(F.col("body")).alias("hash"), "body")
-    return staged(rows.groupBy("hash").agg(F.count_distinct("body").alias("n")).where("n > 1").select("hash"), "uneven")
+    found = staged(rows.groupBy("hash").agg(F.count_distinct("body").alias("n")).where("n > 1").select("hash"), "uneven")
+    return None if found.isEmpty() else found
 
 
 def told_apart(rows: DataFrame, apart: DataFrame | None, hash_name: str, body: Column, out: str) -> DataFrame:
@@ -54,17 +55,15 @@ def told_apart(rows: DataFrame, apart: DataFrame | None, hash_name: str, body: C
     return marked.withColumn(out, F.when(F.col("__apart"), F.concat_ws("-", hash_name, F.sha2(body, 256))).otherwise(F.col(hash_name))).drop("__h", "__apart")
 
 
-def fingerprinted(docs: DataFrame, digest: Callable[[Column], Column] = wide_hash) -> tuple[DataFrame, DataFrame | None]:
-    """doc_id, text, hash, fingerprint of each row; and the uneven hashes, if there are any."""
-    apart = uneven(docs, digest)
-    apart = None if apart.isEmpty() else apart
-    rows = texts_of(docs).withColumn("body", canonical(F.col("text"))).withColumn("hash", digest(F.col("body")))
-    return told_apart(rows, apart, "hash", F.col("body"), "fingerprint").select("doc_id", "text", "hash", "fingerprint"), apart
+def fingerprinted(rows: DataFrame, apart: DataFrame | None, digest: Callable[[Column], Column] = wide_hash) -> DataFrame:
+    """rows with the hash and the fingerprint of their text."""
+    rows = rows.withColumn("body", canonical(F.col("text"))).withColumn("hash", digest(F.col("body")))
+    return told_apart(rows, apart, "hash", F.col("body"), "fingerprint").drop("body")
 
 
 def groups(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint, group_id (the smallest doc_id of the documents with this fingerprint)."""
-    rows = fingerprinted(docs)[0].select("doc_id", "fingerprint")
+    rows = fingerprinted(texts_of(docs), uneven(docs)).select("doc_id", "fingerprint")
     return rows.join(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("group_id")), "fingerprint").select("doc_id", "fingerprint", "group_id")
 
 
@@ -85,18 +84,18 @@ def edited_fingerprints(docs: DataFrame, digest: Callable[[Column], Column] = wi
 
     The edited text has its last third replaced by the head of the next document, by descending doc_id (after the last: the first). Fingerprints are exact, so a likeness is 1 or 0. Texts are shuffled once by id; of the next document only the part that is needed moves.
     """
-    rows, apart = fingerprinted(docs, digest)
+    rows, apart = texts_of(docs), uneven(docs, digest)
     placed = rows.where("doc_id is not null")
     need = F.floor(F.char_length("text") / 3).cast("int").alias("need")
-    ids = staged(texts_of(docs).where("doc_id is not null").select(F.col("doc_id").cast("long").alias("v"), need).groupBy("v").agg(F.max("need").alias("need")), "ids")
+    ids = staged(placed.select(F.col("doc_id").cast("long").alias("v"), need).groupBy("v").agg(F.max("need").alias("need")), "ids")
     first = ids.agg(F.max("v").alias("first"))
     links = next_smaller(ids.select("v")).crossJoin(F.broadcast(first)).select("v", F.coalesce("following", "first").alias("following")).join(ids, "v")  # one row on the right
-    heads = placed.join(links, F.col("doc_id") == F.col("following"))
-    heads = heads.select("v", F.struct(F.expr("substring(text, 1, need)").alias("head"), F.col("fingerprint").alias("next_fingerprint")).alias("h")).groupBy("v").agg(F.min("h").alias("h"))
     # both joins deal the same rows by doc_id, so that texts are shuffled once
+    heads = fingerprinted(placed.join(links, F.col("doc_id") == F.col("following")), apart, digest)
+    heads = heads.select("v", F.struct(F.expr("substring(text, 1, need)").alias("head"), F.col("fingerprint").alias("next_fingerprint")).alias("h")).groupBy("v").agg(F.min("h").alias("h"))
     joined = placed.join(heads.select("v", "h.head", "h.next_fingerprint"), F.col("doc_id") == F.col("v")).drop("v")
     nowhere = rows.where("doc_id is null").withColumn("head", F.lit("")).withColumn("next_fingerprint", F.lit(None).cast("string"))
-    joined = joined.unionByName(nowhere).withColumn("n_chars", F.char_length("text").cast("long"))
+    joined = fingerprinted(joined.unionByName(nowhere), apart, digest).withColumn("n_chars", F.char_length("text").cast("long"))
     third = "cast(floor(n_chars / 3) as int)"
     edited = joined.withColumn("edited", F.concat(F.expr(f"substring(text, 1, cast(n_chars as int) - {third})"), F.coalesce(F.expr(f"substring(head, 1, {third})"), F.lit(""))))
     edited = edited.withColumn("edited_body", canonical(F.col("edited"))).withColumn("edited_hash", digest(F.col("edited_body")))

@@ -21,7 +21,7 @@ from assayer.llm.common import new_path, staged
 
 CACHE = "digest binary, n_tokens long, tokenizer string"
 #: Up to so many missing digests, of 32 bytes, go to where the texts are.
-FEW = 250_000
+FEW = 30_000
 #: A digest with more than one in HOT of all rows is joined by broadcast; there are fewer than HOT of them.
 HOT = 1000
 
