@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import staged, text_bytes
+from assayer.llm.common import release, staged, text_bytes
 from assayer.llm.textbytes import FOLDED, blocks, joined, mixed, prefix, span, window_hash, words
 
 SHINGLE, BANDS, ROWS, MANTISSA = 5, 48, 4, 10
@@ -111,6 +111,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                 for k in range(2):
                     np.add.at(sums[k], doc, mixed(h + np.uint64(k + 1)))
                 yield pd.DataFrame({"doc_id": x["doc_id"].iloc[part], "n": n, "h1": sums[0].view(np.int64), "h2": sums[1].view(np.int64), "words": list(packed)})
+        release()
 
     return rows.mapInPandas(sketch, "doc_id long, n long, h1 long, h2 long, words array<long>")
 
@@ -125,6 +126,7 @@ def likely(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
                 a, b = (np.stack(x[k].to_numpy()).view(np.uint16) for k in ("w_a", "w_b"))
                 ok = estimate(a, b, x["n_a"].to_numpy(), x["n_b"].to_numpy()) >= threshold - MARGIN
                 yield x.loc[ok, ["a", "b"]]
+        release()
 
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     return both.where(F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b")).mapInPandas(pick, "a long, b long")
@@ -168,6 +170,7 @@ def linked(pairs: DataFrame, bodies: DataFrame, percent: int) -> DataFrame:
                 by = lead(len(np.intersect1d(p, q, assume_unique=True)), len(p), len(q), percent)
                 ok.append(by >= 0 if abs(by) >= BORDER else reaches(known[1], other, percent))
             yield x.loc[ok, ["a", "b"]]
+        release()
 
     return both.select("a", "b", "body_a", "body_b").mapInPandas(verify, "a long, b long")
 
@@ -236,6 +239,7 @@ def across(shared: DataFrame, reps: DataFrame, bodies: DataFrame, roots: DataFra
             if own["root"].nunique() > 1:
                 found = {k for i, j in candidates(own, threshold) for k in (i, *j.tolist())}
                 keep.append(own.iloc[sorted(found)])
+        release()
         return pd.concat(keep or [x.iloc[:0]])[["part", "t", "side", "rep", "root", "band"]]
 
     likely_ones = staged(placed.join(reps, "rep").groupBy("part").applyInPandas(hopeful, columns), "likely")
@@ -267,6 +271,7 @@ def across(shared: DataFrame, reps: DataFrame, bodies: DataFrame, roots: DataFra
                     if top(root[k]) != top(root[i]) and (by_k >= BORDER or reaches(*(of.decompress(own["body"].iloc[z]) for z in (i, k)), percent)):
                         parent[top(root[k])] = top(root[i])
                         out.append((rep[i], rep[k]))
+        release()
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
     full = likely_ones.join(reps, "rep").join(bodies.withColumnRenamed("doc_id", "rep"), "rep")
@@ -321,5 +326,6 @@ def _squeezed(rows: DataFrame) -> DataFrame:
         to = zstandard.ZstdCompressor(level=1)
         for x in frames:
             yield pd.DataFrame({"doc_id": x["doc_id"], "body": [to.compress(t) for t in x["text"]]})
+        release()
 
     return rows.mapInPandas(squeeze, "doc_id long, body binary")

@@ -20,14 +20,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assayer.llm.common import hashed_share, sample_share, staged, text_bytes
+from assayer.llm.common import hashed_share, release, sample_share, staged, text_bytes
 from assayer.llm.textbytes import Lookup, blocks, joined
 
 ORDER = 3
 #: Documents a language learns from, on average; documents and bytes that all languages together learn from, on average.
 PER_LANGUAGE, SAMPLE, SAMPLE_BYTES = 2000, 20000, 256 << 20
 #: Code lengths in a table, and in what is worked on at once.
-CELLS, AT_ONCE = 1 << 24, 1 << 22
+CELLS, AT_ONCE = 1 << 24, 1 << 19
 #: A text is in a language up to FAR times the code length of its own texts, and SPREAD standard deviations of a byte's; from LEAST texts.
 FAR, SPREAD, LEAST = 2.0, 3.0, 20
 GAP = b"\n" * ORDER
@@ -152,6 +152,7 @@ def halves(docs: DataFrame, learnable: Column, per_language: int = PER_LANGUAGE)
                     g, start, end = grams(texts[part])
                     own = [trees.of_one(g[s:e], j) for s, e, j in zip(start, end, at[part], strict=True)]
                     yield pd.DataFrame({"lang": x["lang"].to_numpy()[part], "rate": [c.mean() for c in own], "spread": [c.std() for c in own]})
+            release()
 
         return own.select("lang", "text").distinct().mapInPandas(measure, "lang string, rate double, spread double")
 
@@ -175,6 +176,7 @@ def grown(rows: DataFrame) -> Trees | None:
                     np.add.at(inside, end, -1)
                     key, n = np.unique(g[np.cumsum(inside)[:-1] > 0], return_counts=True)
                     yield pd.DataFrame({"lang": lang, "gram": key.astype(np.int64), "n": n.astype(np.int64)})
+        release()
 
     counted = rows.mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     of = {lang: (x["gram"].to_numpy(np.int64), x["n"].to_numpy(np.float64)) for lang, x in counted.groupby("lang")}
@@ -222,6 +224,7 @@ def identify(docs: DataFrame, trees: Trees | None, *keep: str, limit: dict[str,
                     langs, scores, known = of[k]([x.iloc[i] for i in at])
                     out.iloc[at] = pd.DataFrame({"lang_pred": langs, "score": scores, "known": known})
             yield out
+        release()
 
     which = F.coalesce(other[0], F.lit(False)) if other else F.lit(False)
     return docs.withColumn("__p", predict(text_bytes(), which)).select(*keep, "__p.lang_pred", "__p.score", *["__p.known"] * (limit is not None))

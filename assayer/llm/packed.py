@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import parts_for, text_bytes
+from assayer.llm.common import parts_for, release, text_bytes
 from assayer.llm.textbytes import blocks
 
 ORIGIN_BYTES = 8 << 20
@@ -65,6 +65,7 @@ def packed(rows: DataFrame) -> DataFrame:
                 head = np.int64([len(own)]).tobytes() + ids.tobytes() + none.tobytes() + np.fromiter(map(len, parts), np.int64, len(parts)).tobytes()
                 out.append((origin, to.compress(head + b"".join(parts))))
             yield pd.DataFrame(out, columns=["origin", "body"])
+        release()
 
     return rows.mapInPandas(pack, "origin int, body binary")
 
@@ -99,6 +100,7 @@ def fingerprints(rows: DataFrame, buckets: int, anchors: Callable[[list[bytes]],
             for part, g in zip(blocks(texts), got, strict=True):
                 of.append(origin[part.start + g[1]])
             yield from rows_by_bucket(h, np.concatenate(of), buckets)
+        release()
 
     return rows.select("origin", "text").mapInPandas(split, "bucket int, keys binary, origins binary")
 

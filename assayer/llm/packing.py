@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from assayer.llm.common import parts_for, staged
+from assayer.llm.common import parts_for, release, staged
 
 #: A turn serves at least so many tokens, so that a window is not cut into crumbs.
 LEAST_TURN = 256
@@ -161,6 +161,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0, t
             out.append((*row, piece.astype("int32")) if keep_ids else row)
             if start + length == n[i]:
                 del ids_of[i]
+        release()
         return pd.DataFrame(out, columns=names).astype({"doc_id": rows["doc_id"].dtype})
 
     return tokens.groupBy("shard").cogroup(shares(tokens, targets).groupBy("shard")).applyInPandas(deal, schema)

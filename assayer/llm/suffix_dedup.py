@@ -21,7 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from assayer.llm.common import staged
+from assayer.llm.common import release, staged
 from assayer.llm.packed import among, bucket_of, fingerprints, from_ten, keys_of, marked, merged, opened, origins_of, packed, slices, ten, with_origin
 from assayer.llm.textbytes import VALUES, blocks, joined, mixed, prefix, slide_min, span, window_hash
 
@@ -213,6 +213,7 @@ def ask_hashes(own: pd.DataFrame, found: pd.DataFrame, buckets: int) -> pd.DataF
         c, origin = Candidates(opened(own)[1], found, buckets), int(own["origin"].iloc[0])
         _, _, a, b, z, _ = c.hot_windows(buckets)
         out = [(bucket, origin, ten(a[i:j], b[i:j])) for bucket, i, j in slices(z)]
+    release()
     return pd.DataFrame(out, columns=["bucket", "origin", "body"])
 
 
@@ -240,6 +241,7 @@ def ask(own: pd.DataFrame, found: pd.DataFrame, buckets: int) -> pd.DataFrame:
     for bucket, i, j in slices(c.bucket):
         bodies = [c.context(k) for k in range(i, j)]
         out.append((bucket, origin, c.anchor[i:j].tobytes(), np.fromiter(map(len, bodies), np.int32, j - i).tobytes(), np.packbits(c.again[i:j]).tobytes(), zlib.compress(b"".join(bodies), 1)))
+    release()
     return pd.DataFrame(out, columns=names)
 
 
@@ -347,6 +349,7 @@ def resolve(rows: pd.DataFrame) -> pd.DataFrame:
         own = bits[at : at + len(s)]
         out.append((origin, "context bits", bucket, zlib.compress(np.packbits(np.concatenate(own)).tobytes(), 1)))
         at += len(s)
+    release()
     return pd.DataFrame(out, columns=["origin", "kind", "bucket", "keys"])
 
 
@@ -391,12 +394,12 @@ def remove_repeats(docs: DataFrame, text: bool = False, hot: int = HOT, carry: t
                     left = np.frombuffer(body, np.uint8)[~own].tobytes()
                 row = (ids[d], len(body), len(body) - len(left), len(spans), hashlib.sha256(left).hexdigest())
                 out.append(row + (left.decode("utf-8", "replace"),) * text + (extras[d].decode(),) * bool(carry))
+        release()
         return pd.DataFrame(out, columns=names)
 
     by_origin = texts.groupBy("origin")
-    if not found.where("kind = 'hot'").isEmpty():
-        hashes = by_origin.cogroup(found.groupBy("origin")).applyInPandas(lambda own, told: ask_hashes(own, told, buckets), HASHES)
-        found = found.unionByName(staged(hashes.groupBy("bucket").applyInPandas(resolve_hashes, TOLD), "hot-windows"))
+    hashes = by_origin.cogroup(found.groupBy("origin")).applyInPandas(lambda own, told: ask_hashes(own, told, buckets), HASHES)
+    found = found.unionByName(staged(hashes.groupBy("bucket").applyInPandas(resolve_hashes, TOLD), "hot-windows"))
     asked = by_origin.cogroup(found.groupBy("origin")).applyInPandas(lambda own, told: ask(own, told, buckets), ASKED)
     answers = asked.groupBy("bucket").applyInPandas(resolve, TOLD)
     return by_origin.cogroup(answers.unionByName(found).groupBy("origin")).applyInPandas(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text string" * text + ", carried string" * bool(carry))

@@ -9,7 +9,7 @@ import numpy as np
 #: Base of the polynomial hashes modulo 2**64; odd, so that it has an inverse.
 BASE = 0x9E3779B97F4A7C15
 #: Bytes of text that are worked on at once; a longer text is a block of its own.
-BLOCK = 1 << 19
+BLOCK = 1 << 18
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 

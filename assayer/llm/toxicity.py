@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assayer.llm.common import hashed_share, sample_share, staged, text_bytes
+from assayer.llm.common import hashed_share, release, sample_share, staged, text_bytes
 from assayer.llm.textbytes import FOLDED, Lookup, blocks, joined, mixed, prefix, span, words
 
 #: Labelled texts of a class that the field is trained on, and their bytes, on average.
@@ -32,7 +32,7 @@ TOGETHER = 1 << 17
 #: The chance that any form at all is listed without cause, and the share of a listed form's documents that must be toxic.
 CHANCE, PURE = 0.01, 0.9
 #: Forms that are counted together before they leave a task.
-HELD = 1 << 20
+HELD = 1 << 19
 #: Places of the weights besides the hashed ones: of a listed token, and of nothing, which stays 0. The last is the bias.
 LISTED, NOTHING = 1 << BITS, (1 << BITS) + 1
 STEPS, RATE, DECAY = 30, 1.0, 1e-3
@@ -188,6 +188,7 @@ def lexicon(docs: DataFrame, texts: DataFrame) -> np.ndarray:
                         yield frame(held.pop())
         if held:
             yield frame(merged(held))
+        release()
 
     rows = read.join(texts.drop("bytes").hint("shuffle_hash"), ["doc_id", "digest"]).select("text", "toxic", "weight")
     forms = rows.mapInPandas(count, "form long, n double, t double").groupBy("form").agg(F.round(F.sum("n")).alias("n"), F.round(F.sum("t")).alias("t"))
@@ -264,7 +265,9 @@ def learn(docs: DataFrame, labels: DataFrame, learnable: Column, per_class: int
 
     def fitted(x: pd.DataFrame) -> pd.DataFrame:
         x = x.sort_values("text")
-        return pd.DataFrame({"model": [pickle.dumps(fit(list(x["text"]), x["toxic"].to_numpy(np.float64), listed))]})
+        model = pickle.dumps(fit(list(x["text"]), x["toxic"].to_numpy(np.float64), listed))
+        release()
+        return pd.DataFrame({"model": [model]})
 
     got = rows.withColumn("part", F.lit(0)).groupBy("part").applyInPandas(fitted, "model binary").collect()
     return bytes(got[0]["model"]) if got else None
@@ -299,5 +302,6 @@ def score(docs: DataFrame, model: bytes | None, *keep: str, spans: bool = False)
             got = list(scored(list(x), chain))
             found = [[{"start": a, "end": b, "p": p} for a, b, p in f] for _, y in got for f in y]
             yield pd.DataFrame({"score": np.concatenate([s for s, _ in got]) if got else np.zeros(0), "spans": found})
+        release()
 
     return docs.withColumn("__p", run(text_bytes())).select(*keep, "__p.score", *["__p.spans"] * spans)
