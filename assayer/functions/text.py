@@ -6,17 +6,32 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Words that carry no content in an answer.
-STOP_WORDS = ["a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "have", "in", "is", "it", "its", "of", "on", "or", "that", "the", "their", "there", "this", "to", "was", "were", "which", "will", "with"]
+STOP_WORDS = "a an the of to in on for and or is are was were be by with as at from that this it its his her their which who whom".split()
+#: Static methods of the Unicode library that Spark ships: normal form KC, and full case folding.
+COMPOSE, FOLD = ("com.ibm.icu.text.Normalizer", "compose"), ("com.ibm.icu.lang.UCharacter", "foldCase")
+
+
+def folded(text: Column) -> Column:
+    """NFKC, with plain single quotes and minus signs, case-folded. For ASCII that is lower case."""
+    plain = F.translate(F.java_method(*map(F.lit, COMPOSE), text, F.lit(True)), "\u2019\u2018\u2212", "''-")
+    return F.when(text.rlike(r"[^\x{0}-\x{7f}]"), F.java_method(*map(F.lit, FOLD), plain, F.lit(True))).otherwise(F.lower(text))
 
 
 def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), F.lit(1))
+    return F.regexp_extract_all(folded(text), F.lit("([a-z0-9]+)"), F.lit(1))
 
 
 def content_tokens(text: Column) -> Column:
     return F.filter(tokens(text), lambda t: ~t.isin(STOP_WORDS))
 
 
+def list_edits(a: Column, b: Column) -> Column:
+    """Edit distance of two lists of words: each distinct word of the two becomes a character of its own."""
+    known = F.array_distinct(F.concat(a, b))
+    spelled = lambda x: F.array_join(F.transform(x, lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(known, w) + 0xFFFF), 8, "0")), "UTF-32")), "")
+    return F.levenshtein(spelled(a), spelled(b))
+
+
 def words(text: Column) -> Column:
     """Letters with inner apostrophes or hyphens, two characters at least."""
     return F.filter(F.regexp_extract_all(text, F.lit(r"(\p{L}+(?:['’-]\p{L}+)*)"), F.lit(1)), lambda w: F.length(w) >= 2)
@@ -40,10 +55,14 @@ def allowed_edits(word: Column) -> Column:
     return F.when(word.rlike("[0-9]") | (F.length(word) <= 3), 0).when(F.length(word) <= 6, 1).otherwise(2)
 
 
-def strip_label(text: Column) -> Column:
+#: How an answer's label and the word for an answer look.
+ANSWER_LABEL = r"(?i)^\s*(?:(?:q(?:uestion)?|ans(?:wer)?)\s*(?:no\.?)?\s*[.:-]?\s*)?\(?\d{1,2}\s*(?:\(?[a-h]\)?)?\s*[.):-]\s*(?:ans(?:wer)?\s*[.:-]?\s*)?"
+ANSWER_WORD = r"(?i)^\s*ans(?:wer)?\s*[.:-]\s*"
+
+
+def strip_label(line: Column) -> Column:
     """Without a leading answer label such as `12 b)` or `Ans:`."""
-    first = F.regexp_replace(text, r"^\s*(?:[Qq](?:uestion)?\s*(?:[Nn]o)?\s*\.?\s*)?\d{1,2}\s*(?:\(?[a-h]\s*\)|[.):])\s*", "")
-    return F.regexp_replace(first, r"^\s*[Aa]ns(?:wer)?\s*[.:)-]\s*", "")
+    return F.regexp_replace(F.regexp_replace(line, ANSWER_LABEL, ""), ANSWER_WORD, "")
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -53,7 +72,15 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def file_stem(path: Column) -> Column:
-    return F.regexp_replace(F.element_at(F.split(path, r"[/\\]"), -1), r"\.[^.]*$", "")
+    """The last part of a path in NFKC, without its extension."""
+    last = F.element_at(F.split(path, r"[/\\]"), -1)
+    whole = F.when(last.rlike(r"[^\x{0}-\x{7f}]"), F.java_method(*map(F.lit, COMPOSE), last, F.lit(True))).otherwise(last)
+    return F.regexp_replace(F.trim(whole), r"(?<=.)\.[^.]*$", "")
+
+
+def extension(path: Column) -> Column:
+    """Lower case, with its stop; empty without one."""
+    return F.lower(F.regexp_extract(F.element_at(F.split(path, r"[/\\]"), -1), r".(\.[^.]*)$", 1))
 
 
 def first_line(text: Column, limit: int = 120) -> Column:

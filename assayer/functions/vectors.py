@@ -25,14 +25,19 @@ def centroids(df: DataFrame, key: str, vector: str) -> DataFrame:
     return at.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda s: s["x"]).alias("centroid"))
 
 
+#: Words that say nothing about a question.
+QUESTION_WORDS = "the a an and or of to in on for is are was were be by with as at from that this it its which what who whom how why when where explain write discuss describe briefly short note notes any five four two three state give list".split()
+
+
 def trigram_slots(df: DataFrame, key: str, text: str, slots: int = 1024) -> DataFrame:
-    """key, slot, weight: counts of hashed trigrams of padded words (1 each) and of whole words of three letters or more (2 each)."""
+    """key, slot, weight: of words with three letters or more that say something, counts of hashed trigrams of the padded word (1 each) and of the word (2 each)."""
     word = df.select(key, F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit("([a-z0-9]+)"), F.lit(1))).alias("w"))
+    word = word.where((F.length("w") >= 3) & ~F.col("w").isin(QUESTION_WORDS))
     padded = F.concat(F.lit(" "), F.col("w"), F.lit(" "))
-    grams = F.transform(F.sequence(F.lit(1), F.length("w")), lambda i: F.substr(padded, i, F.lit(3)))
-    parts = word.select(key, F.explode(grams).alias("gram"), F.lit(1).alias("n"))
-    whole = word.where(F.length("w") >= 3).select(key, F.concat(F.lit("w:"), F.col("w")).alias("gram"), F.lit(2).alias("n"))
-    return parts.unionByName(whole).groupBy(key, F.pmod(F.crc32("gram"), F.lit(slots)).cast("int").alias("slot")).agg(F.sum("n").alias("weight"))
+    grams = F.transform(F.sequence(F.lit(1), F.length("w")), lambda i: F.struct(F.substr(padded, i, F.lit(3)).alias("gram"), F.lit(1).alias("n")))
+    whole = F.array(F.struct(F.concat(F.lit("w:"), F.col("w")).alias("gram"), F.lit(2).alias("n")))
+    parts = word.select(key, F.explode(F.concat(grams, whole)).alias("g"))
+    return parts.groupBy(key, F.pmod(F.crc32("g.gram"), F.lit(slots)).cast("int").alias("slot")).agg(F.sum("g.n").alias("weight"))
 
 
 def top_mean(values: Column, k: int = 3) -> Column:

@@ -1,22 +1,17 @@
-"""Per-entity algorithms whose next step depends on the last: each runs over one page, graph or booklet, which is small by nature.
+"""Boxes of a page matched, suppressed, aligned and grouped one after the other, and the least total cost of an assignment.
 
-A page has some dozens of boxes and a booklet some hundreds of blocks; groups above MOST rows are refused by an error, not cut, since no page of that size exists and its task would not be bounded.
+What depends on the boxes before is a fold over a page's rows in order (operators/state.py): a task holds the boxes that later ones are compared with, as arrays, and no page is collected or refused.
 """
 
 from __future__ import annotations
 
+from typing import Any
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MOST = 5000
-
-
-def _small(rows: pd.DataFrame, what: str) -> pd.DataFrame:
-    if len(rows) > MOST:
-        raise ValueError(f"{what} has {len(rows)} rows; at most {MOST} are possible")
-    return rows
+from assayer.operators.state import fold
 
 
 def assign(cost: np.ndarray) -> list[int]:
@@ -47,23 +42,16 @@ def assign(cost: np.ndarray) -> list[int]:
     return out
 
 
-def best_pairs(df: DataFrame, graph: str, side: str, node: str, value: str, most: float) -> DataFrame:
-    """Pairs of truth and drawn nodes of each graph at the least total cost, where leaving a node alone costs 1 and a pair above `most` is none."""
-
-    def pair(x: pd.DataFrame) -> pd.DataFrame:
-        x = _small(x, "a graph").sort_values(node)
-        a, b = x[x[side] == "truth"], x[x[side] == "drawn"]
-        n, m = len(a), len(b)
-        far = 1e6
-        cost = np.zeros((n + m, n + m))
-        cost[:n, :m] = np.abs(a[value].to_numpy()[:, None] - b[value].to_numpy()[None, :])
-        cost[:n, m:] = np.where(np.eye(n, dtype=bool), 1.0, far)
-        cost[n:, :m] = np.where(np.eye(m, dtype=bool), 1.0, far)
-        got = assign(cost)
-        rows = [(x[graph].iloc[0], a[node].iloc[i], b[node].iloc[j], float(cost[i, j])) for i, j in enumerate(got[:n]) if j < m and cost[i, j] <= most]
-        return pd.DataFrame(rows, columns=["graph", "truth", "drawn", "cost"])
-
-    return df.groupBy(graph).applyInPandas(pair, f"graph {dict(df.dtypes)[graph]}, truth string, drawn string, cost double")
+def saving(cost: np.ndarray, alone: float = 2.0) -> list[tuple[int, int]]:
+    """Pairs (row, column) at the least total cost, where a row and a column that stay alone cost `alone` together. Costs may be infinite."""
+    n, m = cost.shape
+    if not n or not m:
+        return []
+    size = n + m
+    square = np.zeros((size, size))
+    square[:n, :m] = np.minimum(np.where(np.isfinite(cost), cost, 1e6) - alone, 1e6)
+    got = assign(square)
+    return [(i, j) for i, j in enumerate(got[:n]) if j < m and square[i, j] < 0]
 
 
 def detections(lines: DataFrame) -> DataFrame:
@@ -73,89 +61,123 @@ def detections(lines: DataFrame) -> DataFrame:
     return lines.select(F.col("l_orderkey").alias("page"), name.alias("id"), (F.col("l_returnflag") == "A").alias("truth"), F.col("l_discount").alias("score"), x.alias("x0"), y.alias("y0"), (x + 5 + y).alias("x1"), (y + 12).alias("y1"))
 
 
-def _iou(a, b) -> float:
-    w, h = min(a.x1, b.x1) - max(a.x0, b.x0), min(a.y1, b.y1) - max(a.y0, b.y0)
-    if w <= 0 or h <= 0:
-        return 0.0
-    return w * h / ((a.x1 - a.x0) * (a.y1 - a.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) - w * h)
+class Boxes:
+    """Boxes that later ones are compared with."""
+
+    def __init__(self) -> None:
+        self.at = np.zeros((16, 4))
+        self.ids: list = []
+
+    def add(self, name: Any, box: tuple) -> None:
+        if len(self.ids) == len(self.at):
+            self.at = np.concatenate([self.at, np.zeros_like(self.at)])
+        self.at[len(self.ids)] = box
+        self.ids.append(name)
+
+    def overlap(self, box: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """With each box: the shared area, its share of both, and of `box`."""
+        own = self.at[: len(self.ids)]
+        side = np.minimum(own[:, 2:], box[2:]) - np.maximum(own[:, :2], box[:2])
+        cut = np.where((side > 0).all(axis=1), side.prod(axis=1), 0.0)
+        area, size = (own[:, 2:] - own[:, :2]).prod(axis=1), (box[2] - box[0]) * (box[3] - box[1])
+        return cut, np.divide(cut, area + size - cut, out=np.zeros_like(cut), where=cut > 0), cut / size if size else cut
+
+    def best(self, box: tuple, iou: float, inside: float) -> int | None:
+        """The box with the largest share of both, if that is enough; else the one that holds most of it, if that is; the first of equals."""
+        if not self.ids:
+            return None
+        _, both, held = self.overlap(box)
+        for share, least in ((both, iou), (held, inside)):
+            k = int(np.argmax(share))
+            if share[k] > 0 and share[k] >= least:
+                return k
+        return None
+
+    def holding(self, box: tuple, inside: float) -> int | None:
+        """The first box of which `box` holds so much."""
+        own = self.at[: len(self.ids)]
+        area = (own[:, 2:] - own[:, :2]).prod(axis=1)
+        found = np.flatnonzero(self.overlap(box)[0] >= inside * np.maximum(area, 1e-9)) if self.ids else []
+        return int(found[0]) if len(found) else None
+
+
+def _box(row: Any) -> tuple:
+    return (row.x0, row.y0, row.x1, row.y1)
 
 
 def greedy(boxes: DataFrame, least: float) -> DataFrame:
-    """page, id, match: each detection, by score, takes the free true box with the best overlap of `least` or more."""
+    """page, id, match, score: each detection, by score, takes the free true box with the best overlap of `least` or more."""
 
-    def match(x: pd.DataFrame) -> pd.DataFrame:
-        x = _small(x, "a page").sort_values(["score", "id"], ascending=[False, True])
-        free = [r for r in x.itertuples() if r.truth]
-        out = []
-        for d in (r for r in x.itertuples() if not r.truth):
-            best = max(((_iou(d, f), i) for i, f in enumerate(free)), key=lambda p: (p[0], -p[1]), default=(0.0, -1))
-            hit = free.pop(best[1]).id if best[0] >= least else None
-            out.append((d.page, d.id, hit))
-        return pd.DataFrame(out, columns=["page", "id", "match"])
+    def step(true: Boxes, row: Any) -> tuple[Boxes, tuple | None]:
+        if row.truth:
+            true.add(row.id, _box(row))
+            return true, None
+        hit = None
+        if true.ids:
+            share = true.overlap(_box(row))[1]
+            k = int(np.argmax(share))
+            if share[k] >= least and share[k] > 0:
+                hit = true.ids[k]
+                true.at[k] = -1  # taken: an empty box overlaps nothing
+        return true, (row.page, row.id, hit, row.score)
 
-    return boxes.groupBy("page").applyInPandas(match, "page long, id string, match string")
+    rows = boxes.withColumn("found", ~F.col("truth")).withColumn("by", F.when(F.col("truth"), 0.0).otherwise(-F.col("score")))
+    return fold(rows, "page", ["found", "by", "id"], "page long, id string, match string, score double", Boxes, step)
 
 
 def suppressed(boxes: DataFrame, most: float) -> DataFrame:
-    """The detections that stay: by score, each that overlaps none before it by more than `most`."""
+    """page, id, score of the detections that stay: by score, each that overlaps none before it by more than `most`."""
 
-    def keep(x: pd.DataFrame) -> pd.DataFrame:
-        kept: list = []
-        for r in _small(x, "a page").sort_values(["score", "id"], ascending=[False, True]).itertuples():
-            if all(_iou(r, k) <= most for k in kept):
-                kept.append(r)
-        return pd.DataFrame([(k.page, k.id, k.score) for k in kept], columns=["page", "id", "score"])
+    def step(kept: Boxes, row: Any) -> tuple[Boxes, tuple | None]:
+        if kept.ids and (kept.overlap(_box(row))[1] > most).any():
+            return kept, None
+        kept.add(row.id, _box(row))
+        return kept, (row.page, row.id, row.score)
 
-    return boxes.groupBy("page").applyInPandas(keep, "page long, id string, score double")
+    return fold(boxes, "page", [F.desc("score"), "id"], "page long, id string, score double", Boxes, step)
 
 
 def row_bands(boxes: DataFrame, share: float = 0.5) -> DataFrame:
-    """page, id, band: a box joins the band it overlaps by half of its height, and the band grows by it."""
-
-    def bands(x: pd.DataFrame) -> pd.DataFrame:
-        out, made = [], []
-        for r in _small(x, "a page").sort_values(["y0", "x0", "id"]).itertuples():
-            i = next((i for i, (lo, hi) in enumerate(made) if min(hi, r.y1) - max(lo, r.y0) >= share * (r.y1 - r.y0)), None)
-            if i is None:
-                made.append((r.y0, r.y1))
-                i = len(made) - 1
-            made[i] = (min(made[i][0], r.y0), max(made[i][1], r.y1))
-            out.append((r.page, r.id, i))
-        return pd.DataFrame(out, columns=["page", "id", "band"])
-
-    return boxes.groupBy("page").applyInPandas(bands, "page long, id string, band int")
+    """page, id, band: by the middles of their heights, a box joins the last band if they overlap by half of the smaller of the two, and the band grows by it; else it begins one."""
+
+    def step(last: tuple | None, row: Any) -> tuple[tuple, tuple]:
+        top, bottom, band = last or (row.y0, row.y1, -1)
+        if last and min(bottom, row.y1) - max(top, row.y0) >= share * min(bottom - top, row.y1 - row.y0):
+            last = (min(top, row.y0), max(bottom, row.y1), band)
+        else:
+            last = (row.y0, row.y1, band + 1)
+        return last, (row.page, row.id, last[2])
+
+    return fold(boxes, "page", [F.col("y0") + F.col("y1"), "x0", "id"], "page long, id string, band int", lambda: None, step)
+
+
+def aligned(boxes: DataFrame, iou: float = 0.5, inside: float = 0.6) -> DataFrame:
+    """page, engine, id, line: each engine's reading goes to the detected line that it overlaps best, or that holds most of it; several may go to one. The others make extra lines, to which later ones are matched in the same way or by what they hold, and which grow."""
+
+    def step(held: tuple[Boxes, Boxes], row: Any) -> tuple[tuple[Boxes, Boxes], tuple | None]:
+        lines, extras = held
+        if row.truth:
+            lines.add(row.id, _box(row))
+            return held, None
+        box = _box(row)
+        if (k := lines.best(box, iou, inside)) is not None:
+            return held, (row.page, row.engine, row.id, lines.ids[k])
+        k = extras.best(box, iou, inside)
+        k = extras.holding(box, inside) if k is None else k
+        if k is None:
+            k = len(extras.ids)
+            extras.add(f"extra {k}", box)
+        else:
+            extras.at[k] = [*np.minimum(extras.at[k][:2], box[:2]), *np.maximum(extras.at[k][2:], box[2:])]
+        return held, (row.page, row.engine, row.id, extras.ids[k])
+
+    rows = boxes.withColumn("found", ~F.col("truth"))
+    return fold(rows, "page", ["found", "engine", "y0", "x0", "id"], "page long, engine string, id string, line string", lambda: (Boxes(), Boxes()), step)
 
 
 def list_runs(df: DataFrame, key: str, order: list[str], number: str, least: int = 3) -> DataFrame:
-    """key, first, length: runs n, n + 1, ... of a key's numbers in order, of `least` at least."""
-    from pyspark.sql import Window
-
+    """key, first, length: runs 1, 2, ... of a key's numbers in order, of `least` at least."""
     w = Window.partitionBy(key).orderBy(*order)
-    rows = df.withColumn("i", F.row_number().over(w)).withColumn("island", F.col(number) - F.col("i"))
-    turn = (F.col("island") != F.lag("island").over(w)).cast("int")
-    rows = rows.withColumn("run", F.sum(F.coalesce(turn, F.lit(1))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.groupBy(key, "run").agg(F.min(number).alias("first"), F.count("*").alias("length")).where(F.col("length") >= least).select(key, "first", "length")
-
-
-def decode(blocks: DataFrame, beam: int = 64, switch: float = 0.4, repeat: float = 0.6) -> DataFrame:
-    """booklet, block, question: the best assignment of a booklet's blocks in order, where changing the question costs `switch` less the block's start evidence, and coming back to an answered one costs `repeat`; hypotheses with the same question and the same answered ones are merged."""
-
-    def search(x: pd.DataFrame) -> pd.DataFrame:
-        x = _small(x, "a booklet").sort_values("block")
-        paths: dict[tuple[int, frozenset], tuple[float, tuple | None]] = {(-1, frozenset()): (0.0, None)}
-        for similarity, start in zip(x["similarity"], x["start"], strict=True):
-            after: dict = {}
-            for (q, answered), (score, path) in paths.items():
-                for p, s in enumerate(similarity):
-                    change = 0.0 if p == q else -switch * (1 - start) - (repeat if p in answered else 0.0)
-                    key, value = (p, answered | {p}), score + float(s) + change
-                    if key not in after or value > after[key][0]:
-                        after[key] = (value, (p, path))
-            paths = dict(sorted(after.items(), key=lambda kv: (-kv[1][0], kv[0][0], sorted(kv[0][1])))[:beam])
-        path, got = max(paths.values(), key=lambda v: v[0])[1], []
-        while path:
-            got.append(path[0])
-            path = path[1]
-        return pd.DataFrame({"booklet": x["booklet"], "block": x["block"], "question": got[::-1]})
-
-    return blocks.groupBy("booklet").applyInPandas(search, "booklet long, block long, question int")
+    rows = df.withColumn("turn", F.coalesce(F.col(number) != F.lag(number).over(w) + 1, F.lit(True)).cast("int"))
+    rows = rows.withColumn("run", F.sum("turn").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.groupBy(key, "run").agg(F.min(number).alias("first"), F.count("*").alias("length")).where((F.col("length") >= least) & (F.col("first") == 1)).select(key, "first", "length")

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from assayer.sources.shared import staged
+
 
 def band_grid(spark: SparkSession, step: int = 25) -> DataFrame:
     """Pairs half < whole in thousandths, half up to 900, whole up to 975."""
@@ -29,10 +32,14 @@ def first_best(df: DataFrame, keys: list[str], error: str, *order: str) -> DataF
 
 
 def ranked(df: DataFrame, value: str, name: str) -> DataFrame:
-    """Mean ranks over all rows, from the counts of distinct values: the window sees values, not rows."""
-    counts = df.groupBy(value).agg(F.count("*").alias("__n"))
-    before = counts.withColumn("__b", F.sum("__n").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)))
-    return df.join(before.select(value, (F.coalesce("__b", F.lit(0)) + (F.col("__n") + 1) / 2).alias(name)), value)
+    """Mean ranks over all rows, from the counts of distinct values. Values are dealt in ranges; a window sees the values of a range, and one the ranges."""
+    counts = df.groupBy(value).agg(F.count("*").alias("__n")).repartitionByRange(value).withColumn("__p", F.spark_partition_id())
+    counts = staged(counts, "ranks")
+    upto = lambda w: F.coalesce(F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = counts.groupBy("__p").agg(F.sum("__n").alias("__n")).withColumn("__one", F.lit(0))
+    ranges = ranges.select("__p", upto(Window.partitionBy("__one").orderBy("__p")).alias("__r"))  # a row a range
+    inside = counts.withColumn("__b", upto(Window.partitionBy("__p").orderBy(value))).join(ranges, "__p")
+    return df.join(inside.select(value, (F.col("__r") + F.col("__b") + (F.col("__n") + 1) / 2).alias(name)), value)
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -40,29 +47,50 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     return rows.agg(F.coalesce(F.covar_pop("__ra", "__rb") / F.nullif(F.stddev_pop("__ra") * F.stddev_pop("__rb"), F.lit(0.0)), F.lit(0.0)).alias("spearman"))
 
 
+def rising(mean: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """First places of the blocks of a least-squares rising step fit: while a block's mean is above the next one's, runs of falling means are pooled, all at once."""
+    first = np.arange(len(mean))
+    total, count = mean * weight, weight.astype(float)
+    while len(first) > 1:
+        value = total / count
+        starts = np.flatnonzero(np.append(True, value[:-1] <= value[1:]))
+        if len(starts) == len(first):
+            break
+        first, total, count = first[starts], np.add.reduceat(total, starts), np.add.reduceat(count, starts)
+    return first
+
+
 def isotonic(df: DataFrame, key: list[str], x: str, y: str) -> DataFrame:
-    """Breakpoints xs, ys of a rising step curve by pooling adjacent violators, for each key. Samples are summed by x to six places first, so a key has a million cells at most for x in [0, 1]."""
+    """Breakpoints xs, ys of a rising step curve for each key: the lowest and highest x of each block with its mean, to six places and within [0, 1]. Samples are summed by x to six places first, so a key has a million cells at most for x in [0, 1]."""
     kinds = ", ".join(f"{k} {dict(df.dtypes)[k]}" for k in key)
 
     def pool(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("__x")
-        blocks: list[list[float]] = []  # sum, count, low, high
-        for value, total, count in zip(rows["__x"], rows["__s"], rows["__n"], strict=True):
-            blocks.append([total, count, value, value])
-            while len(blocks) > 1 and blocks[-2][0] / blocks[-2][1] >= blocks[-1][0] / blocks[-1][1]:
-                s, n, _, high = blocks.pop()
-                blocks[-1] = [blocks[-1][0] + s, blocks[-1][1] + n, blocks[-1][2], high]
-        xs, ys = [], []
-        for s, n, low, high in blocks:
-            for place in [low] if low == high else [low, high]:
-                xs.append(round(float(place), 6))
-                ys.append(round(s / n, 6))
-        return pd.DataFrame([[*(rows[k].iloc[0] for k in key), xs, ys]], columns=[*key, "xs", "ys"])
+        at, total, count = (rows[c].to_numpy(float) for c in ("__x", "__s", "__n"))
+        first = rising(total / count, count)
+        last = np.append(first[1:], len(at)) - 1
+        mean = np.clip(np.round(np.add.reduceat(total, first) / np.add.reduceat(count, first), 6), 0.0, 1.0)
+        ends = np.stack([first, last], 1).ravel()
+        once = np.append(True, ends[1:] != ends[:-1])
+        return pd.DataFrame([[*(rows[k].iloc[0] for k in key), at[ends[once]].tolist(), np.repeat(mean, 2)[once].tolist()]], columns=[*key, "xs", "ys"])
 
     cells = df.groupBy(*key, F.round(F.col(x).cast("double"), 6).alias("__x")).agg(F.sum(F.col(y).cast("double")).alias("__s"), F.count("*").cast("double").alias("__n"))
     return cells.groupBy(*key).applyInPandas(pool, f"{kinds}, xs array<double>, ys array<double>")
 
 
+def calibrations(df: DataFrame, engine: str, kind: str, x: str, error: str, previous: DataFrame, least: int = 30) -> DataFrame:
+    """engine, kind, version, samples, error_rate, weight, xs, ys of the groups of df(engine, kind, x, error) that have `least` samples; a version is the one after that of previous(engine, kind, version), and weights are relative to the best engine of the kind."""
+    group = [engine, kind]
+    enough = df.groupBy(*group).agg(F.count("*").alias("samples"), F.avg(error).alias("rate")).where(F.col("samples") >= least)
+    odds = F.least(F.greatest(F.col("rate"), F.lit(1e-6)), F.lit(1 - 1e-6))
+    raw = enough.withColumn("raw", F.greatest(F.lit(0.0), F.log((1 - odds) / odds) / 2))
+    best = F.max("raw").over(Window.partitionBy(kind))
+    weighted = raw.withColumn("weight", F.when(best > 0, F.round(F.col("raw") / best, 6)).otherwise(0.0))
+    curves = isotonic(df.join(enough.select(*group), group, "left_semi").withColumn("__y", 1 - F.col(error)), group, x, "__y")
+    out = weighted.join(curves, group).join(previous.select(*group, F.col("version").alias("__v")), group, "left")
+    return out.select(*group, (F.coalesce("__v", F.lit(0)) + 1).alias("version"), "samples", F.round("rate", 6).alias("error_rate"), "weight", "xs", "ys")
+
+
 def interpolated(value, xs, ys):
     """A piecewise linear curve through breakpoints, flat beyond its ends."""
     at = F.size(F.filter(xs, lambda p: p <= value))
@@ -71,21 +99,29 @@ def interpolated(value, xs, ys):
     return F.when(value <= F.element_at(xs, 1), F.element_at(ys, 1)).when((at >= F.size(xs)) | (x1 == x0), y0).otherwise(y0 + (value - x0) * (y1 - y0) / (x1 - x0))
 
 
-def bootstrap_ratio(df: DataFrame, key: list[str], part: str, whole: str, draws: int = 1000, seed: int = 20261004) -> DataFrame:
-    """A 95 % interval of sum(part) / sum(whole) over resampled rows of a key (pages); null below five rows."""
+def resampled(units: int, draws: int, seed: int) -> np.ndarray:
+    """Places drawn with replacement, a row a draw; the seed fixes them."""
+    rng = random.Random(seed)
+    return np.fromiter((rng.randrange(units) for _ in range(draws * units)), np.int64, draws * units).reshape(draws, units)
+
+
+def interval(values: np.ndarray) -> tuple[float | None, float | None]:
+    """The 2.5 and 97.5 % places of sorted values."""
+    values = np.sort(values[np.isfinite(values)])
+    return tuple(float(values[int(share * (len(values) - 1))]) for share in (0.025, 0.975)) if len(values) else (None, None)
+
+
+def bootstrap_ratio(df: DataFrame, key: list[str], unit: str, part: str, whole: str, draws: int = 1000, seed: int = 20261004, least: int = 5) -> DataFrame:
+    """A 95 % interval of sum(part) / sum(whole) over resampled units (pages) of a key, in order of their names; null below `least` units. Units are aggregated before they come here: a key has one row a page."""
     kinds = ", ".join(f"{k} {dict(df.dtypes)[k]}" for k in key)
 
     def resample(rows: pd.DataFrame) -> pd.DataFrame:
-        pairs = sorted(zip(rows[part].tolist(), rows[whole].tolist(), strict=True))
+        rows = rows.sort_values(unit)
         low = high = None
-        if len(pairs) >= 5:
-            rng, ratios = random.Random(seed), []
-            for _ in range(draws):
-                picked = [pairs[rng.randrange(len(pairs))] for _ in pairs]
-                if total := sum(w for _, w in picked):
-                    ratios.append(sum(p for p, _ in picked) / total)
-            ratios.sort()
-            low, high = ratios[int(0.025 * (len(ratios) - 1) + 0.5)], ratios[int(0.975 * (len(ratios) - 1) + 0.5)]
-        return pd.DataFrame([[*(rows[k].iloc[0] for k in key), len(pairs), low, high]], columns=[*key, "pages", "low", "high"])
-
-    return df.select(*key, F.col(part).cast("double"), F.col(whole).cast("double")).groupBy(*key).applyInPandas(resample, f"{kinds}, pages long, low double, high double")
+        if len(rows) >= least:
+            picked = resampled(len(rows), draws, seed)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                low, high = interval(rows[part].to_numpy(float)[picked].sum(axis=1) / rows[whole].to_numpy(float)[picked].sum(axis=1))
+        return pd.DataFrame([[*(rows[k].iloc[0] for k in key), len(rows), low, high]], columns=[*key, "pages", "low", "high"])
+
+    return df.select(*key, unit, F.col(part).cast("double").alias(part), F.col(whole).cast("double").alias(whole)).groupBy(*key).applyInPandas(resample, f"{kinds}, pages long, low double, high double")

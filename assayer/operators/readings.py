@@ -26,14 +26,45 @@ def select_reading(scored: DataFrame, line: str, position: str, alpha: float, be
     return best.withColumn("line_score", F.least(F.lit(1.0), F.col("s") / ceiling)).withColumn("flagged", F.col("line_score") < threshold).drop("__r")
 
 
+def edits(df: DataFrame, written: str, truth: str) -> DataFrame:
+    """df with chars, edits, words, word_edits of a reading against the truth, both in flat form."""
+    a, b = text.flat(F.col(written)), text.flat(F.col(truth))
+    split = lambda x: F.filter(F.split(x, " "), lambda w: w != "")
+    return df.withColumns({"chars": F.length(b), "edits": F.levenshtein(a, b), "words": F.size(split(b)), "word_edits": text.list_edits(split(a), split(b))})
+
+
 def tally(df: DataFrame, written: str, truth: str, groups: list[str]) -> DataFrame:
     """Edits and lengths summed over all, and by each of the groups on its own: a rate is a sum over a sum."""
-    rows = df.withColumn("__e", F.levenshtein(written, truth)).withColumn("__n", F.length(truth))
-    measures = [F.count("*").alias("lines"), F.sum("__e").alias("edits"), F.sum("__n").alias("chars")]
+    rows = edits(df, written, truth)
     sets = [[], *[[g] for g in groups]]
+    measures = [F.count("*").alias("lines"), *[F.sum(c).alias(c) for c in ("edits", "chars", "word_edits", "words")]]
     return rows.groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(g) for g in groups]).agg(*measures)
 
 
+def content_class(df: DataFrame, line: str, body: str, confidence: str, printing: Column, numeric: float = 0.6, alike: float = 0.8, sure: float = 0.8) -> DataFrame:
+    """line, class: numeric where digits and signs make most of its readings' characters and one is a digit; print where two printing engines or more agree and are sure; else cursive."""
+    packed = F.regexp_replace(body, r"\s+", "")
+    share = df.groupBy(line).agg(F.sum(F.length(packed)).alias("all"), F.sum(F.length(F.regexp_replace(packed, r"[^0-9.,+\-/%()=]", ""))).alias("numeric"), F.max(packed.rlike("[0-9]")).alias("digit"))
+    printed = df.where(printing & (F.trim(body) != "")).select(line, F.col(body).alias("__a"), F.col(confidence).alias("__c"), F.monotonically_increasing_id().alias("__i"))
+    held = printed.groupBy(line).agg(F.collect_list(F.struct("__i", "__a", "__c")).alias("__r"))  # a line's readings, one an engine
+    near = lambda p, q: F.when(p["__i"] < q["__i"], text.norm_distance(p["__a"], q["__a"]))
+    apart = F.array_compact(F.flatten(F.transform("__r", lambda p: F.transform("__r", lambda q: near(p, q)))))
+    mean = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, x: s + x) / F.size(xs)
+    held = held.where(F.size("__r") >= 2).select(line, (1 - mean(apart)).alias("agree"), mean(F.transform("__r", lambda p: p["__c"].cast("double"))).alias("sure"))
+    rows = share.join(held, line, "left")
+    kind = F.when((F.col("all") > 0) & (F.col("numeric") / F.nullif("all", F.lit(0)) >= numeric) & F.col("digit"), "numeric").when((F.col("agree") >= alike) & (F.col("sure") >= sure), "print").otherwise("cursive")
+    return rows.select(line, kind.alias("class"))
+
+
+def orientation(df: DataFrame, page: str, side: str, body: str, confidence: str, margin: float = 0.1, least: int = 40) -> DataFrame:
+    """page, upright, turned, decided, turn: confidences weighted by characters of the readings of a page as it is and turned; it is turned if enough was read and turned reads better by the margin."""
+    n = F.length(F.trim(body))
+    q = lambda k, what: F.sum(F.when(F.col(side) == k, what))
+    quality = lambda k: F.round(F.coalesce(q(k, F.col(confidence) * n) / F.nullif(q(k, n), F.lit(0)), F.lit(0.0)), 4)
+    rows = df.groupBy(page).agg(quality("upright").alias("upright"), quality("turned").alias("turned"), (F.greatest(F.coalesce(q("upright", n), F.lit(0)), F.coalesce(q("turned", n), F.lit(0))) >= least).alias("decided"))
+    return rows.withColumn("turn", F.col("decided") & (F.round(F.col("turned") - F.col("upright"), 4) >= margin))
+
+
 def merge_pieces(df: DataFrame, line: str, x: str, body: str, confidence: str) -> DataFrame:
     """An engine's pieces of a line from left to right, with a confidence weighted by their lengths."""
     w = F.greatest(F.length(F.trim(body)), F.lit(1))

@@ -1,11 +1,11 @@
-"""Folds over a key's rows in time order, where what a row means depends on the one before.
+"""Folds over a key's rows in order, where what a row means depends on the one before.
 
-Rows are dealt by key and sorted in their partitions; a task streams through them and holds one key's state, so a key of any size takes constant memory.
+Rows are dealt by key and sorted in their partitions; a task streams through them and holds one key's state, so a key of any number of rows takes the memory of its state only.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
 import pandas as pd
@@ -13,22 +13,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def fold(df: DataFrame, key: str, order: list[str], schema: str, start: Callable[[], Any], step: Callable[[Any, Any], tuple[Any, tuple | None]]) -> DataFrame:
-    """step(state, row) gives the next state and a row to return, or None."""
+def fold(df: DataFrame, key: str, order: list, schema: str, start: Callable[[], Any], step: Callable[[Any, Any], tuple[Any, tuple | None]], finish: Callable[[Any], Iterable[tuple]] | None = None) -> DataFrame:
+    """step(state, row) gives the next state and a row to return, or None; finish(state) the rows to return behind a key's last."""
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, held = object(), None
+        first = True
         for x in frames:
-            out = []
+            out: list = []
             for row in x.itertuples(index=False):
                 k = getattr(row, key)
-                if k != now:
-                    now, held = k, start()
+                if first or k != now:
+                    if finish and not first:
+                        out += finish(held)
+                    now, held, first = k, start(), False
                 held, made = step(held, row)
                 if made is not None:
                     out.append(made)
-            yield pd.DataFrame(out, columns=names)
+            yield pd.DataFrame(out, columns=names, dtype=None if out else object)
+        if finish and not first:
+            last = list(finish(held))
+            yield pd.DataFrame(last, columns=names, dtype=None if last else object)
 
     return df.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
 

@@ -2,20 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayer.functions import udfs
 from assayer.functions.text import tokens
-from assayer.operators import assignment
 from assayer.registry import Tables, query
 
 
-@query()
-def str_normalise_scoring(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", F.sha2(udfs.normalise_scoring("text"), 256).alias("h"))
-
-
 @query()
 def str_normalise_label(t: Tables) -> DataFrame:
     return t.pages.select("page_id", udfs.normalise_label("url").alias("label"))
@@ -23,95 +17,71 @@ def str_normalise_label(t: Tables) -> DataFrame:
 
 @query()
 def str_split_sentences(t: Tables) -> DataFrame:
-    return t.conversations.select("conv_id", "turn", F.size(udfs.sentences("text")).alias("sentences"))
+    return t.conversations.select("conv_id", "turn", F.posexplode(udfs.sentences("text")).alias("at", "sentence")).select("conv_id", "turn", "at", F.sha2("sentence", 256).alias("h"))
 
 
 @query()
 def str_extract_numbers(t: Tables) -> DataFrame:
-    return t.pages.select("page_id", F.explode(udfs.extract_numbers("url")).alias("n")).select("page_id", F.col("n.value").cast("double").alias("value"), F.col("n.unit").alias("unit"))
+    """Numbers with units, of addresses as lines of words and of texts."""
+    lines = t.pages.select("page_id", F.regexp_replace("url", "[/=#?&]+", " ").alias("text"))
+    return lines.select("page_id", F.explode(udfs.extract_numbers("text")).alias("n")).select("page_id", F.col("n.value").cast("double").alias("value"), F.col("n.unit").alias("unit"))
+
+
+def labelled_lines(t: Tables) -> DataFrame:
+    """Lines of the conversations' texts, the first of a turn with an answer's label in one of the ways in which labels are written."""
+    line = t.conversations.select("conv_id", "turn", "role", F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    n = (F.col("turn") + 1).cast("string")
+    forms = [F.concat(F.lit("Q no. "), n, F.lit(". ")), F.concat(n, F.lit(") b) ")), F.concat(F.lit("Ans "), n, F.lit(": ")), F.concat(n, F.lit(". ")), F.lit("Section - B "), F.lit("(ii) "), F.lit("")]
+    form = F.element_at(F.array(*forms), F.pmod(F.col("conv_id") + F.col("turn"), F.lit(len(forms))).cast("int") + 1)
+    return line.withColumn("line", F.when(F.col("at") == 0, F.concat(form, "line")).otherwise(F.col("line")))
 
 
 @query()
 def str_parse_label(t: Tables) -> DataFrame:
-    line = F.concat((F.col("turn") + 1).cast("string"), F.lit(") b) "), F.substring("text", 1, 20))
-    return t.conversations.select("conv_id", "turn", udfs.parse_label(line).alias("l")).select("conv_id", "turn", "l.question", "l.part")
+    rows = labelled_lines(t).select("conv_id", "turn", "at", udfs.parse_label("line").alias("l"))
+    return rows.where("l.kind IS NOT NULL").select("conv_id", "turn", "at", "l.kind", "l.number", "l.part", "l.section", "l.strong")
+
 
+def near_words(words: DataFrame) -> DataFrame:
+    """w, x: words of a vocabulary (w) that may be within two edits of each other, a swap of neighbours being one. Each stands under itself and all it becomes by leaving out up to two characters; two words within two edits have one of these in common."""
+    w = F.col("w")
+    n = F.length(w)
+    without = lambda text, i: F.concat(F.substr(text, F.lit(1), i - 1), F.substr(text, i + 1))
+    places = lambda text: F.when(F.length(text) > 0, F.sequence(F.lit(1), F.length(text))).otherwise(F.array().cast("array<int>"))
+    once = F.transform(places(w), lambda i: without(w, i))
+    twice = F.flatten(F.transform(once, lambda v: F.transform(places(v), lambda i: without(v, i))))
+    keys = words.select("w", F.explode(F.array_distinct(F.concat(F.array(w), once, twice))).alias("key"))
+    met = keys.join(keys.withColumnRenamed("w", "x"), "key").where("w < x")
+    return met.select("w", "x").distinct().where(F.abs(F.length("w") - F.length("x")) <= 2)
 
-def _neighbours(t: Tables) -> DataFrame:
-    """Distinct words of the vocabulary with those of the same first two letters and nearly the same length."""
-    w = t.benchmark.select(F.explode(tokens(F.col("text"))).alias("w")).distinct().withColumn("head", F.substring("w", 1, 2))
-    o = w.select(F.col("w").alias("x"), "head")
-    return w.join(o, "head").where("w < x AND abs(length(w) - length(x)) <= 2")
+
+def _vocabulary(t: Tables) -> DataFrame:
+    return t.benchmark.select(F.explode(tokens(F.col("text"))).alias("w")).distinct()
 
 
 @query()
 def str_osa(t: Tables) -> DataFrame:
-    return _neighbours(t).select("w", "x", udfs.osa("w", "x").alias("distance"))
+    """Pairs of words within two edits, with their distance."""
+    return near_words(_vocabulary(t)).select("w", "x", udfs.osa("w", "x").alias("distance")).where("distance <= 2")
 
 
 @query()
 def str_word_match(t: Tables) -> DataFrame:
-    return _neighbours(t).where(udfs.words_match("w", "x")).select("w", "x")
+    """Key words with the words that may stand for them: two edits are the most that any word allows."""
+    near = near_words(_vocabulary(t))
+    both = near.select(F.col("w").alias("key"), F.col("x").alias("written")).union(near.select("x", "w"))
+    return both.where(udfs.words_match("key", "written"))
 
 
 @query()
 def mth_label_distance(t: Tables) -> DataFrame:
-    return _neighbours(t).select("w", "x", F.round(udfs.osa("w", "x") / F.greatest(F.length("w"), F.length("x")), 6).alias("share"))
+    return near_words(_vocabulary(t)).select("w", "x", F.round(udfs.osa("w", "x") / F.greatest(F.length("w"), F.length("x")), 6).alias("share"))
 
 
 @query()
 def str_find_phrase(t: Tables) -> DataFrame:
-    phrase = F.lit("the of that")
-    return t.conversations.select("conv_id", "turn", F.size(udfs.find_phrase(F.concat(phrase, F.lit(" "), F.substring("text", 1, 24)), "text")).alias("hits"))
-
-
-@query()
-def sc_list(t: Tables) -> DataFrame:
-    """Items of a key that a text names: the first words of three benchmark passages."""
-    items = F.array(F.lit("idiot"), F.lit("worthless"), F.lit("this work"))
-    return t.conversations.select("conv_id", "turn", udfs.count_items(items, "text").alias("found"))
-
-
-@query()
-def sc_guard(t: Tables) -> DataFrame:
-    """Capitalised words of a text that no benchmark passage has."""
-    known = t.benchmark.select(F.explode(tokens(F.col("text"))).alias("w")).distinct()
-    names = t.conversations.select("conv_id", "turn", F.explode(F.regexp_extract_all("text", F.lit(r"\b(\p{Lu}\p{L}+)"), F.lit(1))).alias("name")).withColumn("w", F.lower("name"))
-    return names.join(known, "w", "left_anti").groupBy("conv_id", "turn").agg(F.count_distinct("name").alias("unfamiliar"))
-
-
-@query()
-def gr_assign(t: Tables) -> DataFrame:
-    """Each order's returned lines paired with its accepted ones at the least total cost."""
-    lines = t.lineitem.select(F.col("l_orderkey").alias("graph"), F.when(F.col("l_returnflag") == "R", "drawn").otherwise("truth").alias("side"), F.concat_ws("/", F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"), F.col("l_linenumber").cast("string")).alias("node"), (F.col("l_quantity") / 50).alias("value"))
-    return assignment.best_pairs(lines, "graph", "side", "node", "value", 0.7)
-
-
-@query()
-def join_greedy_detection(t: Tables) -> DataFrame:
-    """Detections matched one to one to true boxes by score, greedily."""
-    return assignment.greedy(assignment.detections(t.lineitem), 0.3)
-
-
-@query()
-def gr_nms(t: Tables) -> DataFrame:
-    return assignment.suppressed(assignment.detections(t.lineitem), 0.3)
-
-
-@query()
-def win_row_bands(t: Tables) -> DataFrame:
-    """Boxes of a page grouped into visual rows by running overlap."""
-    return assignment.row_bands(assignment.detections(t.lineitem))
-
-
-@query()
-def win_list_run(t: Tables) -> DataFrame:
-    """Runs n, n + 1, n + 2 of three line numbers or more, in an order's lines by part."""
-    return assignment.list_runs(t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"), "l_orderkey", ["l_partkey", "l_suppkey", "l_extendedprice"], "l_linenumber")
-
-
-@query()
-def seg_decode(t: Tables) -> DataFrame:
-    """Turns of a conversation assigned to questions by beam search."""
-    blocks = t.conversations.select(F.col("conv_id").alias("booklet"), F.col("turn").alias("block"), F.transform(F.sequence(F.lit(1), F.lit(4)), lambda q: F.pmod(F.xxhash64("text", q), F.lit(1000)) / 1000.0).alias("similarity"), (F.col("role") == "user").cast("double").alias("start"))
-    return assignment.decode(blocks)
+    """Where a turn says what the turn before it began with: its first three words."""
+    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    rows = t.conversations.select("conv_id", "turn", "text", before.alias("before")).where("before IS NOT NULL")
+    phrase = F.array_join(F.slice(tokens(F.col("before")), 1, 3), " ")
+    return rows.select("conv_id", "turn", F.size(udfs.find_phrase(phrase, "text")).alias("hits"))

@@ -41,11 +41,6 @@ def _leaves(t: Tables) -> DataFrame:
     return s.select("paper", F.col("s.label").alias("label"), F.explode("s.items").alias("i")).select("paper", "label", "i.slot", "i.marks", "i.part")
 
 
-@query("SELECT l_orderkey AS paper, count(DISTINCT l_returnflag) AS sections, count(*) AS leaves, round(sum(l_quantity), 2) AS total FROM lineitem GROUP BY 1")
-def jsn_blueprint(t: Tables) -> DataFrame:
-    return _leaves(t).groupBy("paper").agg(F.count_distinct("label").alias("sections"), F.count("*").alias("leaves"), F.round(F.sum("marks"), 2).alias("total"))
-
-
 @query("SELECT l_orderkey AS paper, l_linenumber AS slot, p_partkey AS part, p_name FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_type = 'PROMO'")
 def join_lateral_json(t: Tables) -> DataFrame:
     """Questions named anywhere in a document, joined to their texts."""
@@ -65,19 +60,6 @@ def agg_average_days(t: Tables) -> DataFrame:
     return out.select("l_returnflag", numbers.average_days(F.col("s"), F.col("n")).cast("double").alias("days"))
 
 
-@query("SELECT conv_id, turn, turn || '.' || role AS label FROM conversations WHERE conv_id < 30 ORDER BY conv_id, turn, role")
-def srt_paper_order(t: Tables) -> DataFrame:
-    """Labels like 12.a by their number, then their text."""
-    label = F.concat_ws(".", F.col("turn").cast("string"), "role")
-    parts = F.transform(F.split("label", r"\."), lambda p: F.struct(p.try_cast("int").alias("n"), p.alias("s")))
-    return t.conversations.where("conv_id < 30").select("conv_id", "turn", label.alias("label")).orderBy("conv_id", parts)
-
-
-@query("SELECT * FROM (SELECT 'part' AS hit_group, CAST(p_partkey AS VARCHAR) AS key, p_name AS hit FROM part WHERE contains(lower(p_name), 'bolt') ORDER BY lower(p_name), key LIMIT 5) UNION ALL SELECT * FROM (SELECT 'brand', CAST(p_partkey AS VARCHAR) AS key, p_brand FROM part WHERE contains(lower(p_brand), '#1') ORDER BY lower(p_brand), key LIMIT 5)")
-def rep_global_search(t: Tables) -> DataFrame:
-    return paging.search_groups([("part", t.part.where(paging.contains_ci("p_name", "bolt")), F.col("p_partkey"), F.col("p_name")), ("brand", t.part.where(paging.contains_ci("p_brand", "#1")), F.col("p_partkey"), F.col("p_brand"))])
-
-
 @query("SELECT a.p_type AS a, b.p_type AS b, CASE WHEN a.p_type = b.p_type THEN 0.0 WHEN a.p_type = 'SMALL' OR b.p_type = 'SMALL' THEN 0.5 ELSE 1.0 END AS cost FROM (SELECT DISTINCT p_type FROM part) a, (SELECT DISTINCT p_type FROM part) b")
 def mth_shape_cost(t: Tables) -> DataFrame:
     """Costs of every pair of shapes; one that is unknown costs half."""
@@ -104,20 +86,6 @@ def jsn_graph(t: Tables) -> DataFrame:
     return back.groupBy("graph").agg(F.count("*").alias("edges"), F.sum("e.source").alias("check"))
 
 
-@query("""SELECT l_orderkey AS graph, '{"nodes":' || count(*) || ',"extra":' || count(*) FILTER (l_returnflag = 'A') || ',"missing":' || count(*) FILTER (l_returnflag = 'R') || '}' AS body FROM lineitem GROUP BY 1""")
-def jsn_comparison_doc(t: Tables) -> DataFrame:
-    f = F.col("l_returnflag")
-    c = t.lineitem.groupBy(F.col("l_orderkey").alias("graph")).agg(F.count("*").alias("nodes"), F.count_if(f == "A").alias("extra"), F.count_if(f == "R").alias("missing"))
-    return c.select("graph", F.to_json(F.struct("nodes", "extra", "missing")).alias("body"))
-
-
-@query("SELECT l_orderkey, edge AS x0, next AS x1 FROM (SELECT l_orderkey, edge, lead(edge) OVER (PARTITION BY l_orderkey ORDER BY edge) AS next FROM (SELECT DISTINCT l_orderkey, l_linenumber * 10 AS edge FROM lineitem)) WHERE next IS NOT NULL")
-def ocr_cut_line(t: Tables) -> DataFrame:
-    """A line's box cut at the edges of shapes."""
-    edges = t.lineitem.select("l_orderkey", (F.col("l_linenumber") * 10).alias("x0")).distinct()
-    return edges.withColumn("x1", F.lead("x0").over(Window.partitionBy("l_orderkey").orderBy("x0"))).where("x1 IS NOT NULL")
-
-
 @query("""
     WITH b AS (SELECT l_orderkey, CAST(l_quantity AS INTEGER) AS y, l_linenumber AS x, l_partkey, l_suppkey, l_extendedprice FROM lineitem),
     r AS (SELECT *, sum(CASE WHEN y - py > 5 THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey ORDER BY y, l_partkey, l_suppkey, l_extendedprice) AS r FROM (SELECT *, lag(y) OVER (PARTITION BY l_orderkey ORDER BY y, l_partkey, l_suppkey, l_extendedprice) AS py FROM b)),
@@ -131,45 +99,6 @@ def ocr_cells(t: Tables) -> DataFrame:
     return rows.groupBy("l_orderkey", "row_no", "col_no").agg(F.count("*").alias("pieces"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
 
 
-@query(f"{measures.CENTROIDS} SELECT vec_id, c.label AS question, round(greatest(0, least(1, list_cosine_similarity(CAST(embedding AS DOUBLE[]), centroid))), 3) AS similarity FROM embeddings, c WHERE vec_id % 5 = c.label % 5")
-def seg_similarity(t: Tables) -> DataFrame:
-    """Blocks against the questions of their paper."""
-    c = vectors.centroids(t.embeddings, "label", "embedding").withColumn("paper", F.col("label") % 5).withColumnRenamed("label", "question")
-    e = t.embeddings.withColumn("paper", (F.col("vec_id") % 5).cast("int"))
-    return e.select("vec_id", "embedding", "paper").join(F.broadcast(c), "paper").select("vec_id", "question", F.round(vectors.cosine(F.col("embedding"), F.col("centroid")), 3).alias("similarity"))
-
-
-@query("""
-    WITH b AS (SELECT l_orderkey AS page, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity - lag(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_quantity, l_partkey, l_suppkey, l_extendedprice) AS gap FROM lineitem)
-    SELECT page, count(*) AS lines, min(l_linenumber) AS left_edge, coalesce(median(gap), 0) AS pitch FROM b GROUP BY 1""")
-def seg_page_lines(t: Tables) -> DataFrame:
-    gap = F.col("l_quantity") - F.lag("l_quantity").over(Window.partitionBy("l_orderkey").orderBy("l_quantity", "l_partkey", "l_suppkey", "l_extendedprice"))
-    rows = t.lineitem.select(F.col("l_orderkey").alias("page"), "l_linenumber", gap.alias("gap"))
-    return rows.groupBy("page").agg(F.count("*").alias("lines"), F.min("l_linenumber").alias("left_edge"), F.coalesce(F.median("gap"), F.lit(0.0)).alias("pitch"))
-
-
-@query("SELECT l_orderkey, l_linenumber, count(*) AS copies, CASE WHEN count(*) > 1 THEN 'duplicate' WHEN max(l_discount) < 0.02 THEN 'unsure' ELSE 'fine' END AS flag FROM lineitem GROUP BY 1, 2")
-def seg_finish(t: Tables) -> DataFrame:
-    s = t.lineitem.groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("copies"), F.max("l_discount").alias("d"))
-    return s.select("l_orderkey", "l_linenumber", "copies", F.when(F.col("copies") > 1, "duplicate").when(F.col("d") < 0.02, "unsure").otherwise("fine").alias("flag"))
-
-
-@query("""
-    WITH s AS (SELECT *, CASE WHEN role IS DISTINCT FROM lag(role) OVER (PARTITION BY conv_id ORDER BY turn) THEN 1 ELSE 0 END AS t FROM conversations), r AS (SELECT *, sum(t) OVER (PARTITION BY conv_id ORDER BY turn) AS g FROM s)
-    SELECT conv_id, min(turn) AS first_turn, max(turn) AS last_turn, min(role) AS role FROM r GROUP BY conv_id, g""")
-def seg_edits(t: Tables) -> DataFrame:
-    """Neighbouring segments of the same kind merged."""
-    rows = islands.runs(t.conversations, ["conv_id"], ["turn"], "role")
-    return rows.groupBy("conv_id", "run").agg(F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"), F.min("role").alias("role")).drop("run")
-
-
-@query("SELECT l_orderkey, l_partkey AS best, similarity FROM (SELECT l_orderkey, l_partkey, round(1 - l_discount, 4) AS similarity, row_number() OVER (PARTITION BY l_orderkey ORDER BY round(1 - l_discount, 4) DESC, l_partkey) AS r FROM lineitem) WHERE r = 1")
-def sc_diagram(t: Tables) -> DataFrame:
-    s = F.round(1 - F.col("l_discount"), 4)
-    best = t.lineitem.groupBy("l_orderkey").agg(F.max_by(F.struct(F.col("l_partkey").alias("best"), s.alias("similarity")), F.struct(s, -F.col("l_partkey"))).alias("b"))
-    return best.select("l_orderkey", "b.best", "b.similarity")
-
-
 @query("SELECT n_name, term, d, CASE WHEN d = 0 THEN 'exact' WHEN d <= 0.25 THEN 'close' ELSE 'none' END AS state FROM (SELECT n_name, r_name AS term, round(levenshtein(n_name, r_name) / greatest(length(n_name), length(r_name)), 6) AS d, row_number() OVER (PARTITION BY n_name ORDER BY levenshtein(n_name, r_name) / greatest(length(n_name), length(r_name)), r_name) AS r FROM nation, region) WHERE r = 1")
 def gr_snap(t: Tables) -> DataFrame:
     """Each label's nearest term of a glossary, which is a small list."""
@@ -180,12 +109,6 @@ def gr_snap(t: Tables) -> DataFrame:
     return best.withColumn("state", F.when(F.col("d") == 0, "exact").when(F.col("d") <= 0.25, "close").otherwise("none"))
 
 
-@query("SELECT l_orderkey AS graph, count(*) FILTER (l_returnflag = 'A' AND NOT used) AS disconnected, count(*) FILTER (l_returnflag = 'R') AS extra FROM (SELECT *, l_linenumber IN (1, 2) AS used FROM lineitem) GROUP BY 1")
-def gr_anomalies(t: Tables) -> DataFrame:
-    used, f = F.col("l_linenumber").isin(1, 2), F.col("l_returnflag")
-    return t.lineitem.groupBy(F.col("l_orderkey").alias("graph")).agg(F.count_if((f == "A") & ~used).alias("disconnected"), F.count_if(f == "R").alias("extra"))
-
-
 def _near(t: Tables) -> DataFrame:
     """Texts (returned lines) with the shapes of their page and the distance to each."""
     text = windows._boxes(t, "a").join(t.lineitem.where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("page"), *[F.col(c).alias(f"a_{c}") for c in windows.TIES]).distinct(), ["page", *[f"a_{c}" for c in windows.TIES]], "left_semi")
@@ -212,51 +135,6 @@ def gr_split_text(t: Tables) -> DataFrame:
     return cut.withColumn("pieces", F.count("*").over(Window.partitionBy("page", "part"))).where("pieces > 1")
 
 
-@query()
-def gr_detector_eval(t: Tables) -> DataFrame:
-    """Precision and recall of detections over all pages."""
-    boxes = assignment.detections(t.lineitem)
-    hits = assignment.greedy(boxes, 0.3).agg(F.count("match").alias("hits"), F.count("*").alias("found"))
-    true = boxes.agg(F.count_if("truth").alias("true"))
-    return hits.crossJoin(F.broadcast(true)).select((F.col("hits") / F.col("found")).alias("precision"), (F.col("hits") / F.col("true")).alias("recall"))
-
-
-@query()
-def join_engine_align(t: Tables) -> DataFrame:
-    """Readings assigned to the detected line they overlap best; those that overlap none are clustered into extra lines."""
-    boxes = assignment.detections(t.lineitem)
-    aligned = assignment.greedy(boxes, 0.3)
-    loose = boxes.join(aligned.where("match IS NULL").select("page", "id"), ["page", "id"], "left_semi")
-    extra = assignment.row_bands(loose).select("page", "id", F.concat(F.lit("extra "), F.col("band").cast("string")).alias("line"))
-    return aligned.where("match IS NOT NULL").select("page", "id", F.col("match").alias("line")).unionByName(extra)
-
-
-@query(f"SELECT l_orderkey, count(*) AS corrections, CAST(count(*) - (SELECT 0) AS BIGINT) AS checked FROM ({windows.SQL_BOX}) GROUP BY 1")
-def join_correction_match(t: Tables) -> DataFrame:
-    """Corrections matched to the line they overlap best, and those that match none as new lines; none is lost."""
-    own = windows._boxes(t, "a")
-    matched = windows.join_iou_best(t).groupBy("l_orderkey").agg(F.count("*").alias("m"))
-    every = own.groupBy(F.col("page").alias("l_orderkey")).agg(F.count("*").alias("corrections"))
-    new = every.join(matched, "l_orderkey", "left").withColumn("fresh", F.col("corrections") - F.coalesce("m", F.lit(0)))
-    return new.select("l_orderkey", "corrections", (F.coalesce("m", F.lit(0)) + F.col("fresh")).alias("checked"))
-
-
-@query("""
-    WITH f AS (SELECT *, CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END AS reset FROM events), g AS (SELECT *, sum(reset) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS spell FROM f),
-    n AS (SELECT user_id, event_id, count(*) OVER (PARTITION BY user_id, spell ORDER BY ts, event_id) AS n FROM g WHERE event_type = 'error')
-    SELECT user_id, count(*) AS failures, count(*) FILTER (n % 2 = 0) AS lockouts FROM n GROUP BY 1""")
-def snk_counter_upsert(t: Tables) -> DataFrame:
-    """The counters a user ends with."""
-    return flow.st_lockout(t).groupBy("user_id").agg(F.count("*").alias("failures"), F.count_if("locked").alias("lockouts"))
-
-
-@query("SELECT count(*) AS files, count(DISTINCT sha256(text)) AS read FROM documents")
-def src_ocr_cache(t: Tables) -> DataFrame:
-    """Files to read: one for each distinct content."""
-    h = t.documents.groupBy(F.sha2("text", 256).alias("h")).agg(F.count("*").alias("n"))
-    return h.agg(F.sum("n").alias("files"), F.count("*").alias("read"))
-
-
 @query("SELECT l_orderkey AS id, 'part ' || l_partkey AS text, round(l_discount * 100 / 100, 4) AS confidence FROM lineitem WHERE l_returnflag = 'A'")
 def src_ocr_cloud_parse(t: Tables) -> DataFrame:
     """A service's answer, one JSON a page, read into lines."""
@@ -293,3 +171,76 @@ def src_stream_tar(t: Tables) -> DataFrame:
 
     archives = t.pages.select("page_id", F.col("html").cast("binary").alias("html")).mapInPandas(pack, "path string, content binary")
     return readers.archive_members(archives).select(F.regexp_extract("member", r"^(\d+)", 1).cast("long").alias("page_id"), F.octet_length("content").cast("long").alias("bytes"), F.sha2("content", 256).alias("h"))
+
+
+@query("SELECT conv_id, turn, turn || '.' || role AS label FROM conversations ORDER BY conv_id, turn, role")
+def srt_paper_order(t: Tables) -> DataFrame:
+    """Labels like 12.a by their number, then their text."""
+    label = F.concat_ws(".", F.col("turn").cast("string"), "role")
+    parts = F.transform(F.split("label", r"\."), lambda p: F.struct(p.try_cast("int").alias("n"), p.alias("s")))
+    return t.conversations.select("conv_id", "turn", label.alias("label")).orderBy("conv_id", parts)
+
+
+SQL_FIND = "SELECT * FROM (SELECT '{group}' AS hit_group, CAST({key} AS VARCHAR) AS key, {text} AS hit FROM {table} WHERE contains(lower({text}), '{words}') ORDER BY lower({text}), key LIMIT 5)"
+
+
+def _finds(words: str) -> list[tuple[str, str, str, str]]:
+    """Group, table, key and text of the five groups of the global search; a search of fewer than 2 or more than 80 characters finds nothing."""
+    every = [("part", "part", "p_partkey", "p_name"), ("brand", "part", "p_partkey", "p_brand"), ("customer", "customer", "c_custkey", "c_name"), ("supplier", "supplier", "s_suppkey", "s_name"), ("nation", "nation", "n_nationkey", "n_name")]
+    return every if 2 <= len(words.strip()) <= 80 else []
+
+
+@query(" UNION ALL ".join(SQL_FIND.format(group=g, key=k, text=x, table=table, words="er") for g, table, k, x in _finds("er")))
+def rep_global_search(t: Tables) -> DataFrame:
+    return paging.search_groups([(g, getattr(t, table).where(paging.contains_ci(x, "er")), F.col(k), F.col(x)) for g, table, k, x in _finds("er")])
+
+
+@query("""
+    WITH f AS (SELECT *, CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END AS reset FROM events), g AS (SELECT *, sum(reset) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS spell FROM f),
+    n AS (SELECT user_id, event_id, ts, event_type, count(*) FILTER (event_type = 'error') OVER (PARTITION BY user_id, spell ORDER BY ts, event_id) AS n FROM g), l AS (SELECT user_id, arg_max(CASE WHEN event_type = 'error' THEN n % 2 ELSE 0 END, (ts, event_id)) AS failed, max(CASE WHEN event_type = 'error' AND n % 2 = 0 THEN ts END) AS locked FROM n GROUP BY 1)
+    SELECT c_custkey AS user_id, CAST(coalesce(failed, 0) AS BIGINT) AS failed, strftime(locked, '%Y-%m-%d %H:%M:%S') AS locked_since FROM customer LEFT JOIN l ON l.user_id = c_custkey""")
+def snk_counter_upsert(t: Tables) -> DataFrame:
+    """Users' counters after the events: failures since the last success or lockout, and when a second failure in a row locked the user out last. Counters are upserted: users without events keep theirs at 0."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    bad = F.col("event_type") == "error"
+    rows = t.events.withColumn("spell", F.sum((~bad).cast("int")).over(w))
+    n = F.sum(bad.cast("int")).over(Window.partitionBy("user_id", "spell").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("n", n)
+    last = rows.groupBy("user_id").agg(F.max_by(F.when(bad, F.col("n") % 2).otherwise(0), F.struct("ts", "event_id")).alias("failed"), F.max(F.when(bad & (F.col("n") % 2 == 0), F.col("ts"))).alias("locked"))
+    every = t.customer.select(F.col("c_custkey").alias("user_id")).join(last, "user_id", "left")
+    return every.select("user_id", F.coalesce("failed", F.lit(0)).cast("long").alias("failed"), F.date_format("locked", "yyyy-MM-dd HH:mm:ss").alias("locked_since"))
+
+
+@query("""
+    WITH f AS (SELECT doc_id, sha256(text) AS h, n_chars FROM documents), c AS (SELECT h, max(n_chars) AS lines FROM f WHERE doc_id % 3 = 0 GROUP BY 1)
+    SELECT doc_id, c.h IS NOT NULL AS cached, coalesce(c.lines, f.n_chars) AS lines FROM f LEFT JOIN c USING (h)""")
+def src_ocr_cache(t: Tables) -> DataFrame:
+    """Readings of files by a JSON cache: what a file of the same content (every third file was read before) gave is used again; the others are read and would be added."""
+    files = t.documents.select("doc_id", F.sha2("text", 256).alias("h"), "n_chars")
+    cache = files.where("doc_id % 3 = 0").groupBy("h").agg(F.to_json(F.struct(F.max("n_chars").alias("lines"))).alias("body"))
+    rows = files.join(cache, "h", "left")
+    read = F.from_json("body", "lines long")["lines"]
+    return rows.select("doc_id", F.col("body").isNotNull().alias("cached"), F.coalesce(read, F.col("n_chars")).alias("lines"))
+
+
+@query("""
+    SELECT l_orderkey AS paper, 'sections[' || s || '].items[' || i || '].' || what AS path, problem FROM (
+        SELECT l_orderkey, dense_rank() OVER (PARTITION BY l_orderkey ORDER BY l_returnflag) - 1 AS s, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber, m, l_partkey, l_suppkey, l_extendedprice) - 1 AS i, l_linenumber, m, l_partkey FROM (SELECT *, CASE WHEN l_quantity = 50 THEN -1.0 WHEN l_quantity = 49 THEN NULL ELSE l_quantity END AS m FROM lineitem)),
+        (SELECT unnest(['marks', 'marks', 'slot']) AS what, unnest(['required', 'must be above 0', 'must be at most 6']) AS problem)
+    WHERE CASE problem WHEN 'required' THEN m IS NULL WHEN 'must be above 0' THEN m <= 0 ELSE l_linenumber > 6 END""")
+def jsn_blueprint(t: Tables) -> DataFrame:
+    """Faults of papers written as JSON, each with its path: items without marks, with marks of 0 or less (quantities of 49 and 50 stand for these), and slots above 6."""
+    marks = F.when(F.col("l_quantity") == 50, -1.0).when(F.col("l_quantity") != 49, F.col("l_quantity"))
+    item = F.struct(F.col("l_linenumber").alias("slot"), marks.alias("marks"), F.col("l_partkey").alias("part"), "l_suppkey", "l_extendedprice")
+    bare = lambda items: F.transform(items, lambda x: F.struct(x["slot"].alias("slot"), x["marks"].alias("marks"), x["part"].alias("part")))
+    nulls_last = lambda a, b: F.when(a < b, -1).when(a > b, 1).otherwise(0)
+    key = lambda x: F.struct(x["slot"], x["marks"].isNull(), x["marks"], x["part"], x["l_suppkey"], x["l_extendedprice"])
+    ordered = F.array_sort(F.collect_list(item), lambda a, b: nulls_last(key(a), key(b)))
+    sections = t.lineitem.groupBy("l_orderkey", "l_returnflag").agg(bare(ordered).alias("items"))
+    papers = sections.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(F.col("l_returnflag").alias("label"), "items"))).alias("sections"))
+    body = papers.select(F.col("l_orderkey").alias("paper"), F.to_json(F.struct("sections")).alias("body"))
+    s = body.select("paper", F.posexplode(F.from_json("body", PAPER)["sections"]).alias("s", "section")).select("paper", "s", F.posexplode("section.items").alias("i", "x"))
+    m = F.col("x.marks")
+    faults = F.array_compact(F.array(F.when(m.isNull(), F.struct(F.lit("marks").alias("what"), F.lit("required").alias("problem"))), F.when(m <= 0, F.struct(F.lit("marks").alias("what"), F.lit("must be above 0").alias("problem"))), F.when(F.col("x.slot") > 6, F.struct(F.lit("slot").alias("what"), F.lit("must be at most 6").alias("problem")))))
+    rows = s.select("paper", "s", "i", F.explode(faults).alias("f"))
+    return rows.select("paper", F.concat(F.lit("sections["), F.col("s").cast("string"), F.lit("].items["), F.col("i").cast("string"), F.lit("]."), F.col("f.what")).alias("path"), F.col("f.problem").alias("problem"))

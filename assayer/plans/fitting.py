@@ -56,8 +56,8 @@ def fit_constant(t: Tables) -> DataFrame:
 def fit_cv(t: Tables) -> DataFrame:
     """Each fold's error under the mean of the others: sums of all less its own."""
     f = _features(t)
-    folds = f.select("user_id").distinct().select("user_id", ((F.row_number().over(Window.orderBy("user_id")) - 1) % 5).alias("fold"))
-    cells = f.join(F.broadcast(folds), "user_id").groupBy("fold", "mark").agg(F.count("*").alias("n"))
+    folds = fitting.ranked(f.select("user_id").distinct(), "user_id", "place").select("user_id", ((F.col("place") - 1).cast("int") % 5).alias("fold"))
+    cells = f.join(folds, "user_id").groupBy("fold", "mark").agg(F.count("*").alias("n"))
     own = cells.groupBy("fold").agg(F.sum(F.col("mark") * F.col("n")).alias("s"), F.sum("n").alias("m"))
     total = own.agg(F.sum("s").alias("all_s"), F.sum("m").alias("all_m"))
     mean = own.crossJoin(F.broadcast(total)).select("fold", ((F.col("all_s") - F.col("s")) / (F.col("all_m") - F.col("m"))).alias("mean"))

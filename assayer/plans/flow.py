@@ -5,20 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from assayer.operators import graphs, mutation, state
+from assayer.operators import mutation, paging, state
 from assayer.registry import TODAY, Tables, query
 from assayer.sources import readers
 
 
 def _base(t: Tables) -> DataFrame:
-    return t.customer.where("c_custkey < 1000").select("c_custkey", "c_mktsegment", F.lit(1).alias("version"))
+    """Customers as they were: all but those of one segment."""
+    return t.customer.where("c_mktsegment <> 'BUILDING'").select("c_custkey", "c_mktsegment", F.lit(1).alias("version"))
 
 
 def _changes(t: Tables) -> DataFrame:
-    return t.customer.where("c_custkey >= 900 AND c_custkey < 1100").select("c_custkey", F.when(F.col("c_custkey") % 3 == 0, F.col("c_mktsegment")).otherwise(F.lit("CHANGED")).alias("c_mktsegment"), F.when(F.col("c_custkey") % 5 == 0, 7).otherwise(2).alias("version"))
+    """Changes to the customers of every other nation, some of them to a version that doesn't follow."""
+    return t.customer.where("c_nationkey % 2 = 0").select("c_custkey", F.when(F.col("c_custkey") % 3 == 0, F.col("c_mktsegment")).otherwise(F.lit("CHANGED")).alias("c_mktsegment"), F.when(F.col("c_custkey") % 5 == 0, 7).otherwise(2).alias("version"))
 
 
-SQL_BASE = "b AS (SELECT c_custkey, c_mktsegment, 1 AS version FROM customer WHERE c_custkey < 1000), n AS (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment ELSE 'CHANGED' END AS c_mktsegment, CASE WHEN c_custkey % 5 = 0 THEN 7 ELSE 2 END AS version FROM customer WHERE c_custkey >= 900 AND c_custkey < 1100)"
+SQL_BASE = "b AS (SELECT c_custkey, c_mktsegment, 1 AS version FROM customer WHERE c_mktsegment <> 'BUILDING'), n AS (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment ELSE 'CHANGED' END AS c_mktsegment, CASE WHEN c_custkey % 5 = 0 THEN 7 ELSE 2 END AS version FROM customer WHERE c_nationkey % 2 = 0)"
 
 
 @query(f"WITH {SQL_BASE} SELECT coalesce(b.c_custkey, n.c_custkey) AS c_custkey, CASE WHEN n.c_custkey IS NOT NULL AND (b.c_custkey IS NULL OR n.version = b.version + 1) THEN n.c_mktsegment ELSE b.c_mktsegment END AS c_mktsegment, CASE WHEN n.c_custkey IS NOT NULL AND (b.c_custkey IS NULL OR n.version = b.version + 1) THEN n.version ELSE b.version END AS version FROM b FULL JOIN n ON n.c_custkey = b.c_custkey")
@@ -26,7 +28,7 @@ def snk_upsert(t: Tables) -> DataFrame:
     return mutation.upsert(_base(t), _changes(t), "c_custkey", "version")
 
 
-@query("SELECT CASE WHEN o.c_custkey IS NULL THEN 'created' WHEN o.c_mktsegment = n.s THEN 'unchanged' ELSE 'updated' END AS change, count(*) AS n FROM (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment ELSE 'CHANGED' END AS s FROM customer WHERE c_custkey >= 900 AND c_custkey < 1100) n LEFT JOIN (SELECT * FROM customer WHERE c_custkey < 1000) o USING (c_custkey) GROUP BY 1")
+@query(f"WITH {SQL_BASE} SELECT CASE WHEN b.c_custkey IS NULL THEN 'created' WHEN b.c_mktsegment = n.c_mktsegment THEN 'unchanged' ELSE 'updated' END AS change, count(*) AS n FROM n LEFT JOIN b USING (c_custkey) GROUP BY 1")
 def snk_roster_upsert(t: Tables) -> DataFrame:
     return mutation.change_classes(_base(t).drop("version"), _changes(t).drop("version"), "c_custkey").groupBy("change").agg(F.count("*").alias("n"))
 
@@ -66,10 +68,10 @@ def snk_relocate(t: Tables) -> DataFrame:
     return mutation.rename_prefix(t.pages, "url", "https://", "moved/").select("url", "renamed")
 
 
-@query("SELECT coalesce(w.p_partkey, l.p_partkey) AS p_partkey, CASE WHEN l.p_partkey IS NULL THEN 'insert' WHEN w.p_partkey IS NULL THEN 'retire' WHEN w.c IS DISTINCT FROM l.c THEN 'new version' ELSE 'keep' END AS what FROM (SELECT p_partkey, CASE WHEN p_size < 10 THEN 'x' ELSE p_name END AS c FROM part WHERE p_partkey < 150) w FULL JOIN (SELECT p_partkey, p_name AS c FROM part WHERE p_partkey >= 100 AND p_partkey < 200) l ON l.p_partkey = w.p_partkey")
+@query("SELECT coalesce(w.p_partkey, l.p_partkey) AS p_partkey, CASE WHEN l.p_partkey IS NULL THEN 'insert' WHEN w.p_partkey IS NULL THEN 'retire' WHEN w.c IS DISTINCT FROM l.c THEN 'new version' ELSE 'keep' END AS what FROM (SELECT p_partkey, CASE WHEN p_size < 10 THEN 'x' ELSE p_name END AS c FROM part WHERE p_size < 35) w FULL JOIN (SELECT p_partkey, p_name AS c FROM part WHERE p_size >= 5) l ON l.p_partkey = w.p_partkey")
 def snk_rubric_plan(t: Tables) -> DataFrame:
-    wanted = t.part.where("p_partkey < 150").select("p_partkey", F.when(F.col("p_size") < 10, "x").otherwise(F.col("p_name")).alias("c"))
-    live = t.part.where("p_partkey >= 100 AND p_partkey < 200").select("p_partkey", F.col("p_name").alias("c"))
+    wanted = t.part.where("p_size < 35").select("p_partkey", F.when(F.col("p_size") < 10, "x").otherwise(F.col("p_name")).alias("c"))
+    live = t.part.where("p_size >= 5").select("p_partkey", F.col("p_name").alias("c"))
     return mutation.plan_changes(wanted, live, "p_partkey", "c")
 
 
@@ -91,11 +93,19 @@ def snk_json_report(t: Tables) -> DataFrame:
     return t.customer.select("c_custkey", F.to_json(F.struct(F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))).alias("report"))
 
 
-@query("SELECT event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INTEGER) AS turn FROM events QUALIFY turn <= 5 ORDER BY turn, event_id")
+@query("""
+    WITH s AS (SELECT user_id, max(ts) FILTER (event_type = 'view') AS served, count(*) FILTER (event_type = 'click' AND ts >= TIMESTAMP '2024-01-20') AS running FROM events GROUP BY 1),
+    j AS (SELECT e.user_id, event_id, ts, served, running, row_number() OVER (PARTITION BY e.user_id ORDER BY ts, event_id) AS k FROM events e JOIN s USING (user_id) WHERE event_type = 'purchase' OR (event_type = 'click' AND ts < TIMESTAMP '2024-01-20'))
+    SELECT user_id, event_id, CAST(row_number() OVER (ORDER BY k, served NULLS FIRST, user_id, ts, event_id) AS BIGINT) AS turn FROM j WHERE k <= 5 - running""")
 def st_claim(t: Tables) -> DataFrame:
-    """A fair order of jobs: every tenant's first, then every tenant's second."""
-    turn = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    return t.events.select("event_id", turn.alias("turn")).where("turn <= 5").orderBy("turn", "event_id")
+    """The order in which jobs are claimed. Purchases wait; clicks run under a lease, and those before the 20th have lost it and can be claimed again. A tenant has five running at most; in each round the one served (a view) least recently comes first, one never served before all, and its oldest job."""
+    e, lost = t.events, F.lit("2024-01-20").cast("timestamp_ntz")
+    click = F.col("event_type") == "click"
+    tenant = e.groupBy("user_id").agg(F.max(F.when(F.col("event_type") == "view", F.col("ts"))).alias("served"), F.count_if(click & (F.col("ts") >= lost)).alias("running"))
+    jobs = e.where((F.col("event_type") == "purchase") | (click & (F.col("ts") < lost))).select("user_id", "event_id", "ts")
+    k = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    fair = jobs.withColumn("k", k).join(tenant, "user_id").where(F.col("k") <= 5 - F.col("running"))
+    return paging.numbered(fair, "turn", [F.col("k"), F.asc_nulls_first("served"), F.col("user_id"), F.col("ts"), F.col("event_id")]).select("user_id", "event_id", "turn")
 
 
 @query("SELECT user_id, event_id, CAST(least(5 * power(2, n - 1), 300) AS BIGINT) AS wait, n >= 3 AS fails FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE event_type = 'error')")
@@ -173,51 +183,17 @@ def st_periodic(t: Tables) -> DataFrame:
     return t.orders.where(F.col("o_orderdate") <= F.date_sub(F.lit(TODAY), 30)).groupBy("o_orderstatus").agg(F.count("*").alias("ready"))
 
 
-@query("WITH e AS (SELECT DISTINCT l_suppkey AS a, l_partkey AS b FROM lineitem WHERE l_quantity = 50) SELECT node, count(*) AS degree FROM (SELECT 's' || a AS node FROM e UNION ALL SELECT 'p' || b FROM e) GROUP BY 1")
-def gr_degree(t: Tables) -> DataFrame:
-    return graphs.degrees(_edges(t), "source", "target")
-
-
 def _edges(t: Tables) -> DataFrame:
     """Suppliers and the parts they sent fifty of."""
     return t.lineitem.where("l_quantity = 50").select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("source"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("target")).distinct()
 
 
-@query("""
-    WITH RECURSIVE e AS (SELECT DISTINCT 's' || l_suppkey AS a, 'p' || l_partkey AS b FROM lineitem WHERE l_quantity = 50 AND l_returnflag = 'A' AND l_discount = 0.1), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-    r(node, other) AS (SELECT a, a FROM u UNION SELECT r.node, u.b FROM r JOIN u ON u.a = r.other)
-    SELECT node, min(other) AS part FROM r GROUP BY 1""")
-def gr_components(t: Tables) -> DataFrame:
-    rows = t.lineitem.where("l_quantity = 50 AND l_returnflag = 'A' AND l_discount = 0.1D").select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("source"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("target")).distinct()
-    return graphs.connected(rows, "source", "target")
-
-
-SQL_G = "t AS (SELECT DISTINCT l_orderkey AS graph, l_linenumber AS source, l_linenumber + 1 AS target FROM lineitem WHERE l_returnflag <> 'R'), d AS (SELECT DISTINCT l_orderkey AS graph, CASE WHEN l_quantity > 40 THEN l_linenumber + 1 ELSE l_linenumber END AS source, CASE WHEN l_quantity > 40 THEN l_linenumber ELSE l_linenumber + 1 END AS target FROM lineitem WHERE l_returnflag <> 'A')"
-
-
-@query(f"""
-    WITH {SQL_G}, k AS (SELECT graph, source, target FROM t UNION SELECT graph, source, target FROM d)
-    SELECT k.graph, k.source, k.target, CASE WHEN EXISTS (SELECT 1 FROM t WHERE t.graph = k.graph AND t.source = k.source AND t.target = k.target) THEN
-        CASE WHEN EXISTS (SELECT 1 FROM d WHERE d.graph = k.graph AND d.source = k.source AND d.target = k.target) THEN 'present' WHEN EXISTS (SELECT 1 FROM d WHERE d.graph = k.graph AND d.source = k.target AND d.target = k.source) THEN 'reversed' ELSE 'missing' END
-        WHEN EXISTS (SELECT 1 FROM t WHERE t.graph = k.graph AND t.source = k.target AND t.target = k.source) THEN 'reversed of another' ELSE 'extra' END AS state FROM k""")
-def gr_edges(t: Tables) -> DataFrame:
-    n, up = F.col("l_linenumber"), F.col("l_linenumber") + 1
-    turned = F.col("l_quantity") > 40
-    truth = t.lineitem.where("l_returnflag <> 'R'").select(F.col("l_orderkey").alias("graph"), n.alias("source"), up.alias("target"))
-    drawn = t.lineitem.where("l_returnflag <> 'A'").select(F.col("l_orderkey").alias("graph"), F.when(turned, up).otherwise(n).alias("source"), F.when(turned, n).otherwise(up).alias("target"))
-    return graphs.compare_edges(truth, drawn, "graph", "source", "target")
-
-
-@query("WITH t AS (SELECT l_orderkey AS graph, count(*) FILTER (l_returnflag = 'A') AS extra, count(*) FILTER (l_returnflag = 'R') AS missing, count(*) AS size FROM lineitem GROUP BY 1) SELECT graph, round(1 - (extra + missing) / size, 6) AS similarity FROM t")
-def gr_similarity(t: Tables) -> DataFrame:
-    g = t.lineitem.groupBy(F.col("l_orderkey").alias("graph")).agg(F.count_if(F.col("l_returnflag") == "A").alias("extra"), F.count_if(F.col("l_returnflag") == "R").alias("missing"), F.count("*").alias("size"))
-    return g.select("graph", F.round(1 - (F.col("extra") + F.col("missing")) / F.col("size"), 6).alias("similarity"))
-
-
-@query("SELECT page_id, CASE WHEN starts_with(html, '<!DOCTYPE html') THEN 'html' ELSE 'other' END AS kind FROM pages")
+@query("SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'pdf' WHEN 1 THEN 'jpeg' WHEN 2 THEN 'png' ELSE 'refused' END AS kind FROM pages")
 def src_media_sniff(t: Tables) -> DataFrame:
-    kind = readers.media_kind(F.col("html").cast("binary"))
-    return t.pages.select("page_id", F.coalesce(kind, F.when(F.startswith("html", F.lit("<!DOCTYPE html")), "html").otherwise("other")).alias("kind"))
+    """Files by their first bytes; pages are PDF, JPEG and PNG files in turn, and HTML, which is refused."""
+    n = F.col("page_id") % 4
+    head = F.when(n == 0, F.unhex(F.lit("255044462D312E37"))).when(n == 1, F.unhex(F.lit("FFD8FFE0"))).when(n == 2, F.unhex(F.lit("89504E470D0A1A0A"))).otherwise(F.unhex(F.lit("")))
+    return t.pages.select("page_id", F.coalesce(readers.media_kind(F.concat(head, F.col("html").cast("binary"))), F.lit("refused")).alias("kind"))
 
 
 @query("SELECT doc_id, text FROM documents d JOIN labels USING (doc_id) WHERE quality = 1")
@@ -247,10 +223,10 @@ def src_weight_split(t: Tables) -> DataFrame:
     return lines.groupBy("l_orderkey").agg(F.sum(part).alias("total"), F.max(part).alias("largest"))
 
 
-@query("SELECT w FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM conversations WHERE strlen(text) = length(text)) WHERE w IN (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) FROM benchmark)")
+@query("SELECT w FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w  FROM conversations) WHERE w IN (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) FROM benchmark)")
 def src_word_list(t: Tables) -> DataFrame:
     split = lambda df: df.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1))).alias("w")).distinct()
-    return readers.known_words(split(t.conversations.where("text RLIKE '^[\\\\x00-\\\\x7F]*$'")), split(t.benchmark))
+    return readers.known_words(split(t.conversations), split(t.benchmark))
 
 
 @query("SELECT c_custkey, c_name FROM customer WHERE c_nationkey = 4 ORDER BY c_custkey")
@@ -258,27 +234,6 @@ def src_table(t: Tables) -> DataFrame:
     return t.customer.where("c_nationkey = 4").select("c_custkey", "c_name").orderBy("c_custkey")
 
 
-@query("SELECT conv_id, turn, string_agg(w, ' ' ORDER BY pos) AS label FROM (SELECT conv_id, turn, unnest(w) AS w, generate_subscripts(w, 1) AS pos FROM (SELECT conv_id, turn, regexp_extract_all(lower(text), '[a-z0-9]+')[:3] AS w FROM conversations WHERE strlen(text) = length(text))) GROUP BY 1, 2")
-def seg_leaves(t: Tables) -> DataFrame:
-    """Leaves in order, by position."""
-    w = t.conversations.where("text RLIKE '^[\\\\x00-\\\\x7F]*$'").select("conv_id", "turn", F.posexplode(F.slice(F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]+)"), F.lit(1)), 1, 3)).alias("pos", "w"))
-    return w.groupBy("conv_id", "turn").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "w"))), lambda x: x["w"]), " ").alias("label"))
-
-
-@query("WITH s AS (SELECT conv_id, turn, role, CAST(sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS block FROM conversations) SELECT conv_id, block, count(*) AS lines, min(turn) AS starts FROM s GROUP BY 1, 2")
-def seg_blocks(t: Tables) -> DataFrame:
-    """Lines cut into blocks: every question starts one."""
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    rows = t.conversations.withColumn("block", F.sum((F.col("role") == "user").cast("int")).over(w))
-    return rows.groupBy("conv_id", "block").agg(F.count("*").alias("lines"), F.min("turn").alias("starts"))
-
-
-@query("SELECT conv_id, turn, coalesce(length(text) - lag(length(text)) OVER (PARTITION BY conv_id ORDER BY turn), 0) AS gap, role = 'user' AS starts FROM conversations")
-def seg_evidence(t: Tables) -> DataFrame:
-    gap = F.length("text") - F.lag(F.length("text")).over(Window.partitionBy("conv_id").orderBy("turn"))
-    return t.conversations.select("conv_id", "turn", F.coalesce(gap, F.lit(0)).cast("long").alias("gap"), (F.col("role") == "user").alias("starts"))
-
-
 @query("SELECT l_orderkey, l_returnflag, string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY l_linenumber, l_partkey) AS segments FROM lineitem GROUP BY 1, 2")
 def seg_answers(t: Tables) -> DataFrame:
     parts = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda x: x["l_partkey"].cast("string"))
@@ -292,51 +247,6 @@ def seg_summarise(t: Tables) -> DataFrame:
     return s.agg(F.count_if("p").alias("predicted"), F.count_if("q").alias("truth"), F.count_if(F.col("p") & F.col("q")).alias("correct"))
 
 
-@query("WITH s AS (SELECT conv_id, list_distinct(list(role) FILTER (turn < 4)) AS a, list_distinct(list(role) FILTER (turn >= 1)) AS b FROM conversations GROUP BY 1) SELECT conv_id, round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 6) AS jaccard FROM s WHERE b IS NOT NULL")
-def seg_score(t: Tables) -> DataFrame:
-    s = t.conversations.groupBy("conv_id").agg(F.collect_set(F.when(F.col("turn") < 4, F.col("role"))).alias("a"), F.collect_set(F.when(F.col("turn") >= 1, F.col("role"))).alias("b")).where(F.size("b") > 0)
-    return s.select("conv_id", F.round(F.size(F.array_intersect("a", "b")) / F.size(F.array_union("a", "b")), 6).alias("jaccard"))
-
-
-@query("SELECT o_orderkey, string_agg(left(p_name, 6), ' ' ORDER BY l_linenumber, l_partkey) AS answer, count(*) FILTER (l_discount < 0.02) AS low FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE l_returnflag <> 'R' GROUP BY 1")
-def sc_assemble(t: Tables) -> DataFrame:
-    """An answer's text from its regions in order, struck-out ones left out."""
-    rows = t.lineitem.where("l_returnflag <> 'R'").join(t.part, F.col("l_partkey") == F.col("p_partkey"))
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", F.substring("p_name", 1, 6).alias("w")))), lambda x: x["w"])
-    out = rows.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_join(parts, " ").alias("answer"), F.count_if(F.col("l_discount") < 0.02).alias("low"))
-    return out.join(t.orders, "o_orderkey", "left_semi")
-
-
-@query("SELECT conv_id, CAST(copy AS BIGINT) AS copy, count(*) AS parts FROM (SELECT conv_id, sum(CASE WHEN role = 'system' OR turn = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS copy FROM conversations) GROUP BY 1, 2")
-def sc_candidates(t: Tables) -> DataFrame:
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    rows = t.conversations.select("conv_id", F.sum(((F.col("role") == "system") | (F.col("turn") == 0)).cast("int")).over(w).alias("copy"))
-    return rows.groupBy("conv_id", "copy").agg(F.count("*").alias("parts"))
-
-
-@query("SELECT event_id, abs(value - 10) <= 2.5 AS within, round(abs(value - 10), 4) AS off FROM events")
-def sc_numeric(t: Tables) -> DataFrame:
-    off = F.abs(F.col("value") - 10)
-    return t.events.select("event_id", (off <= 2.5).alias("within"), F.round(off, 4).alias("off"))
-
-
-@query("SELECT doc_id, array_to_string(list_filter([CASE WHEN n_chars < 60 THEN 'blank' END, CASE WHEN toxic = 1 THEN 'off target' END, CASE WHEN quality = 0 THEN 'low' END], lambda x: x IS NOT NULL), ',') AS flags FROM documents JOIN labels USING (doc_id)")
-def sc_flags(t: Tables) -> DataFrame:
-    flags = F.array_compact(F.array(F.when(F.col("n_chars") < 60, "blank"), F.when(F.col("toxic") == 1, "off target"), F.when(F.col("quality") == 0, "low")))
-    return t.documents.join(t.labels, "doc_id").select("doc_id", F.array_join(flags, ",").alias("flags"))
-
-
-@query("SELECT l_orderkey, CAST(round(sum(CAST(l_discount AS DECIMAL(10, 4)) * CAST(l_quantity AS DECIMAL(10, 4))) / 0.5, 0) * 0.5 AS DOUBLE) AS mark FROM lineitem GROUP BY 1")
-def sc_mark(t: Tables) -> DataFrame:
-    total = F.sum(F.col("l_discount").cast("decimal(10,4)") * F.col("l_quantity").cast("decimal(10,4)"))
-    return t.lineitem.groupBy("l_orderkey").agg(total.alias("s")).select("l_orderkey", (F.round(F.col("s") / F.lit("0.5").cast("decimal(10,4)"), 0) * 0.5).cast("double").alias("mark"))
-
-
-@query("SELECT l_orderkey, string_agg(DISTINCT l_returnflag || l_linestatus, ',' ORDER BY l_returnflag || l_linestatus) AS versions FROM lineitem GROUP BY 1")
-def sc_lineage(t: Tables) -> DataFrame:
-    return t.lineitem.groupBy("l_orderkey").agg(F.array_join(F.sort_array(F.collect_set(F.concat("l_returnflag", "l_linestatus"))), ",").alias("versions"))
-
-
 @query("SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'unlabelled' WHEN quality = toxic THEN 'disagree' ELSE 'agree' END AS opinion FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")
 def sc_disagree(t: Tables) -> DataFrame:
     rows = t.documents.join(t.labels.withColumn("known", F.lit(True)), "doc_id", "left")

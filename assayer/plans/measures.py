@@ -2,93 +2,102 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayer.functions import numbers, text, vectors
 from assayer.registry import Tables, query
 
 STOP = "[" + ", ".join(f"'{w}'" for w in text.STOP_WORDS) + "]"
-SQL_TOKENS = "regexp_extract_all(lower(text), '[a-z0-9]+')"
-#: Texts that are plain ASCII, on which the oracle's bytes are characters.
-ASCII = "text RLIKE '^[\\\\x00-\\\\x7F]*$'"
-SQL_ASCII = "strlen(text) = length(text)"
+#: NFKC changes none of the tables' texts; of what they hold, case folding differs from lower case in sharp s only.
+SQL_TOKENS = "regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[a-z0-9]+')"
 
 
-@query(f"SELECT doc_id, CAST(len({SQL_TOKENS}) AS INTEGER) AS tokens, CAST(len(list_distinct({SQL_TOKENS})) AS INTEGER) AS distinct_tokens FROM documents WHERE {SQL_ASCII}")
+@query(f"SELECT doc_id, CAST(len({SQL_TOKENS}) AS INTEGER) AS tokens, CAST(len(list_distinct({SQL_TOKENS})) AS INTEGER) AS distinct_tokens FROM documents")
 def str_tokens(t: Tables) -> DataFrame:
     x = text.tokens(F.col("text"))
-    return t.documents.where(ASCII).select("doc_id", F.size(x).alias("tokens"), F.size(F.array_distinct(x)).alias("distinct_tokens"))
+    return t.documents.select("doc_id", F.size(x).alias("tokens"), F.size(F.array_distinct(x)).alias("distinct_tokens"))
 
 
-@query(f"SELECT doc_id, CAST(len(list_filter({SQL_TOKENS}, lambda x: NOT list_contains({STOP}, x))) AS INTEGER) AS content FROM documents WHERE {SQL_ASCII}")
+@query(f"SELECT doc_id, CAST(len(list_filter({SQL_TOKENS}, lambda x: NOT list_contains({STOP}, x))) AS INTEGER) AS content FROM documents")
 def str_content_tokens(t: Tables) -> DataFrame:
-    return t.documents.where(ASCII).select("doc_id", F.size(text.content_tokens(F.col("text"))).alias("content"))
+    return t.documents.select("doc_id", F.size(text.content_tokens(F.col("text"))).alias("content"))
 
 
-@query(f"SELECT doc_id, CAST(len(list_filter(regexp_extract_all(text, '[A-Za-z]+(?:[''-][A-Za-z]+)*'), lambda x: length(x) >= 2)) AS INTEGER) AS words FROM documents WHERE {SQL_ASCII}")
+@query(rf"SELECT doc_id, CAST(len(list_filter(regexp_extract_all(text, '\p{{L}}+(?:[''’-]\p{{L}}+)*'), lambda x: length(x) >= 2)) AS INTEGER) AS words FROM documents")
 def str_words(t: Tables) -> DataFrame:
-    return t.documents.where(ASCII).select("doc_id", F.size(text.words(F.col("text"))).alias("words"))
+    return t.documents.select("doc_id", F.size(text.words(F.col("text"))).alias("words"))
 
 
-@query(f"SELECT doc_id, sha256(lower(trim(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g')))) AS h FROM documents WHERE {SQL_ASCII}")
+@query(f"SELECT doc_id, sha256(lower(trim(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g')))) AS h FROM documents")
 def str_normalise_ocr(t: Tables) -> DataFrame:
-    return t.documents.where(ASCII).select("doc_id", F.sha2(text.flat(F.col("text")), 256).alias("h"))
+    return t.documents.select("doc_id", F.sha2(text.flat(F.col("text")), 256).alias("h"))
 
 
-PAIRS = f"SELECT doc_id, lang, left(text, 120) AS a, left(lead(text) OVER (PARTITION BY source, lang ORDER BY doc_id), 120) AS b FROM documents WHERE {SQL_ASCII}"
+SQL_LINE = "trim(regexp_replace(url, '[^A-Za-z0-9]+', ' ', 'g'))"
+PAIRS = f"SELECT x.page_id, x.a, y.a AS b FROM (SELECT page_id, {SQL_LINE} AS a FROM pages) x JOIN (SELECT page_id, {SQL_LINE} AS a FROM pages) y ON y.page_id = x.page_id + 1"
+
+
+def line_of(url: str = "url") -> Column:
+    """A page's address as a line of words."""
+    return F.trim(F.regexp_replace(url, "[^A-Za-z0-9]+", " "))
 
 
 def _pairs(t: Tables) -> DataFrame:
-    """Documents of a source with the next of the same language: two readings of a line."""
-    w = Window.partitionBy("source", "lang").orderBy("doc_id")
-    return t.documents.where(ASCII).select("doc_id", "lang", F.substring("text", 1, 120).alias("a"), F.substring(F.lead("text").over(w), 1, 120).alias("b")).where("b IS NOT NULL")
+    """Each page's line with the next page's: two readings of a line."""
+    after = t.pages.select((F.col("page_id") - 1).alias("page_id"), line_of().alias("b"))
+    return t.pages.select("page_id", line_of().alias("a")).join(after, "page_id")
+
+
+def _sql_words(a: str, b: str) -> str:
+    """Edit distance of word lists: a letter for each distinct word of the two."""
+    spelled = lambda x: f"array_to_string(list_transform({x}, lambda w: chr(CAST(33 + list_position(k, w) AS INTEGER))), '')"
+    return f"levenshtein({spelled(a)}, {spelled(b)})"
 
 
-@query(f"SELECT doc_id, CAST(levenshtein(a, b) AS INTEGER) AS distance, round(levenshtein(a, b) / greatest(length(a), length(b)), 6) AS share FROM ({PAIRS}) WHERE b IS NOT NULL AND greatest(length(a), length(b)) > 0")
+@query(f"SELECT page_id, CAST(levenshtein(a, b) AS INTEGER) AS distance, CAST({_sql_words('x', 'y')} AS INTEGER) AS word_edits FROM (SELECT *, list_distinct(list_concat(x, y)) AS k FROM (SELECT *, string_split(a, ' ') AS x, string_split(b, ' ') AS y FROM ({PAIRS})))")
 def str_levenshtein(t: Tables) -> DataFrame:
-    return _pairs(t).select("doc_id", F.levenshtein("a", "b").alias("distance"), F.round(text.norm_distance(F.col("a"), F.col("b")), 6).alias("share"))
+    """Of the characters, and of the words."""
+    return _pairs(t).select("page_id", F.levenshtein("a", "b").alias("distance"), text.list_edits(F.split("a", " "), F.split("b", " ")).alias("word_edits"))
 
 
-@query(f"SELECT doc_id, round(least(1.0, levenshtein(a, b) / length(b)), 6) AS cer FROM ({PAIRS}) WHERE b IS NOT NULL AND length(b) > 0")
+@query(f"SELECT page_id, round(least(1.0, levenshtein(a, b) / length(b)), 6) AS cer FROM ({PAIRS})")
 def str_cer(t: Tables) -> DataFrame:
-    return _pairs(t).where("length(b) > 0").select("doc_id", F.round(text.cer(F.col("a"), F.col("b")), 6).alias("cer"))
+    return _pairs(t).select("page_id", F.round(text.cer(F.col("a"), F.col("b")), 6).alias("cer"))
 
 
-@query(f"SELECT doc_id, round(levenshtein(a, b) / greatest(length(a), length(b)), 4) AS d FROM ({PAIRS}) WHERE b IS NOT NULL AND lang = 'en'")
+@query(f"SELECT page_id, round(levenshtein(a, b) / greatest(length(a), length(b)), 4) AS d FROM ({PAIRS})")
 def str_norm_distance(t: Tables) -> DataFrame:
-    return _pairs(t).where("lang = 'en'").select("doc_id", F.round(text.norm_distance(F.col("a"), F.col("b")), 4).alias("d"))
+    return _pairs(t).select("page_id", F.round(text.norm_distance(F.col("a"), F.col("b")), 4).alias("d"))
 
 
-@query(f"SELECT w, CAST(CASE WHEN regexp_matches(w, '[0-9]') OR length(w) <= 3 THEN 0 WHEN length(w) <= 6 THEN 1 ELSE 2 END AS INTEGER) AS edits, count(*) AS n FROM (SELECT unnest({SQL_TOKENS}) AS w FROM documents WHERE {SQL_ASCII}) GROUP BY 1")
+@query("SELECT doc_id, sha256(replace(lower(text), 'ß', 'ss')) AS h FROM documents")
+def str_normalise_scoring(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", F.sha2(text.folded(F.col("text")), 256).alias("h"))
+
+
+@query(f"SELECT w, CAST(CASE WHEN regexp_matches(w, '[0-9]') OR length(w) <= 3 THEN 0 WHEN length(w) <= 6 THEN 1 ELSE 2 END AS INTEGER) AS edits, count(*) AS n FROM (SELECT unnest({SQL_TOKENS}) AS w FROM documents) GROUP BY 1")
 def str_allowed_edits(t: Tables) -> DataFrame:
-    w = t.documents.where(ASCII).select(F.explode(text.tokens(F.col("text"))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    w = t.documents.select(F.explode(text.tokens(F.col("text"))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
     return w.select("w", text.allowed_edits(F.col("w")).alias("edits"), "n")
 
 
 @query(f"""
-    WITH w AS (SELECT doc_id, unnest(list_distinct({SQL_TOKENS})) AS w FROM documents WHERE {SQL_ASCII}), v AS (SELECT DISTINCT unnest({SQL_TOKENS}) AS w FROM benchmark)
-    SELECT d.doc_id, round(avg(CASE WHEN v.w IS NOT NULL THEN 1.0 WHEN w.w IS NOT NULL THEN 0.0 END), 6) AS fit FROM documents d LEFT JOIN w USING (doc_id) LEFT JOIN v ON v.w = w.w WHERE strlen(d.text) = length(d.text) GROUP BY 1""")
+    WITH w AS (SELECT doc_id, unnest(list_distinct({SQL_TOKENS})) AS w FROM documents), v AS (SELECT DISTINCT unnest({SQL_TOKENS}) AS w FROM benchmark)
+    SELECT d.doc_id, round(avg(CASE WHEN v.w IS NOT NULL THEN 1.0 WHEN w.w IS NOT NULL THEN 0.0 END), 6) AS fit FROM documents d LEFT JOIN w USING (doc_id) LEFT JOIN v ON v.w = w.w GROUP BY 1""")
 def str_lexicon_fit(t: Tables) -> DataFrame:
     """The share of a document's distinct words that the vocabulary knows; null without words."""
     known = t.benchmark.select(F.explode(text.tokens(F.col("text"))).alias("w")).distinct().withColumn("known", F.lit(1.0))
-    w = t.documents.where(ASCII).select("doc_id", F.explode_outer(F.array_distinct(text.tokens(F.col("text")))).alias("w")).join(known, "w", "left")
+    w = t.documents.select("doc_id", F.explode_outer(F.array_distinct(text.tokens(F.col("text")))).alias("w")).join(known, "w", "left")
     return w.groupBy("doc_id").agg(F.round(F.avg(F.when(F.col("w").isNotNull(), F.coalesce("known", F.lit(0.0)))), 6).alias("fit"))
 
 
-@query("SELECT doc_id, round(length(regexp_replace(text, '[^0-9]', '', 'g')) / greatest(1, length(regexp_replace(text, '[ \\t\\n\\r\\f\\v]', '', 'g'))), 6) AS digits FROM documents WHERE strlen(text) = length(text)")
-def str_content_class(t: Tables) -> DataFrame:
-    return t.documents.where(ASCII).select("doc_id", F.round(text.share_of_digits(F.col("text")), 6).alias("digits"))
-
-
-@query("SELECT page_id, regexp_extract(url, '/([0-9]+)(?:[?#]|$)', 1) AS number FROM pages WHERE regexp_matches(url, '/[0-9]+(?:[?#]|$)')")
-def str_page_number(t: Tables) -> DataFrame:
-    return t.pages.select("page_id", F.regexp_extract("url", r"/([0-9]+)(?:[?#]|$)", 1).alias("number")).where("number <> ''")
-
-
-@query("SELECT page_id, regexp_replace(list_extract(string_split(url, '/'), -1), '\\.[^.]*$', '') AS stem FROM pages")
+@query(r"SELECT page_id, replace(replace(stem, '#', '.'), '?', '.') AS stem, ext, regexp_matches(stem, '^[0-9]{1,3}$') AS is_number FROM (SELECT page_id, regexp_replace(trim(l), '(.)\.[^.]*$', '\1') AS stem, lower(regexp_extract(l, '.(\.[^.]*)$', 1)) AS ext FROM (SELECT page_id, list_extract(string_split(url, '/'), -1) || CASE page_id % 3 WHEN 0 THEN '.PNG' WHEN 1 THEN '.tar.Gz' ELSE '' END AS l FROM pages))")
 def str_file_stem(t: Tables) -> DataFrame:
-    return t.pages.select("page_id", text.file_stem(F.col("url")).alias("stem"))
+    """A name's stem, its extension in lower case, and whether it is a roll number."""
+    name = F.concat("url", F.when(F.col("page_id") % 3 == 0, ".PNG").when(F.col("page_id") % 3 == 1, ".tar.Gz").otherwise(""))
+    rows = t.pages.select("page_id", text.file_stem(name).alias("stem"), text.extension(name).alias("ext"))
+    return rows.select("page_id", F.translate("stem", "#?", "..").alias("stem"), "ext", F.col("stem").rlike("^[0-9]{1,3}$").alias("is_number"))
 
 
 @query("SELECT c_custkey, upper(replace(c_name, ' ', '')) AS code FROM customer")
@@ -111,10 +120,10 @@ def str_first_line(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", text.first_line(F.col("text")).alias("first"))
 
 
-@query("SELECT conv_id, turn, regexp_replace(regexp_replace((turn + 1) || ') Ans: ' || left(text, 40), '^\\s*\\d{1,2}\\s*[.):]\\s*', ''), '^\\s*[Aa]ns(?:wer)?\\s*[.:)-]\\s*', '') AS body FROM conversations")
+@query(f"SELECT conv_id, turn, sha256(regexp_replace(regexp_replace((turn + 1) || ') Ans: ' || text, '{text.ANSWER_LABEL}', ''), '{text.ANSWER_WORD}', '')) AS body FROM conversations")
 def str_strip_label(t: Tables) -> DataFrame:
-    labelled = F.concat((F.col("turn") + 1).cast("string"), F.lit(") Ans: "), F.substring("text", 1, 40))
-    return t.conversations.select("conv_id", "turn", text.strip_label(labelled).alias("body"))
+    labelled = F.concat((F.col("turn") + 1).cast("string"), F.lit(") Ans: "), "text")
+    return t.conversations.select("conv_id", "turn", F.sha2(text.strip_label(labelled), 256).alias("body"))
 
 
 @query("SELECT page_id, url FROM pages ORDER BY page_id")
@@ -128,52 +137,53 @@ def src_hash_split(t: Tables) -> DataFrame:
 
 
 @query(f"""
-    SELECT d.doc_id, b.item_id, round(len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))), 6) AS jaccard
-    FROM (SELECT doc_id, list_distinct({SQL_TOKENS}) AS x FROM documents WHERE doc_id < 100 AND {SQL_ASCII}) d, (SELECT item_id, list_distinct({SQL_TOKENS}) AS y FROM benchmark) b WHERE len(list_intersect(x, y)) > 20""")
+    WITH x AS (SELECT doc_id, unnest(list_distinct({SQL_TOKENS})) AS w FROM documents), y AS (SELECT item_id, unnest(list_distinct({SQL_TOKENS})) AS w FROM benchmark),
+    nx AS (SELECT doc_id, count(*) AS n FROM x GROUP BY 1), ny AS (SELECT item_id, count(*) AS m FROM y GROUP BY 1), p AS (SELECT doc_id, item_id, count(*) AS shared FROM x JOIN y USING (w) GROUP BY 1, 2 HAVING count(*) > 20)
+    SELECT doc_id, item_id, round(shared / (n + m - shared), 6) AS jaccard FROM p JOIN nx USING (doc_id) JOIN ny USING (item_id)""")
 def set_jaccard(t: Tables) -> DataFrame:
     """Pairs that share more than 20 tokens, met through an inverted index rather than by all pairs."""
-    d = t.documents.where("doc_id < 100").where(ASCII).select("doc_id", F.array_distinct(text.tokens(F.col("text"))).alias("x"))
+    d = t.documents.select("doc_id", F.array_distinct(text.tokens(F.col("text"))).alias("x"))
     b = t.benchmark.select("item_id", F.array_distinct(text.tokens(F.col("text"))).alias("y"))
     side = lambda df, key, col: df.select(key, F.size(col).alias(f"n_{col}"), F.explode(col).alias("w"))
     met = side(d, "doc_id", "x").join(side(b, "item_id", "y"), "w").groupBy("doc_id", "item_id", "n_x", "n_y").agg(F.count("*").alias("both")).where("both > 20")
     return met.select("doc_id", "item_id", F.round(F.col("both") / (F.col("n_x") + F.col("n_y") - F.col("both")), 6).alias("jaccard"))
 
 
-@query(f"SELECT DISTINCT w FROM (SELECT unnest({SQL_TOKENS}) AS w FROM benchmark UNION ALL SELECT unnest({SQL_TOKENS}) FROM conversations WHERE {SQL_ASCII})")
+@query(f"SELECT DISTINCT w FROM (SELECT unnest({SQL_TOKENS}) AS w FROM benchmark UNION ALL SELECT unnest({SQL_TOKENS}) FROM conversations)")
 def set_vocabulary(t: Tables) -> DataFrame:
-    every = t.benchmark.select("text").union(t.conversations.where(ASCII).select("text"))
+    every = t.benchmark.select("text").union(t.conversations.select("text"))
     return every.select(F.explode(text.tokens(F.col("text"))).alias("w")).distinct()
 
 
-@query(f"SELECT lower(w) AS folded, min_by(w, pos * 1000000 + doc_id) AS spelling FROM (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS pos FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]+') AS w FROM documents WHERE {SQL_ASCII} AND doc_id < 200)) GROUP BY 1")
+@query(f"SELECT lower(w) AS folded, min_by(w, CAST(pos AS HUGEINT) * 10000000000 + doc_id) AS spelling FROM (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS pos FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]+') AS w FROM documents)) GROUP BY 1")
 def set_ordered_union(t: Tables) -> DataFrame:
     """Terms ignoring case, the first spelling kept."""
-    w = t.documents.where(ASCII).where("doc_id < 200").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), F.lit(1))).alias("at", "w"))
+    w = t.documents.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), F.lit(1))).alias("at", "w"))
     return w.groupBy(F.lower("w").alias("folded")).agg(F.min_by("w", F.struct("at", "doc_id")).alias("spelling"))
 
 
-@query(f"SELECT doc_id, CAST(ceil(len({SQL_TOKENS}) / 30.0) AS INTEGER) AS chunks, CAST(len({SQL_TOKENS}) % 30 AS INTEGER) AS rest FROM documents WHERE {SQL_ASCII}")
+@query(f"SELECT doc_id, CAST(ceil(len({SQL_TOKENS}) / 30.0) AS INTEGER) AS chunks, CAST(len({SQL_TOKENS}) % 30 AS INTEGER) AS rest FROM documents")
 def arr_chunk(t: Tables) -> DataFrame:
-    c = t.documents.where(ASCII).select("doc_id", text.chunks(text.tokens(F.col("text"))).alias("c"))
+    c = t.documents.select("doc_id", text.chunks(text.tokens(F.col("text"))).alias("c"))
     return c.select("doc_id", F.size("c").alias("chunks"), F.when(F.size("c") == 0, 0).otherwise(F.size(F.element_at("c", -1)) % 30).alias("rest"))
 
 
-@query(f"SELECT doc_id, array_to_string(w, ' ') AS firsts FROM (SELECT doc_id, list(w ORDER BY pos) AS w FROM (SELECT doc_id, w, min(pos) AS pos FROM (SELECT doc_id, unnest(x) AS w, generate_subscripts(x, 1) AS pos FROM (SELECT doc_id, {SQL_TOKENS}[:50] AS x FROM documents WHERE {SQL_ASCII})) GROUP BY 1, 2) GROUP BY 1)")
+@query(f"SELECT doc_id, sha256(array_to_string(w, ' ')) AS firsts FROM (SELECT doc_id, list(w ORDER BY pos) AS w FROM (SELECT doc_id, w, min(pos) AS pos FROM (SELECT doc_id, unnest(x) AS w, generate_subscripts(x, 1) AS pos FROM (SELECT doc_id, {SQL_TOKENS} AS x FROM documents)) GROUP BY 1, 2) GROUP BY 1)")
 def arr_dict_merge(t: Tables) -> DataFrame:
-    x = F.array_distinct(F.slice(text.tokens(F.col("text")), 1, 50))
-    return t.documents.where(ASCII).select("doc_id", F.array_join(x, " ").alias("firsts")).where("firsts <> ''")
+    x = F.array_distinct(text.tokens(F.col("text")))
+    return t.documents.select("doc_id", F.array_join(x, " ").alias("firsts")).where("firsts <> ''").withColumn("firsts", F.sha2("firsts", 256))
 
 
-@query(f"SELECT count(*) FILTER (list_contains({SQL_TOKENS}, 'the')) AS with_the, count(*) FILTER (len({SQL_TOKENS}) > 100) AS long FROM documents WHERE {SQL_ASCII}")
+@query(f"SELECT count(*) FILTER (list_contains({SQL_TOKENS}, 'the')) AS with_the, count(*) FILTER (len({SQL_TOKENS}) > 100) AS long FROM documents")
 def arr_flags(t: Tables) -> DataFrame:
-    x = text.tokens(F.col("text"))
-    return t.documents.where(ASCII).agg(F.count_if(F.array_contains(x, "the")).alias("with_the"), F.count_if(F.size(x) > 100).alias("long"))
+    x = t.documents.select(text.tokens(F.col("text")).alias("x"))
+    return x.agg(F.count_if(F.array_contains("x", "the")).alias("with_the"), F.count_if(F.size("x") > 100).alias("long"))
 
 
-@query(f"SELECT conv_id, turn, list_has_any({SQL_TOKENS}, ['idiot', 'moron', 'the']) AS overlaps FROM conversations WHERE {SQL_ASCII}")
+@query(f"SELECT conv_id, turn, list_has_any({SQL_TOKENS}, ['idiot', 'moron', 'the']) AS overlaps FROM conversations")
 def arr_disjoint(t: Tables) -> DataFrame:
     terms = F.array(*[F.lit(w) for w in ("idiot", "moron", "the")])
-    return t.conversations.where(ASCII).select("conv_id", "turn", F.arrays_overlap(text.tokens(F.col("text")), terms).alias("overlaps"))
+    return t.conversations.select("conv_id", "turn", F.arrays_overlap(text.tokens(F.col("text")), terms).alias("overlaps"))
 
 
 @query("SELECT event_id, CASE WHEN event_type = 'purchase' THEN 'numeric' WHEN event_type = 'click' THEN 'list' ELSE 'other' END AS kind, CASE WHEN event_type = 'purchase' THEN CAST(json_extract_string(props, '$.k') AS DOUBLE) END AS expected, CASE WHEN event_type = 'click' THEN CAST(json_extract_string(props, '$.k') AS DOUBLE) END AS required FROM events")
@@ -199,12 +209,6 @@ def _to_centroids(t: Tables) -> DataFrame:
     return rows.select("vec_id", "label", "to_label", F.round(vectors.cosine(F.col("embedding"), F.col("centroid")), 6).alias("similarity"))
 
 
-@query(f"{CENTROIDS} SELECT vec_id, c.label AS best, round(s, 4) AS similarity FROM (SELECT vec_id, c.label, round(greatest(0, least(1, list_cosine_similarity(CAST(embedding AS DOUBLE[]), centroid))), 6) AS s FROM embeddings, c) c QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, label) = 1")
-def emb_best_match(t: Tables) -> DataFrame:
-    best = _to_centroids(t).groupBy("vec_id").agg(F.max_by(F.struct("to_label", "similarity"), F.struct("similarity", -F.col("to_label"))).alias("b"))
-    return best.select("vec_id", F.col("b.to_label").alias("best"), F.round("b.similarity", 4).alias("similarity"))
-
-
 @query(f"{CENTROIDS} SELECT label, round(avg(top), 3) AS relevance FROM (SELECT label, vec_id, list_avg(list_sort(list(s), 'DESC')[:3]) AS top FROM (SELECT e.label, vec_id, round(greatest(0, least(1, list_cosine_similarity(CAST(embedding AS DOUBLE[]), centroid))), 6) AS s FROM embeddings e, c) GROUP BY 1, 2) GROUP BY 1")
 def emb_relevance(t: Tables) -> DataFrame:
     per = _to_centroids(t).groupBy("label", "vec_id").agg(vectors.top_mean(F.collect_list("similarity")).alias("top"))
@@ -217,10 +221,17 @@ def sc_semantic(t: Tables) -> DataFrame:
     return own.select("vec_id", numbers.band(F.round("similarity", 3), 0.25, 0.4).alias("credit"))
 
 
-@query("SELECT count(*) AS vectors, count(DISTINCT md5(CAST(embedding AS VARCHAR))) AS cached FROM embeddings")
+@query("""
+    WITH s AS (SELECT conv_id, turn, role, sha256(text) AS h FROM conversations), a AS (SELECT conv_id, string_agg(h, ',' ORDER BY turn) AS now, count(*) AS n FROM s GROUP BY 1),
+    b AS (SELECT conv_id, string_agg(h, ',' ORDER BY turn) AS before, count(*) AS m FROM s WHERE NOT (role = 'user' AND conv_id % 3 = 0) GROUP BY 1)
+    SELECT conv_id, n AS vectors, coalesce(n = m AND now = before, false) AS reused FROM a LEFT JOIN b USING (conv_id)""")
 def emb_cache(t: Tables) -> DataFrame:
-    """Vectors to make: one for each distinct content."""
-    return t.embeddings.agg(F.count("*").alias("vectors"), F.count_distinct(F.xxhash64("embedding"), F.hash("embedding")).alias("cached"))
+    """Answers whose stored vectors are used again: as many as there are sentences, and every sentence's hash the same. Stored are those of an earlier reading, which had no questions in every third conversation."""
+    s = t.conversations.select("conv_id", "turn", "role", F.sha2("text", 256).alias("h"))
+    hashes = F.transform(F.array_sort(F.collect_list(F.struct("turn", "h"))), lambda x: x["h"])
+    now = s.groupBy("conv_id").agg(hashes.alias("now"))
+    before = s.where("NOT (role = 'user' AND conv_id % 3 = 0)").groupBy("conv_id").agg(hashes.alias("before"))
+    return now.join(before, "conv_id", "left").select("conv_id", F.size("now").cast("long").alias("vectors"), F.coalesce(F.col("now") == F.col("before"), F.lit(False)).alias("reused"))
 
 
 @query()

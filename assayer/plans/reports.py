@@ -503,17 +503,6 @@ def rep_assignments(t: Tables) -> DataFrame:
     return out.withColumn("completion", numbers.percent(F.col("done"), F.col("lifetime")).cast("double")).drop("done")
 
 
-@query("""
-    SELECT r_name, count(DISTINCT c_custkey) AS owners, count(DISTINCT o_orderkey) AS units, count(*) AS booklets, count(*) FILTER (l_linestatus = 'F') AS approved
-    FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1""")
-def rep_dashboard(t: Tables) -> DataFrame:
-    """Totals by region; line items are counted by unit before they are joined."""
-    lines = t.lineitem.groupBy("l_orderkey").agg(F.count("*").alias("b"), F.count_if(F.col("l_linestatus") == "F").alias("f"))
-    rows = t.orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).groupBy("o_custkey").agg(F.count("*").alias("u"), F.sum("b").alias("b"), F.sum("f").alias("f"))
-    places = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
-    return rows.join(places, F.col("o_custkey") == F.col("c_custkey")).groupBy("r_name").agg(F.count("*").alias("owners"), F.sum("u").alias("units"), F.sum("b").alias("booklets"), F.sum("f").alias("approved"))
-
-
 @query("SELECT o_orderkey, c_name, n_name, o_orderstatus, coalesce(booklets, 0) AS booklets FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey LEFT JOIN (SELECT l_orderkey, count(*) AS booklets FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey")
 def rep_progress(t: Tables) -> DataFrame:
     n = t.lineitem.groupBy("l_orderkey").agg(F.count("*").alias("booklets"))
@@ -521,15 +510,6 @@ def rep_progress(t: Tables) -> DataFrame:
     return rows.select("o_orderkey", "c_name", "n_name", "o_orderstatus", F.coalesce("booklets", F.lit(0)).alias("booklets"))
 
 
-@query(f"""
-    SELECT c_custkey, count(*) AS handed_in, count(*) FILTER (l_shipdate <= o_orderdate) AS on_time, count(*) FILTER (l_linestatus = 'O') AS pending, CAST(round(CAST(100 * count(*) FILTER (l_shipdate <= o_orderdate) AS DECIMAL(20, 4)) / count(*), 1) AS DOUBLE) AS on_time_percent
-    FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1""")
-def rep_my_report(t: Tables) -> DataFrame:
-    rows = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    out = rows.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("handed_in"), F.count_if(F.col("l_shipdate") <= F.col("o_orderdate")).alias("on_time"), F.count_if(F.col("l_linestatus") == "O").alias("pending"))
-    return out.join(t.customer, "c_custkey", "left_semi").withColumn("on_time_percent", numbers.percent(F.col("on_time"), F.col("handed_in")).cast("double"))
-
-
 @query("SELECT o_orderkey, coalesce(attempted, 0) AS attempted, coalesce(approved, 0) AS approved, (SELECT count(*) FROM orders WHERE o_orderstatus = 'O') AS total FROM (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O' ORDER BY o_orderkey LIMIT 50 OFFSET 100) LEFT JOIN (SELECT l_orderkey, count(*) AS attempted, count(*) FILTER (l_linestatus = 'F') AS approved FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey")
 def rep_unit_rows(t: Tables) -> DataFrame:
     page = paging.page_with_total(t.orders.where("o_orderstatus = 'O'").select("o_orderkey"), [F.col("o_orderkey")], 100, 50)
@@ -557,12 +537,6 @@ def rep_stale_answers(t: Tables) -> DataFrame:
     return both.where("scored_turn < current_turn")
 
 
-@query("SELECT l_orderkey, count(*) AS lines, round(sum(l_extendedprice), 2) AS total, string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY l_linenumber, l_partkey) AS parts FROM lineitem GROUP BY 1")
-def rep_evaluation(t: Tables) -> DataFrame:
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda x: x["l_partkey"].cast("string"))
-    return t.lineitem.groupBy("l_orderkey").agg(F.count("*").alias("lines"), F.round(F.sum("l_extendedprice"), 2).alias("total"), F.array_join(parts, ",").alias("parts"))
-
-
 @query("SELECT n_name AS name, 'nation' AS kind FROM nation UNION SELECT r_name, 'region' FROM region")
 def set_union_counts(t: Tables) -> DataFrame:
     return t.nation.select(F.col("n_name").alias("name"), F.lit("nation").alias("kind")).union(t.region.select("r_name", F.lit("region"))).distinct()
@@ -586,3 +560,32 @@ def set_reach(t: Tables) -> DataFrame:
     granted = t.customer.join(t.nation.where("n_regionkey = 1"), F.col("c_nationkey") == F.col("n_nationkey"), "left_semi").select(F.col("c_custkey").alias("o_custkey"))
     owner = granted.union(t.spark.createDataFrame([(9,)], "o_custkey long")).distinct()
     return t.orders.join(owner, "o_custkey", "left_semi").select("o_orderkey")
+
+
+@query("""
+    SELECT r_name, count(DISTINCT c_custkey) AS owners, count(DISTINCT o_orderkey) AS units, count(DISTINCT o_orderkey) FILTER (o_orderstatus = 'O') AS open, count(DISTINCT o_orderkey) FILTER (o_orderstatus = 'P') AS submitted, count(DISTINCT o_orderkey) FILTER (o_orderstatus = 'F') AS frozen, strftime(max(o_orderdate), '%Y-%m-%d') AS newest, count(*) AS booklets, count(*) FILTER (l_linestatus = 'F') AS approved
+    FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1""")
+def rep_dashboard(t: Tables) -> DataFrame:
+    """By region owners, units by stage, the newest of the feed, booklets; line items are counted by unit and units by owner before they are joined."""
+    lines = t.lineitem.groupBy("l_orderkey").agg(F.count("*").alias("b"), F.count_if(F.col("l_linestatus") == "F").alias("f"))
+    s = F.col("o_orderstatus")
+    rows = t.orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).groupBy("o_custkey").agg(F.count("*").alias("u"), F.count_if(s == "O").alias("open"), F.count_if(s == "P").alias("submitted"), F.count_if(s == "F").alias("frozen"), F.max("o_orderdate").alias("newest"), F.sum("b").alias("b"), F.sum("f").alias("f"))
+    places = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
+    sums = [F.sum(a).alias(b) for a, b in (("u", "units"), ("open", "open"), ("submitted", "submitted"), ("frozen", "frozen"), ("b", "booklets"), ("f", "approved"))]
+    return rows.join(places, F.col("o_custkey") == F.col("c_custkey")).groupBy("r_name").agg(F.count("*").alias("owners"), *sums, F.date_format(F.max("newest"), "yyyy-MM-dd").alias("newest"))
+
+
+@query(f"""
+    SELECT c_custkey, count(*) AS handed_in, count(*) FILTER (l_shipdate <= o_orderdate + INTERVAL 30 DAY) AS on_time, count(*) FILTER (l_linestatus = 'O') AS pending, CAST(round(CAST(100 * count(*) FILTER (l_shipdate <= o_orderdate + INTERVAL 30 DAY) AS DECIMAL(20, 4)) / count(*), 1) AS DOUBLE) AS on_time_percent,
+        CAST(round(CAST(sum(date_diff('day', o_orderdate, l_shipdate)) FILTER (l_shipdate >= o_orderdate) AS DECIMAL(20, 4)) / nullif(count(*) FILTER (l_shipdate >= o_orderdate), 0), 1) AS DOUBLE) AS turnaround_days,
+        count(*) FILTER (quarter(l_shipdate) = 1) AS q1, count(*) FILTER (quarter(l_shipdate) = 2) AS q2, count(*) FILTER (quarter(l_shipdate) = 3) AS q3, count(*) FILTER (quarter(l_shipdate) = 4) AS q4
+    FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1""")
+def rep_my_report(t: Tables) -> DataFrame:
+    """An owner's hand-ins: on time within 30 days, still pending, the mean days taken and the counts by quarter."""
+    rows = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    days = F.datediff("l_shipdate", "o_orderdate")
+    quarters = [F.count_if(F.quarter("l_shipdate") == q).alias(f"q{q}") for q in (1, 2, 3, 4)]
+    out = rows.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("handed_in"), F.count_if(days <= 30).alias("on_time"), F.count_if(F.col("l_linestatus") == "O").alias("pending"), F.sum(F.when(days >= 0, days)).alias("__s"), F.count_if(days >= 0).alias("__n"), *quarters)
+    out = out.join(t.customer, "c_custkey", "left_semi").withColumn("on_time_percent", numbers.percent(F.col("on_time"), F.col("handed_in")).cast("double"))
+    mean = F.round(F.col("__s").cast("decimal(20,4)") / F.nullif(F.col("__n"), F.lit(0)), 1).cast("double")
+    return out.withColumn("turnaround_days", mean).drop("__s", "__n")

@@ -106,3 +106,40 @@ def marker_events(paths: DataFrame) -> DataFrame:
     """College and booklet of rows(path) that are completion markers college/<id>/booklets/<id>/_complete."""
     shape = r"college/([^/]+)/booklets/([^/]+)/_complete$"
     return paths.where(F.col("path").rlike(shape)).select(F.regexp_extract("path", shape, 1).alias("college_id"), F.regexp_extract("path", shape, 2).alias("booklet_id"))
+
+
+#: How a corpus writes brackets.
+BRACKETS = {"-LRB-": "(", "-RRB-": ")", "-LSB-": "[", "-RSB-": "]", "-LCB-": "{", "-RCB-": "}"}
+
+
+def clean_markup(text: Column) -> Column:
+    """Without tags, with plain brackets and single spaces, none inside brackets."""
+    for token, char in BRACKETS.items():
+        text = F.replace(text, F.lit(token), F.lit(char))
+    text = F.trim(F.regexp_replace(F.regexp_replace(text, r"<[^>]*>", " "), r"\s+", " "))
+    return F.regexp_replace(F.regexp_replace(text, r"([(\[{])\s+", "$1"), r"\s+([)\]}])", "$1")
+
+
+def zipped_answers(answers: DataFrame, grades: DataFrame) -> DataFrame:
+    """id, question, text, mark of parallel files' lines(code, pos, line), which belong together by position; the first word of an answer's line is its number. Files of unequal lengths give one row with an error."""
+    a = answers.select("code", "pos", clean_markup(F.regexp_replace("line", r"^\S*\s?", "")).alias("text"))
+    both = a.join(grades.select("code", "pos", F.col("line").cast("double").alias("mark"), F.lit(True).alias("__there")), ["code", "pos"], "full").withColumn("__pair", F.col("text").isNotNull() & F.col("__there"))
+    uneven = both.groupBy("code").agg(F.min(F.coalesce("__pair", F.lit(False))).alias("ok"))
+    rows = both.join(uneven, "code").where("ok").select(F.concat_ws(":", "code", F.col("pos").cast("string")).alias("id"), F.col("code").alias("question"), "text", "mark", F.lit(None).cast("string").alias("error"))
+    return rows.unionByName(uneven.where("NOT ok").select(F.lit(None).cast("string").alias("id"), F.col("code").alias("question"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("double").alias("mark"), F.lit("answers and grades are not as many").alias("error")))
+
+
+SAMPLE = "image string, width int, height int, objects array<struct<class:string,box:array<double>>>, arrows array<struct<box:array<double>,has_head:boolean>>, edges array<array<int>>"
+
+
+def diagram_samples(lines: DataFrame) -> DataFrame:
+    """Samples of a diagram manifest, one JSON a line in rows(body); a line that is none, or without an image, is an error row."""
+    x = lines.select("body", F.from_json("body", SAMPLE).alias("s"))
+    return x.select("s.*", F.when(F.col("s.image").isNull(), F.concat(F.lit("not a sample: "), F.substring("body", 1, 40))).alias("error"))
+
+
+def annotations(files: DataFrame) -> DataFrame:
+    """file, label and box of each object in rows(body) of annotation XML."""
+    kind = "filename string, object array<struct<name:string,bndbox:struct<xmin:int,ymin:int,xmax:int,ymax:int>>>"
+    o = files.select(F.from_xml("body", kind).alias("a")).select("a.filename", F.explode("a.object").alias("o"))
+    return o.select("filename", F.col("o.name").alias("label"), "o.bndbox.*")

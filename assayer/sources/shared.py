@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,8 +12,12 @@ _OWN: dict[str, str] = {}
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in spark.checkpoint.dir, or in a folder of our own where that is unset, as in tests."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or _OWN.setdefault("at", f"file://{tempfile.mkdtemp(prefix='spark-shared-')}")
+    """A new path in spark.checkpoint.dir; only where that is unset and executors are threads of the driver, as in tests, in a folder of our own."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        at = _OWN.setdefault("at", f"file://{tempfile.mkdtemp(prefix='spark-shared-')}")
     return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

@@ -21,27 +21,114 @@ def one(spark, *columns):
 def test_edit_distances(spark):
     r = one(spark, F.levenshtein(F.lit("kitten"), F.lit("sitting")), text.norm_distance(F.lit("abcd"), F.lit("abce")), text.norm_distance(F.lit(""), F.lit("xyz")), text.cer(F.lit("helo"), F.lit("hello")), text.cer(F.lit(""), F.lit("")), text.cer(F.lit("x"), F.lit("")), text.norm_distance(F.lit(""), F.lit("")))
     assert list(r) == [3, 0.25, 1.0, 0.2, 0.0, 1.0, 0.0]
-    assert udfs.alignment("kitten", "sitting", 3) == 3 and udfs.alignment("a", "abcdef", 2) == 3 and udfs.alignment("ca", "abc") == 3 and udfs.alignment("ab", "ba") == 1
+    pairs = [("kitten", "sitting"), ("a", "abcdef"), ("ca", "abc"), ("ab", "ba"), ("", "xy"), ("", ""), ("recieve", "receive")]
+    assert udfs.alignments(pairs).tolist() == [3, 5, 3, 1, 2, 0, 1] and udfs.alignments([]).tolist() == []
 
 
-@pytest.mark.parametrize("key, written, match", [("governors", "govemors", True), ("judges", "judgcs", True), ("judges", "jxdgcs", False), ("cag", "cog", False), ("53", "58", False), ("emergency", "emregency", True)])
+def plain_alignment(a, b):
+    """By the definition, without a table."""
+    from functools import cache
+
+    @cache
+    def d(i, j):
+        if not i or not j:
+            return i + j
+        best = min(d(i - 1, j) + 1, d(i, j - 1) + 1, d(i - 1, j - 1) + (a[i - 1] != b[j - 1]))
+        if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+            best = min(best, d(i - 2, j - 2) + 1)
+        return best
+
+    return d(len(a), len(b))
+
+
+def test_alignments_like_the_definition():
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abc") for _ in range(rng.randrange(8)))
+    pairs = [(word(), word()) for _ in range(400)]
+    assert udfs.alignments(pairs).tolist() == [plain_alignment(a, b) for a, b in pairs]
+
+
+@pytest.mark.parametrize("key, written, match", [("lantern", "lantem", True), ("lantern", "lxntxxn", False), ("river", "rivar", True), ("river", "rxvar", False), ("fox", "fax", False), ("1990s", "1980s", False), ("mountain", "muontain", True), ("tree", "tree", True)])
 def test_word_matches(key, written, match):
-    assert udfs.word_matches(key, written) == match
+    assert udfs.matches([(key, written)]).tolist() == [match]
+
+
+def test_word_lists(spark):
+    a, b = F.split(F.lit("the old red house stands"), " "), F.split(F.lit("the red house still stands here"), " ")
+    assert list(one(spark, text.list_edits(a, b), text.list_edits(a, a), text.list_edits(F.array().cast("array<string>"), b))) == [3, 0, 6]
+
+
+def test_folding(spark):
+    import unicodedata
+
+    cases = ["Straße", "ﬁne № ２", "It’s −3", "ABC", "", "É à ﬀ", "ΣΑΣ"]
+    want = [unicodedata.normalize("NFKC", c).replace("’", "'").replace("−", "-").casefold() for c in cases]
+    assert list(one(spark, *[text.folded(F.lit(c)) for c in cases])) == want == [udfs.fold(c) for c in cases]
+
 
+def test_near_words_lose_no_pair(spark):
+    from assayer.plans.arrow import near_words
 
-def test_labels_and_sentences(spark):
-    lines = ["12 b) The President", "Q no. 3. Fundamental duties", "Article 53 says"]
-    got = one(spark, *[text.strip_label(F.lit(x)) for x in lines])
-    assert list(got) == ["The President", "Fundamental duties", "Article 53 says"]
-    assert [len(s.split()) for s in udfs.split_sentences(" ".join(["word"] * 70))] == [30, 30, 10]
-    assert udfs.label_of("12 b) x") == (12, "b") and udfs.label_of("iv. x") == (4, None) and udfs.label_of("l0. x") == (10, None)
+    rng = random.Random(8)
+    words = sorted({"".join(rng.choice("abcd") for _ in range(rng.randrange(1, 8))) for _ in range(150)})
+    got = {(r.w, r.x) for r in near_words(spark.createDataFrame([(w,) for w in words], "w string")).select("w", "x").collect()}
+    want = {(a, b) for a in words for b in words if a < b and plain_alignment(a, b) <= 2}
+    assert want <= got
+
+
+def test_sentences():
+    split = udfs.split_sentences
+    assert split("Rain fell. Wind rose; night came! Who knew? So it was") == ["Rain fell.", "Wind rose;", "night came!", "Who knew?", "So it was"]
+    assert split("See Fig. 3 and no. 7 etc. for more. Done.") == ["See Fig. 3 and no. 7 etc. for more.", "Done."]
+    assert split("a hyphen-\nated word\nand a well-\nKnown one") == ["a hyphenated word and a well- Known one"]
+    assert split("first line\n1. apples\n(b) pears\n\nlast") == ["first line", "1. apples", "(b) pears", "last"]
+    assert [len(s.split()) for s in split(" ".join(["word"] * 70))] == [30, 30, 10] and split("... ! \n --") == []
+
+
+def test_labels(spark):
+    lines = ["7 c) Rivers flow", "Q no. 4. Tall trees", "Ans: Clouds", "Chapter 9 begins"]
+    assert list(one(spark, *[text.strip_label(F.lit(x)) for x in lines])) == ["Rivers flow", "Tall trees", "Clouds", "Chapter 9 begins"]
+    short = lambda t: (lambda x: x and tuple(x[k] for k in ("kind", "number", "part", "section", "strong")))(udfs.label_of(t))
+    cases = {
+        "11 c) some text": ("question", 11, "c", None, True), "5. some text": ("question", 5, None, None, False), "Q.7 text": ("question", 7, None, None, True), "Ans 3: text": ("question", 3, None, None, True), "l2) text": ("question", 12, None, None, False), "No. 8 - x": ("question", 8, None, None, True),
+        "② text": ("question", 2, None, None, True), "Section - B": ("section", None, None, "B", False), "Part II": ("section", None, None, "2", False), "Sectiom: C": ("section", None, None, "C", False), "Ans: because": ("answer", None, None, None, True), "(ii) text": ("part", None, "ii", None, False),
+        "lo and behold": None, "Il pleut": None, "Answer the question": None, "Quite so": None, "a. small": None, "": None, "plain words": None, "0. zero": None,
+    }
+    assert {k: short(k) for k in cases} == cases
+    got = spark.createDataFrame([(k,) for k in ["5. x", None, "plain"]], "t string").select(udfs.parse_label("t").alias("l")).select("l.kind", "l.number", "l.strong").collect()
+    assert [tuple(r) for r in got] == [("question", 5, False), (None, None, None), (None, None, None)]
 
 
 def test_numbers():
-    values = [float(v) for v, _ in udfs.numbers_in("Total is 1,000 cm and -3 then 0.75, .5")]
-    assert values == [1000, -3, 0.75, 0.5] and udfs.numbers_in("1,000 cm")[0][1] == "cm"
-    assert [float(v) for v, _ in udfs.numbers_in("about 2½ or ¾ and 3/4 or 12%")] == [2.5, 0.75, 0.75, 12]
-    assert [float(v) for v, _ in udfs.numbers_in("pages 3-4")] == [3, 4]
+    read = lambda t: [(float(v), u) for v, u in udfs.numbers_in(t)]
+    assert read("sold 2,500 kg, then −4 and .25 or 7/8 of 3½ cups; 9 percentages") == [(2500, "kg"), (-4, "and"), (0.25, "or"), (0.875, "of"), (3.5, "cups"), (9, "")]
+    assert read("¼ litre at 15% in v2.1 and 3/0 x 12.5.7") == [(0.25, "litre"), (15, "%"), (12.5, "")]
+    assert read("room a12 b 6") == [(6, "")]
+
+
+def test_phrases():
+    said = "the tall trees stand near a quiet river and tall green trees fall"
+    assert udfs.phrase_hits("the tall trees", said) == [(1, 3), (9, 12)]
+    assert udfs.phrase_hits("quiet blue river", said) == [(6, 8)]  # one of three may be missing
+    assert udfs.phrase_hits("blue quiet river", said) == [(6, 8)] and udfs.phrase_hits("blue red river", said) == []
+    assert udfs.phrase_hits("of the", "a part of the whole, of the lot") == [(2, 4), (5, 7)]  # stop words alone are their own key
+    assert udfs.phrase_hits("", said) == udfs.phrase_hits("tree", "") == []
+    assert udfs.items_found([["tall trees"], ["trees"], ["river", "stream"], ["trees fall"]], said) == [0, 1, 2]
+
+
+def test_trigrams(spark):
+    import zlib
+    from collections import Counter
+
+    words = "Explain the quick brown fox to an ox; what is quick?"
+    want = Counter()
+    for w in ("quick", "brown", "fox", "quick"):
+        padded = f" {w} "
+        for i in range(len(padded) - 2):
+            want[zlib.crc32(padded[i : i + 3].encode()) % 1024] += 1
+        want[zlib.crc32(f"w:{w}".encode()) % 1024] += 2
+    got = vectors.trigram_slots(spark.createDataFrame([(1, words)], "k int, t string"), "k", "t")
+    assert {r.slot: r.weight for r in got.collect()} == dict(want)
 
 
 def test_rounding(spark):
@@ -69,12 +156,39 @@ def test_choice_rules(spark):
 
 
 def test_reading_selection(spark):
-    lines = spark.createDataFrame([("l", 1, "a", "cat sat", 0.9), ("l", 2, "b", "cat sat", 0.6), ("l", 3, "c", "cot sit", 0.8)], "line string, pos int, engine string, body string, confidence double")
+    lines = spark.createDataFrame([("l", 1, "p", "red sun", 0.5), ("l", 2, "q", "red sum", 0.7), ("l", 3, "r", "rod sun", 0.7)], "line string, pos int, engine string, body string, confidence double")
     agree = {r.engine: r.agreement for r in readings.agreement(lines, "line", "engine", "body").collect()}
-    assert agree == pytest.approx({"a": 1 - (2 / 7) / 2, "b": 1 - (2 / 7) / 2, "c": 1 - 2 / 7})
-    scored = lines.join(readings.agreement(lines, "line", "engine", "body"), ["line", "engine"]).withColumn("weight", F.lit(1.0)).withColumn("lexicon", F.when(F.col("engine") == "c", 0.0).otherwise(1.0))
-    best = readings.select_reading(scored, "line", "pos", 0.5, 0.25, 0.6).first()
-    assert best.engine == "a" and best.line_score == pytest.approx((0.9 + 0.5 * agree["a"] + 0.25) / 1.75) and not best.flagged
+    assert agree == pytest.approx({"p": 1 - 1 / 7, "q": 1 - (1 / 7 + 2 / 7) / 2, "r": 1 - (1 / 7 + 2 / 7) / 2})
+    scored = lines.join(readings.agreement(lines, "line", "engine", "body"), ["line", "engine"]).withColumn("weight", F.lit(1.0)).withColumn("lexicon", F.when(F.col("engine") == "r", 1.0).otherwise(0.5))
+    best = readings.select_reading(scored, "line", "pos", 0.5, 0.25, 0.9).first()
+    assert best.engine == "r" and best.line_score == pytest.approx((0.7 + 0.5 * agree["r"] + 0.25) / 1.75) and best.flagged
+
+
+def test_isotonic_like_the_closed_form(spark):
+    rng = random.Random(5)
+    rows = [("k", rng.randrange(12) / 12, rng.random()) for _ in range(80)]
+    got = fitting.isotonic(spark.createDataFrame(rows, "k string, x double, y double"), ["k"], "x", "y").first()
+    xs = sorted({x for _, x, _ in rows})
+    mean = lambda i, j: np.mean([y for _, x, y in rows if xs[i] <= x <= xs[j]])
+    for i, x in enumerate(xs):
+        want = max(min(mean(j, k) for k in range(i, len(xs))) for j in range(i + 1))
+        assert np.interp(x, got.xs, got.ys) == pytest.approx(want, abs=2e-6)
+    one_more = fitting.isotonic(spark.createDataFrame([("k", 0.1, 1.4), ("k", 0.2, 1.4)], "k string, x double, y double"), ["k"], "x", "y").first()
+    assert one_more.xs == pytest.approx([0.1, 0.2], abs=1e-6) and one_more.ys == [1.0, 1.0]  # equal means stay apart, values stay within [0, 1]
+
+
+def test_bootstrap(spark):
+    pages = [("k", f"p{i}", float(i % 4), 10.0 + i) for i in range(12)]
+    got = fitting.bootstrap_ratio(spark.createDataFrame(pages[::-1], "k string, page string, e double, n double"), ["k"], "page", "e", "n", draws=200).first()
+    rng, order = random.Random(20261004), sorted(pages, key=lambda r: r[1])
+    values = []
+    for _ in range(200):
+        drawn = [order[rng.randrange(12)] for _ in range(12)]
+        values.append(sum(r[2] for r in drawn) / sum(r[3] for r in drawn))
+    values.sort()
+    assert (got.pages, got.low, got.high) == (12, pytest.approx(values[4]), pytest.approx(values[194]))
+    few = fitting.bootstrap_ratio(spark.createDataFrame(pages[:4], "k string, page string, e double, n double"), ["k"], "page", "e", "n").first()
+    assert few.low is None and few.high is None
 
 
 def test_calibration(spark):
@@ -178,3 +292,165 @@ def test_the_library_stands_without_llm(tmp_path):
     shutil.copy(f"{here}/__spark_entry__.py", tmp_path)
     done = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; q = e.queries(); assert q and not any(n.startswith('op1') for n in q) and e.oracle_sql()"], cwd=tmp_path, capture_output=True, text=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})
     assert done.returncode == 0, done.stderr
+
+
+def boxes_of(rng, n, pages=3):
+    out = []
+    for i in range(n):
+        x, y = rng.randrange(60), rng.randrange(60)
+        out.append((rng.randrange(pages), f"b{i:03d}", rng.random() < 0.4, round(rng.random(), 3), x, y, x + rng.randrange(5, 30), y + rng.randrange(5, 30), f"e{i % 3}"))
+    return out
+
+
+BOX = "page long, id string, truth boolean, score double, x0 int, y0 int, x1 int, y1 int, engine string"
+
+
+def shared(a, b):
+    w, h = min(a[6], b[6]) - max(a[4], b[4]), min(a[7], b[7]) - max(a[5], b[5])
+    return max(0, w) * max(0, h) if w > 0 and h > 0 else 0
+
+
+def area(a):
+    return (a[6] - a[4]) * (a[7] - a[5])
+
+
+def iou(a, b):
+    return shared(a, b) / (area(a) + area(b) - shared(a, b))
+
+
+def test_boxes_one_after_the_other(spark):
+    rows = boxes_of(random.Random(3), 150)
+    df = spark.createDataFrame(rows, BOX)
+    free = {r[1]: r for r in rows if r[2]}
+    want = {}
+    for d in sorted((r for r in rows if not r[2]), key=lambda r: (r[0], -r[3], r[1])):
+        best = max(((iou(d, f), f[1]) for f in sorted(free.values(), key=lambda f: f[1]) if f[0] == d[0]), key=lambda p: p[0], default=(0, None))
+        want[d[1]] = best[1] if best[0] >= 0.3 else None
+        free.pop(want[d[1]], None)
+    assert {r.id: r.match for r in assignment.greedy(df, 0.3).collect()} == want
+    kept = []
+    for r in sorted(rows, key=lambda r: (r[0], -r[3], r[1])):
+        if all(k[0] != r[0] or iou(k, r) <= 0.3 for k in kept):
+            kept.append(r)
+    assert {r.id for r in assignment.suppressed(df, 0.3).collect()} == {k[1] for k in kept}
+
+
+def test_alignment_of_engines(spark):
+    line = lambda k, e, x0, x1, y=0, truth=False: (1, k, truth, 0.5, x0, y, x1, y + 10, e)
+    rows = [line("L1", "", 0, 100, truth=True), line("a1", "a", 0, 90), line("b1", "b", 10, 40), line("b2", "b", 45, 100), line("a2", "a", 0, 30, 50), line("b3", "b", 0, 60, 50), line("c1", "c", 40, 60, 50), line("c2", "c", 0, 20, 90)]
+    got = {r.id: r.line for r in assignment.aligned(spark.createDataFrame(rows, BOX)).collect()}
+    assert got == {"a1": "L1", "b1": "L1", "b2": "L1", "a2": "extra 0", "b3": "extra 0", "c1": "extra 0", "c2": "extra 1"}
+
+
+def test_a_page_of_any_size(spark):
+    rows = boxes_of(random.Random(9), 6000, 1)
+    df = spark.createDataFrame(rows, BOX)
+    assert assignment.row_bands(df).count() == 6000 and assignment.aligned(df.limit(600)).count() > 0
+
+
+def test_graphs_compared(spark):
+    from assayer.plans import diagrams
+
+    rng = random.Random(6)
+    nodes, edges = {0: [], 1: []}, {0: [], 1: []}
+    for graph in range(25):
+        for side in (0, 1):
+            n = rng.randrange(0, 5)
+            nodes[side] += [(graph, k, rng.choice(["start", "stop", "stap", "sum up", "print"]), rng.choice(["BOX", "OVAL", "SMALL"])) for k in range(n)]
+            edges[side] += [(graph, rng.randrange(n), rng.choice([None, *range(n)])) for _ in range(rng.randrange(4)) if n]
+        edges = {k: sorted(set(v), key=repr) for k, v in edges.items()}
+    frame = lambda side: (spark.createDataFrame(nodes[side], "graph long, node int, label string, shape string"), spark.createDataFrame(edges[side], "graph long, source int, target int"))
+    (tn, te), (dn, de) = frame(0), frame(1)
+    pairs = diagrams.node_pairs(diagrams.with_degrees(tn, te), diagrams.with_degrees(dn, de)).cache()
+    got = {r.graph: r for r in diagrams.similarity((tn, dn), (te, de), pairs).collect()}
+    chosen = {}
+    for r in pairs.collect():
+        chosen.setdefault(r.graph, {})[r.truth] = r.drawn
+    degree = lambda side, g, k: sum(k == end for e in edges[side] if e[0] == g for end in e[1:])
+    for g in range(25):
+        a, b = ([r for r in nodes[s] if r[0] == g] for s in (0, 1))
+        if not a and not b:
+            continue
+        label = lambda p, q: plain_alignment(p[2], q[2]) / max(len(p[2]), len(q[2]))
+        shape = lambda p, q: 0.0 if p[3] == q[3] else 0.5 if "SMALL" in (p[3], q[3]) else 1.0
+        deg = lambda p, q: abs(degree(0, g, p[1]) - degree(1, g, q[1])) / max(1, degree(0, g, p[1]), degree(1, g, q[1]))
+        cost = {(p[1], q[1]): 0.6 * label(p, q) + 0.25 * shape(p, q) + 0.15 * deg(p, q) for p in a for q in b}
+        best = float("inf")
+        for k in range(min(len(a), len(b)) + 1):
+            for left in itertools.combinations([p[1] for p in a], k):
+                for right in itertools.permutations([q[1] for q in b], k):
+                    if all(cost[x] <= 0.7 for x in zip(left, right)):
+                        best = min(best, sum(cost[x] for x in zip(left, right)) + len(a) + len(b) - 2 * k)
+        mine = chosen.get(g, {})
+        assert sum(cost[x] for x in mine.items()) + len(a) + len(b) - 2 * len(mine) == pytest.approx(best)
+        quality = {x: 1 - (0.6 * label(p, q) + 0.25 * shape(p, q)) / 0.85 for p in a for q in b for x in [(p[1], q[1])]}
+        there, used, wrong = {e[1:] for e in edges[1] if e[0] == g}, set(), 0
+        for _, u, v in [e for e in edges[0] if e[0] == g]:
+            ahead, back = (mine.get(u), mine.get(v)), (mine.get(v), mine.get(u))
+            if None not in ahead and ahead in there:
+                used.add(ahead)
+            elif None not in back and back in there:
+                used.add(back)
+                wrong += 1
+            else:
+                wrong += 1
+        wrong += len(there - used)
+        distance = sum(1 - quality[x] for x in mine.items()) + len(a) + len(b) - 2 * len(mine) + wrong
+        size = len(a) + len(b) + sum(e[0] == g for s in (0, 1) for e in edges[s])
+        assert got[g].distance == pytest.approx(distance, abs=1e-3) and got[g].similarity == pytest.approx(max(0, 1 - distance / size), abs=1e-3)
+
+
+def test_decoding(spark):
+    """Labels win over similarity, what has neither goes to the tray, and a number of another section is no start."""
+    leaves = [{"slot": 1, "part": None, "section": "A"}, {"slot": 2, "part": None, "section": "A"}, {"slot": 3, "part": "a", "section": "B"}, {"slot": 3, "part": "b", "section": "B"}]
+    label = lambda n, part=None, kind="question", strong=False: {"kind": kind, "number": n, "part": part, "section": None, "strong": strong, "rest": ""}
+    rows = [(1, 0, None, 1.0, None, [0.1, 0.1, 0.1, 0.1]), (1, 1, label(2), 3.5, "A", [0.1, 0.1, 0.1, 0.1]), (1, 2, None, 0.0, "A", [0.1, 0.1, 0.1, 0.1]), (1, 3, label(1), 3.5, "A", [0.5, 0.1, 0.1, 0.1]), (1, 4, label(3, "a", strong=True), 3.5, "B", [0.1, 0.1, 0.2, 0.1]), (1, 5, label(None, "b", "part"), 2.5, "B", [0.1, 0.1, 0.1, 0.1])]
+    from assayer.operators import segments
+
+    schema = "booklet long, block long, l struct<kind:string,number:int,part:string,section:string,strong:boolean,rest:string>, evidence double, section string, sims array<double>"
+    df = spark.createDataFrame(rows, schema)
+    paper = spark.createDataFrame([(1, leaves)], "booklet long, leaves array<struct<slot:int,part:string,section:string>>")
+    got = {r.block: r.state for r in segments.decode(df.join(paper, "booklet")).collect()}
+    assert got == {0: -2, 1: 1, 2: 1, 3: 0, 4: 2, 5: 3}
+
+
+def test_lists_join_their_answer(spark):
+    from assayer.operators import segments
+
+    texts = ["4) The answer begins", "1. first item", "2. second item", "3. third item", "5) next one"]
+    lines = spark.createDataFrame([(1, 1, i, t, 100, 60 * i, 500, 60 * i + 28) for i, t in enumerate(texts)], "booklet long, page int, at int, text string, x0 int, y0 int, x1 int, y1 int")
+    read = segments.evidence(segments.page_lines(lines, "booklet", "page", 1000), "booklet", "page", 1000)
+    blocks = segments.summed(segments.blocks(read, "booklet", "page"), "booklet", "page").orderBy("block").collect()
+    assert [(b.lines, b.l.number) for b in blocks] == [(4, 4), (1, 5)]
+    assert [r.evidence for r in read.orderBy("at").collect()] == [3.5, 2.5, 2.5, 2.5, 2.5]
+
+
+def test_steps_are_taken_up_again(spark, tmp_path):
+    from assayer.operators import steps
+
+    made = []
+
+    def step(name, fail=False):
+        def make(df):
+            made.append(name)
+            if fail:
+                raise RuntimeError(name)
+            return spark.range(3) if df is None else df.withColumn(name, F.lit(1))
+
+        return name, make
+
+    folder = f"file://{tmp_path}/steps"
+    with pytest.raises(RuntimeError):
+        steps.run(spark, folder, [step("a"), step("b", fail=True)])
+    assert steps.run(spark, folder, [step("a"), step("b"), step("c")]).columns == ["id", "b", "c"] and made == ["a", "b", "b", "c"]
+    steps.run(spark, folder, [step("a"), step("b"), step("c")])
+    assert made == ["a", "b", "b", "c"]
+
+
+def test_markup_and_uneven_files(spark):
+    a = spark.createDataFrame([("q1", 0, "q1.1 The <b>sun</b> -LRB- a star -RRB-"), ("q1", 1, "q1.2 x"), ("q2", 0, "q2.1 y")], "code string, pos int, line string")
+    g = spark.createDataFrame([("q1", 0, "4.5"), ("q1", 1, "2"), ("q2", 0, "1"), ("q2", 1, "3")], "code string, pos int, line string")
+    got = {tuple(r) for r in readers.zipped_answers(a, g).collect()}
+    assert got == {("q1:0", "q1", "The sun (a star)", 4.5, None), ("q1:1", "q1", "x", 2.0, None), (None, "q2", None, None, "answers and grades are not as many")}
+    bad = readers.diagram_samples(spark.createDataFrame([("junk",), ('{"image":"i"}',)], "body string")).collect()
+    assert [r.error is None for r in bad] == [False, True]

@@ -4,6 +4,7 @@ import math
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from assayer.plans import ORACLE, QUERIES
@@ -20,8 +21,10 @@ def duck():
 
 
 def plain(v):
+    if v is None or v is pd.NA or v is pd.NaT:
+        return None
     v = v.item() if hasattr(v, "item") else v
-    return None if v is None or v != v or (isinstance(v, float) and math.isnan(v)) else v
+    return None if isinstance(v, float) and math.isnan(v) else v
 
 
 def rows(df):
