@@ -15,15 +15,15 @@ from assayer.operators.state import fold
 
 
 def assign(cost: np.ndarray) -> list[int]:
-    """The column of each row at the least total cost of a square matrix: shortest augmenting paths with potentials."""
-    n = len(cost)
-    u, v, row_of = np.zeros(n + 1), np.zeros(n + 1), np.full(n + 1, -1)
+    """The column of each row at the least total cost of a matrix with no more rows than columns: shortest augmenting paths with potentials."""
+    n, m = cost.shape
+    u, v, row_of = np.zeros(n), np.zeros(m + 1), np.full(m + 1, -1)
     for i in range(n):
-        row_of[n], j = i, n
-        least, came, done = np.full(n + 1, np.inf), np.full(n + 1, n), np.zeros(n + 1, bool)
+        row_of[m], j = i, m
+        least, came, done = np.full(m + 1, np.inf), np.full(m + 1, m), np.zeros(m + 1, bool)
         while row_of[j] >= 0:
             done[j] = True
-            free = np.flatnonzero(~done[:n])
+            free = np.flatnonzero(~done[:m])
             slack = cost[row_of[j], free] - u[row_of[j]] - v[free]
             better = slack < least[free]
             least[free[better]], came[free[better]] = slack[better], j
@@ -33,25 +33,25 @@ def assign(cost: np.ndarray) -> list[int]:
             v[done] -= step
             least[~done] -= step
             j = k
-        while j != n:
+        while j != m:
             row_of[j] = row_of[came[j]]
             j = came[j]
     out = [0] * n
-    for j in range(n):
-        out[row_of[j]] = j
+    for j in range(m):
+        if row_of[j] >= 0:
+            out[row_of[j]] = j
     return out
 
 
 def saving(cost: np.ndarray, alone: float = 2.0) -> list[tuple[int, int]]:
     """Pairs (row, column) at the least total cost, where a row and a column that stay alone cost `alone` together. Costs may be infinite."""
+    if cost.shape[0] > cost.shape[1]:
+        return [(i, j) for j, i in saving(cost.T, alone)]
     n, m = cost.shape
-    if not n or not m:
+    if not n:
         return []
-    size = n + m
-    square = np.zeros((size, size))
-    square[:n, :m] = np.minimum(np.where(np.isfinite(cost), cost, 1e6) - alone, 1e6)
-    got = assign(square)
-    return [(i, j) for i, j in enumerate(got[:n]) if j < m and square[i, j] < 0]
+    gain = np.concatenate([np.where(np.isfinite(cost), cost - alone, 1e6), np.zeros((n, n))], axis=1)  # a column each to stay alone
+    return [(i, j) for i, j in enumerate(assign(gain)) if j < m and gain[i, j] < 0]
 
 
 def detections(lines: DataFrame) -> DataFrame:

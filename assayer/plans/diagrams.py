@@ -5,13 +5,15 @@ An order's lines that were not returned are the nodes of its reference graph, th
 
 from __future__ import annotations
 
+from typing import Any
+
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayer.functions import udfs
 from assayer.operators import assignment, graphs
+from assayer.operators.state import fold
 from assayer.registry import Tables, query
 from assayer.sources.shared import staged
 
@@ -51,30 +53,23 @@ def node_pairs(truth: DataFrame, drawn: DataFrame) -> DataFrame:
     """graph, truth, drawn, cost, quality: nodes (graph, node, label, shape, degree) of each graph paired at the least total cost; pairs above ACCEPT are none. A graph is one drawing: its cost matrix is made in one task."""
     both = truth.withColumn("side", F.lit(0)).unionByName(drawn.withColumn("side", F.lit(1)))
 
-    def pair(x: pd.DataFrame) -> pd.DataFrame:
-        a, b = (x[x["side"] == k].sort_values("node").reset_index(drop=True) for k in (0, 1))
-        n, m = len(a), len(b)
-        names = ["graph", "truth", "drawn", "cost", "quality"]
-        if not n or not m:
-            return pd.DataFrame({c: [] for c in names}, dtype=object)
-        p, q = a["label"].fillna(""), b["label"].fillna("")
-        labels = sorted({*p, *q})
-        place = {s: i for i, s in enumerate(labels)}
-        grid = [(s, w) for s in labels for w in labels]
-        longest = np.array([max(len(s), len(w), 1) for s, w in grid])
-        far = (udfs.alignments(grid) / longest).reshape(len(labels), -1)
-        label = far[[place[s] for s in p]][:, [place[s] for s in q]]
-        s, w = a["shape"].to_numpy()[:, None], b["shape"].to_numpy()[None]
-        shape = np.where(s == w, 0.0, np.where((s == "SMALL") | (w == "SMALL"), 0.5, 1.0))  # SMALL stands for a shape that is not known
-        d, e = a["degree"].to_numpy(float)[:, None], b["degree"].to_numpy(float)[None]
-        degree = np.abs(d - e) / np.maximum(1, np.maximum(d, e))
-        cost = LABEL * label + SHAPE * shape + DEGREE * degree
-        found = assignment.saving(np.where(cost <= ACCEPT, cost, np.inf))
+    def step(sides: tuple[list, list], row: Any) -> tuple[tuple[list, list], None]:
+        sides[row.side].append(row)
+        return sides, None
+
+    def pair(sides: tuple[list, list]) -> list[tuple]:
+        a, b = sides
+        if not a or not b:
+            return []
+        label = np.array([[udfs.label_distance(r.label or "", s.label or "") for s in b] for r in a])
+        shape = np.array([[0.0 if r.shape == s.shape else 0.5 if "SMALL" in (r.shape, s.shape) else 1.0 for s in b] for r in a])  # SMALL stands for a shape that is not known
+        d, e = np.array([r.degree for r in a], float)[:, None], np.array([s.degree for s in b], float)[None]
+        cost = LABEL * label + SHAPE * shape + DEGREE * np.abs(d - e) / np.maximum(1, np.maximum(d, e))
         quality = 1 - (LABEL * label + SHAPE * shape) / (LABEL + SHAPE)
-        rows = [(x["graph"].iloc[0], a["node"].iloc[i], b["node"].iloc[j], cost[i, j], quality[i, j]) for i, j in found]
-        return pd.DataFrame(rows, columns=names, dtype=None if rows else object)
+        found = assignment.saving(np.where(cost <= ACCEPT, cost, np.inf))
+        return [(a[0].graph, a[i].node, b[j].node, float(cost[i, j]), float(quality[i, j])) for i, j in found]
 
-    return both.groupBy("graph").applyInPandas(pair, "graph long, truth int, drawn int, cost double, quality double")
+    return fold(both, "graph", ["side", "node"], "graph long, truth int, drawn int, cost double, quality double", lambda: ([], []), step, pair)
 
 
 @query()

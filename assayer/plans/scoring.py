@@ -17,7 +17,7 @@ BLANK_WORDS, LOW_OCR, RELEVANCE, SOFT = 3, 0.25, 0.25, 0.40
 
 #: A turn is a segment; every fifth is a diagram. Of its lines those whose length divides by 11 are struck out, those whose length divides by 7 have a teacher's text, and those whose length divides by 4 were read badly.
 SQL_REGIONS = f"""z AS (SELECT conv_id, turn, pos, CASE WHEN pos = 1 THEN (turn + 1) || ') ' || l ELSE l END AS l, length(l) AS n FROM (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS l, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS pos FROM conversations WHERE turn % 5 <> 4) WHERE trim(l) <> ''),
-    k AS (SELECT conv_id, turn, pos, n, CASE WHEN row_number() OVER (PARTITION BY conv_id, turn ORDER BY pos) = 1 THEN regexp_replace(regexp_replace(CASE WHEN n % 7 = 0 THEN upper(l) ELSE l END, '{text.ANSWER_LABEL}', ''), '{text.ANSWER_WORD}', '') ELSE CASE WHEN n % 7 = 0 THEN upper(l) ELSE l END END AS l FROM z WHERE n % 11 <> 0),
+    k AS (SELECT conv_id, turn, pos, n, CASE WHEN row_number() OVER (PARTITION BY conv_id, turn ORDER BY pos) = 1 THEN regexp_replace(regexp_replace(CASE WHEN n % 7 = 0 THEN lower(l) ELSE l END, '{text.ANSWER_LABEL}', ''), '{text.ANSWER_WORD}', '') ELSE CASE WHEN n % 7 = 0 THEN lower(l) ELSE l END END AS l FROM z WHERE n % 11 <> 0),
     s AS (SELECT conv_id, turn, string_agg(l, chr(10) ORDER BY pos) AS body, count(*) AS lines, count(*) FILTER (n % 4 = 0 AND n % 7 <> 0) AS low FROM k WHERE trim(l) <> '' GROUP BY 1, 2),
     g AS (SELECT conv_id, count(*) FILTER (n % 11 = 0) AS struck FROM z GROUP BY 1)"""
 
@@ -27,7 +27,7 @@ def regions(t: Tables) -> DataFrame:
     line = t.conversations.where("turn % 5 <> 4").select("conv_id", "turn", F.posexplode(F.split("text", "\n")).alias("pos", "l")).where("trim(l) <> ''")
     n = F.length("l")
     body = F.when(F.col("pos") == 0, F.concat((F.col("turn") + 1).cast("string"), F.lit(") "), "l")).otherwise(F.col("l"))
-    return line.select("conv_id", "turn", "pos", body.alias("text"), F.when(n % 7 == 0, F.upper(body)).alias("teacher"), (n % 11 == 0).alias("struck"), (n % 4 == 0).alias("flagged"))
+    return line.select("conv_id", "turn", "pos", body.alias("text"), F.when(n % 7 == 0, F.lower(body)).alias("teacher"), (n % 11 == 0).alias("struck"), (n % 4 == 0).alias("flagged"))
 
 
 def assembled(rows: DataFrame, answer: str, segment: str) -> DataFrame:
@@ -84,7 +84,7 @@ NUMBER_UNIT = r"(?:^| )([0-9]+)(?: ([a-zA-Z]{1,6})\b)?"
 
 @query(rf"""
     WITH n AS (SELECT page_id, unnest(regexp_extract_all(l, '{NUMBER_UNIT}', 1)) AS v, unnest(regexp_extract_all(l, '{NUMBER_UNIT}', 2)) AS u, unnest(range(1, len(regexp_extract_all(l, '{NUMBER_UNIT}', 1)) + 1)) AS i FROM (SELECT page_id, {measures.SQL_LINE} AS l FROM pages)),
-    d AS (SELECT page_id, CAST(v AS DOUBLE) AS v, i, abs(CAST(v AS DOUBLE) - 500) AS off, lower(u) = 'page' OR (u <> '' AND levenshtein(lower(u), 'page') <= 1) AS unit FROM n),
+    d AS (SELECT page_id, CAST(v AS DOUBLE) AS v, i, abs(CAST(v AS DOUBLE) - 500) AS off, coalesce(u, '') <> '' AND levenshtein(lower(u), 'page') <= 1 AS unit FROM n),
     b AS (SELECT page_id, bool_or(off <= 200) AS ok, min_by(v, off * 1000 + i) AS nearest, bool_or(off <= 200 AND unit) AS named, min_by(v, i) FILTER (off <= 200 AND unit) AS a, min_by(v, i) FILTER (off <= 200) AS f FROM d GROUP BY 1)
     SELECT p.page_id, CASE WHEN ok THEN 1.0 ELSE 0.0 END AS credit, CASE WHEN named THEN a WHEN ok THEN f ELSE nearest END AS found, coalesce(ok AND NOT named, false) AS check FROM pages p LEFT JOIN b USING (page_id)""")
 def sc_numeric(t: Tables) -> DataFrame:
