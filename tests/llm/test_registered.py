@@ -16,6 +16,9 @@ COLUMNS = {
     "op7_substring_index": ["doc_id", "n_words", "n_removed", "kept_sha256"],
     "op8_token_counts": ["doc_id", "n_bytes", "n_tokens", "over_limit"],
     "op9_fingerprints": ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
+    "op11_positional_index": ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
+    "op12_whitening": ["vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"],
+    "op13_hard_negatives": ["anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"],
     "op10_byte_bpe": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
 }
 
@@ -28,6 +31,10 @@ def test_query(spark, name):
     rows = got.toPandas()
     if name == "op3_vector_search":
         assert rows["rank"].min() == 1 and rows["rank"].max() == 20
+    elif name == "op13_hard_negatives":
+        assert rows["rank"].min() == 1 and rows["rank"].max() == 10 and (30 * rows["positive_score"] <= 100 * rows["negative_score"]).all()
+    elif name == "op12_whitening":
+        assert rows.groupby("vec_id").size().eq(8).all() and rows["identity_error"].max() < 1e-4
     elif name == "op2_packing":
         assert rows.groupby("doc_id")["length"].sum().to_dict() == rows.groupby("doc_id")["doc_tokens"].first().to_dict() and rows["doc_id"].nunique() == docs.count()
     else:
