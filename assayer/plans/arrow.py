@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from assayer.functions import udfs
+from assayer.functions import labels, udfs
 from assayer.functions.text import tokens
 from assayer.registry import Tables, query
 
@@ -38,7 +38,7 @@ def labelled_lines(t: Tables) -> DataFrame:
 
 @query()
 def str_parse_label(t: Tables) -> DataFrame:
-    rows = labelled_lines(t).select("conv_id", "turn", "at", udfs.parse_label("line").alias("l"))
+    rows = labelled_lines(t).select("conv_id", "turn", "at", labels.parse_label("line").alias("l"))
     return rows.where("l.kind IS NOT NULL").select("conv_id", "turn", "at", "l.kind", "l.number", "l.part", "l.section", "l.strong")
 
 

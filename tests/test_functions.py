@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from assayer.functions import dates, numbers, text, udfs, vectors
+from assayer.functions import dates, labels, numbers, text, udfs, vectors
 from assayer.operators import assignment, choice, fitting, graphs, latest, mutation, readings, state
 from assayer.sources import readers
 
@@ -88,14 +88,17 @@ def test_sentences():
 def test_labels(spark):
     lines = ["7 c) Rivers flow", "Q no. 4. Tall trees", "Ans: Clouds", "Chapter 9 begins"]
     assert list(one(spark, *[text.strip_label(F.lit(x)) for x in lines])) == ["Rivers flow", "Tall trees", "Clouds", "Chapter 9 begins"]
-    short = lambda t: (lambda x: x and tuple(x[k] for k in ("kind", "number", "part", "section", "strong")))(udfs.label_of(t))
     cases = {
         "11 c) some text": ("question", 11, "c", None, True), "5. some text": ("question", 5, None, None, False), "Q.7 text": ("question", 7, None, None, True), "Ans 3: text": ("question", 3, None, None, True), "l2) text": ("question", 12, None, None, False), "No. 8 - x": ("question", 8, None, None, True),
         "② text": ("question", 2, None, None, True), "Section - B": ("section", None, None, "B", False), "Part II": ("section", None, None, "2", False), "Sectiom: C": ("section", None, None, "C", False), "Ans: because": ("answer", None, None, None, True), "(ii) text": ("part", None, "ii", None, False),
         "lo and behold": None, "Il pleut": None, "Answer the question": None, "Quite so": None, "a. small": None, "": None, "plain words": None, "0. zero": None,
     }
-    assert {k: short(k) for k in cases} == cases
-    got = spark.createDataFrame([(k,) for k in ["5. x", None, "plain"]], "t string").select(udfs.parse_label("t").alias("l")).select("l.kind", "l.number", "l.strong").collect()
+    read = spark.createDataFrame([(k,) for k in cases], "t string").select("t", labels.parse_label("t").alias("l")).collect()
+    assert {r.t: r.l and tuple(r.l)[:5] for r in read} == cases
+    rest = ["3(b): two  words ", "Q no 12 - the rest", "no.4) four", "Answer: ", "\t* ③ circled", "SEC 2 a b c", "Section B one two three four", "ii] brackets", "iv) four", "Q", "answers to q. no. 9 nine"]
+    want = [("question", 3, "b", None, True, "two  words"), ("question", 12, None, None, True, "the rest"), ("question", 4, None, None, True, "four"), ("answer", None, None, None, True, ""), ("question", 3, None, None, True, "circled"), ("section", None, None, "2", False, "a b c"), None, None, ("part", None, "iv", None, False, "four"), None, ("question", 9, None, None, True, "nine")]
+    assert [r.l and tuple(r.l) for r in spark.createDataFrame([(k,) for k in rest], "t string").coalesce(1).select(labels.parse_label("t").alias("l")).collect()] == want
+    got = spark.createDataFrame([(k,) for k in ["5. x", None, "plain"]], "t string").select(labels.parse_label("t").alias("l")).select("l.kind", "l.number", "l.strong").collect()
     assert [tuple(r) for r in got] == [("question", 5, False), (None, None, None), (None, None, None)]
 
 
@@ -414,6 +417,56 @@ def test_decoding(spark):
     assert got == {0: -2, 1: 1, 2: 1, 3: 0, 4: 2, 5: 3}
 
 
+def test_decoder_finds_the_best_path():
+    """Against every path: what a path is worth is written out here by its definition."""
+    from itertools import product
+    from types import SimpleNamespace
+
+    from assayer.operators import segments as S
+
+    rng = random.Random(6)
+    leaves = [{"slot": 1, "part": None, "section": "A"}, {"slot": 2, "part": "a", "section": "A"}, {"slot": 2, "part": "b", "section": "B"}]
+    for _ in range(25):
+        blocks = []
+        for k in range(4):
+            kind = rng.choice([None, None, "question", "part", "answer"])
+            label = kind and {"kind": kind, "number": rng.choice([1, 2, 9]) if kind == "question" else None, "part": rng.choice([None, "a", "b"]) if kind != "answer" else None, "strong": rng.random() < 0.5}
+            blocks.append(SimpleNamespace(booklet=1, block=k, leaves=leaves, l=label, evidence=rng.choice([0.0, 1.0, 3.5]), section=rng.choice([None, "A", "B"]), sims=[rng.random() for _ in leaves]))
+
+        def worth(path):
+            total, answered = 0.0, set()
+            for k, (b, state) in enumerate(zip(blocks, path, strict=True)):
+                label, evidence = b.l, b.evidence
+                of = lambda n, part: next((i for i, q in enumerate(leaves) if q["slot"] == n and q["part"] == part), next((i for i, q in enumerate(leaves) if q["slot"] == n), None))
+                named = set()
+                if label and label["kind"] == "question":
+                    leaf = of(label["number"], label["part"])
+                    if leaf is not None and b.section is not None and leaves[leaf]["section"] != b.section:
+                        label, evidence = None, evidence - 1.0
+                    elif leaf is not None:
+                        named = {leaf}
+                elif label and label["kind"] == "part" and k and path[k - 1] >= 0 and leaves[path[k - 1]]["part"]:
+                    named = {i for i, q in enumerate(leaves) if q["slot"] == leaves[path[k - 1]]["slot"] and q["part"] == label["part"]}
+                if state == -2:
+                    if label or (k and path[k - 1] != -2):
+                        return float("-inf")
+                    total += 1.5
+                elif state == -1:
+                    total += 0.5
+                else:
+                    total += 10 * (b.sims[state] - sum(b.sims) / 3) + ((4 if label["strong"] else 3) if state in named else 0) - (3 if b.section is not None and b.section != leaves[state]["section"] else 0)
+                if k and state != path[k - 1]:
+                    total += evidence - 3 - (4 if state in answered else 0)
+                answered |= {state} - {-1, -2}
+            return total
+
+        decoder = S.Decoder()
+        for b in blocks:
+            decoder.feed(b)
+        found = [r[2] for r in decoder.rows()]
+        assert worth(found) == pytest.approx(max(worth(p) for p in product(range(-2, 3), repeat=4)))
+
+
 def test_lists_join_their_answer(spark):
     from assayer.operators import segments
 
