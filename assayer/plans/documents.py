@@ -120,7 +120,7 @@ def _near(t: Tables) -> DataFrame:
     WITH b AS (SELECT x.*, l.l_returnflag FROM ({windows.SQL_BOX}) x JOIN (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_returnflag FROM lineitem) l USING (l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice)),
     p AS (SELECT a.l_orderkey AS page, a.l_linenumber AS line, a.l_partkey AS part, a.l_suppkey AS s, a.l_extendedprice AS price, b.l_linenumber AS shape_line, b.l_partkey AS shape_part, b.l_suppkey AS bs, b.l_extendedprice AS bp, round(sqrt(power(greatest(a.x0 - b.x1, b.x0 - a.x1, 0), 2) + power(greatest(a.y0 - b.y1, b.y0 - a.y1, 0), 2)), 6) AS d FROM b a JOIN b ON b.l_orderkey = a.l_orderkey WHERE a.l_returnflag = 'R' AND b.l_returnflag = 'A')
     SELECT page, line, part, price, shape_line, shape_part, d FROM p WHERE d <= 12 QUALIFY row_number() OVER (PARTITION BY page, line, part, s, price ORDER BY d, shape_line, shape_part, bs, bp) = 1""")
-def gr_build(t: Tables) -> DataFrame:
+def gr_nearest_shape(t: Tables) -> DataFrame:
     """Each text put on the nearest shape of its page within 12 pixels."""
     near = _near(t).where("d <= 12")
     w = Window.partitionBy("page", *[f"a_{c}" for c in windows.TIES]).orderBy("d", *[f"b_{c}" for c in windows.TIES])
@@ -128,13 +128,6 @@ def gr_build(t: Tables) -> DataFrame:
     return best.select("page", F.col("a_l_linenumber").alias("line"), F.col("a_l_partkey").alias("part"), F.col("a_l_extendedprice").alias("price"), F.col("b_l_linenumber").alias("shape_line"), F.col("b_l_partkey").alias("shape_part"), "d")
 
 
-@query()
-def gr_split_text(t: Tables) -> DataFrame:
-    """Texts that lie across several shapes of their page: the part within each."""
-    cut = _near(t).where("d = 0").select("page", F.col("a_l_partkey").alias("part"), F.col("b_l_partkey").alias("shape"), F.greatest("a.x0", "b.x0").alias("x0"), F.least("a.x1", "b.x1").alias("x1"))
-    return cut.withColumn("pieces", F.count("*").over(Window.partitionBy("page", "part"))).where("pieces > 1")
-
-
 @query("SELECT l_orderkey AS id, 'part ' || l_partkey AS text, round(l_discount * 100 / 100, 4) AS confidence FROM lineitem WHERE l_returnflag = 'A'")
 def src_ocr_cloud_parse(t: Tables) -> DataFrame:
     """A service's answer, one JSON a page, read into lines."""
