@@ -10,13 +10,28 @@ from assayer.plans.arrow import labelled_lines
 from assayer.registry import Tables, query
 from assayer.sources.shared import staged
 
-WIDTH = 1000
+WIDTH, HEIGHT = 1000, 1400
 #: Where the n-th line (from 0) of a page lies. On odd pages two lines share a row; empty lines are slivers of the next page.
 X0 = "CASE WHEN text = '' THEN 0 WHEN pos = 0 THEN 60 WHEN pos % 2 = 1 AND turn % 2 = 1 THEN 560 ELSE 120 + length(text) % 3 END"
 Y0 = "40 * (pos - (pos % 2) * (turn % 2)) + CASE WHEN pos > 5 THEN 90 ELSE 0 END"
 SQL_LINES = f"q AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS text, unnest(range(0, len(string_split(text, chr(10))))) AS pos FROM conversations), g AS (SELECT *, {X0} AS x0, {Y0} AS y0 FROM q), b AS (SELECT *, x0 + CASE WHEN text = '' THEN 40 ELSE 20 + least(8 * length(text), 410) END AS x1, y0 + 28 AS y1 FROM g)"
 
 
+#: Every third page has a figure; some are tables, some are the whole page.
+FIGURE = {"x0": "CASE WHEN n % 7 = 0 THEN 0 ELSE 50 + n % 300 END", "y0": "CASE WHEN n % 7 = 0 THEN 0 ELSE n * 7 % 300 END", "x1": "CASE WHEN n % 7 = 0 THEN 1000 ELSE 450 + n % 300 END", "y1": "CASE WHEN n % 7 = 0 THEN 1400 ELSE n * 7 % 300 + 60 + n % 80 END"}
+SQL_FIGURES = "fg AS (SELECT conv_id, turn, kind, x0, y0, x1, y1 FROM (SELECT conv_id, turn, CASE WHEN n % 5 = 0 THEN 'table' ELSE 'diagram' END AS kind, " + ", ".join(f"{v} AS {k}" for k, v in FIGURE.items()) + " FROM (SELECT conv_id, turn, length(text) AS n FROM conversations) WHERE n % 3 = 0))"
+
+
+def figures(t: Tables) -> DataFrame:
+    """booklet, page, figure, kind and box."""
+    n = t.conversations.select(F.col("conv_id").alias("booklet"), F.col("turn").alias("page"), F.length("text").alias("n")).where("n % 3 = 0")
+    return n.select("booklet", "page", F.concat_ws(".", "booklet", "page").alias("figure"), F.when(F.expr("n % 5 = 0"), "table").otherwise("diagram").alias("kind"), *(F.expr(v).alias(k) for k, v in FIGURE.items()))
+
+
+def with_middle(df: DataFrame) -> DataFrame:
+    return df.withColumn("middle", (F.col("y0") + F.col("y1")) / 2)
+
+
 def booklet_lines(t: Tables, labelled: bool) -> DataFrame:
     """booklet, page, at, text and box of every line; labelled ones begin as answers' labels are written."""
     q = t.conversations.select("conv_id", "turn", "role", F.posexplode(F.split("text", "\n")).alias("at", "text"))
@@ -29,18 +44,36 @@ def booklet_lines(t: Tables, labelled: bool) -> DataFrame:
 
 
 @query(f"""
-    WITH {SQL_LINES}, k AS (SELECT *, dense_rank() OVER (PARTITION BY conv_id, turn ORDER BY y0) - 1 AS row FROM b WHERE NOT (text = '')),
+    WITH {SQL_LINES}, {SQL_FIGURES}, k AS (SELECT *, dense_rank() OVER (PARTITION BY conv_id, turn ORDER BY y0) - 1 AS row FROM b WHERE NOT (text = '')),
     w AS (SELECT conv_id, turn, list_sort(list(x0) FILTER (x1 - x0 >= 350)) AS wide, list_sort(list(x0)) AS every FROM k GROUP BY 1, 2), l AS (SELECT conv_id, turn, CASE WHEN len(wide) > 0 THEN wide[CAST(floor(0.3 * (len(wide) - 1) + 0.5) AS BIGINT) + 1] ELSE every[CAST(floor(0.3 * (len(every) - 1) + 0.5) AS BIGINT) + 1] END AS text_left FROM w),
     t AS (SELECT DISTINCT conv_id, turn, y0 FROM k), p AS (SELECT conv_id, turn, list_sort(list(gap)) AS gaps FROM (SELECT conv_id, turn, y0 - lag(y0) OVER (PARTITION BY conv_id, turn ORDER BY y0) AS gap FROM t) WHERE gap > 0 GROUP BY 1, 2)
-    SELECT k.conv_id AS booklet, k.turn AS page, CAST(pos AS INTEGER) AS "at", CAST(row AS INTEGER) AS row, row_number() OVER (PARTITION BY k.conv_id, k.turn, row ORDER BY x0, pos) = 1 AS first_in_row, CAST(text_left AS INTEGER) AS text_left, CAST(CASE WHEN len(gaps) >= 2 THEN gaps[len(gaps) // 2 + 1] ELSE 0 END AS DOUBLE) AS pitch
+    SELECT k.conv_id AS booklet, k.turn AS page, CAST(pos AS INTEGER) AS "at", CAST(row AS INTEGER) AS row, row_number() OVER (PARTITION BY k.conv_id, k.turn, row ORDER BY x0, pos) = 1 AS first_in_row, CAST(text_left AS INTEGER) AS text_left, CAST(CASE WHEN len(gaps) >= 2 THEN gaps[len(gaps) // 2 + 1] ELSE 0 END AS DOUBLE) AS pitch,
+        EXISTS (SELECT 1 FROM fg WHERE fg.conv_id = k.conv_id AND fg.turn = k.turn AND kind = 'diagram' AND (fg.x1 - fg.x0) * (fg.y1 - fg.y0) < 0.6 * {WIDTH} * {HEIGHT} AND (k.x0 + k.x1) / 2 BETWEEN fg.x0 AND fg.x1 AND (k.y0 + k.y1) / 2 BETWEEN fg.y0 AND fg.y1) AS in_figure
     FROM k JOIN l ON l.conv_id = k.conv_id AND l.turn = k.turn LEFT JOIN p ON p.conv_id = k.conv_id AND p.turn = k.turn""")
 def seg_page_lines(t: Tables) -> DataFrame:
-    return segments.page_lines(booklet_lines(t, False), "booklet", "page", WIDTH).select("booklet", "page", "at", "row", "first_in_row", F.col("text_left").cast("int").alias("text_left"), "pitch")
+    lines = segments.page_lines(booklet_lines(t, False), "booklet", "page", WIDTH)
+    return segments.in_figures(lines, figures(t), "booklet", "page", WIDTH * HEIGHT).select("booklet", "page", "at", "row", "first_in_row", F.col("text_left").cast("int").alias("text_left"), "pitch", "in_figure")
+
+
+@query(f"""
+    WITH {SQL_LINES}, {SQL_FIGURES}, k AS (SELECT conv_id, turn, (y0 + y1) / 2 AS middle, row_number() OVER (PARTITION BY conv_id, turn ORDER BY y0, x0, pos) AS seq, (row_number() OVER (PARTITION BY conv_id ORDER BY turn, y0, x0, pos) - 1) // 3 AS segment FROM b WHERE NOT (text = '')),
+    f AS (SELECT conv_id, turn, (y0 + y1) / 2 AS middle FROM fg),
+    on_page AS (SELECT f.conv_id, f.turn, arg_max(segment, seq) AS segment FROM f JOIN k ON k.conv_id = f.conv_id AND k.turn = f.turn AND k.middle <= f.middle GROUP BY 1, 2),
+    earlier AS (SELECT f.conv_id, f.turn, arg_max(segment, (k.turn, seq)) AS segment FROM f JOIN k ON k.conv_id = f.conv_id AND k.turn < f.turn GROUP BY 1, 2),
+    one AS (SELECT conv_id, min(segment) AS segment FROM k GROUP BY 1)
+    SELECT f.conv_id AS booklet, f.turn AS page, coalesce(p.segment, e.segment, one.segment) AS segment FROM f LEFT JOIN on_page p ON p.conv_id = f.conv_id AND p.turn = f.turn LEFT JOIN earlier e ON e.conv_id = f.conv_id AND e.turn = f.turn LEFT JOIN one ON one.conv_id = f.conv_id""")
+def seg_figures(t: Tables) -> DataFrame:
+    """Figures put into segments of three lines each."""
+    rows = with_middle(booklet_lines(t, False).where("text <> ''"))
+    of_page, of_booklet = Window.partitionBy("booklet", "page").orderBy("y0", "x0", "at"), Window.partitionBy("booklet").orderBy("page", "y0", "x0", "at")
+    rows = rows.select("booklet", "page", "middle", F.row_number().over(of_page).alias("seq"), F.floor((F.row_number().over(of_booklet) - 1) / 3).alias("segment"))
+    return segments.place_figures(rows, with_middle(figures(t)), "booklet", "page").select("booklet", "page", "segment")
 
 
 def _evidence(t: Tables) -> DataFrame:
     lines = booklet_lines(t, True).where("role = 'assistant'")
-    return segments.evidence(segments.page_lines(lines, "booklet", "page", WIDTH), "booklet", "page", WIDTH)
+    laid = segments.in_figures(segments.page_lines(lines, "booklet", "page", WIDTH), figures(t), "booklet", "page", WIDTH * HEIGHT)
+    return segments.evidence(laid, "booklet", "page", WIDTH)
 
 
 @query()
@@ -48,10 +81,14 @@ def seg_evidence(t: Tables) -> DataFrame:
     return _evidence(t).select("booklet", "page", "at", "l.kind", "l.number", "l.part", "evidence")
 
 
-def _blocks(t: Tables) -> DataFrame:
-    """Staged: what follows reads them several times."""
+def _block_lines(t: Tables) -> DataFrame:
+    """Lines with their blocks, lists joined. Staged: what follows reads them several times."""
     lines = staged(segments.blocks(_evidence(t), "booklet", "page"), "block-lines")
-    return staged(segments.summed(lines, "booklet", "page"), "blocks")
+    return staged(segments.merged(lines, "booklet", "page"), "merged-lines")
+
+
+def _blocks(t: Tables, lines: DataFrame | None = None) -> DataFrame:
+    return staged(segments.gathered(lines if lines is not None else _block_lines(t), "booklet", "page"), "blocks")
 
 
 @query()
@@ -86,9 +123,9 @@ def seg_similarity(t: Tables) -> DataFrame:
     return segments.similarities(_blocks(t).select("booklet", "block", "text"), leaves(t), "booklet", "block")
 
 
-def decoded(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+def decoded(t: Tables, lines: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Blocks with the state that was found for each; the leaves as rows, and by place."""
-    b, paper = _blocks(t), staged(leaves(t), "leaves")
+    b, paper = _blocks(t, lines), staged(leaves(t), "leaves")
     order = F.array_sort(F.collect_list(F.struct("slot", F.coalesce("part", F.lit("")).alias("p"), "part", "section", "label")))
     papers = paper.groupBy("booklet").agg(order.alias("leaves"))
     near = segments.similarities(b.select("booklet", "block", "text"), paper, "booklet", "block").join(paper.select("booklet", "label", "slot", F.coalesce("part", F.lit("")).alias("p")), ["booklet", "label"])
@@ -106,13 +143,19 @@ def seg_decode(t: Tables) -> DataFrame:
 
 @query()
 def seg_finish(t: Tables) -> DataFrame:
-    """Segments: neighbouring blocks of one state (a new label in the tray begins anew), with their question, how it was found, and flags. What no label names needs a similarity of 0.25, else it goes to the tray with the question proposed; a question answered in several segments is a duplicate, and a label that names another disagrees."""
-    rows, paper, papers = decoded(t)
+    """Segments, with the figures that go to them: neighbouring blocks of one state (a new label in the tray begins anew), with their question, how it was found, and flags. What no label names needs a similarity of 0.25, else it goes to the tray with the question proposed; a question answered in several segments is a duplicate, and a label that names another disagrees."""
+    lines = _block_lines(t)
+    rows, paper, papers = decoded(t, lines)
     w = Window.partitionBy("booklet").orderBy("block")
     again = F.col("state") != F.lag("state").over(w)
     anew = F.col("l.kind").isNotNull() & (F.lag("state").over(w) == -1)
     rows = rows.withColumn("__turn", F.coalesce(again | anew, F.lit(True)).cast("int")).withColumn("segment", F.sum("__turn").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "text"))), lambda x: x["text"]), " ")
+    rows = staged(rows, "segment-blocks")
+    order = Window.partitionBy("booklet", "page").orderBy("row", "x0", "at")
+    owned = with_middle(lines.join(rows.select("booklet", "block", "segment"), ["booklet", "block"])).select("booklet", "page", F.row_number().over(order).alias("seq"), "middle", "segment")
+    answers = figures(t).join(t.conversations.where("role = 'assistant'").select(F.col("conv_id").alias("booklet"), F.col("turn").alias("page")), ["booklet", "page"], "left_semi")
+    drawn = segments.place_figures(staged(owned, "owned"), with_middle(answers), "booklet", "page").where("segment IS NOT NULL").groupBy("booklet", "segment").agg(F.count("*").alias("figures"))
     pieces = rows.groupBy("booklet", "segment").agg(F.min("state").alias("state"), F.min_by("l", "block").alias("l"), F.count("*").alias("blocks"), F.substring(text, 1, segments.BLOCK_CHARS).alias("text"))
     pieces = staged(pieces, "pieces")
     near = staged(segments.similarities(pieces.select("booklet", "segment", "text"), paper, "booklet", "segment"), "near")
@@ -133,7 +176,8 @@ def seg_finish(t: Tables) -> DataFrame:
     flags = F.array_compact(F.array(F.when(F.col("state") == -2, "before the first answer"), F.when((F.col("state") != -2) & unread, "number unread"), F.when(kept & (F.col("named") != F.col("label")) & (F.col("l.kind") != "part"), "label disagrees"), F.when(kept & (copies > 1), "duplicate")))
     found_by = F.when((F.col("state") == -2) | (kept & F.col("by_label")), "rule").otherwise("similarity")
     score = F.when(kept & F.col("by_label"), None).when(F.col("state") >= 0, F.col("score")).otherwise(F.col("highest"))
-    return pieces.select("booklet", "segment", F.when(kept, F.col("label")).alias("question"), found_by.alias("found_by"), F.round(score, 4).alias("score"), F.when(~kept, F.when(F.col("state") >= 0, F.col("label")).otherwise(F.col("nearest"))).alias("proposed"), F.array_join(flags, ",").alias("flags"), "blocks")
+    pieces = pieces.join(drawn, ["booklet", "segment"], "left")
+    return pieces.select("booklet", "segment", F.when(kept, F.col("label")).alias("question"), found_by.alias("found_by"), F.round(score, 4).alias("score"), F.when(~kept, F.when(F.col("state") >= 0, F.col("label")).otherwise(F.col("nearest"))).alias("proposed"), F.array_join(flags, ",").alias("flags"), "blocks", F.coalesce("figures", F.lit(0)).alias("figures"))
 
 
 #: Each booklet's edit: merge its first two segments, split the first behind its first line, take the first away from its question, or move the boundary of the first two behind the second line.

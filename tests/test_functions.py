@@ -507,3 +507,36 @@ def test_markup_and_uneven_files(spark):
     assert got == {("q1:0", "q1", "The sun (a star)", 4.5, None), ("q1:1", "q1", "x", 2.0, None), (None, "q2", None, None, "answers and grades are not as many")}
     bad = readers.diagram_samples(spark.createDataFrame([("junk",), ('{"image":"i"}',)], "body string")).collect()
     assert [r.error is None for r in bad] == [False, True]
+
+
+def test_figures_go_to_the_line_above_their_middle(spark):
+    from assayer.operators import segments
+
+    lines = [(1, 0, 1, 100.0, 0), (1, 0, 2, 90.0, 1), (1, 0, 3, 200.0, 2), (1, 1, 1, 50.0, 3), (1, 3, 1, 80.0, 4), (2, 5, 1, 10.0, 7)]
+    figures = [(1, 0, "a", 100.0), (1, 0, "b", 95.0), (1, 0, "c", 10.0), (1, 1, "d", 300.0), (1, 2, "e", 5.0), (1, 3, "f", 79.0), (2, 4, "g", 1.0), (3, 1, "h", 1.0)]
+    got = segments.place_figures(spark.createDataFrame(lines, "booklet long, page int, seq int, middle double, segment int"), spark.createDataFrame(figures, "booklet long, page int, figure string, middle double"), "booklet", "page")
+    assert {r.figure: r.segment for r in got.collect()} == {"a": 1, "b": 1, "c": 0, "d": 3, "e": 3, "f": 3, "g": 7, "h": None}
+
+
+def test_lines_in_figures(spark):
+    from assayer.operators import segments
+
+    lines = spark.createDataFrame([(1, 1, i, f"{i}) text", 100, y, 500, y + 28) for i, y in enumerate((0, 100, 200, 300))], "booklet long, page int, at int, text string, x0 int, y0 int, x1 int, y1 int")
+    figures = spark.createDataFrame([(1, 1, "diagram", 0, 90, 1000, 240), (1, 1, "table", 0, 290, 1000, 340), (1, 1, "diagram", 0, 0, 1000, 1400), (1, 1, "diagram", 100, 110, 500, 120)], "booklet long, page int, kind string, x0 int, y0 int, x1 int, y1 int")
+    laid = segments.in_figures(segments.page_lines(lines, "booklet", "page", 1000), figures, "booklet", "page", 1_400_000)
+    rows = segments.evidence(laid, "booklet", "page", 1000).orderBy("at").collect()
+    assert [r.in_figure for r in rows] == [False, True, True, False] and [r.evidence > 0 for r in rows] == [True, False, False, True] and rows[1].l is None
+
+
+def test_finish_by_hand(spark):
+    """Segments of the whole smallest table: every block in one segment, flags and thresholds as defined."""
+    from assayer.plans import QUERIES
+    from assayer.operators.segments import LEAST_SIMILAR as LEAST
+
+    rows = QUERIES["seg_finish"](spark, "/root/testdata/sf0.001").toPandas()
+    blocks = QUERIES["seg_blocks"](spark, "/root/testdata/sf0.001").toPandas()
+    assert rows.groupby("booklet")["blocks"].sum().to_dict() == blocks.groupby("booklet").size().to_dict()
+    kept = rows[rows["question"].notna()]
+    assert ((kept["found_by"] == "rule") == kept["score"].isna()).all() and (kept["score"].dropna() >= LEAST).all()
+    again = kept.duplicated(["booklet", "question"], keep=False)
+    assert (kept.loc[again, "flags"].str.contains("duplicate")).all() and rows["figures"].sum() > 0
