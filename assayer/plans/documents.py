@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayer.functions import numbers, vectors
-from assayer.operators import assignment, islands, paging
+from assayer.operators import assignment, blueprints, islands, paging
 from assayer.plans import flow, measures, windows
 from assayer.registry import Tables, query
 from assayer.sources import readers
@@ -221,7 +221,7 @@ def src_ocr_cache(t: Tables) -> DataFrame:
         SELECT l_orderkey, dense_rank() OVER (PARTITION BY l_orderkey ORDER BY l_returnflag) - 1 AS s, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber, m, l_partkey, l_suppkey, l_extendedprice) - 1 AS i, l_linenumber, m, l_partkey FROM (SELECT *, CASE WHEN l_quantity = 50 THEN -1.0 WHEN l_quantity = 49 THEN NULL ELSE l_quantity END AS m FROM lineitem)),
         (SELECT unnest(['marks', 'marks', 'slot']) AS what, unnest(['required', 'must be above 0', 'must be at most 6']) AS problem)
     WHERE CASE problem WHEN 'required' THEN m IS NULL WHEN 'must be above 0' THEN m <= 0 ELSE l_linenumber > 6 END""")
-def jsn_blueprint(t: Tables) -> DataFrame:
+def jsn_item_faults(t: Tables) -> DataFrame:
     """Faults of papers written as JSON, each with its path: items without marks, with marks of 0 or less (quantities of 49 and 50 stand for these), and slots above 6."""
     marks = F.when(F.col("l_quantity") == 50, -1.0).when(F.col("l_quantity") != 49, F.col("l_quantity"))
     item = F.struct(F.col("l_linenumber").alias("slot"), marks.alias("marks"), F.col("l_partkey").alias("part"), "l_suppkey", "l_extendedprice")
@@ -237,3 +237,34 @@ def jsn_blueprint(t: Tables) -> DataFrame:
     faults = F.array_compact(F.array(F.when(m.isNull(), F.struct(F.lit("marks").alias("what"), F.lit("required").alias("problem"))), F.when(m <= 0, F.struct(F.lit("marks").alias("what"), F.lit("must be above 0").alias("problem"))), F.when(F.col("x.slot") > 6, F.struct(F.lit("slot").alias("what"), F.lit("must be at most 6").alias("problem")))))
     rows = s.select("paper", "s", "i", F.explode(faults).alias("f"))
     return rows.select("paper", F.concat(F.lit("sections["), F.col("s").cast("string"), F.lit("].items["), F.col("i").cast("string"), F.lit("]."), F.col("f.what")).alias("path"), F.col("f.problem").alias("problem"))
+
+
+#: Papers of orders as JSON texts, with faults by their numbers, in SQL that both engines read: an item is a line, a section the lines of one flag. Every eleventh text is cut off, some are of another kind.
+MARKS_JSON = "CASE l_quantity WHEN 50 THEN ',\"marks\":-1' WHEN 49 THEN '' WHEN 48 THEN ',\"marks\":\"48\"' WHEN 47 THEN ',\"marks\":47.125' ELSE ',\"marks\":' || CAST(CAST(l_quantity AS BIGINT) AS VARCHAR(20)) END"
+LABEL_JSON = "CASE WHEN l_orderkey % 37 = 0 THEN '1' ELSE CAST(n AS VARCHAR(20)) END"
+HEAD_JSON = """'{\"schema_version\":' || CASE WHEN o % 13 = 0 THEN '9' ELSE '\"1.2\"' END || CASE WHEN o % 17 = 0 THEN '' ELSE ',\"title\":\"Paper\"' END || ',\"course_code\":\"C1\",\"subject_id\":' || CASE WHEN o % 19 = 0 THEN '\"x\"' ELSE '\"0f8fad5b-d9cb-469f-a165-70867728950e\"' END
+    || CASE WHEN o % 23 = 0 THEN ',\"colour\":1' ELSE '' END || CASE WHEN o % 29 = 0 THEN ',\"duration_minutes\":90.5' ELSE '' END || ',\"total_marks\":' || CAST(total + CASE WHEN o % 7 = 0 THEN 1 ELSE 0 END AS VARCHAR(20)) || ',\"sections\":['"""
+
+
+@query("""
+    WITH n AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_returnflag, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS n, dense_rank() OVER (PARTITION BY l_orderkey ORDER BY l_returnflag) - 1 AS s, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS i FROM lineitem),
+    o AS (SELECT l_orderkey AS o, count(*) AS n, count(*) FILTER (l_quantity > 46) AS bad, CAST(sum(l_quantity) AS BIGINT) AS total FROM lineitem GROUP BY 1),
+    f AS (SELECT o, '(document)' AS path, CASE WHEN o % 11 = 0 THEN 'is not JSON' ELSE 'must be an object' END AS fault FROM o WHERE o % 11 = 0 OR o % 31 = 0),
+    ok AS (SELECT * FROM o WHERE o % 11 <> 0 AND o % 31 <> 0)
+    SELECT o AS paper, path, fault FROM f
+    UNION ALL SELECT o, 'schema_version', 'must be "1.2" (or "1.1", "1.0")' FROM ok WHERE o % 13 = 0 UNION ALL SELECT o, 'title', 'is required' FROM ok WHERE o % 17 = 0 UNION ALL SELECT o, 'subject_id', 'is not a valid id (UUID)' FROM ok WHERE o % 19 = 0
+    UNION ALL SELECT o, 'colour', 'unknown field' FROM ok WHERE o % 23 = 0 UNION ALL SELECT o, 'duration_minutes', 'must be a whole number' FROM ok WHERE o % 29 = 0
+    UNION ALL SELECT o, 'total_marks', 'The exam total is ' || (total + 1) || ' but the sections add up to ' || total FROM ok WHERE o % 7 = 0 AND bad = 0
+    UNION ALL SELECT o, 'sections', 'Question number 1 is used twice' FROM ok WHERE o % 37 = 0 AND bad = 0 AND n > 1
+    UNION ALL SELECT o, 'sections[' || s || '].items[' || i || '].marks', CASE l_quantity WHEN 50 THEN 'must be greater than 0' WHEN 49 THEN 'is required' WHEN 48 THEN 'must be a number' ELSE 'uses at most 2 decimal places' END FROM n JOIN ok ON o = l_orderkey WHERE l_quantity > 46""")
+def jsn_blueprint(t: Tables) -> DataFrame:
+    """Faults of papers as JSON texts, broken and foreign ones among them, each with its path."""
+    tie = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+    n = t.lineitem.withColumn("n", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_returnflag", *tie)))
+    item = F.expr(f"'{{\"type\":\"question\",\"label\":\"' || {LABEL_JSON} || '\"' || {MARKS_JSON} || '}}'")
+    sections = n.groupBy("l_orderkey", "l_returnflag").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", item.alias("j")))), lambda x: x["j"]), ",").alias("items"), F.sum("l_quantity").alias("marks"))
+    section = F.concat(F.lit('{"label":"'), F.col("l_returnflag"), F.lit('","method":"diagram","items":['), F.col("items"), F.lit("]}"))
+    papers = sections.groupBy(F.col("l_orderkey").alias("o")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_returnflag", section.alias("j")))), lambda x: x["j"]), ",").alias("sections"), F.sum("marks").cast("long").alias("total"))
+    body = F.concat(F.expr(HEAD_JSON), F.col("sections"), F.lit("]}"))
+    papers = papers.withColumn("b", body).select(F.col("o").alias("doc"), F.when(F.col("o") % 11 == 0, F.expr("left(b, length(b) - 1)")).when(F.col("o") % 31 == 0, "[1, 2]").otherwise(F.col("b")).alias("body"))
+    return blueprints.check(papers).select(F.col("doc").alias("paper"), "path", "fault")
