@@ -141,12 +141,13 @@ def src_hash_split(t: Tables) -> DataFrame:
     nx AS (SELECT doc_id, count(*) AS n FROM x GROUP BY 1), ny AS (SELECT item_id, count(*) AS m FROM y GROUP BY 1), p AS (SELECT doc_id, item_id, count(*) AS shared FROM x JOIN y USING (w) GROUP BY 1, 2 HAVING count(*) > 20)
     SELECT doc_id, item_id, round(shared / (n + m - shared), 6) AS jaccard FROM p JOIN nx USING (doc_id) JOIN ny USING (item_id)""")
 def set_jaccard(t: Tables) -> DataFrame:
-    """Pairs that share more than 20 tokens, met through an inverted index rather than by all pairs."""
-    d = t.documents.select("doc_id", F.array_distinct(text.tokens(F.col("text"))).alias("x"))
-    b = t.benchmark.select("item_id", F.array_distinct(text.tokens(F.col("text"))).alias("y"))
-    side = lambda df, key, col: df.select(key, F.size(col).alias(f"n_{col}"), F.explode(col).alias("w"))
-    met = side(d, "doc_id", "x").join(side(b, "item_id", "y"), "w").groupBy("doc_id", "item_id", "n_x", "n_y").agg(F.count("*").alias("both")).where("both > 20")
-    return met.select("doc_id", "item_id", F.round(F.col("both") / (F.col("n_x") + F.col("n_y") - F.col("both")), 6).alias("jaccard"))
+    """Pairs that share more than 20 tokens: a similarity join by prefixes, so a token that all documents hold is no key."""
+    from assayer.operators import similarity
+
+    d = t.documents.select(F.col("doc_id").alias("x"), F.array_distinct(text.tokens(F.col("text"))).alias("set"))
+    b = t.benchmark.select(F.col("item_id").alias("y"), F.array_distinct(text.tokens(F.col("text"))).alias("set"))
+    met = similarity.overlapping(d, b, 21)
+    return met.select(F.col("x").alias("doc_id"), F.col("y").alias("item_id"), F.round(F.col("both") / (F.col("n_x") + F.col("n_y") - F.col("both")), 6).alias("jaccard"))
 
 
 @query(f"SELECT DISTINCT w FROM (SELECT unnest({SQL_TOKENS}) AS w FROM benchmark UNION ALL SELECT unnest({SQL_TOKENS}) FROM conversations)")
