@@ -125,3 +125,45 @@ def bootstrap_ratio(df: DataFrame, key: list[str], unit: str, part: str, whole:
         return pd.DataFrame([[*(rows[k].iloc[0] for k in key), len(rows), low, high]], columns=[*key, "pages", "low", "high"])
 
     return df.select(*key, unit, F.col(part).cast("double").alias(part), F.col(whole).cast("double").alias(whole)).groupBy(*key).applyInPandas(resample, f"{kinds}, pages long, low double, high double")
+
+
+def band_cube(rows: DataFrame, keys: list[str], step: int) -> DataFrame:
+    """keys, third, bin, n, e0, e1, e2 of rows(keys, third, sim in thousandths, e0, e1, e2): errors if the similarity earned nothing, half or all, summed by bins of `step`. The cube doesn't grow with the rows, and the errors of any pair of bands follow from it, so no row meets a threshold."""
+    return rows.groupBy(*keys, "third", F.floor(F.col("sim") / step).cast("int").alias("bin")).agg(F.count("*").alias("n"), *(F.sum(e).alias(e) for e in ("e0", "e1", "e2")))
+
+
+def band_errors(cube: DataFrame, keys: list[str], grid: DataFrame, step: int) -> DataFrame:
+    """keys, half, whole, third, error, n: the summed errors of each pair of bands, by running sums over the bins."""
+    up = Window.partitionBy(*keys, "third").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    upto = cube.select(*keys, "third", "bin", *(F.sum(c).over(up).alias(c) for c in ("n", "e0", "e1", "e2")))
+    of_key = upto.groupBy(*keys, "third").agg(F.max_by(F.struct("n", "e0", "e1", "e2"), "bin").alias("every"), F.array_sort(F.collect_list(F.struct("bin", "e0", "e1", "e2"))).alias("sums"))
+    at = lambda edge, e: F.coalesce(F.try_element_at(F.filter("sums", lambda x: x["bin"] < F.col(edge) / step), F.lit(-1))[e], F.lit(0.0))
+    pairs = of_key.crossJoin(F.broadcast(grid))  # a row a key and third, a fixed grid
+    error = at("half", "e0") + at("whole", "e1") - at("half", "e1") + F.col("every.e2") - at("whole", "e2")
+    return pairs.select(*keys, "half", "whole", "third", error.alias("error"), F.col("every.n").alias("n"))
+
+
+def cross_validated(cube: DataFrame, keys: list[str], fold: str, grid: DataFrame, step: int) -> DataFrame:
+    """keys, balanced, mae: bands are chosen by the balanced error of all folds but one, and measured on that one. What is without a fold is the whole cube less the fold's own part."""
+    cube = staged(cube, "cube")
+    sums = ("n", "e0", "e1", "e2")
+    whole = cube.groupBy(*keys, "third", "bin").agg(*(F.sum(c).alias(f"all_{c}") for c in sums))
+    folds = cube.select(*keys, fold).distinct()
+    rest = folds.join(whole, keys).join(cube, [*keys, fold, "third", "bin"], "left").select(*keys, fold, "third", "bin", *((F.col(f"all_{c}") - F.coalesce(c, F.lit(0))).alias(c) for c in sums)).where("n > 0")
+    errors = band_errors(rest, [*keys, fold], grid, step)
+    balanced = errors.groupBy(*keys, fold, "half", "whole").agg(F.avg(F.col("error") / F.col("n")).alias("balanced"))
+    chosen = first_best(balanced, [*keys, fold], "balanced", "half", "whole").select(*keys, fold, "half", "whole")
+    held = band_errors(cube, [*keys, fold], grid, step).join(chosen, [*keys, fold, "half", "whole"])
+    thirds = held.groupBy(*keys, "third").agg(F.sum("error").alias("error"), F.sum("n").alias("n"))
+    return thirds.groupBy(*keys).agg(F.avg(F.col("error") / F.col("n")).alias("balanced"), (F.sum("error") / F.sum("n")).alias("mae"))
+
+
+def margin_search(rows: DataFrame, default: int, most: float = 0.4, steps: int = 10, step: int = 10) -> DataFrame:
+    """margin, recall, rate: the margin, of `steps` of `step` thousandths and 0, that flags the most of rows(always, distance, disagree) that disagree, while at most a share of `most` is flagged; ties to the fewest flags, then to the default. A row is flagged always, or from the first margin beyond its distance to a band: rows are counted by that margin, and running sums give every margin."""
+    level = F.when(F.col("always"), 0).otherwise(F.least(F.floor(F.col("distance") / step) + 1, F.lit(steps + 1))).cast("int")
+    cells = rows.groupBy(level.alias("level")).agg(F.count("*").alias("n"), F.count_if("disagree").alias("d"))
+    margins = rows.sparkSession.range(steps + 1).select(F.col("id").cast("int").alias("k"))
+    met = margins.crossJoin(F.broadcast(cells)).groupBy("k").agg(F.sum(F.when(F.col("level") <= F.col("k"), F.col("n")).otherwise(0)).alias("flagged"), F.sum(F.when(F.col("level") <= F.col("k"), F.col("d")).otherwise(0)).alias("caught"), F.sum("n").alias("n"), F.sum("d").alias("d"))  # a dozen rows each
+    all_ = met.select((F.col("k") * step).alias("margin"), F.coalesce(F.col("caught") / F.nullif("d", F.lit(0)), F.lit(1.0)).alias("recall"), (F.col("flagged") / F.col("n")).alias("rate"))
+    own = F.col("margin") == default
+    return all_.where((F.col("rate") <= most) | own).orderBy(F.col("rate") > most, F.desc("recall"), "rate", ~own, "margin").limit(1)
