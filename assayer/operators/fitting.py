@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import random
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -60,9 +60,27 @@ def rising(mean: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return first
 
 
+def cells_of(df: DataFrame, key: list[str], x: str, y: str) -> DataFrame:
+    """key, __x, __s, __n: samples summed by x to six places, so a key has a million cells at most for x in [0, 1]. Cells of parts of the rows can be added and taken away."""
+    return df.groupBy(*key, F.round(F.col(x).cast("double"), 6).alias("__x")).agg(F.sum(F.col(y).cast("double")).alias("__s"), F.count("*").cast("double").alias("__n"))
+
+
+def without_fold(cells: DataFrame, key: list[str], fold: str) -> DataFrame:
+    """The cells of all folds but one, for each fold: all cells less the fold's own."""
+    every = cells.groupBy(*key, "__x").agg(F.sum("__s").alias("__as"), F.sum("__n").alias("__an"))
+    folds = cells.select(*key, fold).distinct()
+    rest = folds.join(every, key).join(cells, [*key, fold, "__x"], "left")
+    return rest.select(*key, fold, "__x", (F.col("__as") - F.coalesce("__s", F.lit(0.0))).alias("__s"), (F.col("__an") - F.coalesce("__n", F.lit(0.0))).alias("__n")).where("__n > 0.5")
+
+
 def isotonic(df: DataFrame, key: list[str], x: str, y: str) -> DataFrame:
-    """Breakpoints xs, ys of a rising step curve for each key: the lowest and highest x of each block with its mean, to six places and within [0, 1]. Samples are summed by x to six places first, so a key has a million cells at most for x in [0, 1]."""
-    kinds = ", ".join(f"{k} {dict(df.dtypes)[k]}" for k in key)
+    """Breakpoints xs, ys of a rising step curve for each key: the lowest and highest x of each block with its mean, to six places and within [0, 1]."""
+    return isotonic_cells(cells_of(df, key, x, y), key)
+
+
+def isotonic_cells(cells: DataFrame, key: list[str]) -> DataFrame:
+    """The curves of isotonic() from cells."""
+    kinds = ", ".join(f"{k} {dict(cells.dtypes)[k]}" for k in key)
 
     def pool(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("__x")
@@ -74,7 +92,6 @@ def isotonic(df: DataFrame, key: list[str], x: str, y: str) -> DataFrame:
         once = np.append(True, ends[1:] != ends[:-1])
         return pd.DataFrame([[*(rows[k].iloc[0] for k in key), at[ends[once]].tolist(), np.repeat(mean, 2)[once].tolist()]], columns=[*key, "xs", "ys"])
 
-    cells = df.groupBy(*key, F.round(F.col(x).cast("double"), 6).alias("__x")).agg(F.sum(F.col(y).cast("double")).alias("__s"), F.count("*").cast("double").alias("__n"))
     return cells.groupBy(*key).applyInPandas(pool, f"{kinds}, xs array<double>, ys array<double>")
 
 
@@ -99,10 +116,16 @@ def interpolated(value, xs, ys):
     return F.when(value <= F.element_at(xs, 1), F.element_at(ys, 1)).when((at >= F.size(xs)) | (x1 == x0), y0).otherwise(y0 + (value - x0) * (y1 - y0) / (x1 - x0))
 
 
-def resampled(units: int, draws: int, seed: int) -> np.ndarray:
-    """Places drawn with replacement, a row a draw; the seed fixes them."""
-    rng = random.Random(seed)
-    return np.fromiter((rng.randrange(units) for _ in range(draws * units)), np.int64, draws * units).reshape(draws, units)
+def draws_of(units: int, draws: int, seed: int) -> Iterator[np.ndarray]:
+    """How often each of so many units is drawn, a draw of as many at a time: the draws of random.Random(seed).randrange, whose words are the same generator's as numpy's, kept where they are below the number of units."""
+    source, shift = np.random.RandomState([seed]), 32 - units.bit_length()  # noqa: NPY002
+    held = np.zeros(0, np.int64)
+    for _ in range(draws):
+        while len(held) < units:
+            words = source.randint(0, 1 << 32, max(64, units), dtype=np.uint32) >> np.uint32(shift)
+            held = np.concatenate([held, words[words < units].astype(np.int64)])
+        yield np.bincount(held[:units], minlength=units)
+        held = held[units:]
 
 
 def interval(values: np.ndarray) -> tuple[float | None, float | None]:
@@ -112,16 +135,16 @@ def interval(values: np.ndarray) -> tuple[float | None, float | None]:
 
 
 def bootstrap_ratio(df: DataFrame, key: list[str], unit: str, part: str, whole: str, draws: int = 1000, seed: int = 20261004, least: int = 5) -> DataFrame:
-    """A 95 % interval of sum(part) / sum(whole) over resampled units (pages) of a key, in order of their names; null below `least` units. Units are aggregated before they come here: a key has one row a page."""
+    """A 95 % interval of sum(part) / sum(whole) over resampled units (pages) of a key, in order of their names; null below `least` units. Units are aggregated before they come here: a key has one row a page. A task holds a key's units and one draw's counts."""
     kinds = ", ".join(f"{k} {dict(df.dtypes)[k]}" for k in key)
 
     def resample(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(unit)
         low = high = None
         if len(rows) >= least:
-            picked = resampled(len(rows), draws, seed)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                low, high = interval(rows[part].to_numpy(float)[picked].sum(axis=1) / rows[whole].to_numpy(float)[picked].sum(axis=1))
+            over, under = rows[part].to_numpy(float), rows[whole].to_numpy(float)
+            sums = np.array([(counts @ over, counts @ under) for counts in draws_of(len(rows), draws, seed)])
+            low, high = interval(sums[sums[:, 1] != 0, 0] / sums[sums[:, 1] != 0, 1])
         return pd.DataFrame([[*(rows[k].iloc[0] for k in key), len(rows), low, high]], columns=[*key, "pages", "low", "high"])
 
     return df.select(*key, unit, F.col(part).cast("double").alias(part), F.col(whole).cast("double").alias(whole)).groupBy(*key).applyInPandas(resample, f"{kinds}, pages long, low double, high double")
@@ -167,3 +190,11 @@ def margin_search(rows: DataFrame, default: int, most: float = 0.4, steps: int =
     all_ = met.select((F.col("k") * step).alias("margin"), F.coalesce(F.col("caught") / F.nullif("d", F.lit(0)), F.lit(1.0)).alias("recall"), (F.col("flagged") / F.col("n")).alias("rate"))
     own = F.col("margin") == default
     return all_.where((F.col("rate") <= most) | own).orderBy(F.col("rate") > most, F.desc("recall"), "rate", ~own, "margin").limit(1)
+
+
+def paired(units: DataFrame, engine: str, unit: str, part: str, whole: str) -> DataFrame:
+    """engine, against, unit, part, whole: for each two engines the differences of a unit, over the first one's whole; with the same draws for both, their interval is that of the difference. Units that the second lacks count as 0 there."""
+    names = units.select(F.col(engine).alias("against")).distinct()  # a row an engine
+    a = units.crossJoin(F.broadcast(names)).where(F.col(engine) != F.col("against"))
+    b = units.select(F.col(engine).alias("against"), unit, F.col(part).alias("__other"))
+    return a.join(b, ["against", unit], "left").select(engine, "against", unit, (F.col(part) - F.coalesce("__other", F.lit(0))).alias(part), whole)

@@ -9,6 +9,7 @@ from assayer.functions import text
 from assayer.operators import fitting, readings
 from assayer.plans import measures
 from assayer.registry import Tables, query
+from assayer.sources.shared import staged
 
 SQL_READ = f"""r AS (SELECT page_id // 3 AS line, 'e' || page_id % 3 AS engine, regexp_extract(url, '/(de|en|es|fr)/', 1) AS lang, regexp_extract(url, '^[a-z]+') AS capture, regexp_extract(url, '//([^/]*)/', 1) AS host, page_id, {measures.SQL_LINE} AS body, (page_id % 7 + 3) / 10.0 AS confidence, page_id % 3 + 1 AS pos FROM pages)"""
 SQL_AGREE = """a AS (SELECT x.line, x.page_id, coalesce(1 - avg(CASE WHEN greatest(length(x.body), length(y.body)) = 0 THEN 0 ELSE levenshtein(x.body, y.body) / greatest(length(x.body), length(y.body)) END), 0) AS agreement FROM r x LEFT JOIN r y ON y.line = x.line AND y.page_id <> x.page_id GROUP BY 1, 2)"""
@@ -158,15 +159,6 @@ def ocr_orientation(t: Tables) -> DataFrame:
     return readings.orientation(rows, "conv_id", "side", "text", "c")
 
 
-@query("WITH f AS (SELECT source, CAST((row_number() OVER (ORDER BY source) - 1) % 4 AS INTEGER) AS fold FROM (SELECT DISTINCT source FROM documents)) SELECT fold, count(*) AS docs, round(avg(n_chars), 4) AS mean_chars FROM documents JOIN f USING (source) GROUP BY 1")
-def ocr_kfold(t: Tables) -> DataFrame:
-    """Folds by the order of the pages: ranks of distinct pages, in ranges."""
-    pages = t.documents.select("source").distinct()
-    rank = fitting.ranked(pages, "source", "place").select("source", "place")
-    fold = rank.select("source", ((F.col("place") - 1).cast("int") % 4).alias("fold"))
-    return t.documents.join(fold, "source").groupBy("fold").agg(F.count("*").alias("docs"), F.round(F.avg("n_chars"), 4).alias("mean_chars"))
-
-
 def _accuracy(t: Tables) -> DataFrame:
     rows = readings.edits(_truth(t), "written", "truth")
     return rows.withColumn("error", F.when(F.col("chars") == 0, 0.0).otherwise(F.least(F.lit(1.0), F.col("edits") / F.col("chars"))))
@@ -207,5 +199,27 @@ def mth_interpolate(t: Tables) -> DataFrame:
 
 @query()
 def ocr_bootstrap(t: Tables) -> DataFrame:
-    pages = readings.edits(_truth(t), "written", "truth").groupBy("engine", "host").agg(F.sum("edits").alias("edits"), F.sum("chars").alias("chars"))
-    return fitting.bootstrap_ratio(pages, ["engine"], "host", "edits", "chars")
+    """Intervals of the engines' character errors over pages, and of the differences of every two."""
+    pages = staged(readings.edits(_truth(t), "written", "truth").groupBy("engine", "host").agg(F.sum("edits").alias("edits"), F.sum("chars").alias("chars")), "pages")
+    own = fitting.bootstrap_ratio(pages, ["engine"], "host", "edits", "chars").withColumn("against", F.lit(None).cast("string"))
+    pairs = fitting.bootstrap_ratio(fitting.paired(pages, "engine", "host", "edits", "chars"), ["engine", "against"], "host", "edits", "chars")
+    return own.unionByName(pairs).select("engine", "against", "pages", "low", "high")
+
+
+@query(f"""
+    WITH {SQL_READ}, {SQL_TRUTH}, f AS (SELECT host, CAST((row_number() OVER (ORDER BY host) - 1) % 5 AS INTEGER) AS fold FROM (SELECT DISTINCT host FROM t)),
+    y AS (SELECT t.engine, fold, round(r.confidence, 6) AS c, sum(1 - least(1.0, edits / chars)) AS s, count(*) AS n FROM t JOIN r ON r.line = t.line AND r.engine = t.engine JOIN f ON f.host = t.host GROUP BY 1, 2, 3),
+    x AS (SELECT engine, o.fold, c, sum(s) AS s, sum(n) AS n FROM y, (SELECT DISTINCT fold FROM f) o WHERE o.fold <> y.fold GROUP BY 1, 2, 3),
+    p AS (SELECT *, row_number() OVER w AS i, sum(s) OVER w AS su, sum(n) OVER w AS nu FROM x WINDOW w AS (PARTITION BY engine, fold ORDER BY c)),
+    m AS (SELECT a.engine, a.fold, a.c, j.i AS first, min((k.su - j.su + j.s) / (k.nu - j.nu + j.n)) AS least FROM p a JOIN p j ON j.engine = a.engine AND j.fold = a.fold AND j.i <= a.i JOIN p k ON k.engine = a.engine AND k.fold = a.fold AND k.i >= a.i GROUP BY 1, 2, 3, 4),
+    v AS (SELECT engine, fold, c, max(least) AS accuracy FROM m GROUP BY 1, 2, 3)
+    SELECT r.page_id, f.fold, round(accuracy, 5) AS calibrated FROM t JOIN r ON r.line = t.line AND r.engine = t.engine JOIN f ON f.host = t.host JOIN v ON v.engine = t.engine AND v.fold = f.fold AND v.c = round(r.confidence, 6)""")
+def ocr_kfold(t: Tables) -> DataFrame:
+    """Confidences calibrated by curves fitted on the other folds' pages."""
+    rows = _accuracy(t).select("engine", "host", "page_id", F.round("confidence", 6).alias("confidence"), (1 - F.col("error")).alias("accuracy"))
+    rank = fitting.ranked(rows.select("host").distinct(), "host", "place")
+    rows = staged(rows.join(rank.select("host", ((F.col("place") - 1).cast("int") % 5).alias("fold")), "host"), "readings")
+    cells = staged(fitting.cells_of(rows, ["engine", "fold"], "confidence", "accuracy"), "cells")
+    curves = fitting.isotonic_cells(fitting.without_fold(cells, ["engine"], "fold"), ["engine", "fold"])
+    met = rows.join(curves, ["engine", "fold"])
+    return met.select("page_id", "fold", F.round(fitting.interpolated(F.col("confidence"), F.col("xs"), F.col("ys")), 5).alias("calibrated"))

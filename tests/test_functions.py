@@ -194,6 +194,28 @@ def test_bootstrap(spark):
     assert few.low is None and few.high is None
 
 
+def test_draws_are_those_of_the_seed():
+    for units in (1, 5, 12, 64, 1000):
+        rng = random.Random(7)
+        want = [np.bincount([rng.randrange(units) for _ in range(units)], minlength=units) for _ in range(20)]
+        assert all((a == b).all() for a, b in zip(fitting.draws_of(units, 20, 7), want, strict=True))
+
+
+def test_paired_differences(spark):
+    rng = random.Random(3)
+    pages = {e: {f"p{i:02}": (rng.randrange(9), 10 + i) for i in range(10)} for e in "ab"}
+    df = spark.createDataFrame([(e, p, *x) for e in pages for p, x in pages[e].items()], "engine string, page string, e long, n long")
+    got = {(r.engine, r.against): (r.low, r.high) for r in fitting.bootstrap_ratio(fitting.paired(df, "engine", "page", "e", "n"), ["engine", "against"], "page", "e", "n", draws=100).collect()}
+    for a, b in ("ab", "ba"):
+        units = [(pages[a][p][0] - pages[b][p][0], pages[a][p][1]) for p in sorted(pages[a])]
+        draw, values = random.Random(20261004), []
+        for _ in range(100):
+            sample = [units[draw.randrange(10)] for _ in units]
+            values.append(sum(x for x, _ in sample) / sum(y for _, y in sample))
+        values.sort()
+        assert got[a, b] == (pytest.approx(values[2]), pytest.approx(values[96]))
+
+
 def test_calibration(spark):
     df = spark.createDataFrame([("k", 0.5, 1.0), ("k", 0.5, 0.0), ("k", 0.2, 0.9), ("k", 0.9, 0.1)], "k string, x double, y double")
     got = fitting.isotonic(df, ["k"], "x", "y").first()
