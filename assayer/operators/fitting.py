@@ -198,3 +198,19 @@ def paired(units: DataFrame, engine: str, unit: str, part: str, whole: str) -> D
     a = units.crossJoin(F.broadcast(names)).where(F.col(engine) != F.col("against"))
     b = units.select(F.col(engine).alias("against"), unit, F.col(part).alias("__other"))
     return a.join(b, ["against", unit], "left").select(engine, "against", unit, (F.col(part) - F.coalesce("__other", F.lit(0))).alias(part), whole)
+
+
+def precision_curve(found: DataFrame, score: str, hit: str) -> DataFrame:
+    """score, hits, n, precision, best: by falling score, how many are found and right at each score, the precision from the highest score down to it, and the highest precision from it on. Scores are dealt in ranges: a window sees the scores of a range, and one the ranges; what a range takes over from others is a row."""
+    cells = found.groupBy(F.col(score).alias("score")).agg(F.count(hit).alias("hits"), F.count("*").alias("n")).repartitionByRange(F.desc("score")).withColumn("__p", F.spark_partition_id())
+    cells = staged(cells, "scores")
+    one = Window.partitionBy("__one").orderBy("__p")
+    before, after = one.rowsBetween(Window.unboundedPreceding, -1), one.rowsBetween(1, Window.unboundedFollowing)
+    ranges = cells.groupBy("__p").agg(F.sum("hits").alias("h"), F.sum("n").alias("m")).withColumn("__one", F.lit(0))
+    carried = ranges.select("__p", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"__{c}") for c in ("h", "m")))
+    down = Window.partitionBy("__p").orderBy(F.desc("score"))
+    upto = cells.join(carried, "__p").withColumn("precision", (F.sum("hits").over(down) + F.col("__h")) / (F.sum("n").over(down) + F.col("__m")))
+    upto = staged(upto.select("__p", "score", "hits", "n", "precision"), "precisions")
+    tops = upto.groupBy("__p").agg(F.max("precision").alias("top")).withColumn("__one", F.lit(0)).select("__p", F.max("top").over(after).alias("__later"))
+    own = F.max("precision").over(down.rowsBetween(0, Window.unboundedFollowing))
+    return upto.withColumn("__own", own).join(tops, "__p").select("score", "hits", "n", "precision", F.greatest("__own", F.coalesce("__later", F.lit(0.0))).alias("best"))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayer.functions import udfs
-from assayer.operators import assignment, graphs
+from assayer.operators import assignment, fitting, graphs
 from assayer.operators.state import fold
 from assayer.registry import Tables, query
 from assayer.sources.shared import staged
@@ -245,12 +245,7 @@ def gr_detector_eval(t: Tables) -> DataFrame:
     boxes = assignment.detections(t.lineitem)
     found = assignment.greedy(boxes, 0.3)
     true = boxes.agg(F.count_if("truth").alias("true"))
-    # by score: cells of equal scores, so that the window sees scores, not rows
-    cells = found.groupBy("score").agg(F.count("match").alias("hits"), F.count("*").alias("n")).withColumn("one", F.lit(0))
-    down = Window.partitionBy("one").orderBy(F.desc("score"))
-    cells = cells.withColumn("p", F.sum("hits").over(down) / F.sum("n").over(down))
-    rest = down.rowsBetween(0, Window.unboundedFollowing)
-    ap = cells.withColumn("best", F.max("p").over(rest)).agg(F.sum(F.col("hits") * F.col("best")).alias("area"), F.sum("hits").alias("hits"), F.sum("n").alias("n"))
+    ap = fitting.precision_curve(found, "score", "match").agg(F.sum(F.col("hits") * F.col("best")).alias("area"), F.sum("hits").alias("hits"), F.sum("n").alias("n"))
     states = gr_edges_by_number(t)
     s = F.col("state")
     edge = states.agg(F.count_if(s == "present").alias("right"), F.count_if(s.isin("present", "reversed")).alias("either"), F.count_if(s.isin("present", "reversed", "missing")).alias("wanted"), F.count_if(s.isin("present", "reversed of another", "extra")).alias("drawn"))

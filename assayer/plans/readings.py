@@ -213,7 +213,7 @@ def ocr_bootstrap(t: Tables) -> DataFrame:
     p AS (SELECT *, row_number() OVER w AS i, sum(s) OVER w AS su, sum(n) OVER w AS nu FROM x WINDOW w AS (PARTITION BY engine, fold ORDER BY c)),
     m AS (SELECT a.engine, a.fold, a.c, j.i AS first, min((k.su - j.su + j.s) / (k.nu - j.nu + j.n)) AS least FROM p a JOIN p j ON j.engine = a.engine AND j.fold = a.fold AND j.i <= a.i JOIN p k ON k.engine = a.engine AND k.fold = a.fold AND k.i >= a.i GROUP BY 1, 2, 3, 4),
     v AS (SELECT engine, fold, c, max(least) AS accuracy FROM m GROUP BY 1, 2, 3)
-    SELECT r.page_id, f.fold, round(accuracy, 5) AS calibrated FROM t JOIN r ON r.line = t.line AND r.engine = t.engine JOIN f ON f.host = t.host JOIN v ON v.engine = t.engine AND v.fold = f.fold AND v.c = round(r.confidence, 6)""")
+    SELECT r.page_id, f.fold, round(round(accuracy, 6), 5) AS calibrated FROM t JOIN r ON r.line = t.line AND r.engine = t.engine JOIN f ON f.host = t.host JOIN v ON v.engine = t.engine AND v.fold = f.fold AND v.c = round(r.confidence, 6)""")
 def ocr_kfold(t: Tables) -> DataFrame:
     """Confidences calibrated by curves fitted on the other folds' pages."""
     rows = _accuracy(t).select("engine", "host", "page_id", F.round("confidence", 6).alias("confidence"), (1 - F.col("error")).alias("accuracy"))

@@ -195,18 +195,38 @@ def rep_evaluation(t: Tables) -> DataFrame:
 
 
 @query(f"""
-    WITH {SQL_REGIONS}, a AS (SELECT conv_id, string_agg(body, chr(10) || chr(10) ORDER BY turn) AS text, sum(lines) AS lines FROM s GROUP BY 1)
-    SELECT conv_id, CAST(lines AS BIGINT) AS lines, len({measures.SQL_TOKENS}) AS words, round(least(len({measures.SQL_TOKENS}) / 50.0, 5.0) * 2, 0) / 2 AS mark FROM a""")
+    WITH {SQL_REGIONS}, a AS (SELECT conv_id, string_agg(body, chr(10) || chr(10) ORDER BY turn) AS text, sum(lines) AS lines FROM s GROUP BY 1), d AS (SELECT conv_id, count(*) AS diagrams FROM conversations WHERE turn % 5 = 4 GROUP BY 1)
+    SELECT conv_id, CAST(lines AS BIGINT) AS lines, len({measures.SQL_TOKENS}) AS words, coalesce(diagrams, 0) AS diagrams, round(least(len({measures.SQL_TOKENS}) / 50.0, 5.0) * 2, 0) / 2 AS mark FROM a LEFT JOIN d USING (conv_id)""")
 def st_pipeline(t: Tables) -> DataFrame:
-    """Booklets from their lines to marks in steps that can be taken up again: prepare (regions), segment (assembled answers), score (a mark for every hundred words, in halves, up to 5)."""
-    score = lambda a: a.select("conv_id", "lines", F.size(text.tokens(F.col("body"))).cast("long").alias("words")).withColumn("mark", F.round(F.least(F.col("words") / 50.0, F.lit(5.0)) * 2, 0) / 2)
+    """Booklets from their pages to marks, by steps with a ledger of ids: read (lines), prepare (regions without what was struck out), segment (assembled answers), diagrams, score (half a mark for every 25 words, up to 5). The booklets come in two loads; the second run takes only those that the first has not done."""
+    return pipeline(t, shared_path(t.spark, "pipeline"), [t.conversations.where("conv_id % 2 = 0"), t.conversations])
 
-    def segment(rows: DataFrame) -> DataFrame:
-        parts = assembled(rows, "conv_id", "turn")
-        whole = F.transform(F.array_sort(F.collect_list(F.struct("turn", "body"))), lambda x: x["body"])
-        return parts.groupBy("conv_id").agg(F.array_join(whole, "\n\n").alias("body"), F.sum("lines").alias("lines"))
 
-    return steps.run(t.spark, shared_path(t.spark, "pipeline-steps"), [("prepare", lambda _: regions(t)), ("segment", segment), ("score", score)])
+def pipeline(t: Tables, folder: str, loads: list[DataFrame]) -> DataFrame:
+    """Runs the steps over what has come, load by load."""
+    spark, key = t.spark, "conv_id"
+    own = lambda df: lambda ids: df().join(ids, key, "left_semi")
+    before = lambda name: steps.rows_of(spark, folder, name)
+
+    def segment() -> DataFrame:
+        parts = assembled(before("prepare"), key, "turn")
+        whole = F.transform(F.array_sort(F.collect_list(F.struct("turn", "body"))), lambda x: x["body"])
+        return parts.groupBy(key).agg(F.array_join(whole, "\n\n").alias("body"), F.sum("lines").alias("lines"))
+
+    def diagrams() -> DataFrame:
+        drawn = t.conversations.where("turn % 5 = 4").groupBy(key).agg(F.count("*").alias("diagrams"))
+        return before("segment").join(drawn, key, "left").withColumn("diagrams", F.coalesce("diagrams", F.lit(0)))
+
+    def score() -> DataFrame:
+        words = F.size(text.tokens(F.col("body"))).cast("long")
+        rows = before("diagrams").select(key, "lines", words.alias("words"), "diagrams")
+        return rows.withColumn("mark", F.round(F.least(F.col("words") / 50.0, F.lit(5.0)) * 2, 0) / 2)
+
+    made = [("read", own(lambda: regions(t))), ("prepare", own(lambda: before("read").where("NOT struck"))), ("segment", own(segment)), ("diagrams", own(diagrams)), ("score", own(score))]
+    out: DataFrame | None = None
+    for load in loads:
+        out = steps.advance(spark, folder, key, load, made)
+    return out
 
 
 @query(r"""

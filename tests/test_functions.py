@@ -562,3 +562,50 @@ def test_finish_by_hand(spark):
     assert ((kept["found_by"] == "rule") == kept["score"].isna()).all() and (kept["score"].dropna() >= LEAST).all()
     again = kept.duplicated(["booklet", "question"], keep=False)
     assert (kept.loc[again, "flags"].str.contains("duplicate")).all() and rows["figures"].sum() > 0
+
+
+def test_ledger_takes_up_what_was_cut_off(spark, tmp_path):
+    from assayer.operators import steps
+
+    folder, made = f"file://{tmp_path}/ledger", []
+
+    def step(name, fail_at=None):
+        def make(ids):
+            got = sorted(r.id for r in ids.collect())
+            if fail_at is not None and fail_at in got:
+                ids.write.parquet(f"{folder}/{name}/batch=torn")  # what a killed task leaves
+                raise RuntimeError(name)
+            made.append((name, got))
+            return ids.where("id <> 3").withColumn("x", F.col("id") * 2)
+
+        return name, make
+
+    first, second = spark.createDataFrame([(i,) for i in range(6)], "id long"), spark.createDataFrame([(i,) for i in range(9)], "id long")
+    with pytest.raises(RuntimeError):
+        steps.advance(spark, folder, "id", first, [step("a"), step("b", fail_at=5), step("c")], parts=2)
+    out = steps.advance(spark, folder, "id", second, [step("a"), step("b"), step("c")], parts=2)
+    assert sorted((r.id, r.x) for r in out.collect()) == [(i, 2 * i) for i in (0, 1, 2, 4, 5, 6, 7, 8)]
+    for name in "abc":
+        ids = [i for n, got in made if n == name for i in got]
+        assert sorted(ids) == list(range(9))  # no id twice, none lost; an id without rows is done as well
+    assert steps.advance(spark, folder, "id", second, [step("a"), step("b"), step("c")]).count() == 8 and len(made) == len([m for m in made if m[1]])
+
+
+def test_precision_curve(spark):
+    rng = random.Random(9)
+    found = [(rng.randrange(40) / 40, 1 if rng.random() < 0.6 else None) for _ in range(300)]
+    got = {r.score: r for r in fitting.precision_curve(spark.createDataFrame(found, "s double, m int").repartition(7), "s", "m").collect()}
+    at = {s: sum(m is not None for x, m in found if x >= s) / sum(x >= s for x, _ in found) for s in {x for x, _ in found}}
+    assert {s: r.precision for s, r in got.items()} == pytest.approx(at)
+    assert {s: r.best for s, r in got.items()} == pytest.approx({s: max(p for x, p in at.items() if x <= s) for s in at})
+
+
+def test_overlapping_sets(spark):
+    from assayer.operators import similarity
+
+    rng = random.Random(4)
+    sets = lambda n, k: [(i, sorted({f"w{min(rng.randrange(60), rng.randrange(60))}" for _ in range(rng.randrange(k))})) for i in range(n)]
+    a, b = sets(40, 40), sets(15, 30)
+    for least in (1, 5, 12):
+        got = {(r.x, r.y): (r.n_x, r.n_y, r.both) for r in similarity.overlapping(spark.createDataFrame(a, "x int, set array<string>"), spark.createDataFrame(b, "y int, set array<string>"), least).collect()}
+        assert got == {(x, y): (len(s), len(u), len({*s} & {*u})) for x, s in a for y, u in b if len({*s} & {*u}) >= least}
