@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayer.functions import udfs
+from assayer.functions.text import norm_distance
 from assayer.operators import assignment, fitting, graphs
 from assayer.operators.state import fold
 from assayer.registry import Tables, query
@@ -167,9 +168,24 @@ def anomalies(nodes: tuple[DataFrame, DataFrame], edges: tuple[DataFrame, DataFr
     return out.unionByName(parts.join(apart, "graph").where("part <> main").select("graph", F.lit("disconnected").alias("anomaly"), F.col("node").cast("string").alias("student")))
 
 
+def extra_labels(free: DataFrame, known: DataFrame) -> DataFrame:
+    """graph, anomaly, student: labels of free(graph, label) that stand beside no element and are no close match of any label that the reference has, known(graph, label). Equal labels meet first; only the others are measured against the labels of their own drawing."""
+    rest = free.join(known.select("graph", "label").distinct(), ["graph", "label"], "left_anti").withColumn("__id", F.monotonically_increasing_id())
+    rest = staged(rest, "labels")
+    near = rest.join(known.select("graph", F.col("label").alias("__k")).distinct(), "graph").where(norm_distance(F.col("label"), F.col("__k")) <= CLOSE).select("__id").distinct()
+    return rest.join(near, "__id", "left_anti").select("graph", F.lit("extra label").alias("anomaly"), F.col("label").alias("student"))
+
+
+def _free_labels(t: Tables) -> DataFrame:
+    """Labels that the student wrote beside no element: the containers named on small lines."""
+    rows = t.lineitem.where("l_quantity <= 5").join(t.part.select("p_partkey", "p_name", "p_type"), F.col("p_partkey") == F.col("l_partkey"))
+    return rows.select(F.col("l_orderkey").alias("graph"), F.lower(F.when(F.col("l_quantity") <= 2, F.concat("p_name", F.lit("s"))).otherwise(F.concat("p_type", F.lit(" "), "p_name"))).alias("label"))
+
+
 @query()
 def gr_anomalies(t: Tables) -> DataFrame:
-    return anomalies(*_compared(t))
+    nodes, edges, pairs = _compared(t)
+    return anomalies(nodes, edges, pairs).unionByName(extra_labels(_free_labels(t), nodes[0].select("graph", F.lower("label").alias("label"))))
 
 
 @query()

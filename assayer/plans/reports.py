@@ -563,16 +563,20 @@ def set_reach(t: Tables) -> DataFrame:
 
 
 @query("""
-    SELECT r_name, count(DISTINCT c_custkey) AS owners, count(DISTINCT o_orderkey) AS units, count(DISTINCT o_orderkey) FILTER (o_orderstatus = 'O') AS open, count(DISTINCT o_orderkey) FILTER (o_orderstatus = 'P') AS submitted, count(DISTINCT o_orderkey) FILTER (o_orderstatus = 'F') AS frozen, strftime(max(o_orderdate), '%Y-%m-%d') AS newest, count(*) AS booklets, count(*) FILTER (l_linestatus = 'F') AS approved
-    FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1""")
+    SELECT r_name, any_value(feed) AS feed, count(DISTINCT c_custkey) AS owners, count(DISTINCT o_orderkey) AS units, count(DISTINCT o_orderkey) FILTER (o_orderstatus = 'O') AS open, count(DISTINCT o_orderkey) FILTER (o_orderstatus = 'P') AS submitted, count(DISTINCT o_orderkey) FILTER (o_orderstatus = 'F') AS frozen, strftime(max(o_orderdate), '%Y-%m-%d') AS newest, count(*) AS booklets, count(*) FILTER (l_linestatus = 'F') AS approved
+    FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey
+    JOIN (SELECT n_regionkey AS k, string_agg(o_orderkey, ',' ORDER BY o_orderdate DESC, o_orderkey) AS feed FROM (SELECT n_regionkey, o_orderkey, o_orderdate FROM nation JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey QUALIFY row_number() OVER (PARTITION BY n_regionkey ORDER BY o_orderdate DESC, o_orderkey) <= 8) GROUP BY 1) ON k = r_regionkey GROUP BY 1""")
 def rep_dashboard(t: Tables) -> DataFrame:
-    """By region owners, units by stage, the newest of the feed, booklets; line items are counted by unit and units by owner before they are joined."""
+    """By region owners, units by stage, the feed of the eight newest units, booklets; line items are counted by unit and units by owner before they are joined, and a region's newest are cut down before they are shuffled."""
     lines = t.lineitem.groupBy("l_orderkey").agg(F.count("*").alias("b"), F.count_if(F.col("l_linestatus") == "F").alias("f"))
     s = F.col("o_orderstatus")
     rows = t.orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).groupBy("o_custkey").agg(F.count("*").alias("u"), F.count_if(s == "O").alias("open"), F.count_if(s == "P").alias("submitted"), F.count_if(s == "F").alias("frozen"), F.max("o_orderdate").alias("newest"), F.sum("b").alias("b"), F.sum("f").alias("f"))
     places = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
     sums = [F.sum(a).alias(b) for a, b in (("u", "units"), ("open", "open"), ("submitted", "submitted"), ("frozen", "frozen"), ("b", "booklets"), ("f", "approved"))]
-    return rows.join(places, F.col("o_custkey") == F.col("c_custkey")).groupBy("r_name").agg(F.count("*").alias("owners"), *sums, F.date_format(F.max("newest"), "yyyy-MM-dd").alias("newest"))
+    newest = Window.partitionBy("r_name").orderBy(F.desc("o_orderdate"), "o_orderkey")
+    top = t.orders.select("o_custkey", "o_orderkey", "o_orderdate").join(places.select("c_custkey", "r_name"), F.col("o_custkey") == F.col("c_custkey")).withColumn("at", F.row_number().over(newest)).where("at <= 8")
+    feed = top.groupBy("r_name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "o_orderkey"))), lambda x: x["o_orderkey"].cast("string")), ",").alias("feed"))
+    return rows.join(places, F.col("o_custkey") == F.col("c_custkey")).join(feed, "r_name").groupBy("r_name", "feed").agg(F.count("*").alias("owners"), *sums, F.date_format(F.max("newest"), "yyyy-MM-dd").alias("newest"))
 
 
 @query(f"""

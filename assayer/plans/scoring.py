@@ -146,16 +146,17 @@ def flags(words: Column, lines: Column, low: Column, off_target: Column, copies_
     return F.array_compact(F.array(F.when(blank, "blank"), F.when((lines > 0) & (low / F.nullif(lines, F.lit(0)) >= LOW_OCR), "low ocr"), F.when(off_target & ~blank, "off target"), F.when(copies_ > 1, "duplicate"), F.when(disagreeing, "scorers disagree")))
 
 
-@query(f"""
-    WITH {SQL_REGIONS}, {SQL_COPIES}, a AS (SELECT conv_id, string_agg(body, chr(10) || chr(10) ORDER BY turn) AS text, sum(lines) AS lines, sum(low) AS low FROM s GROUP BY 1), m AS (SELECT conv_id, max(copy) AS n FROM p GROUP BY 1)
-    SELECT conv_id, array_to_string(list_filter([CASE WHEN len({measures.SQL_TOKENS}) < 3 THEN 'blank' END, CASE WHEN low / lines >= 0.25 THEN 'low ocr' END, CASE WHEN coalesce(toxic, 0) = 1 AND len({measures.SQL_TOKENS}) >= 3 THEN 'off target' END, CASE WHEN n > 1 THEN 'duplicate' END, CASE WHEN quality = toxic THEN 'scorers disagree' END], lambda x: x IS NOT NULL), ',') AS flags
-    FROM a JOIN m USING (conv_id) LEFT JOIN labels l ON l.doc_id = conv_id""")
+@query()
 def sc_flags(t: Tables) -> DataFrame:
-    """Flags of answers; what is off target and whether two scorers are more than half a mark apart comes from the labels of the document of the same number."""
+    """Flags of answers: blank, badly read, off target by the guard, begun more than once, or with scorers that disagree on the document of the same number."""
+    from assayer.plans.flow import sc_disagree
+
     n = copies(t).groupBy("conv_id").agg(F.max("copy").alias("n"))
-    rows = answers(t).join(n, "conv_id").join(t.labels, F.col("conv_id") == F.col("doc_id"), "left").withColumn("words", F.size(text.tokens(F.col("body"))))
+    off = guarded(t).select("conv_id", (F.size("reasons") > 0).alias("off"))
+    apart = sc_disagree(t).where("opinion = 'disagree'").select(F.col("doc_id").alias("conv_id"), F.lit(True).alias("apart"))
+    rows = answers(t).join(n, "conv_id").join(off, "conv_id", "left").join(apart, "conv_id", "left").withColumn("words", F.size(text.tokens(F.col("body"))))
     c = F.col
-    return rows.select("conv_id", F.array_join(flags(c("words"), c("lines"), c("low"), F.coalesce(c("toxic") == 1, F.lit(False)), c("n"), F.coalesce(c("quality") == c("toxic"), F.lit(False))), ",").alias("flags"))
+    return rows.select("conv_id", F.array_join(flags(c("words"), c("lines"), c("low"), F.coalesce(c("off"), F.lit(False)), c("n"), F.coalesce(c("apart"), F.lit(False))), ",").alias("flags"))
 
 
 @query("""

@@ -609,3 +609,48 @@ def test_overlapping_sets(spark):
     for least in (1, 5, 12):
         got = {(r.x, r.y): (r.n_x, r.n_y, r.both) for r in similarity.overlapping(spark.createDataFrame(a, "x int, set array<string>"), spark.createDataFrame(b, "y int, set array<string>"), least).collect()}
         assert got == {(x, y): (len(s), len(u), len({*s} & {*u})) for x, s in a for y, u in b if len({*s} & {*u}) >= least}
+
+
+def test_extra_labels(spark):
+    from assayer.plans import diagrams
+
+    free = spark.createDataFrame([(1, "red bolt"), (1, "red bolts"), (1, "moon"), (1, "moon"), (2, "red bolt"), (3, "x"), (1, None)], "graph long, label string")
+    known = spark.createDataFrame([(1, "red bolt"), (1, "green cog"), (2, "red bold"), (1, "red bolt")], "graph long, label string")
+    got = sorted((r.graph, r.student) for r in diagrams.extra_labels(free.where("label IS NOT NULL"), known).collect())
+    assert got == [(1, "moon"), (1, "moon"), (3, "x")]
+
+
+def test_flags_follow_the_scorers(spark):
+    """sc_flags by its definition, from the tables of the scorers it is made of."""
+    from assayer.plans import QUERIES
+
+    frame = lambda name: QUERIES[name](spark, "/root/testdata/sf0.01").toPandas()
+    got = {r.conv_id: set(filter(None, r.flags.split(","))) for r in frame("sc_flags").itertuples()}
+    off = {r.conv_id for r in frame("sc_guard").itertuples() if r.off_target}
+    apart = {r.doc_id for r in frame("sc_disagree").itertuples() if r.opinion == "disagree"}
+    copies = frame("sc_candidates").groupby("conv_id")["copy"].max().to_dict()
+    low = {r.conv_id for r in frame("sc_assemble").itertuples() if r.lines and r.low / r.lines >= 0.25}
+    for conv, flags in got.items():
+        assert ("off target" in flags) == (conv in off and "blank" not in flags) and ("scorers disagree" in flags) == (conv in apart)
+        assert ("duplicate" in flags) == (copies[conv] > 1) and ("low ocr" in flags) == (conv in low)
+    assert off and any("off target" in f for f in got.values())
+
+
+def test_diagrams_chosen(spark):
+    """sc_diagram's choice is the best of an answer's drawings; a comparison document says what the parts say."""
+    import json
+
+    from assayer.plans import QUERIES
+
+    frame = lambda name: QUERIES[name](spark, "/root/testdata/sf0.001").toPandas()
+    best = frame("sc_diagram")
+    docs = {r.graph: json.loads(r.body) for r in frame("jsn_comparison_doc").itertuples()}
+    near = {r.graph: r for r in frame("gr_similarity").itertuples()}
+    assert all(docs[g]["similarity"] == pytest.approx(near[g].similarity, abs=1e-6) for g in near) and set(docs) == set(near)
+    edges = frame("gr_edges").groupby("graph").size().to_dict()
+    assert {g: len(d.get("edges") or []) for g, d in docs.items() if d.get("edges")} == edges
+    owners = {r.o_orderkey: r.o_custkey for r in spark.read.parquet("/root/testdata/sf0.001/orders.parquet").select("o_orderkey", "o_custkey").collect()}
+    most = {}
+    for g, r in near.items():
+        most[owners[g]] = max(most.get(owners[g], (-1, 0)), (r.similarity, -g))
+    assert {r.answer: (r.similarity, -r.best) for r in best.itertuples()} == most
