@@ -2,7 +2,7 @@
 
 For each language a tree of byte contexts of up to ORDER bytes holds how often each byte follows. A byte's code length is that of the longest context: -log2(count / (total + distinct)) where it was seen there, else the escape's, -log2(distinct / (total + distinct)), and the code length in the context that is one byte shorter; below order 0 all 256 bytes are alike. Statistics are frozen: a text is coded exactly by them, all of it, in every language, and the shortest code wins (a tie goes to the language that sorts first). The score is the language's share of probability among the languages, 2**-length each.
 
-Statistics come from a hash-picked sample of whole texts: of each language about PER_LANGUAGE labelled documents, but no more than its part of SAMPLE documents and SAMPLE_BYTES bytes in all; the bounds are parameters. Every language that has a label is learned. The trees are counted on the executors and broadcast; a table holds at most CELLS code lengths, so with very many languages the rarest strings have no context of their own.
+Statistics come from a hash-picked sample of whole texts: of each language about PER_LANGUAGE labelled documents, but no more than its part of SAMPLE documents and SAMPLE_BYTES bytes in all; the bounds are parameters. Every language that has a label is learned, with every string of its sample. The trees are counted on the executors and broadcast; languages share tables of strings by languages up to CELLS code lengths, and beyond that each has tables of its own strings only, which give the same code lengths.
 
 halves() says which texts are in a language at all. The sample is halved by text and each half's trees code the other half's texts, so that none is coded by what was learned from itself or its copies. In its own language, the code length a byte that nine labelled texts in ten keep to, FAR times, is the language's limit, and what a text of n bytes may exceed it by is SPREAD times the spread of a byte's code length over sqrt(n). A language of fewer than LEAST texts has no limit of its own but the highest of the others; where there is none, every text with a letter is in a language.
 
@@ -26,7 +26,7 @@ from assayer.llm.textbytes import Lookup, blocks, joined
 ORDER = 3
 #: Documents a language learns from, on average; documents and bytes that all languages together learn from, on average.
 PER_LANGUAGE, SAMPLE, SAMPLE_BYTES = 2000, 20000, 256 << 20
-#: Code lengths in a table, and in what is worked on at once.
+#: Code lengths in a table that languages share, and in what is worked on at once.
 CELLS, AT_ONCE = 1 << 24, 1 << 19
 #: A text is in a language up to FAR times the code length of its own texts, and SPREAD standard deviations of a byte's; from LEAST texts.
 FAR, SPREAD, LEAST = 2.0, 3.0, 20
@@ -49,7 +49,10 @@ class Trees:
     def __init__(self, languages: list[str], counts: list[tuple[np.ndarray, np.ndarray]]):
         """counts: of each language, the grams of ORDER + 1 bytes seen and how often."""
         self.languages = languages
-        self.levels = []
+        self.levels, self.each = [], []
+        if len(languages) > 1 and len(np.unique(np.concatenate([g for g, _ in counts]))) * len(languages) > CELLS:
+            self.each = [Trees([k], [c]) for k, c in zip(languages, counts, strict=True)]
+            return
         for order in range(ORDER + 1):
             mask = np.uint64((1 << 8 * (order + 1)) - 1)
             own = []
@@ -57,11 +60,6 @@ class Trees:
                 key, where = np.unique(g.astype(np.uint64) & mask, return_inverse=True)
                 own.append((key, np.bincount(where, n)))
             keys, where = np.unique(np.concatenate([k for k, _ in own]), return_inverse=True)
-            if len(keys) > (most := max(256, CELLS // len(languages))):
-                often = np.bincount(where, np.concatenate([n for _, n in own]))
-                keys = np.sort(keys[np.argsort(-often, kind="stable")[:most]])
-                stays = [np.isin(key, keys, assume_unique=True) for key, _ in own]
-                own = [(key[k], n[k]) for (key, n), k in zip(own, stays, strict=True)]
             contexts = np.unique(keys >> np.uint64(8))
             cost = np.zeros((len(keys), len(languages)), np.float32)
             escape = np.zeros((len(contexts), len(languages)), np.float32)
@@ -84,6 +82,8 @@ class Trees:
 
     def lengths(self, g: np.ndarray, order: int = ORDER) -> np.ndarray:
         """Code length of each gram in each language."""
+        if self.each:
+            return np.hstack([trees.lengths(g, order) for trees in self.each])
         places, cost, contexts, escape = self.levels[order]
         at = places(g)
         out = cost[at] if len(cost) else np.zeros((len(g), len(self.languages)), np.float32)
@@ -93,7 +93,6 @@ class Trees:
             out[miss] = np.where(known[:, None] >= 0, escape[known], 0) + self._below(rest, order)
         return out
 
-
     def totals(self, g: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Code length of each text (its span of grams) in each language."""
         out = np.zeros((len(start), len(self.languages)))
@@ -108,33 +107,35 @@ class Trees:
 
     def of_one(self, g: np.ndarray, j: int) -> np.ndarray:
         """Code length of each gram in one language."""
+        if self.each:
+            return self.each[j].of_one(g, 0)
         step = max(1024, AT_ONCE // max(1, len(self.languages)))
         return np.concatenate([self.lengths(g[at : at + step])[:, j] for at in range(0, len(g), step)] or [np.zeros(0)]).astype(np.float64)
 
 
-def sampled(docs: DataFrame, learnable: Column, per_language: int) -> DataFrame | None:
+def sampled(docs: DataFrame, learnable: Column, per_language: int, sample: int, sample_bytes: int) -> DataFrame | None:
     """doc_id, lang and text of the learnable rows that languages learn from, or None where no row has a language."""
     rows = docs.where(learnable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.col("lang").cast("string").alias("lang"), text_bytes().alias("text"))
     there = rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).collect()  # a row a language
     if not there:
         return None
-    most, most_bytes = min(per_language, -(-SAMPLE // len(there))), SAMPLE_BYTES // len(there)
+    most, most_bytes = min(per_language, -(-sample // len(there))), sample_bytes // len(there)
     part = {r["lang"]: min(sample_share(most, r["n"]), sample_share(most_bytes, r["bytes"])) for r in there}
     share = rows.sparkSession.createDataFrame([(k, int(v * (1 << 30))) for k, v in part.items()], "lang string, share long")
     picked = F.pmod(F.xxhash64("doc_id", F.lit(0)), F.lit(1 << 30)) < F.col("share")
     return staged(rows.join(F.broadcast(share), "lang").where(picked).select("doc_id", "lang", "text"), "language-sample")  # a row a language
 
 
-def learn(docs: DataFrame, learnable: Column, per_language: int = PER_LANGUAGE) -> Trees | None:
+def learn(docs: DataFrame, learnable: Column, per_language: int = PER_LANGUAGE, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Trees | None:
     """Context trees of the languages of docs(doc_id, text, lang), from a sample of the learnable rows."""
-    rows = sampled(docs, learnable, per_language)
+    rows = sampled(docs, learnable, per_language, sample, sample_bytes)
     return None if rows is None else grown(rows)
 
 
-def halves(docs: DataFrame, learnable: Column, per_language: int = PER_LANGUAGE) -> tuple[Column, tuple[Trees | None, Trees | None], dict[str, tuple[float, float]]]:
+def halves(docs: DataFrame, learnable: Column, per_language: int = PER_LANGUAGE, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> tuple[Column, tuple[Trees | None, Trees | None], dict[str, tuple[float, float]]]:
     """A condition that parts the docs; the trees to code the texts by where it is false and where it is true; and by language, the bits a byte that a text in it may take and the spread of a byte's, the highest under ''."""
     half = hashed_share(text_bytes(), 0.5, 3)
-    rows = sampled(docs, learnable, per_language)
+    rows = sampled(docs, learnable, per_language, sample, sample_bytes)
     if rows is None:
         return half, (None, None), {}
     pair = grown(rows.where(half)), grown(rows.where(~half))

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from assayer.llm import hard_negatives, positional_index, whitening
+from assayer.llm import hard_negatives, language_id, positional_index, whitening
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 CLASHES = ("row", "term", "pos", "id", "n", "x", "v", "label2", "item", "width", "start", "role", "words")
@@ -193,3 +193,23 @@ def test_bounds_hold():
         for i in range(50):
             lo, hi = hard_negatives.finer(rows, i, rows, all_, level)
             assert (lo <= exact[i]).all() and (exact[i] <= hi).all() and (hi - lo <= high[i] - low[i] + 1e-6).all()
+
+
+def test_many_languages_keep_every_string(monkeypatch):
+    """Tables of each language's own strings give the code lengths of shared tables, bit by bit, for 600 languages."""
+    rng = np.random.default_rng(1)
+    texts = [bytes(rng.choice(np.frombuffer(b"abcdefghijklmnop", np.uint8), 60 + k % 7)) for k in range(600)]
+    counts = []
+    for t in texts:
+        g, start, end = language_id.grams([t])
+        key, n = np.unique(g[start[0] : end[0]], return_counts=True)
+        counts.append((key.astype(np.int64), n.astype(np.float64)))
+    names = [f"l{k:03}" for k in range(600)]
+    monkeypatch.setattr(language_id, "CELLS", 1 << 30)
+    shared = language_id.Trees(names, counts)
+    monkeypatch.setattr(language_id, "CELLS", 1000)
+    apart = language_id.Trees(names, counts)
+    assert not shared.each and len(apart.each) == 600
+    g, start, end = language_id.grams([*texts[:40], b"xyz abc", b"", b"\xff\x00"])
+    assert (shared.lengths(g) == apart.lengths(g)).all() and (shared.totals(g, start, end) == apart.totals(g, start, end)).all()
+    assert (shared.of_one(g, 17) == apart.of_one(g, 17)).all() and (shared.totals(g, start, end)[:40].argmin(axis=1) == np.arange(40)).all()
