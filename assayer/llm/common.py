@@ -4,16 +4,17 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import math
 import re
 import tempfile
 import uuid
 
 import pyarrow
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
+#: Hashes of repeated rows that are broadcast at most; copies of a row that one task writes together.
+SENT, RUN = 100_000, 1000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -61,10 +62,34 @@ def text_bytes(col: str = "text") -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")
 
 
-def parts_for(rows: DataFrame, measure: Column, unit: int, least: int = 12) -> int:
-    """How many parts of about `unit` the sum of a measure makes. One aggregate, so it is bounded on the driver."""
-    total = rows.agg(F.sum(measure).alias("n")).first()["n"] or 0
-    return max(least, math.ceil(total / unit))
+def collapsed(rows: DataFrame, size: Column) -> tuple[DataFrame, Row]:
+    """Every distinct row once, with row_hash and the number of its copies; and bytes (the sum of `size` over distinct rows), all_bytes (over all) and again (hashes that occur more than once).
+
+    A hash only names the rows to compare: these are grouped by all their columns, with partial counts, so a row with any number of copies is one row a task. Where more than SENT hashes occur again, all rows are grouped.
+    """
+    columns = rows.columns
+    rows = rows.withColumn("row_hash", F.xxhash64(*[x for c in columns for x in (F.col(c).isNull(), F.col(c))]))
+    keys = staged(rows.groupBy("row_hash").agg(F.count("*").alias("copies"), F.first(size).alias("bytes"), F.sum(size).alias("all_bytes")), "row-hashes")
+    seen = keys.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.coalesce(F.sum("all_bytes"), F.lit(0)).alias("all_bytes"), F.count_if(F.col("copies") > 1).alias("again")).first()
+    if not seen["again"]:
+        return rows.withColumn("copies", F.lit(1).cast("long")), seen
+    counted = lambda x: x.groupBy("row_hash", *columns).agg(F.count("*").alias("copies")).select(*columns, "row_hash", "copies")
+    if seen["again"] > SENT:
+        return counted(rows), seen
+    again = F.broadcast(keys.where("copies > 1").select("row_hash"))  # SENT rows of 8 bytes at most
+    once = rows.join(again, "row_hash", "left_anti").select(*columns, "row_hash", F.lit(1).cast("long").alias("copies"))
+    return once.unionByName(counted(rows.join(again, "row_hash", "left_semi"))), seen
+
+
+def expanded(rows: DataFrame, again: int) -> DataFrame:
+    """Every row as often as `copies` says, with the number of the copy from 0 on. Copies are dealt to tasks in runs of RUN. again: whether any row has copies at all."""
+    if not again:
+        return rows.drop("copies").withColumn("copy", F.lit(0).cast("long"))
+    rows = staged(rows, "copies")
+    runs = rows.where("copies > 1").withColumn("__from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(RUN).cast("long"))))
+    runs = runs.repartition("row_hash", "__from") if "row_hash" in rows.columns else runs.repartition(F.xxhash64(*rows.columns), "__from")
+    more = runs.withColumn("copy", F.explode(F.sequence("__from", F.least(F.col("__from") + RUN, F.col("copies")) - 1)))
+    return rows.where("copies = 1").withColumn("copy", F.lit(0).cast("long")).unionByName(more.drop("__from")).drop("copies")
 
 
 def sample_share(bound: int, there: int) -> float:

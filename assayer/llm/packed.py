@@ -1,10 +1,11 @@
 """Texts dealt to origins, and the meeting of their sparse fingerprints in buckets.
 
-An origin is a part of the documents, of about ORIGIN_BYTES of text, by a hash of the row. Its texts travel compressed. Fingerprints of all origins meet in buckets by hash, as sorted runs of 6-byte keys with the origins that hold them; a bucket tells each origin which of its keys others hold too. An origin names a key once, however often its texts have it, so no frequent text makes a hot bucket.
+An origin is a part of the documents, of about ORIGIN_BYTES of text, by a hash of the row. Rows equal in all that is read are one, with the number of their copies, and become as many again in the result. Texts travel compressed. Fingerprints of all origins meet in buckets by hash, as sorted runs of 6-byte keys with the origins that hold them; a bucket tells each origin which of its keys others hold too. An origin names a key once, however often its texts have it, so no frequent text makes a hot bucket.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -13,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import parts_for, release, text_bytes
+from assayer.llm.common import collapsed, release, text_bytes
 from assayer.llm.textbytes import blocks
 
 ORIGIN_BYTES = 8 << 20
@@ -39,15 +40,12 @@ def large(data: bytes, kind) -> np.ndarray:
     return np.frombuffer(zlib.decompress(data), kind)
 
 
-def origins_of(docs: DataFrame) -> int:
-    return parts_for(docs, F.octet_length(F.col("text").cast("string")), ORIGIN_BYTES, 4)
-
-
-def with_origin(docs: DataFrame, origins: int, carry: tuple[str, ...] = ()) -> DataFrame:
-    """origin, doc_id long, text binary, extra binary: the columns to carry along, as JSON."""
+def with_origin(docs: DataFrame, origins: int | None = None, carry: tuple[str, ...] = ()) -> tuple[DataFrame, int, int]:
+    """origin, doc_id long, text binary, extra binary (the columns to carry along, as JSON), copies long; the number of origins, by the size of the texts if not given; and how many hashes of rows occur again."""
     extra = F.to_json(F.struct(*carry)).cast("binary") if carry else F.lit(b"")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"), extra.alias("extra"))
-    return rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(origins)).cast("int").alias("origin"), "doc_id", "text", "extra")
+    rows, seen = collapsed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"), extra.alias("extra")), F.octet_length("text"))
+    origins = origins or max(4, math.ceil(seen["bytes"] / ORIGIN_BYTES))
+    return rows.select(F.pmod("row_hash", F.lit(origins)).cast("int").alias("origin"), "doc_id", "text", "extra", "copies"), origins, seen["again"]
 
 
 def packed(rows: DataFrame) -> DataFrame:
@@ -62,7 +60,7 @@ def packed(rows: DataFrame) -> DataFrame:
                 none = own["doc_id"].isna().to_numpy()
                 ids = np.where(none, 0, own["doc_id"].fillna(0).to_numpy(np.int64))
                 parts = [*own["text"], *own["extra"]]
-                head = np.int64([len(own)]).tobytes() + ids.tobytes() + none.tobytes() + np.fromiter(map(len, parts), np.int64, len(parts)).tobytes()
+                head = np.int64([len(own)]).tobytes() + ids.tobytes() + own["copies"].to_numpy(np.int64).tobytes() + none.tobytes() + np.fromiter(map(len, parts), np.int64, len(parts)).tobytes()
                 out.append((origin, to.compress(head + b"".join(parts))))
             yield pd.DataFrame(out, columns=["origin", "body"])
         release()
@@ -70,22 +68,23 @@ def packed(rows: DataFrame) -> DataFrame:
     return rows.mapInPandas(pack, "origin int, body binary")
 
 
-def opened(rows: pd.DataFrame) -> tuple[list[int | None], list[bytes], list[bytes]]:
-    """Ids, texts and what is carried along, of an origin."""
+def opened(rows: pd.DataFrame) -> tuple[list[int | None], list[bytes], list[bytes], list[int]]:
+    """Ids, texts, what is carried along and numbers of copies, of an origin."""
     import zstandard
 
-    of, ids, texts, extras = zstandard.ZstdDecompressor(), [], [], []
+    of, ids, texts, extras, copies = zstandard.ZstdDecompressor(), [], [], [], []
     for body in sorted(rows["body"]):
         x = of.decompress(body)
         n = int(np.frombuffer(x, np.int64, 1)[0])
-        own, none = np.frombuffer(x, np.int64, n, 8).tolist(), np.frombuffer(x, bool, n, 8 + 8 * n)
-        end = 8 + 25 * n + np.cumsum(np.frombuffer(x, np.int64, 2 * n, 8 + 9 * n))
-        start = np.append(8 + 25 * n, end[:-1])
+        own, none = np.frombuffer(x, np.int64, n, 8).tolist(), np.frombuffer(x, bool, n, 8 + 16 * n)
+        copies += np.frombuffer(x, np.int64, n, 8 + 8 * n).tolist()
+        end = 8 + 33 * n + np.cumsum(np.frombuffer(x, np.int64, 2 * n, 8 + 17 * n))
+        start = np.append(8 + 33 * n, end[:-1])
         parts = [x[s:e] for s, e in zip(start.tolist(), end.tolist(), strict=True)]
         ids += [None if z else i for i, z in zip(own, none, strict=True)]
         texts += parts[:n]
         extras += parts[n:]
-    return ids, texts, extras
+    return ids, texts, extras, copies
 
 
 def fingerprints(rows: DataFrame, buckets: int, anchors: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]) -> DataFrame:

@@ -1,12 +1,13 @@
 """Mixture-controlled packing: deficit round-robin over source queues.
 
-Documents are tokenised once and dealt to shards by a hash of their row. In a shard each source has a queue. A window of `window` tokens credits every source with its target share of the window; sources with credit for a turn are served in a round up to it, the others wait until they have it, in a heap by that time, and what a source got more or less than its share stays as its deficit for the next window. A turn costs the same for any number of sources. Deficits also go over from shard to shard: a shard's first deficits are, for each source, what the shards before it owe (target share of their tokens less the tokens they hold), taken from a table of tokens by shard and source. A source whose queue has run out leaves its credit to the others, so every window but a shard's last is full.
+Documents are tokenised once and dealt to shards by a hash of their row and, among equal rows, the number of the copy; so another layout of the same rows gives the same pieces. In a shard each source has a queue. A window of `window` tokens credits every source with its target share of the window; sources with credit for a turn are served in a round up to it, the others wait until they have it, in a heap by that time, and what a source got more or less than its share stays as its deficit for the next window. A turn costs the same for any number of sources. Deficits also go over from shard to shard: a shard's first deficits are, for each source, what the shards before it owe (target share of their tokens less the tokens they hold), taken from a table of tokens by shard and source. A source whose queue has run out leaves its credit to the others, so every window but a shard's last is full.
 
-Nulls: a null text is empty and still has the end id; a null source is a queue of its own; a null doc_id stays null. Repeated rows are documents of their own, and a shard doesn't get all of them. An empty table gives no row. Other columns are not read.
+Nulls: a null text is empty and still has the end id; a null source is a queue of its own; a null doc_id stays null. Rows equal in doc_id, text and source are tokenised once, but are documents of their own, and a shard doesn't get all of them. An empty table gives no row. Other columns are not read.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -17,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from assayer.llm.common import parts_for, release, staged
+from assayer.llm.common import collapsed, expanded, release, staged
 
 #: A turn serves at least so many tokens, so that a window is not cut into crumbs.
 LEAST_TURN = 256
@@ -25,9 +26,9 @@ LEAST_TURN = 256
 SHARD_BYTES = 12 << 20
 
 
-def token_ids(docs: DataFrame, tokenizer: str, end_id: int, shards: int) -> DataFrame:
-    """shard, source, doc_id, n, ids (little-endian unsigned 32-bit, then deflated: ids repeat) of each document, with the end id."""
-    kind = dict(docs.dtypes)["doc_id"]
+def token_ids(rows: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
+    """row_hash, copies, source, doc_id, n, ids (little-endian unsigned 32-bit, then deflated: ids repeat) of each distinct document, with the end id."""
+    kind = dict(rows.dtypes)["doc_id"]
 
     def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from assayer.llm.pretokens import byte_bpe
@@ -35,11 +36,9 @@ def token_ids(docs: DataFrame, tokenizer: str, end_id: int, shards: int) -> Data
         encoder, end = byte_bpe(tokenizer), np.asarray([end_id], "<u4")
         for x in frames:
             ids = [np.concatenate([encoder.ids(t), end]) for t in x["text"]]
-            yield pd.DataFrame({"shard": x["shard"], "source": x["source"], "doc_id": x["doc_id"], "n": [len(i) for i in ids], "ids": [zlib.compress((i.astype("<u2") if i.max() < 1 << 16 else i).tobytes(), 1) if len(i) else b"" for i in ids], "wide": [bool(i.max() >= 1 << 16) for i in ids]})
+            yield pd.DataFrame({"row_hash": x["row_hash"], "copies": x["copies"], "source": x["source"], "doc_id": x["doc_id"], "n": [len(i) for i in ids], "ids": [zlib.compress((i.astype("<u2") if i.max() < 1 << 16 else i).tobytes(), 1) if len(i) else b"" for i in ids], "wide": [bool(i.max() >= 1 << 16) for i in ids]})
 
-    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("source").cast("string").alias("source"))
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.xxhash64("text"), F.monotonically_increasing_id()), F.lit(shards)).cast("int"))
-    return rows.mapInPandas(encode, f"shard int, source string, doc_id {kind}, n long, ids binary, wide boolean")
+    return rows.mapInPandas(encode, f"row_hash long, copies long, source string, doc_id {kind}, n long, ids binary, wide boolean")
 
 
 def upto(rows: DataFrame, value: str, out: str, *keys: str, width: int = 12) -> DataFrame:
@@ -134,8 +133,10 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0, t
 
     A sequence holds fewer tokens than the window only at the end of a shard of shard_bytes. The ids are staged once in the shared folder and dealt to shards once; a source with a third of all documents is a third of each shard.
     """
-    shards = parts_for(docs, F.octet_length("text"), shard_bytes, 1)
-    tokens = staged(token_ids(docs, tokenizer, end_id, shards), "token-ids")
+    rows, seen = collapsed(docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("source").cast("string").alias("source")), F.octet_length("text"))
+    shards = max(1, math.ceil(seen["all_bytes"] / shard_bytes))
+    tokens = expanded(staged(token_ids(rows, tokenizer, end_id), "token-ids"), seen["again"])
+    tokens = tokens.withColumn("shard", F.pmod(F.xxhash64("row_hash", "copy"), F.lit(shards)).cast("int")).drop("row_hash", "copy")
     kind = dict(docs.dtypes)["doc_id"]
     schema = f"doc_id {kind}, source string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + (", ids array<int>" if keep_ids else "")
     names = [x.split()[0] for x in schema.split(", ")]
@@ -144,7 +145,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0, t
         if rows.empty:
             return pd.DataFrame({c: [] for c in names}, dtype=object)
         source = [None if pd.isna(s) else s for s in rows["source"]]
-        key = [(-1 if pd.isna(i) else i, zlib.crc32(b)) for i, b in zip(rows["doc_id"], rows["ids"], strict=True)]
+        key = [(-1 if pd.isna(i) else i, b) for i, b in zip(rows["doc_id"], rows["ids"], strict=True)]
         queues: dict = {s: [] for s in set(source)}
         n, at = rows["n"].tolist(), rows["ids"].tolist()
         wide, doc_id, first = rows["wide"].tolist(), rows["doc_id"].tolist(), int(rows["shard"].iloc[0]) << 32

@@ -19,8 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm.common import staged
-from assayer.llm.packed import among, bucket_of, dealt, fingerprints, from_sixteen, keys_of, large, marked, merged, opened, origins_of, packed, sixteen, slices, small, with_origin
+from assayer.llm.common import expanded, staged
+from assayer.llm.packed import among, bucket_of, dealt, fingerprints, from_sixteen, keys_of, large, marked, merged, opened, packed, sixteen, slices, small, with_origin
 from assayer.llm.textbytes import VALUES, blocks, joined, mixed, prefix, slide_min, span, window_hash, words
 
 WINDOW, GRAM = 13, 3
@@ -156,9 +156,9 @@ def remove_repeats(docs: DataFrame, batches: int = 2, text: bool = False, index:
     spark = docs.sparkSession
     known = valid(spark, index) if index else []
     first = max((r["upto"] for r in known), default=0)
-    origins = origins_of(docs)
+    rows, origins, again = with_origin(docs)
     buckets = first + origins
-    rows = with_origin(docs, origins).withColumn("origin", F.col("origin") + F.lit(first))
+    rows = rows.withColumn("origin", F.col("origin") + F.lit(first))
     cuts = docs.select(F.percentile_approx(F.col("doc_id").cast("long"), [k / batches for k in range(1, batches)], 1000).alias("c")).first()["c"] or []
     history = dealt(spark.read.parquet(*[f"{index}/runs/{r['run']}" for r in known]), buckets) if known else None
     run, shared = None, None
@@ -194,10 +194,10 @@ def remove_repeats(docs: DataFrame, batches: int = 2, text: bool = False, index:
         return pd.DataFrame([(bucket, origin, sixteen(c.a[i], c.b[i]), small(c.least[i])) for bucket, i in c.runs()], columns=["bucket", "origin", "keys", "least"])
 
     def finish(own: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        names = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["text"] * text
+        names = ["doc_id", "n_words", "n_removed", "kept_sha256", "copies"] + ["text"] * text
         if own.empty:
             return pd.DataFrame({n: [] for n in names}, dtype=object)
-        ids, texts, _ = opened(own)
+        ids, texts, _, copies = opened(own)
         c = Candidates(ids, texts, found, buckets)
         bits = {b: k for b, k in zip(found["bucket"][found["kind"] == "bits"], found["keys"][found["kind"] == "bits"], strict=True)}
         earlier = np.zeros(len(c.a), bool)
@@ -215,10 +215,11 @@ def remove_repeats(docs: DataFrame, batches: int = 2, text: bool = False, index:
             if gone is not None:
                 kept = [w for w, g in zip(kept, gone.tolist(), strict=True) if not g]
             left = b" ".join(kept)
-            row = (doc_id, n, n - len(kept), hashlib.sha256(left).hexdigest())
+            row = (doc_id, n, n - len(kept), hashlib.sha256(left).hexdigest(), copies[d])
             out.append((*row, left.decode("utf-8", "replace")) if text else row)
         return pd.DataFrame(out, columns=names)
 
     answers = asked.groupBy("origin").cogroup(shared.groupBy("origin")).applyInPandas(ask, "bucket int, origin int, keys binary, least binary").groupBy("bucket").applyInPandas(resolve, "origin int, kind string, bucket int, keys binary")
     told = answers.unionByName(shared).where(F.col("origin") >= first)
-    return texts.groupBy("origin").cogroup(told.groupBy("origin")).applyInPandas(finish, "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", text string" if text else ""))
+    kept = texts.groupBy("origin").cogroup(told.groupBy("origin")).applyInPandas(finish, "doc_id long, n_words long, n_removed long, kept_sha256 string, copies long" + (", text string" if text else ""))
+    return expanded(kept, again).drop("copy")

@@ -9,7 +9,7 @@ both to a depth of WIDTH, and takes common prefixes of neighbours; a window is r
 
 Contexts of an anchor that HOT origins share would make a bucket grow with the corpus, as each has other bytes around the passage. They are cut down first: hashes of their windows meet, each in a bucket of its own, once for each origin, and windows whose hash no other has can't be repeated. What is left, the passage itself, is one context an origin, and goes to its bucket as above. In a bucket, an anchor whose contexts are more than SORTED bytes is cut down in the same way. A hash only ever rules windows out.
 
-Nulls: a null text is empty. Null and repeated ids are documents like others. Texts shorter than WIDTH lose nothing. An empty table gives no row. Other columns are not read.
+Nulls: a null text is empty. Null and repeated ids are documents like others; of rows equal in id, text and what is carried along, one is worked on, and all of WIDTH bytes or more are cut whole. Texts shorter than WIDTH lose nothing. An empty table gives no row. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from assayer.llm.common import release, staged
-from assayer.llm.packed import among, bucket_of, fingerprints, from_ten, keys_of, marked, merged, opened, origins_of, packed, slices, ten, with_origin
+from assayer.llm.common import expanded, release, staged
+from assayer.llm.packed import among, bucket_of, fingerprints, from_ten, keys_of, marked, merged, opened, packed, slices, ten, with_origin
 from assayer.llm.textbytes import VALUES, blocks, joined, mixed, prefix, slide_min, span, window_hash
 
 WIDTH, GRAM = 200, 48
@@ -360,17 +360,16 @@ def spans_of(gone: np.ndarray) -> list[tuple[int, int]]:
 
 def remove_repeats(docs: DataFrame, text: bool = False, hot: int = HOT, carry: tuple[str, ...] = (), origins: int | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of docs(doc_id, text); text adds what is left, as text (a character that was cut in two becomes U+FFFD). carry names columns that go along, as one JSON column `carried`. origins: parts of the documents, by their size if not given."""
-    origins = origins or origins_of(docs)
+    rows, origins, again = with_origin(docs, origins, carry)
     buckets = origins
-    rows = with_origin(docs, origins, carry)
     found = staged(merged(fingerprints(rows, buckets, anchors), hot=hot), "anchors").select("origin", "kind", "bucket", "keys")
     texts = packed(rows)
 
     def finish(own: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["text"] * text + ["carried"] * bool(carry)
+        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "copies"] + ["text"] * text + ["carried"] * bool(carry)
         if own.empty:
             return pd.DataFrame({n: [] for n in names}, dtype=object)
-        ids, bodies, extras = opened(own)
+        ids, bodies, extras, copies = opened(own)
         c = Candidates(bodies, told, buckets)
         bits = {b: x for k, b, x in zip(told["kind"], told["bucket"], told["keys"], strict=True) if k == "context bits"}
         size = (c.last - c.first + 1)[c.pick]
@@ -388,11 +387,13 @@ def remove_repeats(docs: DataFrame, text: bool = False, hot: int = HOT, carry: t
             for d, start in zip(range(where.start, where.stop), contexts.start.tolist(), strict=True):
                 body = bodies[d]
                 own = gone[start : start + len(body)]
+                if copies[d] > 1 and len(body) >= WIDTH:
+                    own = np.ones(len(body), bool)
                 spans = spans_of(own) if own.any() else []
                 left = body
                 if spans:
                     left = np.frombuffer(body, np.uint8)[~own].tobytes()
-                row = (ids[d], len(body), len(body) - len(left), len(spans), hashlib.sha256(left).hexdigest())
+                row = (ids[d], len(body), len(body) - len(left), len(spans), hashlib.sha256(left).hexdigest(), copies[d])
                 out.append(row + (left.decode("utf-8", "replace"),) * text + (extras[d].decode(),) * bool(carry))
         release()
         return pd.DataFrame(out, columns=names)
@@ -402,4 +403,5 @@ def remove_repeats(docs: DataFrame, text: bool = False, hot: int = HOT, carry: t
     found = found.unionByName(staged(hashes.groupBy("bucket").applyInPandas(resolve_hashes, TOLD), "hot-windows"))
     asked = by_origin.cogroup(found.groupBy("origin")).applyInPandas(lambda own, told: ask(own, told, buckets), ASKED)
     answers = asked.groupBy("bucket").applyInPandas(resolve, TOLD)
-    return by_origin.cogroup(answers.unionByName(found).groupBy("origin")).applyInPandas(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text string" * text + ", carried string" * bool(carry))
+    kept = by_origin.cogroup(answers.unionByName(found).groupBy("origin")).applyInPandas(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, copies long" + ", text string" * text + ", carried string" * bool(carry))
+    return expanded(kept, again).drop("copy")

@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from assayer.llm import byte_bpe, fingerprints, hyper_minhash, language_id, packing, pretokens, substring_index, suffix_dedup, token_counts, toxicity, vector_search
+from assayer.llm import byte_bpe, common, fingerprints, hyper_minhash, language_id, packing, pretokens, substring_index, suffix_dedup, token_counts, toxicity, vector_search
 
 JSON, RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 CLASHES = ("score", "origin", "rep", "n", "body", "hash", "v", "shard", "digest", "words", "key", "tokens")
@@ -638,3 +638,29 @@ def test_toxicity_counts_a_text_once(spark):
 def test_bound_shares_chance_by_the_forms_that_can_reach_it():
     assert toxicity.bound({1: 10**6, 20: 5}, 0.5) < toxicity.bound({20: 10**6}, 0.5)
     assert abs(toxicity.bound({1: 10**6, 1000: 5}, 0.5) - 2 * np.log(5 / 0.01)) < 1e-9
+
+
+def test_packing_ignores_the_layout(spark):
+    """The same rows in other files and another order give the same pieces, repeated rows included."""
+    rows = [(i % 40 if i % 7 else None, f"word {i % 50} " * (1 + i % 9), f"s{i % 3}") for i in range(400)] + [(5, "the same row", "s1")] * 2500
+    schema = "doc_id long, text string, source string"
+    got = [sorted(packing.pack(spark.createDataFrame(x, schema).repartition(n), JSON, 128, 0, shard_bytes=3000).collect(), key=repr) for x, n in ((rows, 1), (rows[::-1], 7))]
+    assert got[0] == got[1]
+    shards = Counter(r.sequence_id >> 32 for r in got[0] if r.doc_id == 5 and r.start == 0)
+    assert len(shards) > 10 and sum(r.start == 0 for r in got[0]) == len(rows)
+
+
+@pytest.mark.parametrize("sent", [0, 100_000])
+def test_rows_with_very_many_copies(spark, monkeypatch, sent):
+    """50,000 equal rows are worked on once and come back as so many; a copy under another id, and a part of the text, are still repeats."""
+    monkeypatch.setattr(common, "SENT", sent)
+    long = " ".join(f"w{i}" for i in range(80))
+    rows = [(1, long)] * 50_000 + [(1, "short")] * 3 + [(None, long + " more of it")] * 2 + [(2, "begins " + long), (3, " ".join(f"v{i}" for i in range(80))), (4, None), (4, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    seen = common.collapsed(docs, F.octet_length("text"))[0]
+    assert seen.count() == 7 and seen.agg(F.sum("copies")).first()[0] == len(rows)
+    got = Counter((r.doc_id, r.n_bytes, r.n_removed) for r in suffix_dedup.remove_repeats(docs).collect())
+    n = len(long)
+    assert got == {(1, n, n): 50_000, (1, 5, 0): 3, (None, n + 11, n + 11): 2, (2, n + 7, n): 1, (3, len(rows[-3][1]), 0): 1, (4, 0, 0): 2}
+    got = Counter((r.doc_id, r.n_words, r.n_removed) for r in substring_index.remove_repeats(docs).collect())
+    assert got[(1, 80, 0)] == 50_000 and got[(2, 81, 80)] == 1 and got[(3, 80, 0)] == 1 and got[(4, 0, 0)] == 2 and sum(got.values()) == len(rows)
