@@ -116,7 +116,6 @@ class Contexts:
         stop[:-1] &= ~(ok[1:] & (place[1:] == place[:-1]))
         self.first, self.last = np.flatnonzero(turn), np.flatnonzero(stop)
         self.anchor = grams[place[self.first]]
-        self.values = values
 
     def texts(self) -> np.ndarray:
         """The text each anchor is in."""
@@ -149,7 +148,7 @@ class Candidates:
         whole = np.zeros(len(anchor), np.uint64)
         for k, (_, c) in enumerate(self.parts):
             if (own := self.part == k).any():
-                whole[own] = span(prefix(c.values), self.first[own], self.last[own] + WIDTH)
+                whole[own] = span(prefix(VALUES[c.bytes]), self.first[own], self.last[own] + WIDTH)
         bucket = bucket_of(anchor, buckets)
         order = np.lexsort((whole, anchor, bucket))
         a, w, b = anchor[order], whole[order], bucket[order]
@@ -176,8 +175,8 @@ class Candidates:
         a, b = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
         for k, (_, c) in enumerate(self.parts):
             if (own := part[context] == k).any():
-                for out, values in ((a, c.values), (b, mixed(c.values + np.uint64(1)))):
-                    out[own] = span(prefix(values), at[own], at[own] + WIDTH)
+                for out, values in ((a, VALUES), (b, mixed(VALUES + np.uint64(1)))):
+                    out[own] = span(prefix(values[c.bytes]), at[own], at[own] + WIDTH)
         bucket = bucket_of(a, buckets)
         a, b = a >> np.uint64(16), b & np.uint64(0xFFFFFFFF)
         order = np.lexsort((b, a, bucket))
