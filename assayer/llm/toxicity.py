@@ -4,7 +4,7 @@ Tokens are runs of letters, digits, apostrophes and non-ASCII bytes, A-Z folded.
 
 A document's score comes from the marginals: that of its likeliest token, which doesn't grow with the document's length, put on the scale of the labels by a logistic fit. Tokens with p >= 0.5 give the offending spans.
 
-Counting takes all learnable labelled texts, as an aggregate by form. Training takes a hash-picked sample of about PER_CLASS labelled texts of either class and at most about CLASS_BYTES bytes of them, whole texts, each once; the bounds are parameters. One task fits the model, whose size is fixed but for the list of toxic forms, 8 bytes each.
+Counting takes all learnable labelled texts, as an aggregate by form; a filter of their ids, of fixed size, leaves other texts where they are. Training takes a hash-picked sample of about PER_CLASS labelled texts of either class and at most about CLASS_BYTES bytes of them, whole texts, each once; the bounds are parameters. One task fits the model, whose size is fixed but for the list of toxic forms, 8 bytes each.
 
 Nulls: a null text counts as empty and scores as a text without toxic tokens; rows with a null label are never learned from. Without labels of both classes, or where no form qualifies, every score is 0. Repeated rows each give a row; an empty table gives none. Other columns are not read.
 """
@@ -31,6 +31,8 @@ BEGINNINGS = (3, 4, 5)
 TOGETHER = 1 << 17
 #: The chance that any form at all is listed without cause, and the share of a listed form's documents that must be toxic.
 CHANCE, PURE = 0.01, 0.9
+#: Bits of the filter that keeps unlabelled texts out of shuffles: at most 2048 bitmaps of 4 KB, whatever the number of ids.
+FILTER_BITS, BITMAP = 1 << 26, 1 << 15
 #: Forms that are counted together before they leave a task.
 HELD = 1 << 19
 #: Places of the weights besides the hashed ones: of a listed token, and of nothing, which stays 0. The last is the bias.
@@ -156,20 +158,28 @@ def bound(forms_of: dict[int, int], base: float) -> float:
     return 2 * np.log(many / CHANCE)
 
 
+def probable(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id, text of the rows of docs whose doc_id may be one of ids(doc_id): all that are, and of the others those whose bit another id has set. The filter is FILTER_BITS long and broadcast, 8 MB at most."""
+    bit = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(FILTER_BITS))
+    seen = ids.select(F.floor(bit / BITMAP).alias("__map"), (bit % BITMAP).alias("__bit")).groupBy("__map").agg(F.bitmap_construct_agg("__bit").alias("__bits"))
+    rows = docs.select("doc_id", "text", F.floor(bit / BITMAP).alias("__map"), (bit % BITMAP).cast("int").alias("__bit")).join(F.broadcast(seen), "__map")
+    byte = F.conv(F.hex(F.substring("__bits", F.floor(F.col("__bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return rows.where(byte.bitwiseAND(F.expr("shiftleft(1, __bit % 8)")) != 0).select("doc_id", "text")
+
+
 def read_texts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", text_bytes().alias("text")).withColumn("digest", F.md5("text"))
 
 
 def labelled(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """doc_id, digest, toxic, weight, bytes of the distinct texts of docs that wanted(doc_id, toxic) labels: toxic where any of its labels is; doc_id is a document that has it, weight 1 / rows of the text in that document. Staged; texts stay where they are."""
-    alike = read_texts(docs).select("doc_id", "digest", F.length("text").alias("bytes")).join(wanted, "doc_id").groupBy("digest", "doc_id").agg(F.max("toxic").alias("toxic"), F.count("*").alias("copies"), F.max("bytes").alias("bytes"))
+    alike = read_texts(probable(docs, wanted)).select("doc_id", "digest", F.length("text").alias("bytes")).join(wanted, "doc_id").groupBy("digest", "doc_id").agg(F.max("toxic").alias("toxic"), F.count("*").alias("copies"), F.max("bytes").alias("bytes"))
     alike = alike.groupBy("digest").agg(F.max("toxic").alias("toxic"), F.min(F.struct("doc_id", "copies")).alias("of"), F.max("bytes").alias("bytes"))
     return staged(alike.select("of.doc_id", "digest", "toxic", (1 / F.col("of.copies")).alias("weight"), "bytes"), "toxicity-labelled")
 
 
 def lexicon(docs: DataFrame, texts: DataFrame) -> np.ndarray:
     """The listed forms' hashes, from all the labelled texts; a text counts once."""
-    read = read_texts(docs)
     there = {r["toxic"]: r["count"] for r in texts.groupBy("toxic").count().collect()}
     if len(there) < 2:
         return np.zeros(0, np.uint64)
@@ -190,7 +200,7 @@ def lexicon(docs: DataFrame, texts: DataFrame) -> np.ndarray:
             yield frame(merged(held))
         release()
 
-    rows = read.join(texts.drop("bytes").hint("shuffle_hash"), ["doc_id", "digest"]).select("text", "toxic", "weight")
+    rows = read_texts(probable(docs, texts)).join(texts.drop("bytes").hint("shuffle_hash"), ["doc_id", "digest"]).select("text", "toxic", "weight")
     forms = rows.mapInPandas(count, "form long, n double, t double").groupBy("form").agg(F.round(F.sum("n")).alias("n"), F.round(F.sum("t")).alias("t"))
     forms = staged(forms, "toxicity-forms")
     few = {int(r["n"]): r["count"] for r in forms.groupBy(F.least("n", F.lit(1000)).alias("n")).count().collect()}
@@ -261,7 +271,8 @@ def learn(docs: DataFrame, labels: DataFrame, learnable: Column, per_class: int
         share = min(sample_share(per_class, r["n"]), sample_share(class_bytes, r["bytes"] or 0))
         picked |= (F.col("toxic") == r["toxic"]) & hashed_share(F.col("digest"), share, 1)
     sample = texts.where(picked).select("doc_id", "digest", "toxic")  # about 2 * per_class rows
-    rows = read_texts(docs).join(F.broadcast(sample), ["doc_id", "digest"]).groupBy("digest").agg(F.first("text").alias("text"), F.first("toxic").alias("toxic")).select("text", "toxic")
+    chosen = docs.select("doc_id", "text").join(F.broadcast(sample.select("doc_id").distinct()), "doc_id", "left_semi")
+    rows = read_texts(chosen).join(F.broadcast(sample), ["doc_id", "digest"]).groupBy("digest").agg(F.first("text").alias("text"), F.first("toxic").alias("toxic")).select("text", "toxic")
 
     def fitted(x: pd.DataFrame) -> pd.DataFrame:
         x = x.sort_values("text")

@@ -628,6 +628,17 @@ def test_toxicity_without_toxic_forms_is_clean(spark):
     assert model is None and set(got.values()) == {0.0}
 
 
+def test_toxicity_filter_loses_no_labelled_text(spark, docs, none, monkeypatch):
+    df = spark.range(20000).selectExpr("id - 50 as doc_id", "concat('text ', id) as text").unionByName(docs.select("doc_id", "text"))
+    ids = df.where("doc_id % 7 = 0").select("doc_id")
+    wanted, got = ids.count(), toxicity.probable(df, ids)
+    assert got.join(ids.distinct(), "doc_id", "left_semi").count() == wanted
+    assert got.count() <= wanted + 20  # 20,000 ids in 2^26 bits: about one stranger
+    monkeypatch.setattr(toxicity, "FILTER_BITS", 1 << 4)  # all bits set: nothing is lost, nothing is kept out
+    assert toxicity.probable(df, ids).count() == df.count()
+    assert toxicity.probable(none, ids).count() == 0 == toxicity.probable(df, ids.where("false")).count()
+
+
 def test_toxicity_counts_a_text_once(spark):
     rows = [(1, "same text here", 1)] * 30 + [(i, "same text here", 1) for i in range(2, 60)] + [(i, f"clean words number {i}", 0) for i in range(60, 120)]
     df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
