@@ -202,7 +202,9 @@ def src_jsonl_truth(t: Tables) -> DataFrame:
     return readers.verified_truth(manifest).select("doc_id", "text")
 
 
-@query("SELECT line, usn, name, CASE WHEN first < line THEN 'same roll number as line ' || first END AS error FROM (SELECT *, min(line) OVER (PARTITION BY usn) AS first FROM (SELECT CAST(c_custkey + 1 AS BIGINT) AS line, upper('u ' || c_nationkey || c_mktsegment)[1:1] || upper(replace(c_nationkey || c_mktsegment, ' ', '')) AS usn, c_name AS name FROM customer))")
+@query(f"""
+    SELECT line, usn, name, CASE WHEN usn IS NULL OR usn = '' THEN 'roll number missing' WHEN name IS NULL OR name = '' THEN 'name missing' WHEN line > {readers.ROSTER_ROWS} + 1 THEN 'too many rows' WHEN first < line THEN 'same roll number as line ' || first END AS error
+    FROM (SELECT *, min(line) OVER (PARTITION BY usn) AS first FROM (SELECT CAST(c_custkey + 1 AS BIGINT) AS line, upper(regexp_replace('u ' || c_nationkey || c_mktsegment, '\\s+', '', 'g')) AS usn, trim(c_name) AS name FROM customer))""")
 def src_csv_roster(t: Tables) -> DataFrame:
     lines = t.customer.select((F.col("c_custkey") + 1).alias("line"), F.concat(F.lit("u "), F.col("c_nationkey").cast("string"), F.col("c_mktsegment")).alias("usn"), F.col("c_name").alias("name"))
     return readers.roster(lines)
