@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from assayer.operators import segments
 from assayer.plans.arrow import labelled_lines
 from assayer.registry import Tables, query
-from assayer.sources.shared import staged
+from assayer.sources.shared import by_key, staged
 
 WIDTH, HEIGHT = 1000, 1400
 #: Where the n-th line (from 0) of a page lies. On odd pages two lines share a row; empty lines are slivers of the next page.
@@ -128,11 +128,11 @@ def decoded(t: Tables, lines: DataFrame | None = None) -> tuple[DataFrame, DataF
     b, paper = _blocks(t, lines), staged(leaves(t), "leaves")
     order = F.array_sort(F.collect_list(F.struct("slot", F.coalesce("part", F.lit("")).alias("p"), "part", "section", "label")))
     papers = paper.groupBy("booklet").agg(order.alias("leaves"))
-    near = segments.similarities(b.select("booklet", "block", "text"), paper, "booklet", "block").join(paper.select("booklet", "label", "slot", F.coalesce("part", F.lit("")).alias("p")), ["booklet", "label"])
+    near = segments.similarities(b.select("booklet", "block", "text"), paper, "booklet", "block").join(by_key(paper.select("booklet", "label", "slot", F.coalesce("part", F.lit("")).alias("p"))), ["booklet", "label"])
     sims = near.groupBy("booklet", "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "p", "similarity"))), lambda x: x["similarity"]).alias("sims"))
-    rows = b.join(papers, "booklet").join(sims, ["booklet", "block"], "left")
+    rows = b.join(by_key(papers), "booklet").join(by_key(sims), ["booklet", "block"], "left")
     found = segments.decode(rows.select("booklet", F.col("block").cast("long").alias("block"), "l", "evidence", "section", "sims", "leaves"))
-    return staged(b.join(found, ["booklet", "block"]), "decoded"), paper, papers
+    return staged(b.join(by_key(found), ["booklet", "block"]), "decoded"), paper, papers
 
 
 @query()
@@ -153,17 +153,17 @@ def seg_finish(t: Tables) -> DataFrame:
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "text"))), lambda x: x["text"]), " ")
     rows = staged(rows, "segment-blocks")
     order = Window.partitionBy("booklet", "page").orderBy("row", "x0", "at")
-    owned = with_middle(lines.join(rows.select("booklet", "block", "segment"), ["booklet", "block"])).select("booklet", "page", F.row_number().over(order).alias("seq"), "middle", "segment")
-    answers = figures(t).join(t.conversations.where("role = 'assistant'").select(F.col("conv_id").alias("booklet"), F.col("turn").alias("page")), ["booklet", "page"], "left_semi")
+    owned = with_middle(lines.join(by_key(rows.select("booklet", "block", "segment")), ["booklet", "block"])).select("booklet", "page", F.row_number().over(order).alias("seq"), "middle", "segment")
+    answers = figures(t).join(by_key(t.conversations.where("role = 'assistant'").select(F.col("conv_id").alias("booklet"), F.col("turn").alias("page"))), ["booklet", "page"], "left_semi")
     drawn = segments.place_figures(staged(owned, "owned"), with_middle(answers), "booklet", "page").where("segment IS NOT NULL").groupBy("booklet", "segment").agg(F.count("*").alias("figures"))
     pieces = rows.groupBy("booklet", "segment").agg(F.min("state").alias("state"), F.min_by("l", "block").alias("l"), F.count("*").alias("blocks"), F.substring(text, 1, segments.BLOCK_CHARS).alias("text"))
     pieces = staged(pieces, "pieces")
     near = staged(segments.similarities(pieces.select("booklet", "segment", "text"), paper, "booklet", "segment"), "near")
     best = near.groupBy("booklet", "segment").agg(F.min_by("label", F.struct(-F.col("similarity"), "label")).alias("nearest"), F.max("similarity").alias("highest"))
-    pieces = pieces.join(papers, "booklet").withColumn("question", F.when(F.col("state") >= 0, F.col("leaves")[F.col("state")]))
+    pieces = pieces.join(by_key(papers), "booklet").withColumn("question", F.when(F.col("state") >= 0, F.col("leaves")[F.col("state")]))
     own = near.withColumnRenamed("similarity", "score")
-    pieces = pieces.withColumn("label", F.col("question.label")).join(best, ["booklet", "segment"], "left")
-    pieces = pieces.join(own, ["booklet", "segment", "label"], "left")
+    pieces = pieces.withColumn("label", F.col("question.label")).join(by_key(best), ["booklet", "segment"], "left")
+    pieces = pieces.join(by_key(own), ["booklet", "segment", "label"], "left")
     of_slot = F.filter("leaves", lambda q: q["slot"] == F.col("l.number"))
     named = F.when(F.col("l.kind") == "question", F.coalesce(F.try_element_at(F.filter(of_slot, lambda q: q["part"] == F.col("l.part")), F.lit(1))["label"], F.try_element_at(of_slot, F.lit(1))["label"]))
     pieces = pieces.withColumn("named", named)
@@ -176,7 +176,7 @@ def seg_finish(t: Tables) -> DataFrame:
     flags = F.array_compact(F.array(F.when(F.col("state") == -2, "before the first answer"), F.when((F.col("state") != -2) & unread, "number unread"), F.when(kept & (F.col("named") != F.col("label")) & (F.col("l.kind") != "part"), "label disagrees"), F.when(kept & (copies > 1), "duplicate")))
     found_by = F.when((F.col("state") == -2) | (kept & F.col("by_label")), "rule").otherwise("similarity")
     score = F.when(kept & F.col("by_label"), None).when(F.col("state") >= 0, F.col("score")).otherwise(F.col("highest"))
-    pieces = pieces.join(drawn, ["booklet", "segment"], "left")
+    pieces = pieces.join(by_key(drawn), ["booklet", "segment"], "left")
     return pieces.select("booklet", "segment", F.when(kept, F.col("label")).alias("question"), found_by.alias("found_by"), F.round(score, 4).alias("score"), F.when(~kept, F.when(F.col("state") >= 0, F.col("label")).otherwise(F.col("nearest"))).alias("proposed"), F.array_join(flags, ",").alias("flags"), "blocks", F.coalesce("figures", F.lit(0)).alias("figures"))
 
 
