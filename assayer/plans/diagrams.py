@@ -62,13 +62,18 @@ def node_pairs(truth: DataFrame, drawn: DataFrame) -> DataFrame:
         a, b = sides
         if not a or not b:
             return []
-        label = np.array([[udfs.label_distance(r.label or "", s.label or "") for s in b] for r in a])
-        shape = np.array([[0.0 if r.shape == s.shape else 0.5 if "SMALL" in (r.shape, s.shape) else 1.0 for s in b] for r in a])  # SMALL stands for a shape that is not known
-        d, e = np.array([r.degree for r in a], float)[:, None], np.array([s.degree for s in b], float)[None]
-        cost = LABEL * label + SHAPE * shape + DEGREE * np.abs(d - e) / np.maximum(1, np.maximum(d, e))
-        quality = 1 - (LABEL * label + SHAPE * shape) / (LABEL + SHAPE)
-        found = assignment.saving(np.where(cost <= ACCEPT, cost, np.inf))
-        return [(a[0].graph, a[i].node, b[j].node, float(cost[i, j]), float(quality[i, j])) for i, j in found]
+        cost, quality = [], []
+        for r in a:
+            costs, qualities = [], []
+            for s in b:
+                shape = 0.0 if r.shape == s.shape else 0.5 if "SMALL" in (r.shape, s.shape) else 1.0  # SMALL stands for a shape that is not known
+                apart = LABEL * udfs.label_distance(r.label or "", s.label or "") + SHAPE * shape
+                costs.append(apart + DEGREE * abs(r.degree - s.degree) / max(1, r.degree, s.degree))
+                qualities.append(1 - apart / (LABEL + SHAPE))
+            cost.append(costs)
+            quality.append(qualities)
+        found = assignment.saving_of([[c if c <= ACCEPT else np.inf for c in row] for row in cost])
+        return [(a[0].graph, a[i].node, b[j].node, cost[i][j], quality[i][j]) for i, j in found]
 
     return fold(both, "graph", ["side", "node"], "graph long, truth int, drawn int, cost double, quality double", lambda: ([], []), step, pair)
 
