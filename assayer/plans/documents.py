@@ -152,7 +152,6 @@ def src_stream_tar(t: Tables) -> DataFrame:
 
     def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in frames:
-            rows = []
             for at in range(0, len(x), 50):
                 buffer = io.BytesIO()
                 with tarfile.open(fileobj=buffer, mode="w") as tar:
@@ -160,8 +159,7 @@ def src_stream_tar(t: Tables) -> DataFrame:
                         info = tarfile.TarInfo(f"{page}.html")
                         info.size = len(html)
                         tar.addfile(info, io.BytesIO(html))
-                rows.append((f"archive {at}", buffer.getvalue()))
-            yield pd.DataFrame(rows, columns=["path", "content"])
+                yield pd.DataFrame([(f"archive {at}", buffer.getvalue())], columns=["path", "content"])
 
     archives = t.pages.select("page_id", F.col("html").cast("binary").alias("html")).mapInPandas(pack, "path string, content binary")
     return readers.archive_members(archives).select(F.regexp_extract("member", r"^(\d+)", 1).cast("long").alias("page_id"), F.octet_length("content").cast("long").alias("bytes"), F.sha2("content", 256).alias("h"))

@@ -34,25 +34,27 @@ def folder(spark: SparkSession, path: str, extensions: tuple[str, ...] = ("pdf",
     return kept.select("path", "length", "content", natural_key(name if by is None else by).alias("place")).orderBy("place")
 
 
+def members(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The members of archives, a frame an archive: a worker holds the files of one at a time."""
+    for x in frames:
+        for path, content in zip(x["path"], x["content"], strict=True):
+            rows: list[tuple] = []
+            try:
+                with tarfile.open(fileobj=io.BytesIO(content)) as tar:
+                    files = [m for m in tar if m.isfile()]
+                    if len(files) > ARCHIVE_FILES:
+                        rows.append((path, None, None, "too many files"))
+                    else:
+                        rows += [(path, m.name, tar.extractfile(m).read(), None) for m in files]
+            except tarfile.TarError:
+                rows.append((path, None, None, "not an archive"))
+            if rows:
+                yield pd.DataFrame(rows, columns=["path", "member", "content", "error"])
+
+
 def archive_members(files: DataFrame) -> DataFrame:
     """Members of tar archives in rows(path, content): path, member, content; more than ARCHIVE_FILES members are an error row."""
-
-    def expand(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in frames:
-            rows = []
-            for path, content in zip(x["path"], x["content"], strict=True):
-                try:
-                    with tarfile.open(fileobj=io.BytesIO(content)) as tar:
-                        members = [m for m in tar if m.isfile()]
-                        if len(members) > ARCHIVE_FILES:
-                            rows.append((path, None, None, "too many files"))
-                            continue
-                        rows += [(path, m.name, tar.extractfile(m).read(), None) for m in members]
-                except tarfile.TarError:
-                    rows.append((path, None, None, "not an archive"))
-            yield pd.DataFrame(rows, columns=["path", "member", "content", "error"])
-
-    return files.select("path", "content").mapInPandas(expand, "path string, member string, content binary, error string")
+    return files.select("path", "content").mapInPandas(members, "path string, member string, content binary, error string")
 
 
 def roster(lines: DataFrame) -> DataFrame:
