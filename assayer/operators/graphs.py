@@ -15,20 +15,25 @@ def degrees(edges: DataFrame, source: str, target: str) -> DataFrame:
 
 
 def connected(edges: DataFrame, source: str, target: str) -> DataFrame:
-    """node, part: the smallest node reachable, whatever the direction. Alternates large and small stars, whose rounds grow with the logarithm of a part's size; each is staged, so lineage stays short."""
-    pairs = edges.where(F.col(source).isNotNull() & F.col(target).isNotNull()).select(F.greatest(source, target).alias("u"), F.least(source, target).alias("v")).distinct()
-    nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    stars, seen = pairs.where("u <> v"), None
+    """node, part: the smallest node reachable, whatever the direction. Nodes get whole numbers in their order first, which the rounds carry instead of the nodes. Alternates large and small stars, whose rounds grow with the logarithm of a part's size; each is staged, so lineage stays short."""
+    given = edges.where(F.col(source).isNotNull() & F.col(target).isNotNull()).select(F.col(source).alias("s"), F.col(target).alias("t"))
+    nodes = given.select(F.explode(F.array("s", "t")).alias("node")).distinct()
+    nodes = staged(nodes.orderBy("node").select("node", F.monotonically_increasing_id().alias("n")), "nodes")  # partitions follow each other in order
+    of = lambda end: nodes.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}"))
+    pairs = given.join(of("s"), "s").join(of("t"), "t")
+    stars, seen = staged(pairs.select(F.greatest("n_s", "n_t").alias("u"), F.least("n_s", "n_t").alias("v")).where("u <> v").distinct(), "stars"), None
     while True:
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = staged(large, "large-stars")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
         stars = staged(small.where("u <> v").distinct(), "stars")
         now = stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
-            return nodes.join(stars.select(F.col("u").alias("node"), F.col("v").alias("part")), "node", "left").select("node", F.coalesce("part", "node").alias("part"))
+            parts = nodes.join(stars.select(F.col("u").alias("n"), F.col("v").alias("m")), "n", "left").select("node", F.coalesce("m", "n").alias("m"))
+            return parts.join(nodes.select(F.col("node").alias("part"), F.col("n").alias("m")), "m").select("node", "part")
         seen = now
 
 
