@@ -176,21 +176,19 @@ def linked(pairs: DataFrame, bodies: DataFrame, percent: int) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, root (the smallest node reachable) of links (a, b), by alternating large and small stars; each round is staged in the shared folder."""
-    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    seen = None
+    """node, root (the smallest node reachable) of links (a, b), by alternating large and small stars; each round is staged in the shared folder. It ends when only stars are left: no node hangs on two others, or on one that hangs itself."""
+    edges = staged(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "stars")
     while True:
+        ends = edges.select("u", F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("u"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        nodes = ends.groupBy("u").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        if not nodes.agg(F.count_if((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0)))).first()[0]:
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        down = large.where("u <> v").distinct()
+        down = edges.select(F.col("v").alias("u"), F.col("u").alias("v")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))  # at most a row an edge, so repeats can wait
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         edges = staged(small, "stars")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == seen:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        seen = now
 
 
 def tiles(shared: DataFrame, roots: DataFrame, tile: int) -> DataFrame:
@@ -299,18 +297,17 @@ def near_duplicates(docs: DataFrame, percent: int = 75, tile: int = TILE) -> Dat
     bodies = _squeezed(one.where("doc_id is not null").select("doc_id", text_bytes().alias("text")))
     bodies = staged(bodies.join(shared.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "bodies")
     # each document with the low and the high end that it shares the most buckets with
-    tried = None
-    for end in ("low", "high"):
-        most = shared.where(F.col("rep") != F.col(end)).groupBy("rep", end).agg(F.count("*").alias("c")).groupBy("rep").agg(F.max_by(end, F.struct("c", end)).alias("e"))
-        pairs = most.select(F.least("rep", "e").alias("a"), F.greatest("rep", "e").alias("b"))
-        tried = pairs if tried is None else tried.union(pairs).distinct()
+    sides = F.explode(F.array(*(F.struct(F.lit(k).alias("end"), F.col(end).alias("e")) for k, end in enumerate(("low", "high")))))
+    counts = shared.select("rep", sides.alias("end")).select("rep", "end.*").where("rep <> e").groupBy("rep", "end", "e").agg(F.count("*").alias("c"))
+    most = counts.groupBy("rep", "end").agg(F.max(F.struct("c", "e"))["e"].alias("e"))
+    tried = most.select(F.least("rep", "e").alias("a"), F.greatest("rep", "e").alias("b")).distinct()
     tried = staged(likely(tried, small, threshold), "pairs")
     links = staged(linked(tried, bodies, percent), "links")
     links = links.unionByName(repeated_ids(known, reps))
     roots = components(links)
     more = staged(across(shared.select("rep", "band", "key"), small, bodies, roots, percent, tile), "links")
     if not more.isEmpty():
-        roots = components(links.union(more))
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))  # stars of the links stand for them
     classes = reps.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", "n", F.coalesce("root", "rep").alias("component_id"))
     joined_up = sketched.drop("words").join(classes, ["h1", "h2", "n"], "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
