@@ -15,7 +15,7 @@ from assayer.operators import assignment, blueprints, islands, paging
 from assayer.plans import flow, measures, windows
 from assayer.registry import Tables, query
 from assayer.sources import readers
-from assayer.sources.shared import shared_path
+from assayer.sources.shared import shared_path, staged
 
 
 @query("SELECT c_custkey, coalesce(a.n, 0) AS owned, coalesce(b.n, 0) AS events, coalesce(round(a.t, 2), 0) AS value FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n, sum(o_totalprice) AS t FROM orders GROUP BY 1) a ON a.o_custkey = c_custkey LEFT JOIN (SELECT user_id, count(*) AS n FROM events GROUP BY 1) b ON b.user_id = c_custkey")
@@ -165,16 +165,23 @@ def src_stream_tar(t: Tables) -> DataFrame:
     return readers.archive_members(archives).select(F.regexp_extract("member", r"^(\d+)", 1).cast("long").alias("page_id"), F.octet_length("content").cast("long").alias("bytes"), F.sha2("content", 256).alias("h"))
 
 
+#: Folders of folders are listed by a task each; more than Spark lists in the driver, however many pages there are.
+SHELVES = 64
+
+
 @query("SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS bytes, sha256(html) AS h, CAST(row_number() OVER (ORDER BY page_id) AS BIGINT) AS place FROM pages")
 def src_folder(t: Tables) -> DataFrame:
-    """Pages written as files into the shared folder, each in a folder named after it, and read by extension in natural order; the writer ends a file with a line feed."""
+    """Pages written as files into the shared folder, each in a folder named after it on one of SHELVES shelves, and read by extension in natural order; the writer ends a file with a line feed."""
     path = shared_path(t.spark, "folder")
     pages = t.pages.select(F.concat(F.lit("scan-"), F.col("page_id").cast("string")).alias("page"), F.col("html").alias("value"))
-    pages.repartition("page").write.partitionBy("page").text(path)
+    shelf = F.crc32("page") % SHELVES
+    # a shelf has one writer, and the driver moves shelves, not the folder of every page
+    pages.withColumn("shelf", shelf).repartition(SHELVES, "shelf").write.partitionBy("shelf", "page").text(path)
     name = F.regexp_extract("path", r"page=(scan-\d+)", 1)
-    files = readers.folder(t.spark, path, ("txt",), name)
+    files = readers.files(t.spark, path, ("txt",), name)
     body = F.expr("substring(content, 1, length - 1)")
     rows = files.select(F.regexp_extract(name, r"(\d+)", 1).cast("long").alias("page_id"), F.octet_length(body).cast("long").alias("bytes"), F.sha2(body, 256).alias("h"), F.col("place").alias("__at"))
+    rows = staged(rows, "digests")  # every file is opened once, and only its digest is sorted
     return paging.numbered(rows, "place", [F.col("__at")]).drop("__at")
 
 

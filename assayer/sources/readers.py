@@ -26,12 +26,17 @@ def media_kind(content: Column) -> Column:
     return kind
 
 
-def folder(spark: SparkSession, path: str, extensions: tuple[str, ...] = ("pdf", "jpg", "jpeg", "png"), by: Column | None = None) -> DataFrame:
-    """Files of a folder by extension, hidden ones left out, in the natural order of their names or of what `by` makes of their paths: path, length, content, place."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+def files(spark: SparkSession, path: str, extensions: tuple[str, ...] = ("pdf", "jpg", "jpeg", "png"), by: Column | None = None) -> DataFrame:
+    """Files of a folder by extension, hidden ones left out: path, length, content and place, which sorts by the natural order of their names or of what `by` makes of their paths."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     name = F.element_at(F.split("path", "/"), -1)
-    kept = files.where(~name.startswith(".") & F.lower(F.element_at(F.split(name, r"\."), -1)).isin(*extensions))
-    return kept.select("path", "length", "content", natural_key(name if by is None else by).alias("place")).orderBy("place")
+    kept = found.where(~name.startswith(".") & F.lower(F.element_at(F.split(name, r"\."), -1)).isin(*extensions))
+    return kept.select("path", "length", "content", natural_key(name if by is None else by).alias("place"))
+
+
+def folder(spark: SparkSession, path: str, extensions: tuple[str, ...] = ("pdf", "jpg", "jpeg", "png"), by: Column | None = None) -> DataFrame:
+    """The files of a folder in their order."""
+    return files(spark, path, extensions, by).orderBy("place")
 
 
 def members(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
