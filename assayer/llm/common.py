@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import functools
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import pyarrow
 from pyspark.sql import Column, DataFrame, Row, SparkSession
@@ -45,6 +47,18 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def releasing(f: Callable) -> Callable:
+    """f, which gives its memory back after its own variables are gone: what they hold can't be given back from within. Spark looks at a function's arguments, so it needs a lambda that names them."""
+
+    @functools.wraps(f)
+    def run(*args):
+        out = f(*args)
+        release()
+        return out
+
+    return run
+
+
 def small_batches(spark: SparkSession) -> None:
     """Documents may be long: a thousand of them make a batch for Python, not ten thousand, unless the session has fewer."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -21,7 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from assayer.llm.common import expanded, release, staged
+from assayer.llm.common import expanded, releasing, staged
 from assayer.llm.packed import among, bucket_of, fingerprints, from_ten, keys_of, marked, merged, opened, packed, slices, ten, with_origin
 from assayer.llm.textbytes import VALUES, blocks, joined, mixed, prefix, slide_min, span, window_hash
 
@@ -30,6 +30,8 @@ WIDTH, GRAM = 200, 48
 HOT = 64
 #: Bytes that are sorted together.
 SORTED = 1 << 18
+#: Neighbours that are compared at once.
+COMPARED = 1 << 13
 
 
 def suffixes(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -45,6 +47,7 @@ def suffixes(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     first = np.flatnonzero(smaller)
     keys = np.ascontiguousarray(rows[first]).view(f"S{depth}").ravel()
     direct = first[np.argsort(keys, kind="stable")]
+    del keys
     size = np.bincount(t[:n], minlength=256)
     head = np.cumsum(size) - size
     large = np.bincount(t[:n][~smaller], minlength=256)
@@ -79,8 +82,8 @@ def suffixes(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
             done = upto
         induce(order[head[c] + large[c] : head[c] + size[c]])
     agrees = np.zeros(n, bool)
-    for at in range(1, n, 1 << 16):
-        i = np.arange(at, min(n, at + (1 << 16)))
+    for at in range(1, n, COMPARED):
+        i = np.arange(at, min(n, at + COMPARED))
         agrees[i] = (rows[order[i]] == rows[order[i - 1]]).all(axis=1)
     return order, agrees
 
@@ -166,6 +169,14 @@ class Candidates:
     def context(self, i: int) -> bytes:
         return self.bytes_of(self.pick[i])
 
+    def gone(self, k: int, flags: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        """Which bytes of a block are in a repeated window. flags: a bit a window of the distinct contexts, each of which begins at `begin`. Only this block's windows are held."""
+        own = np.flatnonzero(self.part == k)
+        n = self.last[own] - self.first[own] + 1
+        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        hit = flags[np.repeat(begin[self.of[own]], n) + step]
+        return marked(len(self.parts[k][1].bytes), (np.repeat(self.first[own], n) + step)[hit], WIDTH)
+
     def hot_windows(self, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """context and start of every window with a hot anchor; of the distinct ones, sorted by bucket and hash: two hashes and bucket; and each window's distinct one."""
         _, part, first, last = self.hot
@@ -205,6 +216,7 @@ ASKED = "bucket int, origin int, anchors binary, sizes binary, again binary, bod
 TOLD = "origin int, kind string, bucket int, keys binary"
 
 
+@releasing
 def ask_hashes(own: pd.DataFrame, found: pd.DataFrame, buckets: int) -> pd.DataFrame:
     """Rows of an origin to the buckets: hashes of the windows with hot anchors."""
     out = []
@@ -212,10 +224,10 @@ def ask_hashes(own: pd.DataFrame, found: pd.DataFrame, buckets: int) -> pd.DataF
         c, origin = Candidates(opened(own)[1], found, buckets), int(own["origin"].iloc[0])
         _, _, a, b, z, _ = c.hot_windows(buckets)
         out = [(bucket, origin, ten(a[i:j], b[i:j])) for bucket, i, j in slices(z)]
-    release()
     return pd.DataFrame(out, columns=["bucket", "origin", "body"])
 
 
+@releasing
 def resolve_hashes(rows: pd.DataFrame) -> pd.DataFrame:
     """For each origin's hashes in a bucket, a bit: another origin has it."""
     got = [from_ten(x) for x in rows["body"]]
@@ -231,6 +243,7 @@ def resolve_hashes(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["origin", "kind", "bucket", "keys"])
 
 
+@releasing
 def ask(own: pd.DataFrame, found: pd.DataFrame, buckets: int) -> pd.DataFrame:
     """Rows of an origin to the buckets: distinct contexts."""
     names = [x.split()[0] for x in ASKED.split(", ")]
@@ -240,7 +253,6 @@ def ask(own: pd.DataFrame, found: pd.DataFrame, buckets: int) -> pd.DataFrame:
     for bucket, i, j in slices(c.bucket):
         bodies = [c.context(k) for k in range(i, j)]
         out.append((bucket, origin, c.anchor[i:j].tobytes(), np.fromiter(map(len, bodies), np.int32, j - i).tobytes(), np.packbits(c.again[i:j]).tobytes(), zlib.compress(b"".join(bodies), 1)))
-    release()
     return pd.DataFrame(out, columns=names)
 
 
@@ -301,6 +313,7 @@ def common_windows(bodies: list[bytes], most: int = SORTED) -> list[np.ndarray]:
     return [out[i:j] for i, j in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
 
 
+@releasing
 def resolve(rows: pd.DataFrame) -> pd.DataFrame:
     """For each origin's contexts in a bucket, a bit for each window start: it is repeated."""
     anchor = np.concatenate([np.frombuffer(x, np.uint64) for x in rows["anchors"]])
@@ -348,7 +361,6 @@ def resolve(rows: pd.DataFrame) -> pd.DataFrame:
         own = bits[at : at + len(s)]
         out.append((origin, "context bits", bucket, zlib.compress(np.packbits(np.concatenate(own)).tobytes(), 1)))
         at += len(s)
-    release()
     return pd.DataFrame(out, columns=["origin", "kind", "bucket", "keys"])
 
 
@@ -364,6 +376,7 @@ def remove_repeats(docs: DataFrame, text: bool = False, hot: int = HOT, carry: t
     found = staged(merged(fingerprints(rows, buckets, anchors), hot=hot), "anchors").select("origin", "kind", "bucket", "keys")
     texts = packed(rows)
 
+    @releasing
     def finish(own: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "copies"] + ["text"] * text + ["carried"] * bool(carry)
         if own.empty:
@@ -376,13 +389,9 @@ def remove_repeats(docs: DataFrame, text: bool = False, hot: int = HOT, carry: t
         begin = np.append(0, np.cumsum(size))
         for bucket, i, j in slices(c.bucket):
             flags[begin[i] : begin[j]] = np.unpackbits(np.frombuffer(zlib.decompress(bits[bucket]), np.uint8), count=int(begin[j] - begin[i])).astype(bool)
-        n = size[c.of]
-        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        hit = flags[np.repeat(begin[:-1][c.of], n) + step]
-        part, at = np.repeat(c.part, n)[hit], (np.repeat(c.first, n) + step)[hit]
         out = []
         for k, (where, contexts) in enumerate(c.parts):
-            gone = marked(len(contexts.bytes), at[part == k], WIDTH)
+            gone = c.gone(k, flags, begin)
             for d, start in zip(range(where.start, where.stop), contexts.start.tolist(), strict=True):
                 body = bodies[d]
                 own = gone[start : start + len(body)]
@@ -394,13 +403,12 @@ def remove_repeats(docs: DataFrame, text: bool = False, hot: int = HOT, carry: t
                     left = np.frombuffer(body, np.uint8)[~own].tobytes()
                 row = (ids[d], len(body), len(body) - len(left), len(spans), hashlib.sha256(left).hexdigest(), copies[d])
                 out.append(row + (left.decode("utf-8", "replace"),) * text + (extras[d].decode(),) * bool(carry))
-        release()
         return pd.DataFrame(out, columns=names)
 
     by_origin = texts.groupBy("origin")
     hashes = by_origin.cogroup(found.groupBy("origin")).applyInPandas(lambda own, told: ask_hashes(own, told, buckets), HASHES)
-    found = found.unionByName(staged(hashes.groupBy("bucket").applyInPandas(resolve_hashes, TOLD), "hot-windows"))
+    found = found.unionByName(staged(hashes.groupBy("bucket").applyInPandas(lambda x: resolve_hashes(x), TOLD), "hot-windows"))
     asked = by_origin.cogroup(found.groupBy("origin")).applyInPandas(lambda own, told: ask(own, told, buckets), ASKED)
-    answers = asked.groupBy("bucket").applyInPandas(resolve, TOLD)
-    kept = by_origin.cogroup(answers.unionByName(found).groupBy("origin")).applyInPandas(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, copies long" + ", text string" * text + ", carried string" * bool(carry))
+    answers = asked.groupBy("bucket").applyInPandas(lambda x: resolve(x), TOLD)
+    kept = by_origin.cogroup(answers.unionByName(found).groupBy("origin")).applyInPandas(lambda own, told: finish(own, told), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, copies long" + ", text string" * text + ", carried string" * bool(carry))
     return expanded(kept, again).drop("copy")
