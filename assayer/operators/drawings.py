@@ -1,8 +1,10 @@
 """Drawings from detections: shapes become nodes, arrows edges between the shapes that their ends touch, and recognised lines labels of either.
 
+A page's rows are dealt together once, and all tables that are staged lie in buckets of pages, so nothing that is joined by page and number is moved again.
+
 What is near what is found by cells of a grid: boxes, widened by the reach that is asked for, meet in the cells that they cover, and a pair counts in the one cell that holds the corner of what they share. Reaches are shares of a page's diagonal, so a page has some four hundred cells at most.
 
-Tables: pages(page, width, height), shapes(page, k, kind, x0, y0, x1, y1, confidence), arrows(page, k, tx, ty, hx, hy, headed, confidence), texts(page, k, text, x0, y0, x1, y1, confidence); k orders what is otherwise equal. Coordinates are whole pixels.
+Tables: pages(page, width, height), shapes(page, k, x0, y0, x1, y1, confidence), arrows(page, k, tx, ty, hx, hy, headed, confidence), texts(page, k, text, x0, y0, x1, y1, confidence); k orders what is otherwise equal. Coordinates are whole pixels.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayer.operators.state import fold
-from assayer.sources.shared import staged
+from assayer.sources.shared import bucketed, dealt_once
 
 #: Reaches as shares of the diagonal and in pixels at least, and the least confidence of shapes and arrows.
 ATTACH, BESIDE, LEAST_PX, LEAST_CONFIDENCE = 0.05, 0.04, 12, 0.3
@@ -166,11 +168,12 @@ def owners(texts: DataFrame, shapes: DataFrame, arrows: DataFrame, arrow_ends: D
     area = (F.col("s_x1") - F.col("s_x0")) * (F.col("s_y1") - F.col("s_y0"))
     held = met.groupBy("page", F.col("t_k").alias("k"), F.col("t_piece").alias("piece")).agg(F.min_by("s_no", F.struct(area, "s_no")).alias("no"))
     texts = texts.join(held, ["page", "k", "piece"], "left")
-    inside = staged(texts.where("no IS NOT NULL"), "inside")
-    lines = staged(stacked(texts.where("no IS NULL").drop("no")), "outside")
+    texts = bucketed(texts, "held", "page")
+    inside = texts.where("no IS NOT NULL")
+    lines = bucketed(stacked(texts.where("no IS NULL").drop("no")), "outside", "page")
     top = F.struct("y0", "x0", "k", "piece")
     blocks = lines.groupBy("page", "block").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.min_by(F.struct("x0", "y0", "x1", "y1"), top).alias("first"))
-    blocks = staged(blocks, "blocks")
+    blocks = bucketed(blocks, "blocks", "page")
     met = blocks.join(along(blocks, arrows, pages), ["page", "block"], "left").join(nearest(blocks, arrows, pages, "near_arrow"), ["page", "block"], "left").join(nearest(blocks, shapes, pages, "near_shape"), ["page", "block"], "left")
     ends_of = arrows.select("page", "no", "tx", "ty", "hx", "hy").join(arrow_ends, ["page", "no"])
     for name in ("arrow", "near_arrow"):
@@ -200,15 +203,20 @@ def labels(owned: DataFrame) -> DataFrame:
 
 def build(pages: DataFrame, shapes: DataFrame, arrows: DataFrame, texts: DataFrame) -> DataFrame:
     """page, kind (`node`, `edge`, `free`), id, source, target, label, directed, confidence, label_confidence: the graph of each page. Ends near no shape are null. Free labels have the number of their order as id."""
-    pages = staged(reaches(pages), "pages")
-    shapes = staged(numbered(shapes, ["y0", "x0"]), "shapes")
+    with dealt_once(pages.sparkSession):
+        return bucketed(_built(pages, shapes, arrows, texts), "graphs", "page")
+
+
+def _built(pages: DataFrame, shapes: DataFrame, arrows: DataFrame, texts: DataFrame) -> DataFrame:
+    pages = bucketed(reaches(pages), "pages", "page")
+    shapes = bucketed(numbered(shapes.drop("kind"), ["y0", "x0"]), "shapes", "page")
     least = lambda x: F.least(f"t{x}", f"h{x}")
     most = lambda x: F.greatest(f"t{x}", f"h{x}")
     arrows = numbered(arrows, ["ty", "tx"]).withColumns({"x0": least("x"), "y0": least("y"), "x1": most("x"), "y1": most("y")})
-    arrows = staged(arrows, "arrows")
-    arrow_ends = staged(ends(arrows, shapes, pages), "ends")
-    pieces = staged(without_marks(split_texts(texts, shapes, pages), arrows, pages), "pieces")
-    owned = staged(owners(pieces, shapes, arrows, arrow_ends, pages), "owned")
+    arrows = bucketed(arrows, "arrows", "page")
+    arrow_ends = bucketed(ends(arrows, shapes, pages), "ends", "page")
+    pieces = bucketed(without_marks(split_texts(texts, shapes, pages), arrows, pages), "pieces", "page")
+    owned = bucketed(owners(pieces, shapes, arrows, arrow_ends, pages), "owned", "page")
     said = labels(owned)
     node = lambda c: F.when(F.col(c).isNotNull(), F.concat(F.lit("n"), F.col(c)))
     of = lambda kind: said.where(F.col("owner") == kind).drop("owner")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from assayer.operators import drawings
 from assayer.registry import Tables, query
+from assayer.sources.shared import bucketed
 
 SIDE = 1000
 #: Places, in SQL that both engines read.
@@ -86,12 +87,14 @@ def detections(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """pages, shapes, arrows and texts."""
     from pyspark.sql import Window
 
-    rows = t.lineitem.join(t.orders.select("o_orderkey", F.col("o_custkey").alias("page")), F.col("o_orderkey") == F.col("l_orderkey")).join(t.part.select("p_partkey", "p_name", "p_type"), F.col("p_partkey") == F.col("l_partkey"))
+    lines = t.lineitem.select(*ORDER, "l_returnflag").join(t.part.select("p_partkey", "p_name"), F.col("p_partkey") == F.col("l_partkey")).withColumn("p_name", F.when(F.col("l_returnflag") == "R", F.col("p_name")))
+    rows = lines.join(t.orders.select("o_orderkey", F.col("o_custkey").alias("page")), F.col("o_orderkey") == F.col("l_orderkey"))
     rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("page").orderBy(*ORDER)).cast("long")).withColumn("confidence", F.expr(SURE))
+    rows = bucketed(rows.select("page", "k", "l_returnflag", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "p_name", "confidence"), "lines", "page")  # read by each of the tables below
     place = lambda kind: [F.expr(f"CAST({v} AS BIGINT)").alias(k) for k, v in kind.items()]
     of = lambda flag: rows.where(F.col("l_returnflag") == flag)
     pages = rows.select("page").distinct().select("page", F.lit(SIDE).alias("width"), F.lit(SIDE).alias("height"))
-    shapes = of("A").select("page", "k", F.col("p_type").alias("kind"), *place(SHAPE), "confidence")
+    shapes = of("A").select("page", "k", *place(SHAPE), "confidence")
     arrows = of("N").select("page", "k", *place(ARROW), F.expr(f"{QTY} % 3 <> 0").alias("headed"), "confidence")
     return pages, shapes, arrows, of("R").select("page", "k", F.expr(TEXT).alias("text"), *place(WORDS), "confidence")
 
