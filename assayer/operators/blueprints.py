@@ -54,46 +54,48 @@ def number_text(x: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(x.cast("decimal(38,6)").cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
 
 
-def below(rows: DataFrame, level: str, key: str, low: int, high: int, index: str) -> DataFrame:
-    """The elements of a list that has as many as allowed: level, PLACE with `index` set, up, path, v."""
-    every = rows.select(*[c for c in PLACE if c != index], F.col("path").alias("up"), F.try_variant_get("v", f"$.{key}", "array<variant>").alias("e"))
-    each = every.select(*[c for c in every.columns if c != "e"], F.posexplode(F.when(F.size("e").between(low, high), F.col("e"))).alias(index, "v"))
-    prefix = F.when(F.col("up") == "", "").otherwise(F.concat("up", F.lit(".")))
-    return each.select(F.lit(level).alias("level"), *PLACE, "up", F.concat(prefix, F.lit(f"{key}["), F.col(index).cast("string"), F.lit("]")).alias("path"), "v")
+def grown(rows: DataFrame, owners: Column, level: str, key: str, low: int, high: int, index: str | None, *more: str) -> DataFrame:
+    """rows, and behind each owner the elements of its list that has as many as allowed, with `index` set, and the fields `more`. Rows are level, PLACE, up, path, v: nothing is read again to go a level down."""
+    rows = rows.withColumn("e", F.when(owners, F.try_variant_get("v", f"$.{key}", "array<variant>")))
+    unit = lambda level, place, up, path, v: F.struct(level.alias("level"), *(x.alias(c) for c, x in zip(PLACE[1:], place, strict=True)), up.alias("up"), path.alias("path"), v.alias("v"))
+    place = [F.col(c) for c in PLACE[1:]]
+    prefix = F.when(F.col("path") == "", "").otherwise(F.concat("path", F.lit(".")))
+    child = lambda x, n: unit(F.lit(level), [n if c == index else F.col(c) for c in PLACE[1:]], F.col("path"), F.concat(prefix, F.lit(f"{key}["), n.cast("string"), F.lit("]")), x)
+    own = F.array(unit(F.col("level"), place, F.col("up"), F.col("path"), F.col("v")))
+    for name in more:
+        v = F.when(owners, F.try_variant_get("v", f"$.{name}", "variant"))
+        own = F.when(v.isNull(), own).otherwise(F.concat(own, F.array(unit(F.lit(name), place, F.col("path"), F.concat(prefix, F.lit(name)), v))))
+    below = F.transform(F.when(F.size("e").between(low, high), F.col("e")), child)
+    return rows.select("doc", F.explode(F.coalesce(F.concat(own, below), own)).alias("u")).select("u.level", "doc", *(f"u.{c}" for c in PLACE[1:]), "u.up", "u.path", "u.v")
 
 
 def walked(docs: DataFrame) -> DataFrame:
     """Everything of docs(doc, v) that should be an object, level by level: level, PLACE, up, path, v."""
-    top = docs.select(F.lit("document").alias("level"), "doc", *nowhere(*PLACE[1:]), F.lit(None).cast("string").alias("up"), F.lit("").alias("path"), "v")
-    sections = below(top, "section", "sections", 1, MOST_SECTIONS, "i")
-    choices = sections.select(F.lit("choice").alias("level"), *PLACE, F.col("path").alias("up"), F.concat("path", F.lit(".choice")).alias("path"), F.try_variant_get("v", "$.choice", "variant").alias("v")).where("v IS NOT NULL")
-    items = below(sections, "item", "items", 1, MOST_ITEMS, "j")
+    rows = docs.select(F.lit("document").alias("level"), "doc", *nowhere(*PLACE[1:]), F.lit(None).cast("string").alias("up"), F.lit("").alias("path"), "v")
+    at = F.col("level")
+    rows = grown(rows, at == "document", "section", "sections", 1, MOST_SECTIONS, "i")
+    rows = grown(rows, at == "section", "item", "items", 1, MOST_ITEMS, "j", "choice")
     type_ = F.try_variant_get("v", "$.type", "string")
-    level = F.when(type_ == "or", "or").when((type_ == "question") | F.try_variant_get("v", "$", "map<string,variant>").isNull(), "question").otherwise("untyped")
-    items = items.withColumn("level", level)
-    alternatives = below(items.where("level = 'or'"), "alternative", "alternatives", 2, MOST_ITEMS, "a")
-    slots = items.where("level = 'question'").unionByName(alternatives)
-    parts = below(slots, "part", "parts", 1, MOST_PARTS, "p")
-    owners = slots.unionByName(parts)
-    steps = owners.select(*PLACE, F.col("path").alias("up"), F.try_variant_get("v", "$.steps", "array<variant>").alias("e"))
-    steps = steps.select(*PLACE, "up", F.posexplode(F.when(F.size("e").between(1, MOST_STEPS), F.col("e"))).alias("s", "v"))
-    steps = steps.select(F.lit("step").alias("level"), *PLACE, "up", F.concat("up", F.lit(".steps["), F.col("s").cast("string"), F.lit("]")).alias("path"), "v")
-    every = top
-    for x in (sections, choices, items, alternatives, parts, steps):
-        every = every.unionByName(x.select(top.columns))
-    return every
+    kind = F.when(type_ == "or", "or").when((type_ == "question") | F.try_variant_get("v", "$", "map<string,variant>").isNull(), "question").otherwise("untyped")
+    rows = rows.withColumn("level", F.when(at == "item", kind).otherwise(at))
+    rows = grown(rows, at == "or", "alternative", "alternatives", 2, MOST_ITEMS, "a")
+    rows = grown(rows, at.isin("question", "alternative"), "part", "parts", 1, MOST_PARTS, "p")
+    return grown(rows, at.isin("question", "alternative", "part"), "step", "steps", 1, MOST_STEPS, None)
 
 
 def entries(units: DataFrame) -> DataFrame:
     """level, PLACE, up, path, key, kind, text, amount, size of every field; of what is no object one row without a key."""
     o = F.try_variant_get("v", "$", "map<string,variant>")
     each = units.select("level", *PLACE, "up", "path", F.map_entries(o).alias("e")).select("level", *PLACE, "up", "path", F.explode_outer("e").alias("f"), F.col("e").isNull().alias("no_object"))
-    each = each.select("level", *PLACE, "up", "path", "no_object", F.col("f.key").alias("key"), F.col("f.value").alias("v"), F.schema_of_variant("f.value").alias("s"))
+    each = each.select("level", *PLACE, "up", "path", "no_object", F.col("f.key").alias("key"), F.col("f.value").alias("v"))
+    each = each.withColumns({"size": F.size(F.try_variant_get("v", "$", "array<variant>")), "object": F.try_variant_get("v", "$", "map<string,variant>").isNotNull()})
+    s = F.when((F.coalesce("size", F.lit(-1)) < 0) & ~F.col("object"), F.schema_of_variant("v"))  # the schema of what holds others would be read from all of them
+    each = each.withColumn("s", s)
     s = F.col("s")
-    kind = F.when(s.startswith("OBJECT"), "object").when(s.startswith("ARRAY"), "list").when(s == "STRING", "text").when(s == "BOOLEAN", "boolean").when(s == "VOID", "null").when(s == "BIGINT", "whole").when(s.isNotNull(), "number")
+    kind = F.when(F.col("object"), "object").when(F.col("size") >= 0, "list").when(s == "STRING", "text").when(s == "BOOLEAN", "boolean").when(s == "VOID", "null").when(s == "BIGINT", "whole").when(s.isNotNull(), "number")
     text = F.when(s == "STRING", F.trim(F.try_variant_get("v", "$", "string")))
     amount = F.when(kind.isin("whole", "number"), F.try_variant_get("v", "$", "decimal(38,6)"))
-    return each.select("level", *PLACE, "up", "path", "no_object", "key", kind.alias("kind"), text.alias("text"), amount.alias("amount"), F.size(F.try_variant_get("v", "$", "array<variant>")).alias("size"))
+    return each.select("level", *PLACE, "up", "path", "no_object", "key", kind.alias("kind"), text.alias("text"), amount.alias("amount"), "size")
 
 
 def ruled() -> Column:

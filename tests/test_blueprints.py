@@ -1,8 +1,11 @@
 """Papers with faults of every kind, by hand."""
 
+from collections import Counter
 import copy
 import json
 
+from pyspark.sql import functions as F
+
 from assayer.operators import blueprints
 
 ID = "0f8fad5b-d9cb-469f-a165-70867728950e"
@@ -80,3 +83,12 @@ def test_faults(spark):
         assert (r.path, r.fault) not in got[r.doc]
         got[r.doc].add((r.path, r.fault))
     assert got == {i: want for i, (_, want) in enumerate(CASES)}
+
+
+def test_texts_are_walked_once(spark):
+    docs = spark.createDataFrame([(1, '{"sections":[{"choice":{"rule":"all"},"items":[{"type":"or","alternatives":[{"parts":[{"steps":[1]}]},null]},{"type":"question","steps":[2,3]},5]}]}')], "doc long, body string").select("doc", F.try_parse_json("body").alias("v"))
+    units = blueprints.walked(docs)
+    assert units._jdf.queryExecution().executedPlan().toString().count("Scan") == 1
+    at = Counter((r.level, r.path, r.up) for r in units.collect())
+    item = "sections[0].items"
+    assert at == Counter([("document", "", None), ("section", "sections[0]", ""), ("choice", "sections[0].choice", "sections[0]"), ("or", f"{item}[0]", "sections[0]"), ("question", f"{item}[1]", "sections[0]"), ("question", f"{item}[2]", "sections[0]"), ("alternative", f"{item}[0].alternatives[0]", f"{item}[0]"), ("alternative", f"{item}[0].alternatives[1]", f"{item}[0]"), ("part", f"{item}[0].alternatives[0].parts[0]", f"{item}[0].alternatives[0]"), ("step", f"{item}[0].alternatives[0].parts[0].steps[0]", f"{item}[0].alternatives[0].parts[0]"), ("step", f"{item}[1].steps[0]", f"{item}[1]"), ("step", f"{item}[1].steps[1]", f"{item}[1]")])
