@@ -281,9 +281,10 @@ def jsn_blueprint(t: Tables) -> DataFrame:
     tie = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
     n = t.lineitem.withColumn("n", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_returnflag", *tie)))
     item = F.expr(f"'{{\"type\":\"question\",\"label\":\"' || {LABEL_JSON} || '\"' || {MARKS_JSON} || '}}'")
-    sections = n.groupBy("l_orderkey", "l_returnflag").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", item.alias("j")))), lambda x: x["j"]), ",").alias("items"), F.sum("l_quantity").alias("marks"))
-    section = F.concat(F.lit('{"label":"'), F.col("l_returnflag"), F.lit('","method":"diagram","items":['), F.col("items"), F.lit("]}"))
-    papers = sections.groupBy(F.col("l_orderkey").alias("o")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_returnflag", section.alias("j")))), lambda x: x["j"]), ",").alias("sections"), F.sum("marks").cast("long").alias("total"))
+    papers = n.groupBy(F.col("l_orderkey").alias("o")).agg(F.sort_array(F.collect_list(F.struct("n", "l_returnflag", item.alias("j")))).alias("lines"), F.sum("l_quantity").cast("long").alias("total"))
+    items = lambda flag: F.array_join(F.transform(F.filter("lines", lambda x: x["l_returnflag"] == flag), lambda x: x["j"]), ",")
+    section = lambda flag: F.concat(F.lit('{"label":"'), flag, F.lit('","method":"diagram","items":['), items(flag), F.lit("]}"))
+    papers = papers.withColumn("sections", F.array_join(F.transform(F.array_distinct(F.transform("lines", lambda x: x["l_returnflag"])), section), ","))
     body = F.concat(F.expr(HEAD_JSON), F.col("sections"), F.lit("]}"))
     papers = papers.withColumn("b", body).select(F.col("o").alias("doc"), F.when(F.col("o") % 11 == 0, F.expr("left(b, length(b) - 1)")).when(F.col("o") % 31 == 0, "[1, 2]").otherwise(F.col("b")).alias("body"))
     return blueprints.check(papers).select(F.col("doc").alias("paper"), "path", "fault")

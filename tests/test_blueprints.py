@@ -92,3 +92,26 @@ def test_texts_are_walked_once(spark):
     at = Counter((r.level, r.path, r.up) for r in units.collect())
     item = "sections[0].items"
     assert at == Counter([("document", "", None), ("section", "sections[0]", ""), ("choice", "sections[0].choice", "sections[0]"), ("or", f"{item}[0]", "sections[0]"), ("question", f"{item}[1]", "sections[0]"), ("question", f"{item}[2]", "sections[0]"), ("alternative", f"{item}[0].alternatives[0]", f"{item}[0]"), ("alternative", f"{item}[0].alternatives[1]", f"{item}[0]"), ("part", f"{item}[0].alternatives[0].parts[0]", f"{item}[0].alternatives[0]"), ("step", f"{item}[0].alternatives[0].parts[0].steps[0]", f"{item}[0].alternatives[0].parts[0]"), ("step", f"{item}[1].steps[0]", f"{item}[1]"), ("step", f"{item}[1].steps[1]", f"{item}[1]")])
+
+
+def test_papers_are_checked_in_their_rows(spark):
+    rows = spark.createDataFrame([(i, body) for i, (body, _) in enumerate(CASES)], "doc int, body string")
+    plan = blueprints.check(rows)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("parseJson") == 1
+    assert not [x for x in ("Exchange", "Join", "Aggregate", "Window", "parquet") if x in plan]
+
+
+def test_plain_sections_are_held_to_the_same_rules(spark, monkeypatch):
+    """What is read as plain and what is read field by field: the same faults, of plain papers at the limits of the rules."""
+    from itertools import product
+
+    unit = [{"type": t, "label": label, "marks": marks} for t, label, marks in [*product(["question"], ["1", " 1 ", " ", "", "x" * 200, "x" * 201, None], [5]), *product(["question"], ["1"], [0, -1, 1, 1000, 1001, None]), *product(["or", "quiz", None], ["1"], [5])]]
+    unit += [{"type": "question", "label": "1"}, {"type": "question", "marks": 5}, {"label": "1", "marks": 5}, {}]
+    lists = [[x, {"type": "question", "label": "2", "marks": 5}] for x in unit] + [[], [{"type": "question", "label": str(i), "marks": 5} for i in range(100)], [{"type": "question", "label": str(i), "marks": 5} for i in range(101)]]
+    good = {"label": "B", "method": "diagram", "items": [{"type": "question", "label": "3", "marks": 5}]}
+    papers = [[{"label": "A", "method": "diagram", "items": x}, good] for x in lists] + [[good | x] for x in ({"method": "guess"}, {"label": " "}, {"label": "x" * 201}, {"items": []})] + [[good | {"label": str(i)} for i in range(n)] for n in (20, 21)] + [[good, good]]
+    rows = spark.createDataFrame([(i, json.dumps(GOOD | {"total_marks": 10, "sections": x})) for i, x in enumerate(papers)], "doc int, body string")
+    plain = Counter(map(tuple, blueprints.check(rows).collect()))
+    monkeypatch.setattr(blueprints, "PLAIN", "")
+    assert plain == Counter(map(tuple, blueprints.check(rows).collect()))
+    assert len({doc for doc, *_ in plain}) > 20
